@@ -1,0 +1,27 @@
+"""Dense-vector arithmetic on ``array<float|double>`` columns via
+higher-order functions (no Python)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+        F.lit(0.0).cast("double"),
+        lambda acc, v: acc + v,
+    )
+
+
+def l2_norm(a: Column) -> Column:
+    return F.sqrt(
+        F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, v: acc + v.cast("double") * v.cast("double"))
+    )
+
+
+def l2_normalise(a: Column) -> Column:
+    """Unit-length copy of ``a`` (``array<double>``)."""
+    n = l2_norm(a)
+    return F.transform(a, lambda v: v.cast("double") / n)
