@@ -123,5 +123,484 @@ SQL["triage_routes"] = f"""WITH {SCORED_EVENTS_CTE}
 SELECT content_id, risk_score, route FROM ev"""
 
 
+NL = "chr(10)"
+STRIP = r"'^\s+|\s+$'"
+
+
+def hu(x: str, digits: int) -> str:
+    return rnd(x, digits)
+
+
+# ---------------------------------------------------------------------------
+# Reviews and the audit log of the scored events
+# ---------------------------------------------------------------------------
+
+RESPONSE_FMT = B.RESPONSE_JSON.replace("'", "''")
+
+REVIEWED_CTE = SCORED_EVENTS_CTE + f""",
+evv AS (
+  SELECT *, CASE band_action WHEN 'auto_remove' THEN 'remove' WHEN 'flag_for_review' THEN 'flag'
+                             WHEN 'warn_user' THEN 'flag' WHEN 'approved' THEN 'approve' END AS verdict0
+  FROM ev
+),
+resp AS (
+  SELECT content_id,
+    CASE WHEN event_id % 8 IN (0, 4) THEN '```json' || {NL} || body || {NL} || '```'
+         WHEN event_id % 8 IN (1, 5) THEN 'Here is my decision:' || {NL} || '```' || {NL} || body || {NL} || '```'
+         WHEN event_id % 8 = 3 THEN 'I would ' || verdict0 || ' this content.'
+         WHEN event_id % 8 = 6 THEN '[' || body || ']'
+         ELSE '  ' || body || {NL} END AS raw
+  FROM (
+    SELECT *, printf('{RESPONSE_FMT}', verdict0, risk_score, severity, risk_score, event_type, event_type,
+                     severity, band_action, CASE WHEN risk_score >= {dbl(0.6)} THEN 'true' ELSE 'false' END) AS body
+    FROM evv WHERE route = 'agent_review' AND event_id % 10 <> 9
+  )
+),
+rq AS (
+  SELECT q.content_id, r.raw FROM (SELECT content_id FROM ev WHERE route = 'agent_review') q
+  LEFT JOIN resp r USING (content_id)
+),
+rc AS (
+  SELECT content_id, raw,
+    regexp_replace(
+      CASE WHEN strpos(raw, '```json') > 0 THEN split_part(substr(raw, strpos(raw, '```json') + 7), '```', 1)
+           WHEN strpos(raw, '```') > 0 THEN split_part(substr(raw, strpos(raw, '```') + 3), '```', 1)
+           ELSE raw END, {STRIP}, '', 'g') AS clean
+  FROM rq
+),
+rk AS (
+  SELECT *, CASE WHEN raw IS NULL THEN NULL
+                 WHEN json_valid(clean) THEN json_type(CAST(clean AS JSON)) END AS kind
+  FROM rc
+),
+rv AS (
+  SELECT content_id,
+    CASE WHEN kind = 'OBJECT' THEN 'completed' WHEN raw IS NOT NULL AND kind IS NULL THEN 'parse_error' ELSE 'error' END
+      AS review_status,
+    CASE WHEN kind = 'OBJECT' THEN json_extract_string(clean, '$.verdict') ELSE 'flag' END AS verdict,
+    CASE WHEN kind = 'OBJECT' THEN CAST(json_extract(clean, '$.confidence') AS DOUBLE)
+         WHEN raw IS NOT NULL AND kind IS NULL THEN {dbl(0.5)} ELSE {dbl(0.0)} END AS confidence,
+    CASE WHEN kind = 'OBJECT' THEN json_extract_string(clean, '$.severity')
+         WHEN raw IS NOT NULL AND kind IS NULL THEN 'medium' ELSE 'unknown' END AS review_severity,
+    CASE WHEN kind = 'OBJECT' THEN json_extract_string(clean, '$.reasoning')
+         WHEN raw IS NOT NULL AND kind IS NULL
+           THEN 'Agent returned malformed response. Flagging for human review as a precaution.'
+         WHEN kind = 'ARRAY' THEN 'Agent error: list indices must be integers or slices, not str'
+         ELSE 'Agent error: no response' END AS reasoning,
+    CASE WHEN kind = 'OBJECT' THEN array_to_string(CAST(json_extract(clean, '$.key_factors') AS VARCHAR[]), '|')
+         WHEN raw IS NOT NULL AND kind IS NULL THEN 'agent_parse_error' ELSE 'agent_error' END AS key_factors,
+    CASE WHEN kind = 'OBJECT' THEN json_extract_string(clean, '$.recommended_action') ELSE 'flag_for_review' END
+      AS recommended_action,
+    CASE WHEN kind = 'OBJECT' THEN CAST(json_extract(clean, '$.needs_human_review') AS BOOLEAN) ELSE true END
+      AS needs_human_review
+  FROM rk
+),
+dec AS (
+  SELECT ev.*, rv.review_status, rv.verdict, rv.reasoning, rv.key_factors, rv.recommended_action, rv.needs_human_review,
+    rv.content_id IS NOT NULL AS has_review,
+    CASE WHEN route = 'agent_review' THEN coalesce(rv.recommended_action, 'flag_for_review')
+         WHEN route = 'auto_remove' THEN 'auto_remove' ELSE 'approved' END AS final_action
+  FROM ev LEFT JOIN rv USING (content_id)
+),
+audit AS (
+  SELECT content_id, user_id, final_action AS action, risk_score,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+    CASE WHEN text IS NOT NULL AND text <> '' THEN substring(text, 1, 100) END AS content_preview,
+    CASE final_action WHEN 'auto_remove' THEN 'removed' WHEN 'flag_for_review' THEN 'flagged'
+         WHEN 'warn_user' THEN 'warned' WHEN 'approved' THEN 'approved' ELSE 'unknown' END AS status,
+    CASE final_action WHEN 'auto_remove' THEN 'Content automatically removed — high risk score'
+         WHEN 'flag_for_review' THEN 'Content flagged — queued for human review'
+         WHEN 'warn_user' THEN 'User warned — content kept with warning label'
+         WHEN 'approved' THEN 'Content approved — passed moderation'
+         ELSE 'Unknown action: ' || coalesce(final_action, 'None') END AS message,
+    CASE WHEN has_review THEN verdict END AS agent_verdict,
+    CASE WHEN has_review THEN reasoning END AS agent_reasoning,
+    CASE WHEN has_review THEN coalesce(key_factors, '') END AS agent_factors,
+    CASE WHEN has_review THEN coalesce(needs_human_review, false) END AS human_review,
+    ts
+  FROM dec
+)"""
+
+SQL["review_parse"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, review_status, verdict, confidence, review_severity, reasoning, key_factors,
+       recommended_action, needs_human_review FROM rv"""
+
+SQL["final_actions"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, route, band_action, coalesce(review_status, 'none') AS review_status, final_action FROM dec"""
+
+SQL["action_messages"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, action, status, message FROM audit"""
+
+SQL["audit_rows"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, user_id, action, risk_score, timestamp, content_preview, status, message,
+       agent_verdict, agent_reasoning, agent_factors, human_review FROM audit"""
+
+SQL["audit_tail"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, action, risk_score, timestamp FROM audit ORDER BY ts DESC, content_id DESC LIMIT 20"""
+
+AS_OF = f"TIMESTAMP '{B.AS_OF}'"
+RECENT = f"({AS_OF} - INTERVAL 24 HOURS)"
+PREVIOUS = f"({AS_OF} - INTERVAL 48 HOURS)"
+
+SQL["recent_window"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, action, risk_score, timestamp FROM audit WHERE ts >= {RECENT}"""
+
+
+def stats_sql(cond: str | None, prefix: str) -> str:
+    f = f" FILTER (WHERE {cond})" if cond else ""
+
+    def share(a: str) -> str:
+        return f"{hu(f'avg(CASE WHEN coalesce(action = {chr(39)}{a}{chr(39)}, false) THEN {dbl(1.0)} ELSE {dbl(0.0)} END){f} * {dbl(100.0)}', 2)}"
+
+    return ",\n  ".join(
+        [
+            f"count(risk_score){f} AS {prefix}count",
+            f"{r4(f'avg(risk_score){f}')} AS {prefix}mean",
+            f"{r4(f'stddev_samp(risk_score){f}')} AS {prefix}std",
+            f"{r4(f'min(risk_score){f}')} AS {prefix}min",
+            f"{r4(f'max(risk_score){f}')} AS {prefix}max",
+            f"{r4(f'quantile_cont(risk_score, 0.5){f}')} AS {prefix}p50",
+            f"{r4(f'quantile_cont(risk_score, 0.9){f}')} AS {prefix}p90",
+            f"{r4(f'quantile_cont(risk_score, 0.99){f}')} AS {prefix}p99",
+            f"{share('auto_remove')} AS {prefix}pct_removed",
+            f"{share('flag_for_review')} AS {prefix}pct_flagged",
+            f"{share('approved')} AS {prefix}pct_approved",
+            f"count(*){f} AS {prefix}rows",
+        ]
+    )
+
+
+SQL["score_stats"] = f"""WITH {REVIEWED_CTE}
+SELECT {stats_sql(None, '')} FROM audit WHERE ts >= {RECENT}"""
+
+STAT_NAMES = ["count", "mean", "std", "min", "max", "p50", "p90", "p99", "pct_removed", "pct_flagged", "pct_approved"]
+
+
+def drift_sql(previous_cond: str) -> str:
+    cols = ", ".join([f"recent_{n}" for n in STAT_NAMES] + [f"previous_{n}" for n in STAT_NAMES])
+    return f"""WITH {REVIEWED_CTE},
+st AS (
+  SELECT {stats_sql(f'ts >= {RECENT}', 'recent_')},
+  {stats_sql(previous_cond, 'previous_')}
+  FROM audit WHERE ts >= {PREVIOUS}
+),
+e AS (SELECT *, (recent_rows = 0 OR previous_rows = 0) AS empty,
+             abs(recent_mean - previous_mean) AS shift, abs(recent_std - previous_std) AS sshift FROM st)
+SELECT {cols},
+  CASE WHEN NOT empty THEN {r4('shift')} END AS mean_shift,
+  CASE WHEN NOT empty THEN {r4('sshift')} END AS std_shift,
+  {dbl(0.15)} AS threshold,
+  CASE WHEN empty THEN false ELSE coalesce(shift > {dbl(0.15)}, false) END AS drift_detected,
+  CASE WHEN empty THEN NULL WHEN coalesce(shift > {dbl(0.15)}, false) THEN 'retrain' ELSE 'monitor' END AS recommendation,
+  CASE WHEN empty THEN 'insufficient data' END AS reason,
+  recent_count AS total_processed
+FROM e"""
+
+
+SQL["drift_overlapping"] = drift_sql("true")
+SQL["drift_disjoint"] = drift_sql(f"ts < {RECENT}")
+
+SQL["dashboard_summary"] = f"""WITH {REVIEWED_CTE},
+pa AS (
+  SELECT coalesce(action, 'unknown') AS action, count(*) AS n, sum(risk_score) AS risk_sum,
+         count(risk_score) AS risk_n, max(risk_score) AS risk_max,
+         count_if(coalesce(agent_verdict <> '', false)) AS agent, count_if(coalesce(human_review, false)) AS human
+  FROM audit WHERE ts >= {RECENT} GROUP BY 1
+)
+SELECT action, n, CAST(sum(n) OVER () AS BIGINT) AS total,
+  {r4('sum(risk_sum) OVER () / sum(risk_n) OVER ()')} AS avg_risk_score,
+  {r4('max(risk_max) OVER ()')} AS max_risk_score,
+  CAST(sum(agent) OVER () AS BIGINT) AS agent_reviews, CAST(sum(human) OVER () AS BIGINT) AS human_reviews_needed
+FROM pa"""
+
+HOUR = "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00')"
+
+SQL["timeline_long"] = f"""WITH {REVIEWED_CTE}
+SELECT {HOUR} AS time, coalesce(action, 'unknown') AS action, count(*) AS n
+FROM audit WHERE ts >= {RECENT} GROUP BY 1, 2 ORDER BY 1, 2"""
+
+SQL["timeline_wide"] = f"""WITH {REVIEWED_CTE}
+SELECT {HOUR} AS time,
+  CAST(count_if(action = 'auto_remove') AS BIGINT) AS auto_remove,
+  CAST(count_if(action = 'flag_for_review') AS BIGINT) AS flag_for_review,
+  CAST(count_if(action = 'warn_user') AS BIGINT) AS warn_user,
+  CAST(count_if(action = 'approved') AS BIGINT) AS approved,
+  CAST(count_if(action IS NULL OR action = 'unknown') AS BIGINT) AS unknown
+FROM audit WHERE ts >= {RECENT} GROUP BY 1 ORDER BY 1"""
+
+SQL["sliding_stats"] = f"""WITH {REVIEWED_CTE},
+w AS (
+  SELECT a.*, time_bucket(INTERVAL 6 HOURS, ts) - k * INTERVAL 6 HOURS AS ws
+  FROM audit a, (SELECT unnest(range(0, 4)) AS k)
+)
+SELECT strftime(ws, '%Y-%m-%d %H:%M') AS window_start, strftime(ws + INTERVAL 24 HOURS, '%Y-%m-%d %H:%M') AS window_end,
+  {stats_sql(None, '').rsplit(',', 1)[0]}
+FROM w GROUP BY ws"""
+
+SQL["prior_violations"] = f"""WITH {REVIEWED_CTE},
+pv AS (
+  SELECT content_id, user_id,
+    CAST(coalesce(sum(CASE WHEN action IN ('auto_remove', 'flag_for_review') THEN 1 ELSE 0 END)
+      OVER (PARTITION BY user_id ORDER BY ts, content_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+      AS prev_violations
+  FROM audit
+)
+SELECT content_id, user_id, prev_violations, CAST(prev_violations > 2 AS INTEGER) AS repeat_offender FROM pv"""
+
+POSTS_CTE = """posts AS (
+  SELECT CAST(event_id AS VARCHAR) AS content_id, CAST(user_id AS VARCHAR) AS user_id, ts FROM events
+)"""
+
+SQL["user_velocity"] = f"""WITH {POSTS_CTE},
+v AS (
+  SELECT content_id, user_id,
+    count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)
+      AS posts_last_24h
+  FROM posts
+)
+SELECT content_id, user_id, posts_last_24h, CAST(posts_last_24h > {B.VELOCITY_TEST_THRESHOLD} AS INTEGER) AS high_velocity
+FROM v"""
+
+SQL["account_age"] = f"""WITH {POSTS_CTE}
+SELECT content_id, user_id,
+  CAST(date_diff('day', CAST(min(ts) OVER (PARTITION BY user_id) AS DATE), CAST(ts AS DATE)) AS INTEGER)
+    AS account_age_days
+FROM posts"""
+
+# ---------------------------------------------------------------------------
+# Content validation, ids, labelled corpus
+# ---------------------------------------------------------------------------
+
+SQL["validate_quarantine"] = f"""WITH {CONTENT_CTE},
+m AS (
+  SELECT content_id, coalesce(text IS NOT NULL AND text <> '', false) AS has_text, image_ref IS NOT NULL AS has_image,
+    CASE WHEN text IS NOT NULL AND text <> '' AND length(regexp_replace(text, {STRIP}, '', 'g')) = 0
+         THEN 'blank_text' END AS reason
+  FROM content
+)
+SELECT content_id, has_text, has_image, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'quarantine' END AS status, reason
+FROM m"""
+
+SQL["content_ids"] = f"""WITH {CONTENT_CTE},
+k AS (SELECT content_id, sha256(concat_ws('#', user_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), text)) AS content_key
+      FROM content)
+SELECT content_id, content_key, substring(content_key, 1, 8) AS content_short FROM k"""
+
+CORPUS_CTE = f"""WITH {CONTENT_CTE},
+lc AS (SELECT d.doc_id, d.text, l.toxic FROM documents d JOIN labels l USING (doc_id)),
+{lexicon_scores_cte('ls', 'lc', 'doc_id')},
+corpus AS (
+  SELECT lc.doc_id, lc.text AS comment_text, CAST(lc.toxic AS INTEGER) AS toxic,
+    CAST(ls.severe_toxicity > 0 AS INTEGER) AS severe_toxic, CAST(ls.obscene > 0 AS INTEGER) AS obscene,
+    CAST(ls.threat > 0 AS INTEGER) AS threat, CAST(ls.insult > 0 AS INTEGER) AS insult,
+    CAST(ls.identity_attack > 0 AS INTEGER) AS identity_hate
+  FROM lc JOIN ls USING (doc_id)
+),
+lab AS (
+  SELECT *, CAST(coalesce(toxic, 0) + coalesce(severe_toxic, 0) + coalesce(obscene, 0) + coalesce(threat, 0)
+    + coalesce(insult, 0) + coalesce(identity_hate, 0) > 0 AS INTEGER) AS label FROM corpus
+)"""
+
+SQL["any_label"] = f"""{CORPUS_CTE}
+SELECT count(*) AS rows,
+  CAST(sum(toxic) AS BIGINT) AS sum_toxic, CAST(sum(severe_toxic) AS BIGINT) AS sum_severe_toxic,
+  CAST(sum(obscene) AS BIGINT) AS sum_obscene, CAST(sum(threat) AS BIGINT) AS sum_threat,
+  CAST(sum(insult) AS BIGINT) AS sum_insult, CAST(sum(identity_hate) AS BIGINT) AS sum_identity_hate,
+  count_if(label = 1) AS n_toxic, count_if(label = 0) AS n_clean
+FROM lab"""
+
+# ---------------------------------------------------------------------------
+# Vectors: centroids and the zero-shot head
+# ---------------------------------------------------------------------------
+
+EMB_CTE = """emb AS (SELECT vec_id AS id, embedding AS e, label AS class_id FROM embeddings),
+edim AS (SELECT id, class_id, unnest(generate_series(1, len(e))) AS pos, CAST(unnest(e) AS DOUBLE) AS v FROM emb),
+cent AS (SELECT class_id, pos, avg(v) AS v FROM edim GROUP BY class_id, pos)"""
+
+SQL["class_centroids"] = f"""WITH {EMB_CTE}
+SELECT class_id, CAST(pos AS INTEGER) AS dim, {hu('v', 6)} AS value FROM cent"""
+
+
+def zero_shot_cte(scale: float, name: str = "zs") -> str:
+    return f"""{EMB_CTE},
+cn AS (SELECT class_id, sqrt(sum(v * v)) AS n FROM cent GROUP BY class_id),
+cu AS (SELECT c.class_id, c.pos, c.v / cn.n AS v FROM cent c JOIN cn USING (class_id)),
+en AS (SELECT id, sqrt(sum(v * v)) AS n FROM edim GROUP BY id),
+sim AS (
+  SELECT d.id, cu.class_id, sum((d.v / en.n) * cu.v) * {dbl(scale)} AS s
+  FROM edim d JOIN en USING (id) JOIN cu ON d.pos = cu.pos GROUP BY d.id, cu.class_id
+),
+sm AS (SELECT id, class_id, exp(s - max(s) OVER (PARTITION BY id)) AS x FROM sim),
+pr AS (SELECT id, class_id, x / sum(x) OVER (PARTITION BY id) AS p, count(*) OVER (PARTITION BY id) AS k FROM sm),
+za AS (
+  SELECT id, sum(p) FILTER (WHERE class_id < {B.HARMFUL_CLASSES}) AS harm,
+         sum(p) FILTER (WHERE class_id >= {B.HARMFUL_CLASSES}) AS safe,
+         sqrt(sum((p - 1.0 / k) * (p - 1.0 / k)) / max(k)) AS sd,
+         max(p) AS mx, arg_max(class_id, p) AS top
+  FROM pr GROUP BY id
+),
+{name} AS (
+  SELECT id,
+    CASE WHEN sd < {dbl(0.015)} THEN {dbl(0.0)} ELSE {r4('harm')} END AS harmful_score,
+    CASE WHEN sd < {dbl(0.015)} THEN {dbl(1.0)} ELSE {r4('safe')} END AS safe_score,
+    CASE WHEN sd < {dbl(0.015)} THEN {dbl(0.0)} ELSE {r4('harm')} END AS risk_score,
+    CASE WHEN sd < {dbl(0.015)} THEN 'safe' WHEN harm > {dbl(0.4)} THEN 'harmful' ELSE 'safe' END AS label,
+    CASE WHEN sd < {dbl(0.015)} THEN 'low — defaulted to safe' ELSE 'high' END AS confidence,
+    'class_' || CAST(top AS VARCHAR) AS top_prompt,
+    {r4('mx')} AS top_score
+  FROM za
+)"""
+
+
+SQL["zero_shot"] = f"""WITH {zero_shot_cte(1.0)}
+SELECT * FROM zs"""
+
+SQL["zero_shot_scaled"] = f"""WITH {zero_shot_cte(B.ZERO_SHOT_SCALE)}
+SELECT * FROM zs"""
+
+# ---------------------------------------------------------------------------
+# Features, cross-modal, review prompts (documents as content)
+# ---------------------------------------------------------------------------
+
+USERS_CTE = f"""users AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id,
+    CAST(date_diff('day', CAST(min(ts) AS DATE), CAST({AS_OF} AS DATE)) AS INTEGER) AS account_age_days,
+    CAST(count_if(event_type = 'error') AS INTEGER) AS prev_violations,
+    CAST(count_if(event_type = 'signup') AS INTEGER) AS reports_received,
+    CAST(count_if(ts >= {RECENT} AND ts <= {AS_OF}) AS INTEGER) AS posts_last_24h,
+    bool_or(event_type = 'purchase') AS is_verified
+  FROM events GROUP BY user_id
+)"""
+
+
+def features_select(t: str, z: str, u: str) -> str:
+    tox, sev, obs, thr, ins, idt, trs = (
+        f"coalesce({t}.{c}, {dbl(0.0)})" for c in TEXT_LABELS + ["text_risk_score"]
+    )
+    irs = f"coalesce({z}.risk_score, {dbl(0.0)})"
+    vio = f"coalesce({u}.prev_violations, 0)"
+    posts = f"coalesce({u}.posts_last_24h, 1)"
+    hi = dbl(0.7)
+    return f"""{tox} AS text_toxicity, {sev} AS text_severe_toxicity, {obs} AS text_obscene, {thr} AS text_threat,
+    {ins} AS text_insult, {idt} AS text_identity_attack, {trs} AS text_risk_score,
+    greatest({tox}, {sev}, {thr}) AS text_max_score,
+    CAST(({tox} > {hi} OR {sev} > {hi} OR {thr} > {hi}) AS INTEGER) AS text_any_high,
+    {irs} AS image_risk_score, coalesce({z}.harmful_score, {dbl(0.0)}) AS image_harmful_score,
+    coalesce({z}.safe_score, {dbl(1.0)}) AS image_safe_score,
+    CAST(coalesce({z}.label, 'safe') <> 'safe' AS INTEGER) AS image_is_harmful,
+    coalesce({u}.account_age_days, 365) AS user_account_age_days, {vio} AS user_prev_violations,
+    coalesce({u}.reports_received, 0) AS user_reports_received, {posts} AS user_posts_last_24h,
+    CAST(coalesce({u}.is_verified, false) AS INTEGER) AS user_is_verified,
+    CAST({posts} > 50 AS INTEGER) AS user_high_velocity,
+    CAST({vio} > 2 AS INTEGER) AS user_repeat_offender,
+    CAST(({trs} > {dbl(0.5)} AND {irs} > {dbl(0.5)}) AS INTEGER) AS both_modalities_flagged,
+    {r4(f'{trs} * {dbl(0.5)} + {irs} * {dbl(0.3)} + least({vio} * {dbl(0.05)}, {dbl(0.2)})')} AS combined_raw_score"""
+
+
+FEATURES_CTE = f"""WITH {CONTENT_CTE},
+{zero_shot_cte(B.ZERO_SHOT_SCALE)},
+{USERS_CTE},
+acc AS (SELECT * FROM content WHERE NOT (text IS NOT NULL AND text <> '' AND length(regexp_replace(text, {STRIP}, '', 'g')) = 0)),
+{lexicon_scores_cte('sc', 'acc')},
+feat AS (
+  SELECT a.content_id, a.text, a.image_ref, a.user_id,
+    (a.text IS NOT NULL AND a.text <> '') AS has_text,
+    {features_select('t', 'z', 'u')},
+    t.toxicity AS t_tox, t.severe_toxicity AS t_sev, t.threat AS t_thr, t.insult AS t_ins,
+    t.identity_attack AS t_idt, t.text_risk_score AS t_risk,
+    z.risk_score AS z_risk, z.harmful_score AS z_harm, z.label AS z_label, z.id IS NOT NULL AS has_z,
+    u.account_age_days AS u_age, u.prev_violations AS u_vio, u.reports_received AS u_rep,
+    u.posts_last_24h AS u_posts, u.is_verified AS u_ver, u.user_id IS NOT NULL AS has_u
+  FROM acc a
+  LEFT JOIN (SELECT * FROM sc WHERE content_id IN (SELECT content_id FROM acc WHERE text IS NOT NULL AND text <> '')) t
+    ON a.content_id = t.content_id
+  LEFT JOIN zs z ON a.image_ref = CAST(z.id AS VARCHAR)
+  LEFT JOIN users u ON a.user_id = u.user_id
+)"""
+
+FEATURE_LIST = ", ".join(
+    __import__("modspark.schemas", fromlist=["FEATURE_COLUMNS"]).FEATURE_COLUMNS
+)
+
+SQL["features_full"] = f"""{FEATURES_CTE}
+SELECT content_id, {FEATURE_LIST} FROM feat"""
+
+SQL["cross_modal"] = f"""{FEATURES_CTE}
+SELECT content_id, text_risk_score, image_risk_score, user_prev_violations, both_modalities_flagged, combined_raw_score
+FROM feat"""
+
+SQL["features_defaults"] = f"""WITH {CONTENT_CTE},
+bc AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS content_id, text FROM benchmark),
+acc AS (SELECT * FROM bc WHERE NOT (text IS NOT NULL AND text <> '' AND length(regexp_replace(text, {STRIP}, '', 'g')) = 0)),
+{lexicon_scores_cte('sc', 'acc')},
+z AS (SELECT NULL::DOUBLE AS risk_score, NULL::DOUBLE AS harmful_score, NULL::DOUBLE AS safe_score, NULL::VARCHAR AS label),
+u AS (SELECT NULL::INTEGER AS account_age_days, NULL::INTEGER AS prev_violations, NULL::INTEGER AS reports_received,
+             NULL::INTEGER AS posts_last_24h, NULL::BOOLEAN AS is_verified)
+SELECT a.content_id, {features_select('t', 'z', 'u')}
+FROM acc a
+LEFT JOIN (SELECT * FROM sc WHERE content_id IN (SELECT content_id FROM acc WHERE text IS NOT NULL AND text <> '')) t
+  ON a.content_id = t.content_id
+CROSS JOIN z CROSS JOIN u"""
+
+
+def f3(x: str) -> str:
+    return f"printf('%.3f', {hu(f'coalesce({x}, {dbl(0.0)})', 3)})"
+
+
+SQL["review_prompt"] = f"""{FEATURES_CTE},
+d AS (
+  SELECT *, text_risk_score AS risk_score, {severity_sql('text_risk_score')} AS severity,
+         {band_action_sql('text_risk_score')} AS band_action, {route_sql('text_risk_score')} AS route
+  FROM feat
+)
+SELECT content_id, concat_ws({NL},
+  '## Content Under Review' || {NL},
+  CASE WHEN text IS NOT NULL AND text <> '' THEN '**Text content:**' || {NL} || '"' || text || '"' || {NL} END,
+  {NL} || '## Detector Scores' || {NL},
+  CASE WHEN t_risk IS NOT NULL AND has_text THEN concat_ws({NL}, '**NLP Detector:**',
+    '- Toxicity: ' || {f3('t_tox')}, '- Severe toxicity: ' || {f3('t_sev')}, '- Threat: ' || {f3('t_thr')},
+    '- Insult: ' || {f3('t_ins')}, '- Identity attack: ' || {f3('t_idt')},
+    '- Overall text risk: ' || {f3('t_risk')} || {NL}) END,
+  CASE WHEN has_z THEN concat_ws({NL}, '**Vision Detector:**', '- Image risk score: ' || {f3('z_risk')},
+    '- Harmful score: ' || {f3('z_harm')}, '- Label: ' || coalesce(z_label, 'unknown') || {NL}) END,
+  concat_ws({NL}, '**Risk Scorer (ensemble):**', '- Final risk score: ' || {f3('risk_score')},
+    '- Severity: ' || coalesce(severity, 'unknown'), '- Initial action: ' || coalesce(band_action, 'unknown') || {NL}),
+  {NL} || '## User History' || {NL},
+  CASE WHEN has_u THEN concat_ws({NL},
+    '- Account age: ' || coalesce(CAST(u_age AS VARCHAR), 'unknown') || ' days',
+    '- Previous violations: ' || CAST(coalesce(u_vio, 0) AS VARCHAR),
+    '- Reports received: ' || CAST(coalesce(u_rep, 0) AS VARCHAR),
+    '- Posts in last 24h: ' || CAST(coalesce(u_posts, 0) AS VARCHAR),
+    '- Verified account: ' || CASE WHEN coalesce(u_ver, false) THEN 'True' ELSE 'False' END)
+    ELSE '- No user history available' END,
+  {NL} || '## Your Task' || {NL} || 'This content scored in the borderline range (0.35–0.8). '
+    || 'The automated system was not confident enough to act automatically. '
+    || 'Review all signals above and make the final moderation decision. '
+    || 'Respond ONLY with the JSON format specified.'
+) AS prompt
+FROM d WHERE route = 'agent_review'"""
+
+SQL["review_parse_free_text"] = f"""WITH c AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS content_id, text AS raw
+  FROM conversations WHERE role = 'assistant'
+),
+rc AS (
+  SELECT content_id, raw,
+    regexp_replace(
+      CASE WHEN strpos(raw, '```json') > 0 THEN split_part(substr(raw, strpos(raw, '```json') + 7), '```', 1)
+           WHEN strpos(raw, '```') > 0 THEN split_part(substr(raw, strpos(raw, '```') + 3), '```', 1)
+           ELSE raw END, {STRIP}, '', 'g') AS clean
+  FROM c
+),
+rk AS (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN json_valid(clean) THEN json_type(CAST(clean AS JSON)) END AS kind FROM rc)
+SELECT content_id,
+  CASE WHEN kind = 'OBJECT' THEN 'completed' WHEN raw IS NOT NULL AND kind IS NULL THEN 'parse_error' ELSE 'error' END
+    AS review_status,
+  CASE WHEN kind = 'OBJECT' THEN json_extract_string(clean, '$.verdict') ELSE 'flag' END AS verdict,
+  CASE WHEN kind = 'OBJECT' THEN json_extract_string(clean, '$.recommended_action') ELSE 'flag_for_review' END
+    AS recommended_action
+FROM rk"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -12,9 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modspark.operators import audit as au
+from modspark.operators import dashboard as db
+from modspark.operators import features as fe
+from modspark.operators import monitor as mo
+from modspark.operators import review as rv
 from modspark.operators import text_scores as ts
 from modspark.operators import triage, validate
-from modspark.schemas import TEXT_LABELS
+from modspark.operators import vectors as ve
+from modspark.operators import windows as wi
+from modspark.schemas import FEATURE_COLUMNS, TEXT_LABELS
 from modspark.sources import bindings as B
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -66,5 +73,279 @@ def triage_routes(spark, sf_dir):
     return B.scored_events(spark, sf_dir).select("content_id", "risk_score", "route")
 
 
+
+
+@query("any_label")
+def any_label(spark, sf_dir):
+    """P6 + A8: any-of label over the labelled corpus, and label sums."""
+    c = ts.any_label(B.labelled_corpus(spark, sf_dir))
+    from modspark.operators.evaluate import label_distribution
+
+    return label_distribution(c)
+
+
+@query("validate_quarantine")
+def validate_quarantine(spark, sf_dir):
+    c = validate.with_validation(validate.with_modalities(B.content(spark, sf_dir)))
+    return c.select("content_id", "has_text", "has_image", "status", "reason")
+
+
+@query("content_ids")
+def content_ids(spark, sf_dir):
+    c = validate.with_content_ids(B.content(spark, sf_dir))
+    return c.select("content_id", "content_key", "content_short")
+
+
+# ---------------------------------------------------------------------------
+# Vectors
+# ---------------------------------------------------------------------------
+
+
+def centroid_prompts(spark, sf_dir):
+    """Prompt vectors = class centroids; classes 0-4 harmful, 5-9 safe."""
+    cents = ve.class_centroids(B.vectors(spark, sf_dir))
+    cents = cents.withColumn("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))
+    names, vecs = ve.collect_prompts(cents, "name", "centroid", "class_id")
+    n_harmful = sum(1 for n in names if int(n.split("_")[1]) < B.HARMFUL_CLASSES)
+    return names, vecs, n_harmful
+
+
+def image_scores(spark, sf_dir, logit_scale: float = B.ZERO_SHOT_SCALE):
+    names, vecs, n_harmful = centroid_prompts(spark, sf_dir)
+    return ve.zero_shot(B.vectors(spark, sf_dir), names, vecs, n_harmful, logit_scale=logit_scale)
+
+
+@query("zero_shot")
+def zero_shot(spark, sf_dir):
+    z = image_scores(spark, sf_dir, 1.0)
+    return z.select("id", "harmful_score", "safe_score", "risk_score", "label", "confidence", "top_prompt", "top_score")
+
+
+@query("zero_shot_scaled")
+def zero_shot_scaled(spark, sf_dir):
+    z = image_scores(spark, sf_dir, B.ZERO_SHOT_SCALE)
+    return z.select("id", "harmful_score", "safe_score", "risk_score", "label", "confidence", "top_prompt", "top_score")
+
+
+@query("class_centroids")
+def class_centroids(spark, sf_dir):
+    c = ve.class_centroids(B.vectors(spark, sf_dir))
+    from modspark.functions.numeric import half_up
+
+    return c.select("class_id", F.posexplode("centroid").alias("pos", "v")).select(
+        "class_id", (F.col("pos") + 1).alias("dim"), half_up(F.col("v"), 6).alias("value")
+    )
+
+
+# ---------------------------------------------------------------------------
+# Features and content decisions
+# ---------------------------------------------------------------------------
+
+
+def content_features(spark, sf_dir, content=None, with_images=True, with_users=True):
+    """J1 + J2 + P8: accepted content with text scores, image scores (by
+    image reference) and user metadata, and the 22 features."""
+    c = content if content is not None else B.content(spark, sf_dir)
+    c = validate.accepted(validate.with_modalities(c))
+    c = ts.lexicon_scores(c, B.lexicon(spark))
+    c = c.withColumn("text_scores", F.when(F.col("has_text"), ts.text_scores_struct()))
+    c = c.drop(*TEXT_LABELS, "text_risk_score")
+    if with_images:
+        imgs = image_scores(spark, sf_dir).withColumn("image_ref", F.col("id").cast("string"))
+        c = fe.with_image_scores(c, imgs)
+    if with_users:
+        c = fe.with_user_meta(c, B.users(spark, sf_dir))
+    return fe.with_features(c)
+
+
+@query("features_full")
+def features_full(spark, sf_dir):
+    return content_features(spark, sf_dir).select("content_id", *FEATURE_COLUMNS)
+
+
+@query("features_defaults")
+def features_defaults(spark, sf_dir):
+    """Text-only items without image or user: every default branch."""
+    from modspark.sources.tables import table
+
+    b = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("content_id"),
+        F.lit(None).cast("string").alias("user_id"),
+        F.lit(None).cast("timestamp").alias("ts"),
+        F.col("text"),
+        F.lit(None).cast("string").alias("image_ref"),
+    )
+    return content_features(spark, sf_dir, b, with_images=False, with_users=False).select(
+        "content_id", *FEATURE_COLUMNS
+    )
+
+
+@query("cross_modal")
+def cross_modal(spark, sf_dir):
+    f = content_features(spark, sf_dir)
+    return f.select("content_id", "text_risk_score", "image_risk_score", "user_prev_violations",
+                    "both_modalities_flagged", "combined_raw_score")
+
+
+def content_decisions(spark, sf_dir):
+    """Content features + a rule risk (the text risk stands in for the model
+    ensemble, which is checked separately) + bands + route."""
+    f = content_features(spark, sf_dir).withColumn("risk_score", F.col("text_risk_score"))
+    f = triage.with_route(triage.with_bands(f))
+    return f.withColumn(
+        "risk", F.struct(F.col("risk_score").alias("final_risk_score"), "severity", F.col("band_action").alias("action"))
+    )
+
+
+@query("review_prompt")
+def review_prompt(spark, sf_dir):
+    d = content_decisions(spark, sf_dir)
+    return rv.review_queue(d)
+
+
+# ---------------------------------------------------------------------------
+# Review loop and audit records (events as decisions)
+# ---------------------------------------------------------------------------
+
+
+@query("review_parse")
+def review_parse(spark, sf_dir):
+    d = B.reviewed_events(spark, sf_dir).filter(F.col("route") == "agent_review")
+    r = F.col("review")
+    return d.select(
+        "content_id",
+        "review_status",
+        r["verdict"].alias("verdict"),
+        r["confidence"].alias("confidence"),
+        r["severity"].alias("review_severity"),
+        r["reasoning"].alias("reasoning"),
+        F.concat_ws("|", r["key_factors"]).alias("key_factors"),
+        r["recommended_action"].alias("recommended_action"),
+        r["needs_human_review"].alias("needs_human_review"),
+    )
+
+
+@query("review_parse_free_text")
+def review_parse_free_text(spark, sf_dir):
+    """Assistant turns of ``conversations`` as raw responses (prose: parse errors)."""
+    from modspark.sources.tables import table
+
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = c.filter(F.col("role") == "assistant").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("content_id"),
+        F.col("text").alias("raw"),
+    )
+    p = rv.parse_reviews(c)
+    return p.select("content_id", "review_status", F.col("review.verdict").alias("verdict"),
+                    F.col("review.recommended_action").alias("recommended_action"))
+
+
+@query("final_actions")
+def final_actions(spark, sf_dir):
+    d = B.reviewed_events(spark, sf_dir)
+    return d.select("content_id", "route", "band_action", F.coalesce("review_status", F.lit("none")).alias("review_status"),
+                    "final_action")
+
+
+@query("action_messages")
+def action_messages(spark, sf_dir):
+    d = au.with_status(B.reviewed_events(spark, sf_dir), "final_action")
+    return d.select("content_id", F.col("final_action").alias("action"), "status", "message")
+
+
+def _flat_audit(a):
+    return a.select(
+        "content_id", "user_id", "action", "risk_score", "timestamp", "content_preview", "status", "message",
+        "agent_verdict", "agent_reasoning",
+        F.when(F.col("agent_factors").isNotNull(), F.concat_ws("|", "agent_factors")).alias("agent_factors"),
+        "human_review",
+    )
+
+
+@query("audit_rows")
+def audit_rows(spark, sf_dir):
+    return _flat_audit(B.audit_log(spark, sf_dir))
+
+
+@query("audit_tail")
+def audit_tail(spark, sf_dir):
+    t = db.tail(B.audit_log(spark, sf_dir), 20)
+    return t.select("content_id", "action", "risk_score", "timestamp")
+
+
+@query("recent_window")
+def recent_window(spark, sf_dir):
+    r = mo.lookback(B.audit_log(spark, sf_dir), B.AS_OF, 24)
+    return r.select("content_id", "action", "risk_score", "timestamp")
+
+
+@query("score_stats")
+def score_stats(spark, sf_dir):
+    return mo.score_stats(B.audit_log(spark, sf_dir), B.AS_OF, 24)
+
+
+@query("drift_overlapping")
+def drift_overlapping(spark, sf_dir):
+    return mo.drift_report(B.audit_log(spark, sf_dir), B.AS_OF, baseline="overlapping")
+
+
+@query("drift_disjoint")
+def drift_disjoint(spark, sf_dir):
+    return mo.drift_report(B.audit_log(spark, sf_dir), B.AS_OF, baseline="disjoint")
+
+
+@query("dashboard_summary")
+def dashboard_summary(spark, sf_dir):
+    return db.summary_rows(B.audit_log(spark, sf_dir), B.AS_OF, 24)
+
+
+@query("timeline_long")
+def timeline_long(spark, sf_dir):
+    return db.timeline(B.audit_log(spark, sf_dir), B.AS_OF, 24)
+
+
+@query("timeline_wide")
+def timeline_wide(spark, sf_dir):
+    return db.timeline_wide(B.audit_log(spark, sf_dir), B.AS_OF, 24)
+
+
+@query("sliding_stats")
+def sliding_stats(spark, sf_dir):
+    return mo.sliding_stats(B.audit_log(spark, sf_dir), "24 hours", "6 hours")
+
+
+# ---------------------------------------------------------------------------
+# User windows (events as posts)
+# ---------------------------------------------------------------------------
+
+
+def _posts(spark, sf_dir):
+    from modspark.sources.tables import table
+
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return e.select(F.col("event_id").cast("string").alias("content_id"), F.col("user_id").cast("string").alias("user_id"), "ts")
+
+
+@query("user_velocity")
+def user_velocity(spark, sf_dir):
+    v = wi.trailing_count(_posts(spark, sf_dir), "user_id", "ts", 24, 1, "posts_last_24h")
+    v = wi.high_velocity(v, "posts_last_24h", B.VELOCITY_TEST_THRESHOLD)
+    return v.select("content_id", "user_id", "posts_last_24h", "high_velocity")
+
+
+@query("prior_violations")
+def prior_violations(spark, sf_dir):
+    a = B.audit_log(spark, sf_dir)
+    v = wi.prior_sum(a, F.col("action").isin("auto_remove", "flag_for_review").cast("int"), "user_id", "ts", "content_id")
+    return v.select("content_id", "user_id", "prev_violations",
+                    (F.col("prev_violations") > F.lit(2)).cast("int").alias("repeat_offender"))
+
+
+@query("account_age")
+def account_age(spark, sf_dir):
+    v = wi.first_seen_age(_posts(spark, sf_dir))
+    return v.select("content_id", "user_id", "account_age_days")
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)

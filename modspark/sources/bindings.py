@@ -22,6 +22,8 @@ N_USERS = 150                  # content i belongs to user i % 150
 AS_OF = "2024-01-31 00:00:00"  # analysis time of the audit / user snapshot
 RISK_DIVISOR = 125.0           # audit risk = least(r4(value / 125), 1)
 HARMFUL_CLASSES = 5            # embedding classes 0-4 are "harmful" prototypes
+ZERO_SHOT_SCALE = 10.0         # logit scale of the scaled zero-shot form (1.0 = faithful)
+VELOCITY_TEST_THRESHOLD = 5    # events peak at ~11 per user-day, so test the flag at 5
 
 # Lexicon (term, category, weight): ten words the toxic documents carry.
 LEXICON_WORDS = ["trash", "clown", "scum", "idiot", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting"]
