@@ -602,5 +602,125 @@ SELECT content_id,
 FROM rk"""
 
 
+# ---------------------------------------------------------------------------
+# Evaluation
+# ---------------------------------------------------------------------------
+
+LABELLED_SCORES_CTE = f"""WITH {CONTENT_CTE},
+lc AS (SELECT d.doc_id, d.text, l.toxic FROM documents d JOIN labels l USING (doc_id)),
+{lexicon_scores_cte('ls', 'lc', 'doc_id')},
+s AS (SELECT lc.doc_id, lc.toxic, ls.* EXCLUDE (doc_id) FROM lc JOIN ls USING (doc_id))"""
+
+SQL["auc_exact"] = f"""{LABELLED_SCORES_CTE},
+g AS (SELECT text_risk_score AS sc, sum(toxic) AS pos, count(*) - sum(toxic) AS neg FROM s GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT {hu(f'sum(pos * (below + {dbl(0.5)} * neg)) / (sum(pos) * sum(neg))', 6)} AS auc,
+  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), {dbl(0.0)})"
+
+
+SQL["class_report"] = f"""{LABELLED_SCORES_CTE},
+cm AS (
+  SELECT count_if(toxic = 1 AND toxicity > {dbl(0.5)}) AS tp, count_if(toxic = 0 AND toxicity > {dbl(0.5)}) AS fp,
+         count_if(toxic = 1 AND NOT toxicity > {dbl(0.5)}) AS fn, count_if(toxic = 0 AND NOT toxicity > {dbl(0.5)}) AS tn
+  FROM s
+),
+m AS (
+  SELECT *, {_div('tp', 'tp + fp')} AS p1, {_div('tp', 'tp + fn')} AS r1,
+            {_div('tn', 'tn + fn')} AS p0, {_div('tn', 'tn + fp')} AS r0,
+            tp + fn AS s1, tn + fp AS s0, tp + fn + tn + fp AS n FROM cm
+),
+m2 AS (SELECT *, {_div('2 * p1 * r1', 'p1 + r1')} AS f1, {_div('2 * p0 * r0', 'p0 + r0')} AS f0 FROM m)
+SELECT '0' AS class_name, {hu('p0', 6)} AS precision, {hu('r0', 6)} AS recall, {hu('f0', 6)} AS f1, CAST(s0 AS BIGINT) AS support FROM m2
+UNION ALL SELECT '1', {hu('p1', 6)}, {hu('r1', 6)}, {hu('f1', 6)}, CAST(s1 AS BIGINT) FROM m2
+UNION ALL SELECT 'accuracy', NULL, NULL, {hu(_div('tp + tn', 'n'), 6)}, CAST(n AS BIGINT) FROM m2
+UNION ALL SELECT 'macro avg', {hu('(p0 + p1) / 2', 6)}, {hu('(r0 + r1) / 2', 6)}, {hu('(f0 + f1) / 2', 6)}, CAST(n AS BIGINT) FROM m2
+UNION ALL SELECT 'weighted avg', {hu(_div('p0 * s0 + p1 * s1', 'n'), 6)}, {hu(_div('r0 * s0 + r1 * s1', 'n'), 6)},
+  {hu(_div('f0 * s0 + f1 * s1', 'n'), 6)}, CAST(n AS BIGINT) FROM m2"""
+
+MD5 = "md5(concat_ws('#', CAST(doc_id AS VARCHAR), '42'))"
+
+SQL["hash_split"] = f"""SELECT doc_id, toxic,
+  CASE WHEN CAST(('0x' || substr({MD5}, 1, 8)) AS BIGINT) / {dbl(4294967296.0)} < {dbl(0.2)} THEN 'test' ELSE 'train' END
+    AS split
+FROM labels"""
+
+SQL["strat_split_exact"] = f"""WITH r AS (
+  SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {MD5}, doc_id) AS rn,
+         count(*) OVER (PARTITION BY toxic) AS n FROM labels
+)
+SELECT doc_id, toxic, CASE WHEN rn <= floor(n * {dbl(0.2)} + {dbl(0.5)}) THEN 'test' ELSE 'train' END AS split FROM r"""
+
+SQL["label_coverage"] = """SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents"""
+
+# ---------------------------------------------------------------------------
+# Text model
+# ---------------------------------------------------------------------------
+
+from modspark.functions.text import ACCENTED, UNACCENTED  # noqa: E402
+
+TERMS_CTE = rf"""tk AS (
+  SELECT doc_id, regexp_extract_all(translate(lower(text), '{ACCENTED}', '{UNACCENTED}'), '[\p{{L}}\p{{N}}_]{{2,}}') AS t
+  FROM documents
+),
+gr AS (
+  SELECT doc_id, list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])
+                                     ELSE CAST([] AS VARCHAR[]) END) AS grams FROM tk
+),
+dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(grams) AS term FROM gr) GROUP BY doc_id, term),
+pt AS (SELECT term, CAST(sum(tf) AS BIGINT) AS freq, count(*) AS doc_freq FROM dt GROUP BY term),
+vocab AS (SELECT * FROM pt ORDER BY freq DESC, term ASC LIMIT 10000),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+tw AS (
+  SELECT dt.doc_id, dt.term, (1 + ln(CAST(tf AS DOUBLE))) * (ln((1 + nd.n) / (1 + CAST(v.doc_freq AS DOUBLE))) + 1) AS w
+  FROM dt JOIN vocab v USING (term) CROSS JOIN nd
+),
+tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM tw)"""
+
+SQL["vocab_topk"] = f"""WITH {TERMS_CTE}
+SELECT term, freq, doc_freq FROM vocab"""
+
+SQL["tfidf_weights"] = f"""WITH {TERMS_CTE}
+SELECT doc_id, term, {hu('weight', 6)} AS weight FROM tfidf"""
+
+
+def _linear_values() -> str:
+    from modspark.plans.queries import LINEAR_COEF
+
+    return ", ".join(f"('{w}', {dbl(LINEAR_COEF)})" for w in B.LEXICON_WORDS)
+
+
+def _linear_sql() -> str:
+    from modspark.plans.queries import LINEAR_INTERCEPT
+
+    return f"""WITH {TERMS_CTE},
+coef(term, coef) AS (VALUES {_linear_values()}),
+z AS (SELECT doc_id, sum(coef * weight) AS z FROM tfidf JOIN coef USING (term) GROUP BY doc_id),
+p AS (SELECT d.doc_id, 1.0 / (1.0 + exp(-({dbl(LINEAR_INTERCEPT)} + coalesce(z.z, {dbl(0.0)})))) AS p
+      FROM documents d LEFT JOIN z USING (doc_id))
+SELECT doc_id, {r4('p')} AS risk_score, {r4('p')} AS confidence, CASE WHEN p > {dbl(0.5)} THEN 'toxic' ELSE 'clean' END AS label
+FROM p"""
+
+
+SQL["linear_text_score"] = _linear_sql()
+
+# ---------------------------------------------------------------------------
+# Risk ensemble
+# ---------------------------------------------------------------------------
+
+SQL["risk_training_set"] = f"""{FEATURES_CTE}
+SELECT f.content_id, {', '.join('f.' + c for c in FEATURE_LIST.split(', '))}, CAST(l.toxic AS INTEGER) AS label
+FROM feat f JOIN labels l ON f.content_id = CAST(l.doc_id AS VARCHAR)"""
+
+SQL["ensemble_average"] = f"""{FEATURES_CTE},
+e AS (SELECT content_id, {r4('(text_risk_score + combined_raw_score) / 2.0')} AS final_risk_score,
+             {r4('text_risk_score')} AS xgb_score, {r4('combined_raw_score')} AS lgb_score FROM feat)
+SELECT content_id, final_risk_score, xgb_score, lgb_score, {severity_sql('final_risk_score')} AS severity,
+       {band_action_sql('final_risk_score')} AS action FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -347,5 +347,150 @@ def account_age(spark, sf_dir):
     return v.select("content_id", "user_id", "account_age_days")
 
 
+
+
+# ---------------------------------------------------------------------------
+# Evaluation
+# ---------------------------------------------------------------------------
+
+
+def labelled_scores(spark, sf_dir):
+    """Documents with a label row, scored by the lexicon (J6 inner)."""
+    from modspark.operators import evaluate as ev
+    from modspark.sources.tables import table
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = ev.with_labels(d, lab, "doc_id", ["toxic"])
+    return ts.lexicon_scores(j, B.lexicon(spark), "text", "doc_id")
+
+
+@query("auc_exact")
+def auc_exact(spark, sf_dir):
+    from modspark.functions.numeric import half_up
+    from modspark.operators import evaluate as ev
+
+    a = ev.roc_auc(labelled_scores(spark, sf_dir), "toxic", "text_risk_score")
+    return a.select(half_up(F.col("auc"), 6).alias("auc"), "n_pos", "n_neg")
+
+
+@query("class_report")
+def class_report(spark, sf_dir):
+    """P21 (text classifier rule p > .5 on the toxicity score) + A10."""
+    from modspark.operators import evaluate as ev
+
+    s = labelled_scores(spark, sf_dir).withColumn("prediction", (F.col("toxicity") > F.lit(0.5)).cast("int"))
+    return ev.class_report(s, "toxic", "prediction")
+
+
+@query("hash_split")
+def hash_split(spark, sf_dir):
+    from modspark.operators import evaluate as ev
+    from modspark.sources.tables import table
+
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return ev.hash_split(lab, "doc_id", 0.2, 42).select("doc_id", "toxic", "split")
+
+
+@query("strat_split_exact")
+def strat_split_exact(spark, sf_dir):
+    from modspark.operators import evaluate as ev
+    from modspark.sources.tables import table
+
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return ev.exact_split(lab, "doc_id", "toxic", 0.2, 42).select("doc_id", "toxic", "split")
+
+
+@query("label_coverage")
+def label_coverage(spark, sf_dir):
+    from modspark.operators import evaluate as ev
+    from modspark.sources.tables import table
+
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    yes = ev.labelled(d, lab, "doc_id").withColumn("labelled", F.lit(True))
+    no = ev.unlabelled(d, lab, "doc_id").withColumn("labelled", F.lit(False))
+    return yes.unionByName(no)
+
+
+# ---------------------------------------------------------------------------
+# Text model
+# ---------------------------------------------------------------------------
+
+
+def _docs(spark, sf_dir):
+    from modspark.sources.tables import table
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query("vocab_topk")
+def vocab_topk(spark, sf_dir):
+    from modspark.operators import text_model as tm
+
+    v = tm.vocabulary(tm.doc_terms(_docs(spark, sf_dir)), tm.MAX_FEATURES)
+    return v.select("term", "freq", "doc_freq")
+
+
+@query("tfidf_weights")
+def tfidf_weights(spark, sf_dir):
+    from modspark.functions.numeric import half_up
+    from modspark.operators import text_model as tm
+
+    docs = _docs(spark, sf_dir)
+    terms = tm.doc_terms(docs)
+    vocab = tm.vocabulary(terms, tm.MAX_FEATURES)
+    w = tm.tfidf(terms, vocab, docs.count())
+    return w.select("doc_id", "term", half_up(F.col("weight"), 6).alias("weight"))
+
+
+# Fixed linear model for the join-scoring check: every lexicon word weighs
+# LINEAR_COEF, intercept LINEAR_INTERCEPT.
+LINEAR_COEF = 4.0
+LINEAR_INTERCEPT = -1.0
+
+
+@query("linear_text_score")
+def linear_text_score(spark, sf_dir):
+    from modspark.operators import text_model as tm
+
+    docs = _docs(spark, sf_dir)
+    terms = tm.doc_terms(docs)
+    vocab = tm.vocabulary(terms, tm.MAX_FEATURES)
+    w = tm.tfidf(terms, vocab, docs.count())
+    coef = spark.createDataFrame([(t, LINEAR_COEF) for t in B.LEXICON_WORDS], "term string, coef double")
+    return tm.linear_score(w, coef, LINEAR_INTERCEPT, docs)
+
+
+# ---------------------------------------------------------------------------
+# Risk ensemble
+# ---------------------------------------------------------------------------
+
+
+def _risk_training(spark, sf_dir):
+    from modspark.operators import risk as rk
+    from modspark.sources.tables import table
+
+    f = content_features(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("content_id"),
+                                                 F.col("toxic").alias("label"))
+    return rk.training_set(f, lab)
+
+
+@query("risk_training_set")
+def risk_training_set(spark, sf_dir):
+    return _risk_training(spark, sf_dir)
+
+
+@query("ensemble_average")
+def ensemble_average(spark, sf_dir):
+    """M7 with fixed probabilities: part A = text risk, part B = combined raw score."""
+    from modspark.operators import risk as rk
+
+    f = content_features(spark, sf_dir)
+    cols = rk.ensemble_columns(F.col("text_risk_score"), F.col("combined_raw_score"))
+    return f.select("content_id", *[v.alias(k) for k, v in cols.items()])
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
