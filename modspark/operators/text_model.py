@@ -94,14 +94,17 @@ def linear_score(
 # ---------------------------------------------------------------------------
 
 
-def to_vectors(weights: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, features)`` sparse vectors.  The entries of one document are
+def to_vectors(weights: DataFrame, size: int, docs: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, features)`` sparse vectors; documents of ``docs`` without
+    any vocabulary term get an empty vector.  The entries of one document are
     bounded by its length; the per-row step only packs sorted arrays into a
     vector (no model work in Python)."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    pack = F.udf(lambda idx, val: SparseVector(size, idx, val), VectorUDT())
+    pack = F.udf(lambda idx, val: SparseVector(size, idx or [], val or []), VectorUDT())
     per_doc = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_e"))
+    if docs is not None:
+        per_doc = docs.select("doc_id").join(per_doc, "doc_id", "left")
     return per_doc.select(
         "doc_id",
         pack(F.transform("_e", lambda e: e["index"]), F.transform("_e", lambda e: e["weight"])).alias("features"),

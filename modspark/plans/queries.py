@@ -492,5 +492,95 @@ def ensemble_average(spark, sf_dir):
     return f.select("content_id", *[v.alias(k) for k, v in cols.items()])
 
 
+# ---------------------------------------------------------------------------
+# Trained models (rows-only in the driver; values in tests)
+# ---------------------------------------------------------------------------
+
+# Fitted models per (name, sf_dir) within one process, so a second query on
+# the same model does not train it again.
+_MODELS: dict = {}
+
+
+def _text_model(spark, sf_dir):
+    key = ("text", sf_dir)
+    if key not in _MODELS:
+        from modspark.plans.training import train_text_model
+
+        corpus = ts.any_label(B.labelled_corpus(spark, sf_dir))
+        _MODELS[key] = train_text_model(corpus, "doc_id", "comment_text", "label")
+    return _MODELS[key]
+
+
+@query("text_model_auc")
+def text_model_auc(spark, sf_dir):
+    _, m, _ = _text_model(spark, sf_dir)
+    return m
+
+
+@query("text_model_scores")
+def text_model_scores(spark, sf_dir):
+    _, _, scored = _text_model(spark, sf_dir)
+    return scored.select("doc_id", "label", "risk_score", "confidence", "prediction")
+
+
+RISK_TREES = 200
+
+
+def _risk_model(spark, sf_dir):
+    key = ("risk", sf_dir)
+    if key not in _MODELS:
+        from modspark.plans.training import train_risk_model
+
+        _MODELS[key] = train_risk_model(_risk_training(spark, sf_dir), "content_id", RISK_TREES)
+    return _MODELS[key]
+
+
+@query("risk_model_scores")
+def risk_model_scores(spark, sf_dir):
+    _, _, scored = _risk_model(spark, sf_dir)
+    return scored.select("content_id", "label", "xgb_score", "lgb_score", "final_risk_score", "severity", "action",
+                         "prediction")
+
+
+@query("risk_model_metrics")
+def risk_model_metrics(spark, sf_dir):
+    _, m, _ = _risk_model(spark, sf_dir)
+    return m
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    from modspark.operators import risk as rk
+
+    ens, _, _ = _risk_model(spark, sf_dir)
+    return rk.feature_importance(spark, ens, 10)
+
+
+def _probe(spark, sf_dir):
+    key = ("probe", sf_dir)
+    if key not in _MODELS:
+        from modspark.plans.training import train_vector_probe
+
+        _MODELS[key] = train_vector_probe(B.vectors(spark, sf_dir), 5)
+    return _MODELS[key]
+
+
+@query("vector_probe")
+def vector_probe(spark, sf_dir):
+    """M8: loss per iteration with the test AUC / F1 of the fitted probe."""
+    _, loss, m, _ = _probe(spark, sf_dir)
+    steps = spark.createDataFrame([(i, float(v)) for i, v in enumerate(loss)], "step int, loss double")
+    one = F.lit(1).alias("_k")
+    return steps.select("*", one).join(m.select("*", one), "_k").drop("_k")
+
+
+@query("vector_scores")
+def vector_scores(spark, sf_dir):
+    from modspark.plans.training import vector_scores as vs
+
+    model, _, _, _ = _probe(spark, sf_dir)
+    return vs(model, B.vectors(spark, sf_dir))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
