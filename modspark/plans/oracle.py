@@ -722,5 +722,44 @@ SELECT content_id, final_risk_score, xgb_score, lgb_score, {severity_sql('final_
        {band_action_sql('final_risk_score')} AS action FROM e"""
 
 
+# ---------------------------------------------------------------------------
+# End to end (documents as content, no reviewer: borderline -> error fallback)
+# ---------------------------------------------------------------------------
+
+DECISIONS_CTE = f"""{FEATURES_CTE},
+dd AS (
+  SELECT f.*, c.ts, text_risk_score AS risk_score, {severity_sql('text_risk_score')} AS severity,
+         {route_sql('text_risk_score')} AS route
+  FROM feat f JOIN content c USING (content_id)
+),
+dec2 AS (
+  SELECT *, CASE WHEN route = 'agent_review' THEN 'flag_for_review' WHEN route = 'auto_remove' THEN 'auto_remove'
+                 ELSE 'approved' END AS final_action,
+         CASE WHEN route = 'agent_review' THEN 'error' END AS review_status
+  FROM dd
+)"""
+
+SQL["moderation_decisions"] = f"""{DECISIONS_CTE}
+SELECT content_id, user_id, risk_score, severity, route, final_action, coalesce(review_status, 'none') AS review_status
+FROM dec2"""
+
+SQL["moderation_audit"] = f"""{DECISIONS_CTE}
+SELECT content_id, user_id, final_action AS action, risk_score, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+  CASE WHEN text IS NOT NULL AND text <> '' THEN substring(text, 1, 100) END AS content_preview,
+  CASE final_action WHEN 'auto_remove' THEN 'removed' WHEN 'flag_for_review' THEN 'flagged'
+       WHEN 'warn_user' THEN 'warned' WHEN 'approved' THEN 'approved' ELSE 'unknown' END AS status,
+  CASE final_action WHEN 'auto_remove' THEN 'Content automatically removed — high risk score'
+       WHEN 'flag_for_review' THEN 'Content flagged — queued for human review'
+       WHEN 'warn_user' THEN 'User warned — content kept with warning label'
+       WHEN 'approved' THEN 'Content approved — passed moderation' END AS message,
+  CASE WHEN route = 'agent_review' THEN 'flag' END AS agent_verdict,
+  CASE WHEN route = 'agent_review' THEN 'Agent error: no response' END AS agent_reasoning,
+  CASE WHEN route = 'agent_review' THEN 'agent_error' END AS agent_factors,
+  CASE WHEN route = 'agent_review' THEN true END AS human_review
+FROM dec2"""
+
+SQL["audit_roundtrip"] = SQL["recent_window"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

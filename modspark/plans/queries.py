@@ -582,5 +582,51 @@ def vector_scores(spark, sf_dir):
     return vs(model, B.vectors(spark, sf_dir))
 
 
+# ---------------------------------------------------------------------------
+# End to end and the audit round trip
+# ---------------------------------------------------------------------------
+
+
+def moderated(spark, sf_dir):
+    """Documents through the whole moderation job (no reviewer attached, so
+    borderline rows take the no-response fallback)."""
+    from modspark.plans import moderate as md
+
+    imgs = image_scores(spark, sf_dir).withColumn("image_ref", F.col("id").cast("string"))
+    s = md.score_content(B.content(spark, sf_dir), lexicon=B.lexicon(spark), image_scores=imgs,
+                         users=B.users(spark, sf_dir))
+    return md.decide(s)
+
+
+@query("moderation_decisions")
+def moderation_decisions(spark, sf_dir):
+    d = moderated(spark, sf_dir)
+    return d.select("content_id", "user_id", "risk_score", "severity", "route", "final_action",
+                    F.coalesce("review_status", F.lit("none")).alias("review_status"))
+
+
+@query("moderation_audit")
+def moderation_audit(spark, sf_dir):
+    from modspark.plans import moderate as md
+
+    return _flat_audit(md.audit_records(moderated(spark, sf_dir)))
+
+
+@query("audit_roundtrip")
+def audit_roundtrip(spark, sf_dir):
+    """S6 then S2: the audit log written as date-partitioned JSON lines to
+    the shared folder, read back leniently, last 24 hours."""
+    import uuid
+
+    from modspark.session import scratch_path
+    from modspark.sources.readers import read_audit
+    from modspark.sources.sinks import write_audit
+
+    path = scratch_path(spark, f"audit-{uuid.uuid4().hex[:8]}")
+    write_audit(B.audit_log(spark, sf_dir), path, "json")
+    r = read_audit(spark, path, B.AS_OF, 24)
+    return r.select("content_id", "action", "risk_score", "timestamp")
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
