@@ -17,11 +17,20 @@ def _action():
     return F.coalesce(F.col("action"), F.lit("unknown"))
 
 
+def _with_optional(df: DataFrame) -> DataFrame:
+    """The review columns are optional in the audit contract."""
+    if "agent_verdict" not in df.columns:
+        df = df.withColumn("agent_verdict", F.lit(None).cast("string"))
+    if "human_review" not in df.columns:
+        df = df.withColumn("human_review", F.lit(None).cast("boolean"))
+    return df
+
+
 def summary(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS) -> DataFrame:
     """One row: total, per-action counts (map), avg / max risk (4 dp),
     agent reviews (non-empty verdict), human reviews needed.  An empty window
     gives total 0, an empty map and avg 0."""
-    rows = lookback(audit, as_of, hours)
+    rows = _with_optional(lookback(audit, as_of, hours))
     per_action = rows.groupBy(_action().alias("action")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("risk_score").alias("risk_sum"),
@@ -54,7 +63,7 @@ def summary(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS)
 def summary_rows(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS) -> DataFrame:
     """A6 flattened: one row per action with the summary scalars repeated.
     The window over the per-action rows spans one row per action only."""
-    rows = lookback(audit, as_of, hours)
+    rows = _with_optional(lookback(audit, as_of, hours))
     per_action = rows.groupBy(_action().alias("action")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("risk_score").alias("risk_sum"),
