@@ -142,7 +142,10 @@ def drift_report(
 
 def sliding_stats(audit: DataFrame, window: str = "24 hours", slide: str = "6 hours", exact: bool = True) -> DataFrame:
     """X3 (batch form): the statistics per sliding event-time window."""
-    ts = F.col("ts").cast("timestamp")
+    # keep the bare column when it already is a timestamp (a streaming
+    # watermark is defined on that attribute)
+    is_ntz = isinstance(audit.schema["ts"].dataType, T.TimestampNTZType)
+    ts = F.col("ts").cast("timestamp") if is_ntz else F.col("ts")
     g = audit.withColumn("_w", F.window(ts, window, slide)).groupBy("_w").agg(*_stats(None, "", exact))
     g = _unpack_pct(g, "")
     return g.select(
