@@ -6,6 +6,7 @@ from modspark.functions.text import (
     normalise,
     preview,
     word_bigrams,
+    word_bigrams_joined,
     word_tokens,
 )
 from modspark.functions.vectors import dot, l2_normalise, l2_norm
@@ -18,6 +19,7 @@ __all__ = [
     "normalise",
     "preview",
     "word_bigrams",
+    "word_bigrams_joined",
     "word_tokens",
     "dot",
     "l2_normalise",

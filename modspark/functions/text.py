@@ -51,3 +51,10 @@ def word_bigrams(tokens: Column) -> Column:
             lambda a, b: F.concat(a, F.lit(" "), b),
         ),
     ).otherwise(F.array().cast("array<string>"))
+
+
+def word_bigrams_joined(tokens: Column) -> Column:
+    """Adjacent token pairs, from the tokens joined by single spaces (tokens
+    hold no whitespace): one linear regex pass instead of a lambda per pair.
+    Same result as ``word_bigrams``."""
+    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(r"(?:^| )(?=(\S+ \S+))"), 1)

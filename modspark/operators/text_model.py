@@ -20,16 +20,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark.functions.numeric import r4
-from modspark.functions.text import word_bigrams, word_tokens
+from modspark.functions.text import word_bigrams_joined, word_tokens
 
 MAX_FEATURES = 10000
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram_max: int = 2) -> DataFrame:
-    """``(doc, term, tf)`` of every 1-gram (and 2-gram) of every document."""
-    toks = word_tokens(F.col(text_col))
-    grams = F.concat(toks, word_bigrams(toks)) if ngram_max >= 2 else toks
-    ex = docs.select(F.col(id_col).alias("doc_id"), F.explode(grams).alias("term"))
+    """``(doc, term, tf)`` of every 1-gram (and 2-gram) of every document.
+
+    Documents are hash-partitioned by id first: the raw text is shuffled
+    once (smaller than the per-(doc, term) rows it expands into), and then
+    the term counts and the per-document norm window need no shuffle."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    d = d.repartition(d.sparkSession.sparkContext.defaultParallelism * 2, "doc_id")
+    toks = word_tokens(F.col("_text"))
+    grams = F.concat(toks, word_bigrams_joined(toks)) if ngram_max >= 2 else toks
+    ex = d.select("doc_id", F.explode(grams).alias("term"))
     return ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

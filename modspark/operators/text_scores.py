@@ -60,7 +60,9 @@ def _inline_scores(df: DataFrame, text_col: str, entries: list) -> DataFrame:
         else:
             total = F.lit(0.0)
         cols[cat] = r4(F.least(F.lit(1.0), total))
-    return df.withColumn("_hits", hits).withColumns(cols).drop("_hits")
+    from modspark.operators.partitioning import computed_once
+
+    return computed_once(df.withColumn("_hits", hits), cols).drop("_hits")
 
 
 def _joined_scores(df: DataFrame, text_col: str, id_col: str, lexicon: DataFrame) -> DataFrame:
@@ -88,6 +90,9 @@ def lexicon_scores(
     Rows whose text is not scoreable get scores too (all zero); callers that
     must not score them filter first (``validate.accepted``).
     """
+    from modspark.operators.partitioning import spread
+
+    df = spread(df)
     head = lexicon.select("term", "category", "weight").limit(max_inline + 1).collect()
     if len(head) <= max_inline:
         out = _inline_scores(df, text_col, [(r.term, r.category, r.weight) for r in head])

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark.functions.numeric import r4
-from modspark.functions.vectors import dot, l2_normalise
 from modspark.schemas import (
     LOW_CONFIDENCE_LABEL,
     LOW_CONFIDENCE_NOTE,
@@ -61,47 +60,67 @@ def zero_shot(
     temperature), harmful = sum over the first ``n_harmful`` prompts, safe =
     the rest; a near-uniform distribution (population std < ``guard_std``)
     defaults to safe.
+
+    The prompts are constants, so each similarity is written out as a plain
+    sum of products over the vector components: whole-stage code generation
+    compiles it (with common sub-expressions such as the components and the
+    norm computed once per row) instead of interpreting lambdas per element.
     """
+    from modspark.operators.partitioning import spread
+
     if not prompt_vectors:
         raise ValueError("no prompts")
-    protos = F.array(
-        *[F.array(*[F.lit(float(x)) for x in l2_unit(p)]) for p in prompt_vectors]
-    )
-    v = l2_normalise(F.col(vec_col))
-    out = vectors.withColumn("_v", v)
-    out = out.withColumn("_sim", F.transform(protos, lambda p: dot(F.col("_v"), p) * F.lit(float(logit_scale))))
-    # Stable softmax: subtract the row maximum before exp.
-    out = out.withColumn("_mx", F.array_max("_sim"))
-    out = out.withColumn("_e", F.transform("_sim", lambda s: F.exp(s - F.col("_mx"))))
-    out = out.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    out = out.withColumn("_p", F.transform("_e", lambda x: x / F.col("_z")))
-    k = len(prompt_vectors)
-    harm = F.aggregate(F.slice("_p", 1, n_harmful), F.lit(0.0), lambda a, x: a + x)
-    safe = F.aggregate(F.slice("_p", n_harmful + 1, k - n_harmful), F.lit(0.0), lambda a, x: a + x)
+    dim = len(prompt_vectors[0])
+    units = [l2_unit(p) for p in prompt_vectors]
+    k = len(units)
+    out = spread(vectors)
+    comps = [F.get(F.col(vec_col), i).cast("double") for i in range(dim)]
+    norm = F.sqrt(sum((c * c for c in comps[1:]), comps[0] * comps[0]))
+    sims = {}
+    for j, u in enumerate(units):
+        dotp = sum((comps[i] * F.lit(u[i]) for i in range(1, dim)), comps[0] * F.lit(u[0]))
+        sims[f"_s{j}"] = dotp / norm * F.lit(float(logit_scale))
+    out = out.withColumns(sims)
+    s_cols = [F.col(f"_s{j}") for j in range(k)]
+    out = out.withColumn("_mx", F.greatest(*s_cols) if k > 1 else s_cols[0])
+    out = out.withColumns({f"_e{j}": F.exp(F.col(f"_s{j}") - F.col("_mx")) for j in range(k)})
+    z = sum((F.col(f"_e{j}") for j in range(1, k)), F.col("_e0"))
+    out = out.withColumn("_z", z)
+    out = out.withColumns({f"_p{j}": F.col(f"_e{j}") / F.col("_z") for j in range(k)})
+    p = [F.col(f"_p{j}") for j in range(k)]
+    harm = sum(p[1:n_harmful], p[0]) if n_harmful > 0 else F.lit(0.0)
+    safe = sum(p[n_harmful + 1:], p[n_harmful]) if n_harmful < k else F.lit(0.0)
     mean = F.lit(1.0 / k)
-    std = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.lit(float(k)))
-    out = out.withColumn("_harm", harm).withColumn("_safe", safe).withColumn("prob_std", std)
-    low = F.col("prob_std") < F.lit(guard_std)
-    out = out.withColumns(
+    std = F.sqrt(sum(((x - mean) * (x - mean) for x in p[1:]), (p[0] - mean) * (p[0] - mean)) / F.lit(float(k)))
+    out = out.withColumn("_harm", harm).withColumn("_safe", safe)
+    top = F.greatest(*p) if k > 1 else p[0]
+    top_name = None
+    for j in range(k):
+        c = p[j] == F.col("_top")
+        top_name = F.when(c, F.lit(names[j])) if top_name is None else top_name.when(c, F.lit(names[j]))
+    out = out.withColumn("_top", top)
+    low = std < F.lit(guard_std)
+    from modspark.operators.partitioning import computed_once
+
+    out = computed_once(
+        out,
         {
+            "prob_std": std,
             "harmful_score": F.when(low, F.lit(0.0)).otherwise(r4(F.col("_harm"))),
             "safe_score": F.when(low, F.lit(1.0)).otherwise(r4(F.col("_safe"))),
             "risk_score": F.when(low, F.lit(0.0)).otherwise(r4(F.col("_harm"))),
-            "prompt_scores": F.map_from_arrays(
-                F.array(*[F.lit(n) for n in names]), F.transform("_p", lambda x: r4(x))
-            ),
+            "prompt_scores": F.create_map(*[x for j in range(k) for x in (F.lit(names[j]), r4(p[j]))]),
             "label": F.when(low, F.lit("safe"))
             .when(F.col("_harm") > F.lit(harmful_threshold), F.lit("harmful"))
             .otherwise(F.lit("safe")),
             "confidence": F.when(low, F.lit(LOW_CONFIDENCE_LABEL)).otherwise(F.lit("high")),
             "note": F.when(low, F.lit(LOW_CONFIDENCE_NOTE)),
-            "top_prompt": F.element_at(
-                F.array(*[F.lit(n) for n in names]), F.array_position("_p", F.array_max("_p")).cast("int")
-            ),
-            "top_score": r4(F.array_max("_p")),
-        }
+            "top_prompt": top_name,
+            "top_score": r4(F.col("_top")),
+        },
     )
-    return out.drop("_v", "_sim", "_mx", "_e", "_z", "_p", "_harm", "_safe")
+    tmp = [f"_{x}{j}" for x in "sep" for j in range(k)] + ["_mx", "_z", "_harm", "_safe", "_top"]
+    return out.drop(*tmp)
 
 
 def l2_unit(p: list[float]) -> list[float]:
