@@ -77,14 +77,22 @@ def decide(
     ``(content_id, raw)``; a queued row without a response gets the error
     fallback, so its action is flag_for_review."""
     d = triage.with_route(scored, "risk_score", auto_remove, auto_approve)
-    queue = rv.review_queue(d, low=auto_approve, high=auto_remove)
     if reviewer is not None:
+        # the reviewer runs on the queue only; its responses are checkpointed
+        # so the decisions below never call it again
+        queue = rv.review_queue(d, low=auto_approve, high=auto_remove)
         responses = run_reviewer(queue, reviewer, reviewer_partitions)
     if responses is None:
-        responses = queue.sparkSession.createDataFrame([], "content_id string, raw string")
-    reviews = rv.with_reviews(queue.select("content_id"), responses, model).select("content_id", "review", "review_status")
-    d = d.join(reviews, "content_id", "left")
-    return triage.with_final_action(d, "review")
+        responses = d.sparkSession.createDataFrame([], "content_id string, raw string")
+    # J3 as one left join of the decisions with the responses: the scored
+    # upstream is evaluated once; rows that were not queued carry no review.
+    j = d.join(responses.select("content_id", "raw"), "content_id", "left")
+    queued = F.col("route") == F.lit("agent_review")
+    j = rv.parse_reviews(j, "raw", model).drop("raw", "agent_model")
+    j = j.withColumn("review", F.when(queued, F.col("review"))).withColumn(
+        "review_status", F.when(queued, F.col("review_status"))
+    )
+    return triage.with_final_action(j, "review")
 
 
 def decision_view(decisions: DataFrame) -> DataFrame:
