@@ -1,8 +1,10 @@
 """Structured Streaming forms of the batch operators.
 
 The column functions are the batch ones; only event-time state differs:
-watermarks bound it, and late rows (behind the watermark) are dropped by
-Spark.  Every ``start_*`` writes through a checkpoint under the shared
+watermarks bound it.  Spark guarantees that rows within the watermark delay
+are never dropped; rows behind it may or may not be aggregated (a window
+already closed is emitted again only in update mode), and deduplication (X5)
+bounds its state by the watermark but lets a late row through.  Every ``start_*`` writes through a checkpoint under the shared
 checkpoint folder unless one is given, so a restarted query resumes with
 exactly-once file output.
 
