@@ -13,11 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _bytes(conf_value: str) -> int:
+    v = conf_value.strip().lower()
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    for suffix in ("kb", "mb", "gb", "tb", "k", "m", "g", "t", "b"):
+        if v.endswith(suffix):
+            return int(float(v[: -len(suffix)]) * units[suffix[0]])
+    return int(v)
+
+
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Repartition to one task per core when the largest input relation fits
+    in fewer splits than that (by the optimizer's size estimate); a large
+    input (or an unknown size) is left as it is.  Nothing runs."""
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    # the largest scanned relation decides how many splits the work starts with
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    if size >= split * target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 

@@ -132,16 +132,19 @@ def clean_response(raw: Column) -> Column:
 
 
 def _json_kind(clean: Column) -> Column:
-    """OBJECT / ARRAY / STRING / NUMBER / BOOLEAN / NULL, or NULL when not JSON."""
-    schema = F.schema_of_variant(F.try_parse_json(clean))
-    return (
-        F.when(F.try_parse_json(clean).isNull() & clean.isNotNull() & (F.lower(clean) == "null"), F.lit("NULL"))
-        .when(schema.startswith("OBJECT"), F.lit("OBJECT"))
-        .when(schema.startswith("ARRAY"), F.lit("ARRAY"))
-        .when(schema == "STRING", F.lit("STRING"))
-        .when(schema.isin("BOOLEAN"), F.lit("BOOLEAN"))
-        .when(schema == "VOID", F.lit("NULL"))
-        .when(schema.isNotNull(), F.lit("NUMBER"))
+    """OBJECT / ARRAY / STRING / NUMBER / BOOLEAN / NULL, or NULL when the
+    (stripped) text is not JSON.  One parse for validity; for valid JSON the
+    first character tells the kind, so no schema of the value is computed."""
+    first = F.substring(clean, 1, 1)
+    valid = (clean == F.lit("null")) | F.try_parse_json(clean).isNotNull()
+    return F.when(
+        valid,
+        F.when(first == "{", F.lit("OBJECT"))
+        .when(first == "[", F.lit("ARRAY"))
+        .when(first == '"', F.lit("STRING"))
+        .when(clean.isin("true", "false"), F.lit("BOOLEAN"))
+        .when(clean == "null", F.lit("NULL"))
+        .otherwise(F.lit("NUMBER")),
     )
 
 
@@ -185,8 +188,10 @@ def parse_reviews(responses: DataFrame, raw_col: str = "raw", model: str = "exte
         .when(raw.isNotNull() & kind.isNull(), F.lit(pe["review_status"]))
         .otherwise(F.lit(er["review_status"]))
     )
+    from modspark.operators.partitioning import spread
+
     return (
-        responses.withColumn("_clean", clean)
+        spread(responses).withColumn("_clean", clean)
         .withColumn("_kind", F.when(raw.isNotNull(), _json_kind(F.col("_clean"))))
         .withColumn("_parsed", F.from_json(F.col("_clean"), REVIEW))
         .withColumn("review", review)
