@@ -5,7 +5,7 @@ The default scorer is a weighted lexicon ``(term, category, weight)``: the
 score of a category is ``least(1, sum of the weights of the hits)``.  A
 lexicon is a model parameter, not data: when it is small (checked) it is
 inlined as map literals and every row is scored by higher-order functions in
-its own partition (no shuffle, no join).  A lexicon above the bound is scored
+its own partition (no shuffle, no join): one regex pass finds the hits.  A lexicon above the bound is scored
 relationally: tokens are exploded, joined to the lexicon and summed per row.
 User models plug in through ``operators.plugins.text_scorer`` instead.
 """
@@ -40,15 +40,31 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
 
 
+def _is_word(term: str) -> bool:
+    return bool(term) and all(ch.isalnum() or ch == "_" for ch in term)
+
+
+def _hits(text: Column, terms: set[str]) -> Column:
+    """Tokens of the lower-cased text that are lexicon terms, in order.
+
+    One regex pass finds the terms bounded by non-word characters, which is
+    exactly "a word token equal to the term"; terms with non-word characters
+    can never equal a token and are left out.  Only the (short) hit list is
+    materialised, not every token of the text."""
+    words = sorted((t for t in terms if _is_word(t)), key=lambda t: (-len(t), t))
+    if not words:
+        return F.array().cast("array<string>")
+    alternation = "|".join(r"\Q" + w + r"\E" for w in words)
+    pattern = r"(?<![\p{L}\p{N}_])(?:" + alternation + r")(?![\p{L}\p{N}_])"
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
+
+
 def _inline_scores(df: DataFrame, text_col: str, entries: list) -> DataFrame:
     by_cat: dict[str, dict[str, float]] = {c: {} for c in TEXT_LABELS}
     for term, cat, w in entries:
         if cat in by_cat:
             by_cat[cat][term] = by_cat[cat].get(term, 0.0) + float(w)
-    terms = sorted({t for t, _, _ in entries})
-    vocab = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    # Tokenise once per row; the per-category sums then walk the (short) hit list.
-    hits = F.filter(_tokens(F.col(text_col)), lambda t: F.array_contains(vocab, t))
+    hits = _hits(F.col(text_col), {t for t, _, _ in entries})
     cols = {}
     for cat in TEXT_LABELS:
         weights = by_cat[cat]

@@ -74,12 +74,14 @@ def zero_shot(
     units = [l2_unit(p) for p in prompt_vectors]
     k = len(units)
     out = spread(vectors)
-    comps = [F.get(F.col(vec_col), i).cast("double") for i in range(dim)]
-    norm = F.sqrt(sum((c * c for c in comps[1:]), comps[0] * comps[0]))
+    # One SQL expression per prompt (a single call each to build the plan);
+    # exact double literals; the components are shared sub-expressions.
+    comps = [f"CAST(get(`{vec_col}`, {i}) AS DOUBLE)" for i in range(dim)]
+    norm = "sqrt(" + " + ".join(f"{c} * {c}" for c in comps) + ")"
     sims = {}
     for j, u in enumerate(units):
-        dotp = sum((comps[i] * F.lit(u[i]) for i in range(1, dim)), comps[0] * F.lit(u[0]))
-        sims[f"_s{j}"] = dotp / norm * F.lit(float(logit_scale))
+        dotp = " + ".join(f"{c} * {_dlit(u[i])}" for i, c in enumerate(comps))
+        sims[f"_s{j}"] = F.expr(f"(({dotp}) / {norm}) * {_dlit(float(logit_scale))}")
     out = out.withColumns(sims)
     s_cols = [F.col(f"_s{j}") for j in range(k)]
     out = out.withColumn("_mx", F.greatest(*s_cols) if k > 1 else s_cols[0])
@@ -123,6 +125,11 @@ def zero_shot(
     return out.drop(*tmp)
 
 
+def _dlit(x: float) -> str:
+    """A SQL DOUBLE literal that round-trips ``x`` exactly."""
+    return "(" + ("%.17g" % x) + "D)"
+
+
 def l2_unit(p: list[float]) -> list[float]:
     n = sum(x * x for x in p) ** 0.5
     return [x / n for x in p] if n else list(p)
