@@ -117,9 +117,11 @@ def to_vectors(weights: DataFrame, size: int, docs: DataFrame | None = None) ->
     )
 
 
-def train_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label: str = "label"):
+def train_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label: str = "label", tol: float = 1e-4):
     """M2: L2 logistic regression equivalent to ``C``: ``regParam = 1/(C n)``,
-    no standardisation, intercept not penalised."""
+    no standardisation, intercept not penalised; stopping tolerance 1e-4 as
+    in the original configuration (MLlib's own default is 1e-6).  Each
+    iteration is one distributed gradient pass (tree aggregation)."""
     from pyspark.ml.classification import LogisticRegression
 
     n = train.count()
@@ -131,6 +133,7 @@ def train_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=True,
+        tol=tol,
     )
     return lr.fit(train)
 

@@ -90,3 +90,50 @@ def test_retrain_on_drift(spark, tmpdir_fresh):
                                  metrics_path=tmpdir_fresh + "/metrics")
     assert not row2["drift_detected"] and v2 is None
     assert spark.read.json(tmpdir_fresh + "/reports").count() == 2
+
+
+def test_drift_is_one_scan(spark):
+    from modspark.operators import monitor as mo
+
+    p = _plan(mo.drift_report(B.audit_log(spark, SF), B.AS_OF))
+    # the audit binding reads events in its own joins; the drift statistics
+    # add no scan of their own: both windows are filtered aggregates
+    plain = _plan(B.audit_log(spark, SF))
+    assert p.count("FileScan parquet") == plain.count("FileScan parquet")
+
+
+def test_tfidf_shuffles(spark):
+    from modspark.plans import queries as Q
+
+    p = _plan(Q.queries()["tfidf_weights"](spark, SF))
+    assert "hashpartitioning(doc_id" in p            # documents partitioned once by id
+    assert "BroadcastExchange" in p                  # only the k-row vocabulary is broadcast
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_no_window_partitioned_by_user_alone_on_rows(spark):
+    from modspark.plans import queries as Q
+
+    for name in ["user_velocity", "prior_violations"]:
+        df = Q.queries()[name](spark, SF)
+        lp = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [l for l in lp.splitlines() if "Window [" in l]
+        # row-level windows carry the bucket in their partitioning; the only
+        # per-user window runs over the per-(user, bucket) aggregate
+        assert any("_b" in w.split("windowspecdefinition")[1][:80] for w in windows), name
+
+
+def test_periodic_drift_check_stream(spark, tmpdir_fresh):
+    import os
+
+    from modspark.streaming import jobs as sj
+
+    audit = B.audit_log(spark, SF).select("content_id", "action", "risk_score", F.col("ts").cast("timestamp").alias("ts"))
+    src = os.path.join(tmpdir_fresh, "trigger")
+    audit.coalesce(1).write.parquet(src)
+    reports = os.path.join(tmpdir_fresh, "reports")
+    q = sj.start_drift_checks(sj.stream_of(spark, src, audit.schema, 1), lambda s: B.audit_log(s, SF),
+                              report_path=reports, checkpoint=os.path.join(tmpdir_fresh, "ck"))
+    q.awaitTermination()
+    rows = spark.read.json(reports).collect()
+    assert len(rows) == 1 and rows[0]["total_processed"] > 0
