@@ -81,8 +81,9 @@ def linear_score(
 ) -> DataFrame:
     """J5 + M3: ``p = sigmoid(b + sum_t coef_t * w_dt)`` per document, with
     label toxic/clean at ``p > .5`` and confidence = risk = p (4 dp).
-    ``coef (term, coef)`` is a model parameter (<= vocabulary size)."""
-    c = F.broadcast(coef.select("term", "coef"))
+    ``coef (term, coef)`` is a model parameter; its size is not bounded
+    here, so AQE chooses broadcast or sort-merge from its runtime size."""
+    c = coef.select("term", "coef")
     z = weights.join(c, "term").groupBy("doc_id").agg(F.sum(F.col("coef") * F.col("weight")).alias("_z"))
     d = docs.select(F.col(id_col).alias("doc_id")).join(z, "doc_id", "left")
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(intercept)) + F.coalesce(F.col("_z"), F.lit(0.0)))))

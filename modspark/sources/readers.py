@@ -76,8 +76,12 @@ def parse_audit_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """JSON-lines text -> audit rows.  Lines that are not a JSON object
     (malformed, arrays, blank) and records without a parseable timestamp are
     skipped, as the lenient readers of the log do."""
+    from modspark.functions.text import WHITESPACE
+
     v = F.col(col)
-    is_object = F.schema_of_variant(F.try_parse_json(v)).startswith("OBJECT")
+    # valid JSON whose first non-blank character is "{" is an object
+    first = F.substring(F.trim(v, F.lit(WHITESPACE)), 1, 1)
+    is_object = (first == F.lit("{")) & F.try_parse_json(v).isNotNull()
     extra = [c for c in lines.columns if c != col]  # e.g. the ``dt`` partition column
     rows = lines.filter(F.coalesce(is_object, F.lit(False))).select(F.from_json(v, AUDIT).alias("r"), *extra)
     rows = rows.select("r.*", *extra)
