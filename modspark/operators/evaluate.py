@@ -5,8 +5,8 @@ Rank-based statistics (AUC, the exact split) need positions in a global
 order.  Instead of one global window they use the bucketed prefix sum of
 ``operators.windows``: exact within-bucket positions from a window per
 bucket, plus offsets from a per-bucket aggregate that is small by
-construction (AUC: one row per 1e-4 of score; split: 256 hash buckets per
-label).
+construction (AUC: one row per 1e-4 of score; split: 65,536 hash buckets
+per label).
 """
 
 from __future__ import annotations
@@ -52,9 +52,11 @@ def exact_split(
 ) -> DataFrame:
     """W4 exact: per label, rows ordered by md5(key # seed); the first
     ``round_half_up(test * n_label)`` are test.  Positions are bucketed prefix
-    counts (256 md5 buckets per label), so no task holds a whole label."""
+    counts (65,536 md5 buckets per label, so a label of 10^10 rows is ranked
+    in windows of ~150k rows); no task holds a whole label, and the
+    per-bucket offsets are at most 65,536 rows per label."""
     h = F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(str(seed))))
-    base = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
+    base = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 4))
     w = Window.partitionBy(label, "_b").orderBy("_h", key)
     inner = base.withColumn("_rn", F.row_number().over(w))
     buckets = base.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_nb"))
@@ -79,26 +81,38 @@ def exact_split(
 # ---------------------------------------------------------------------------
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", resolution: int = 10000) -> DataFrame:
+def roc_auc(
+    df: DataFrame, label: str = "label", score: str = "score", decimals: int | None = None, buckets: int = 4096
+) -> DataFrame:
     """One row ``(auc, n_pos, n_neg)``, exact.
 
     Per distinct score: positives and negatives (combined map-side).  The
-    negatives strictly below a score = negatives of lower score buckets
-    (prefix over at most ``resolution`` + 1 buckets for scores in [0, 1]) +
-    negatives of lower scores in the same bucket (window per bucket).
+    negatives strictly below a score = negatives of lower score buckets (a
+    prefix over the bounded per-bucket aggregate) + negatives of lower
+    scores in the same bucket (window per bucket).
+
+    Buckets: scores known to carry ``decimals`` decimals in [0, 1] use one
+    bucket per possible value (``10**decimals + 1``, no extra job).  Other
+    scores (raw probabilities) use ``buckets`` equal-count ranges of the
+    distinct scores, from an approximate-quantile pass: the edges only
+    decide the balance, never the result, and no bucket holds much more than
+    ``1/buckets`` of the distinct scores however they cluster.
     """
     s = F.col(score).cast("double")
     g = df.filter(s.isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"),
     )
-    g = g.withColumn("_b", F.floor(F.col("s") * F.lit(float(resolution))))
+    if decimals is not None:
+        g = g.withColumn("_b", F.floor(F.col("s") * F.lit(float(10**decimals))))
+    else:
+        g = _quantile_buckets(g, "s", buckets)
     w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     inner = g.withColumn("_in", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    buckets = g.groupBy("_b").agg(F.sum("neg").alias("_nb"))
-    # one row per score bucket (<= resolution + 1 for probabilities)
+    buckets_agg = g.groupBy("_b").agg(F.sum("neg").alias("_nb"))
+    # one row per bucket (bounded by the bucket count, not by the data)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
+    offsets = buckets_agg.select("_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
     j = inner.join(offsets, "_b")
     below = F.col("_off") + F.col("_in")
     agg = j.agg(
@@ -113,6 +127,19 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", resolutio
     )
 
 
+def _quantile_buckets(df: DataFrame, col: str, buckets: int, out: str = "_b") -> DataFrame:
+    """Bucket ``col`` into about ``buckets`` equal-count ranges: edges from a
+    distributed approximate-quantile pass (bounded sketch, ``buckets`` values
+    to the driver), assignment by binary search in the JVM (Bucketizer)."""
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / buckets for i in range(1, buckets)]
+    edges = sorted({float(x) for x in df.approxQuantile(col, probs, 1.0 / (4 * buckets))}) or [0.0]
+    splits = [float("-inf")] + edges + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
+    return b.transform(df)
+
+
 # ---------------------------------------------------------------------------
 # Classification report
 # ---------------------------------------------------------------------------

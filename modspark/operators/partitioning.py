@@ -30,15 +30,19 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
         return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    # the largest scanned relation decides how many splits the work starts with
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    if size >= split * target:
+    if largest_input_bytes(df) >= split * target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
+def largest_input_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of the largest scanned relation of
+    ``df`` (no job runs)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+
+
 def computed_once(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """Add expensive columns through a one-row-per-row generator.
 

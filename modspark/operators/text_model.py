@@ -32,7 +32,10 @@ def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     once (smaller than the per-(doc, term) rows it expands into), and then
     the term counts and the per-document norm window need no shuffle."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    d = d.repartition(d.sparkSession.sparkContext.defaultParallelism * 2, "doc_id")
+    # no fixed count: spark.sql.shuffle.partitions (sized for the cluster) is
+    # the ceiling and AQE coalesces to advisory-size tasks, so the partition
+    # count follows the corpus at any scale
+    d = d.repartition("doc_id")
     toks = word_tokens(F.col("_text"))
     grams = F.concat(toks, word_bigrams_joined(toks)) if ngram_max >= 2 else toks
     ex = d.select("doc_id", F.explode(grams).alias("term"))

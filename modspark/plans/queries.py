@@ -370,7 +370,8 @@ def auc_exact(spark, sf_dir):
     from modspark.functions.numeric import half_up
     from modspark.operators import evaluate as ev
 
-    a = ev.roc_auc(labelled_scores(spark, sf_dir), "toxic", "text_risk_score")
+    # text risk scores carry 4 decimals: one bucket per possible score
+    a = ev.roc_auc(labelled_scores(spark, sf_dir), "toxic", "text_risk_score", decimals=4)
     return a.select(half_up(F.col("auc"), 6).alias("auc"), "n_pos", "n_neg")
 
 

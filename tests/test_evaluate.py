@@ -49,6 +49,27 @@ def test_auc_scores_outside_unit(spark):
     assert auc(spark, rows) == pytest.approx(brute_auc(rows))
 
 
+def test_auc_fixed_decimals_path(spark):
+    rnd = random.Random(10)
+    rows = [(rnd.randint(0, 1), round(rnd.random(), 4)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    got = ev.roc_auc(df, "label", "score", decimals=4).first().auc
+    assert got == pytest.approx(brute_auc(rows))
+
+
+def test_auc_clustered_raw_scores_stay_balanced(spark):
+    """A third of the rows have distinct scores inside a 1e-9 range (a
+    saturated model): exact result, and no quantile bucket holds the cluster."""
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 1), 0.999 + rnd.random() * 1e-9) for _ in range(300)]
+    rows += [(rnd.randint(0, 1), rnd.random()) for _ in range(600)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert ev.roc_auc(df, "label", "score", buckets=64).first().auc == pytest.approx(brute_auc(rows))
+    b = ev._quantile_buckets(df.select("score").distinct(), "score", 64)
+    largest = b.groupBy("_b").count().agg({"count": "max"}).first()[0]
+    assert largest <= 3 * 900 // 64
+
+
 def test_class_report_brute(spark):
     rnd = random.Random(9)
     rows = [(rnd.randint(0, 1), rnd.randint(0, 1)) for _ in range(200)]
