@@ -83,48 +83,60 @@ def zero_shot(
         dotp = " + ".join(f"{c} * {_dlit(u[i])}" for i, c in enumerate(comps))
         sims[f"_s{j}"] = F.expr(f"(({dotp}) / {norm}) * {_dlit(float(logit_scale))}")
     out = out.withColumns(sims)
-    s_cols = [F.col(f"_s{j}") for j in range(k)]
-    out = out.withColumn("_mx", F.greatest(*s_cols) if k > 1 else s_cols[0])
-    out = out.withColumns({f"_e{j}": F.exp(F.col(f"_s{j}") - F.col("_mx")) for j in range(k)})
-    z = sum((F.col(f"_e{j}") for j in range(1, k)), F.col("_e0"))
-    out = out.withColumn("_z", z)
-    out = out.withColumns({f"_p{j}": F.col(f"_e{j}") / F.col("_z") for j in range(k)})
-    p = [F.col(f"_p{j}") for j in range(k)]
-    harm = sum(p[1:n_harmful], p[0]) if n_harmful > 0 else F.lit(0.0)
-    safe = sum(p[n_harmful + 1:], p[n_harmful]) if n_harmful < k else F.lit(0.0)
-    mean = F.lit(1.0 / k)
-    std = F.sqrt(sum(((x - mean) * (x - mean) for x in p[1:]), (p[0] - mean) * (p[0] - mean)) / F.lit(float(k)))
-    out = out.withColumn("_harm", harm).withColumn("_safe", safe)
-    top = F.greatest(*p) if k > 1 else p[0]
-    top_name = None
-    for j in range(k):
-        c = p[j] == F.col("_top")
-        top_name = F.when(c, F.lit(names[j])) if top_name is None else top_name.when(c, F.lit(names[j]))
-    out = out.withColumn("_top", top)
-    low = std < F.lit(guard_std)
-    from modspark.operators.partitioning import computed_once
-
-    out = computed_once(
-        out,
+    # The softmax, the guard and the outputs, as SQL over the similarity
+    # columns (a few plan calls instead of one per arithmetic node); sums are
+    # left folds in prompt order, as written.
+    s = [f"_s{j}" for j in range(k)]
+    e = [f"_e{j}" for j in range(k)]
+    p = [f"_p{j}" for j in range(k)]
+
+    def fold(xs: list[str]) -> str:
+        return " + ".join(xs) if xs else "0.0D"
+
+    def r4s(x: str) -> str:
+        return f"CAST(FLOOR(({x}) * 10000.0D + 0.5D) / 10000.0D AS DOUBLE)"
+
+    out = out.withColumn("_mx", F.expr(f"greatest({', '.join(s)})" if k > 1 else s[0]))
+    out = out.withColumns({e[j]: F.expr(f"exp({s[j]} - _mx)") for j in range(k)})
+    out = out.withColumn("_z", F.expr(fold(e)))
+    out = out.withColumns({p[j]: F.expr(f"{e[j]} / _z") for j in range(k)})
+    mean = _dlit(1.0 / k)
+    var = " + ".join(f"({x} - {mean}) * ({x} - {mean})" for x in p)
+    out = out.withColumns(
         {
-            "prob_std": std,
-            "harmful_score": F.when(low, F.lit(0.0)).otherwise(r4(F.col("_harm"))),
-            "safe_score": F.when(low, F.lit(1.0)).otherwise(r4(F.col("_safe"))),
-            "risk_score": F.when(low, F.lit(0.0)).otherwise(r4(F.col("_harm"))),
-            "prompt_scores": F.create_map(*[x for j in range(k) for x in (F.lit(names[j]), r4(p[j]))]),
-            "label": F.when(low, F.lit("safe"))
-            .when(F.col("_harm") > F.lit(harmful_threshold), F.lit("harmful"))
-            .otherwise(F.lit("safe")),
-            "confidence": F.when(low, F.lit(LOW_CONFIDENCE_LABEL)).otherwise(F.lit("high")),
-            "note": F.when(low, F.lit(LOW_CONFIDENCE_NOTE)),
-            "top_prompt": top_name,
-            "top_score": r4(F.col("_top")),
-        },
+            "_harm": F.expr(fold(p[:n_harmful])),
+            "_safe": F.expr(fold(p[n_harmful:])),
+            "_top": F.expr(f"greatest({', '.join(p)})" if k > 1 else p[0]),
+            "_std": F.expr(f"sqrt(({var}) / {_dlit(float(k))})"),
+        }
     )
-    tmp = [f"_{x}{j}" for x in "sep" for j in range(k)] + ["_mx", "_z", "_harm", "_safe", "_top"]
+    low = f"(_std < {_dlit(float(guard_std))})"
+    top_name = "CASE " + " ".join(f"WHEN {p[j]} = _top THEN {_slit(names[j])}" for j in range(k)) + " END"
+    from modspark.operators.partitioning import computed_once
+
+    exprs = {
+        "prob_std": "_std",
+        "harmful_score": f"CASE WHEN {low} THEN 0.0D ELSE {r4s('_harm')} END",
+        "safe_score": f"CASE WHEN {low} THEN 1.0D ELSE {r4s('_safe')} END",
+        "risk_score": f"CASE WHEN {low} THEN 0.0D ELSE {r4s('_harm')} END",
+        "prompt_scores": "map(" + ", ".join(f"{_slit(names[j])}, {r4s(p[j])}" for j in range(k)) + ")",
+        "label": f"CASE WHEN {low} THEN 'safe' WHEN _harm > {_dlit(float(harmful_threshold))} THEN 'harmful' "
+        f"ELSE 'safe' END",
+        "confidence": f"CASE WHEN {low} THEN {_slit(LOW_CONFIDENCE_LABEL)} ELSE 'high' END",
+        "note": f"CASE WHEN {low} THEN {_slit(LOW_CONFIDENCE_NOTE)} END",
+        "top_prompt": top_name,
+        "top_score": r4s("_top"),
+    }
+    out = computed_once(out, {n: F.expr(x) for n, x in exprs.items()})
+    tmp = s + e + p + ["_mx", "_z", "_harm", "_safe", "_top", "_std"]
     return out.drop(*tmp)
 
 
+def _slit(x: str) -> str:
+    """A SQL string literal of ``x``."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _dlit(x: float) -> str:
     """A SQL DOUBLE literal that round-trips ``x`` exactly."""
     return "(" + ("%.17g" % x) + "D)"

@@ -83,10 +83,13 @@ def decide(
         queue = rv.review_queue(d, low=auto_approve, high=auto_remove)
         responses = run_reviewer(queue, reviewer, reviewer_partitions)
     if responses is None:
-        responses = d.sparkSession.createDataFrame([], "content_id string, raw string")
-    # J3 as one left join of the decisions with the responses: the scored
-    # upstream is evaluated once; rows that were not queued carry no review.
-    j = d.join(responses.select("content_id", "raw"), "content_id", "left")
+        # no reviewer and no responses: every queued row takes the
+        # no-response fallback; no join (and no shuffle of the decisions)
+        j = d.withColumn("raw", F.lit(None).cast("string"))
+    else:
+        # J3 as one left join of the decisions with the responses: the scored
+        # upstream is evaluated once; rows that were not queued carry no review.
+        j = d.join(responses.select("content_id", "raw"), "content_id", "left")
     queued = F.col("route") == F.lit("agent_review")
     j = rv.parse_reviews(j, "raw", model).drop("raw", "agent_model")
     j = j.withColumn("review", F.when(queued, F.col("review"))).withColumn(

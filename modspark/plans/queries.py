@@ -101,8 +101,20 @@ def content_ids(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
+# Fitted prompt sets per (application, sf_dir): the prompts are model
+# parameters (fitted once, like the trained models below), not per-query work.
+_PROMPTS: dict = {}
+
+
 def centroid_prompts(spark, sf_dir):
     """Prompt vectors = class centroids; classes 0-4 harmful, 5-9 safe."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PROMPTS:
+        _PROMPTS[key] = _fit_centroid_prompts(spark, sf_dir)
+    return _PROMPTS[key]
+
+
+def _fit_centroid_prompts(spark, sf_dir):
     cents = ve.class_centroids(B.vectors(spark, sf_dir))
     cents = cents.withColumn("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))
     names, vecs = ve.collect_prompts(cents, "name", "centroid", "class_id")
@@ -503,7 +515,7 @@ _MODELS: dict = {}
 
 
 def _text_model(spark, sf_dir):
-    key = ("text", sf_dir)
+    key = ("text", spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         from modspark.plans.training import train_text_model
 
@@ -528,7 +540,7 @@ RISK_TREES = 200
 
 
 def _risk_model(spark, sf_dir):
-    key = ("risk", sf_dir)
+    key = ("risk", spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         from modspark.plans.training import train_risk_model
 
@@ -558,7 +570,7 @@ def feature_importance(spark, sf_dir):
 
 
 def _probe(spark, sf_dir):
-    key = ("probe", sf_dir)
+    key = ("probe", spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         from modspark.plans.training import train_vector_probe
 

@@ -10,6 +10,17 @@ TABLES = [
 ]
 
 
+# The driver tables are read-only: their scans (schema from the Parquet
+# footers, file listing) are resolved once per application and reused, like
+# tables registered in a catalog.  A DataFrame is an immutable plan, so each
+# caller still projects and filters its own copy.
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table; callers project right after so only used columns are read."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
