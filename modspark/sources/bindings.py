@@ -7,7 +7,7 @@ projection of the given tables, so its work grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modspark.functions.numeric import r4
@@ -116,6 +116,15 @@ def review_responses(decisions: DataFrame) -> DataFrame:
     """Raw reviewer text for queued rows, wrapped by ``event_id % 8``:
     json fence, plain fence, bare, broken text, json fence, plain fence,
     JSON array, bare.  Ids ending in 9 get no response at all."""
+    return decisions.filter(_has_response()).select("content_id", response_text().alias("raw"))
+
+
+def _has_response() -> Column:
+    return (F.col("route") == "agent_review") & (F.col("event_id") % 10 != 9)
+
+
+def response_text() -> Column:
+    """The generated reviewer text of one scored event (see ``review_responses``)."""
     verdict = None
     for k, v in _VERDICT.items():
         verdict = (F.when if verdict is None else verdict.when)(F.col("band_action") == k, F.lit(v))
@@ -139,9 +148,7 @@ def review_responses(decisions: DataFrame) -> DataFrame:
         .when(k == 6, F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(F.concat(F.lit("  "), body, F.lit("\n")))
     )
-    return decisions.filter((F.col("route") == "agent_review") & (F.col("event_id") % 10 != 9)).select(
-        "content_id", raw.alias("raw")
-    )
+    return raw
 
 
 def reviewed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +156,18 @@ def reviewed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modspark.operators import review as rv
 
     d = scored_events(spark, sf_dir)
-    queue = d.filter(F.col("route") == "agent_review").select("content_id")
-    reviews = rv.with_reviews(queue, review_responses(d)).select("content_id", "review", "review_status")
-    out = d.join(reviews, "content_id", "left")
-    return triage.with_final_action(out, "review")
+    # The response of a row is a function of the row itself, so the reviews
+    # are parsed in the same pass (no self-join): a predicate on the result
+    # (e.g. a lookback on ts) reaches the one scan, and only surviving rows
+    # are parsed.  Queued rows without a response take the error fallback;
+    # rows that were not queued carry no review.
+    queued = F.col("route") == "agent_review"
+    d = d.withColumn("raw", F.when(_has_response(), response_text()))
+    d = rv.parse_reviews(d, "raw").drop("raw", "agent_model")
+    d = d.withColumn("review", F.when(queued, F.col("review"))).withColumn(
+        "review_status", F.when(queued, F.col("review_status"))
+    )
+    return triage.with_final_action(d, "review")
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
