@@ -86,10 +86,18 @@ def roc_auc(
 ) -> DataFrame:
     """One row ``(auc, n_pos, n_neg)``, exact.
 
-    Per distinct score: positives and negatives (combined map-side).  The
-    negatives strictly below a score = negatives of lower score buckets (a
-    prefix over the bounded per-bucket aggregate) + negatives of lower
-    scores in the same bucket (window per bucket).
+    Per distinct score: positives and negatives (combined map-side).  With
+    scores grouped into ordered buckets, the Mann-Whitney sum splits into
+
+    * within buckets: ``pos * (negatives of lower scores in the bucket +
+      neg / 2)``, from a window per bucket, and
+    * across buckets: ``positives of the bucket * negatives of all lower
+      buckets``, from a prefix over the per-bucket totals (bounded by the
+      bucket count),
+
+    two one-row aggregates over the same per-score table (its shuffle is
+    shared), combined without a join.  All terms are whole or half counts,
+    so the sum is exact in doubles.
 
     Buckets: scores known to carry ``decimals`` decimals in [0, 1] use one
     bucket per possible value (``10**decimals + 1``, no extra job).  Other
@@ -108,17 +116,19 @@ def roc_auc(
     else:
         g = _quantile_buckets(g, "s", buckets)
     w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    inner = g.withColumn("_in", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    buckets_agg = g.groupBy("_b").agg(F.sum("neg").alias("_nb"))
+    below_in = F.coalesce(F.sum("neg").over(w), F.lit(0))
+    within = g.select((F.col("pos") * (below_in + F.lit(0.5) * F.col("neg"))).alias("_u")).agg(
+        F.sum("_u").alias("_u"), F.lit(0).cast("long").alias("n_pos"), F.lit(0).cast("long").alias("n_neg")
+    )
+    per_bucket = g.groupBy("_b").agg(F.sum("pos").alias("_pb"), F.sum("neg").alias("_nb"))
     # one row per bucket (bounded by the bucket count, not by the data)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets_agg.select("_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
-    j = inner.join(offsets, "_b")
-    below = F.col("_off") + F.col("_in")
-    agg = j.agg(
-        F.sum(F.col("pos") * (below + F.lit(0.5) * F.col("neg"))).alias("_u"),
-        F.sum("pos").alias("n_pos"),
-        F.sum("neg").alias("n_neg"),
+    lower = F.coalesce(F.sum("_nb").over(before), F.lit(0))
+    across = per_bucket.select((F.col("_pb") * lower).cast("double").alias("_u"), "_pb", "_nb").agg(
+        F.sum("_u").alias("_u"), F.sum("_pb").alias("n_pos"), F.sum("_nb").alias("n_neg")
+    )
+    agg = within.unionByName(across).agg(
+        F.sum("_u").alias("_u"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")
     )
     return agg.select(
         (F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
