@@ -37,48 +37,59 @@ def trailing_count(
     out: str = "posts_last_24h",
 ) -> DataFrame:
     """Rows of the same ``key`` with ``ts`` in ``[t - hours, t]`` (peers
-    at ``t`` included) - the RANGE frame count - without a per-key partition."""
+    at ``t`` included) - the RANGE frame count - without a per-key partition.
+
+    One scan emits every row twice (a generator, no union of two scans): as
+    itself, and as a copy moved forward by the range that carries only the
+    key and the time.  The per-bucket totals come from a second, narrow scan
+    of the originals; the moved copies' totals are the same totals shifted by
+    ``hours / bucket_hours`` buckets, read with a RANGE frame on the bucket
+    number.  Rows without a time count their NULL-time peers, as Spark's
+    RANGE frame does."""
     if hours % bucket_hours:
         raise ValueError("hours must be a multiple of bucket_hours")
     width = bucket_hours * HOUR_US
     span = hours * HOUR_US
-    base = df.withColumn("_t", _micros(F.col(ts_col)))
-    orig = base.withColumn("_b", F.floor(F.col("_t") / F.lit(width))).withColumn("_o", F.lit(1)).withColumn("_s", F.lit(0))
-    shifted = base.select(
-        F.col(key),
-        (F.col("_t") + F.lit(span)).alias("_t"),
-    ).withColumn("_b", F.floor(F.col("_t") / F.lit(width))).withColumn("_o", F.lit(0)).withColumn("_s", F.lit(1))
-    u = orig.unionByName(shifted, allowMissingColumns=True)
+    shift = hours // bucket_hours
+    t = _micros(F.col(ts_col))
+    payload = F.struct(*[F.col(c) for c in df.columns])
+    itself = F.struct(t.alias("_t"), F.lit(1).alias("_o"), payload.alias("_row"))
+    moved = F.struct((t + F.lit(span)).alias("_t"), F.lit(0).alias("_o"), F.when(F.lit(False), payload).alias("_row"))
+    u = df.select(F.col(key), F.inline(F.array(itself, moved)))
+    u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
 
     w = Window.partitionBy(key, "_b").orderBy("_t")
     upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     peers = w.rangeBetween(Window.currentRow, Window.currentRow)
+    moved_flag = F.lit(1) - F.col("_o")
     u = u.withColumns(
         {
             "_a_in": F.sum("_o").over(upto),
-            "_s_le": F.sum("_s").over(upto),
-            "_s_eq": F.sum("_s").over(peers),
+            "_s_le": F.sum(moved_flag).over(upto),
+            "_s_eq": F.sum(moved_flag).over(peers),
         }
     ).filter(F.col("_o") == 1)
 
     buckets = (
-        orig.select(key, "_b", "_o", "_s")
-        .unionByName(shifted.select(key, "_b", "_o", "_s"))
+        df.select(F.col(key), F.floor(t / F.lit(width)).alias("_b"))
         .groupBy(key, "_b")
-        .agg(F.sum("_o").alias("_no"), F.sum("_s").alias("_ns"))
+        .agg(F.count(F.lit(1)).alias("_no"))
     )
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_key = Window.partitionBy(key).orderBy("_b")
     offsets = buckets.select(
         key,
         "_b",
-        F.coalesce(F.sum("_no").over(before), F.lit(0)).alias("_off_o"),
-        F.coalesce(F.sum("_ns").over(before), F.lit(0)).alias("_off_s"),
-    )
-    res = u.join(offsets, [key, "_b"])
-    count = (F.col("_off_o") + F.col("_a_in")) - (F.col("_off_s") + F.col("_s_le") - F.col("_s_eq"))
-    return res.withColumn(out, count.cast("long")).drop(
-        "_t", "_b", "_o", "_s", "_a_in", "_s_le", "_s_eq", "_off_o", "_off_s"
+        F.coalesce(F.sum("_no").over(per_key.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off_o"),
+        F.coalesce(F.sum("_no").over(per_key.rangeBetween(Window.unboundedPreceding, -(shift + 1))), F.lit(0)).alias(
+            "_off_s"
+        ),
     )
+    # left: rows without a time (NULL bucket) are kept with no offsets
+    res = u.join(offsets, [key, "_b"], "left")
+    off_o = F.coalesce(F.col("_off_o"), F.lit(0))
+    off_s = F.coalesce(F.col("_off_s"), F.lit(0))
+    count = (off_o + F.col("_a_in")) - (off_s + F.col("_s_le") - F.col("_s_eq"))
+    return res.select("_row.*", count.cast("long").alias(out))
 
 
 def prior_sum(
@@ -100,8 +111,10 @@ def prior_sum(
     buckets = base.groupBy(key, "_b").agg(F.sum("_v").alias("_nb"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(key, "_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
-    res = inner.join(offsets, [key, "_b"])
-    return res.withColumn(out, (F.col("_off") + F.col("_in")).cast("long")).drop("_t", "_b", "_v", "_in", "_off")
+    # left: rows without a time (NULL bucket, first in the order) are kept
+    res = inner.join(offsets, [key, "_b"], "left")
+    total = F.coalesce(F.col("_off"), F.lit(0)) + F.col("_in")
+    return res.withColumn(out, total.cast("long")).drop("_t", "_b", "_v", "_in", "_off")
 
 
 def first_seen_age(
