@@ -64,7 +64,8 @@ def _inline_scores(df: DataFrame, text_col: str, entries: list) -> DataFrame:
     for term, cat, w in entries:
         if cat in by_cat:
             by_cat[cat][term] = by_cat[cat].get(term, 0.0) + float(w)
-    hits = _hits(F.col(text_col), {t for t, _, _ in entries})
+    # a NULL text has no hits (not a NULL total: least(1, NULL) would be 1)
+    hits = F.coalesce(_hits(F.col(text_col), {t for t, _, _ in entries}), F.array().cast("array<string>"))
     cols = {}
     for cat in TEXT_LABELS:
         weights = by_cat[cat]
@@ -96,24 +97,30 @@ def _joined_scores(df: DataFrame, text_col: str, id_col: str, lexicon: DataFrame
 
 def lexicon_scores(
     df: DataFrame,
-    lexicon: DataFrame,
+    lexicon: DataFrame | list[tuple[str, str, float]],
     text_col: str = "text",
     id_col: str = "content_id",
     max_inline: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
     """Add the six label scores and ``text_risk_score`` to every row of ``df``.
 
+    ``lexicon`` is a ``(term, category, weight)`` table, or its entries
+    when the caller holds them already (no job to read them back).
     Rows whose text is not scoreable get scores too (all zero); callers that
     must not score them filter first (``validate.accepted``).
     """
     from modspark.operators.partitioning import spread
 
     df = spread(df)
-    head = lexicon.select("term", "category", "weight").limit(max_inline + 1).collect()
+    if isinstance(lexicon, DataFrame):
+        head = [(r.term, r.category, r.weight) for r in lexicon.select("term", "category", "weight").limit(max_inline + 1).collect()]
+    else:
+        head = [(str(t), str(c), float(w)) for t, c, w in lexicon]
     if len(head) <= max_inline:
-        out = _inline_scores(df, text_col, [(r.term, r.category, r.weight) for r in head])
+        out = _inline_scores(df, text_col, head)
     else:
-        out = _joined_scores(df, text_col, id_col, lexicon)
+        table = lexicon if isinstance(lexicon, DataFrame) else lexicon_frame(df.sparkSession, head)
+        out = _joined_scores(df, text_col, id_col, table)
     return out.withColumn("text_risk_score", text_risk({c: F.col(c) for c in TEXT_LABELS}))
 
 

@@ -28,7 +28,7 @@ from modspark.schemas import TEXT_LABELS, TRIAGE_AUTO_APPROVE, TRIAGE_AUTO_REMOV
 
 def score_content(
     content: DataFrame,
-    lexicon: DataFrame | None = None,
+    lexicon: DataFrame | list[tuple[str, str, float]] | None = None,
     text_scorer: Callable[[Iterator], Iterator] | None = None,
     image_scores: DataFrame | None = None,
     users: DataFrame | None = None,

@@ -45,7 +45,7 @@ def scored_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted content with text, scored by the lexicon."""
     c = validate.with_modalities(B.content(spark, sf_dir))
     c = validate.accepted(c).filter(F.col("has_text"))
-    return ts.lexicon_scores(c, B.lexicon(spark))
+    return ts.lexicon_scores(c, B.lexicon_entries())
 
 
 @query("moderation_slice")
@@ -159,7 +159,7 @@ def content_features(spark, sf_dir, content=None, with_images=True, with_users=T
     image reference) and user metadata, and the 22 features."""
     c = content if content is not None else B.content(spark, sf_dir)
     c = validate.accepted(validate.with_modalities(c))
-    c = ts.lexicon_scores(c, B.lexicon(spark))
+    c = ts.lexicon_scores(c, B.lexicon_entries())
     c = c.withColumn("text_scores", F.when(F.col("has_text"), ts.text_scores_struct()))
     c = c.drop(*TEXT_LABELS, "text_risk_score")
     if with_images:
@@ -374,7 +374,7 @@ def labelled_scores(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = ev.with_labels(d, lab, "doc_id", ["toxic"])
-    return ts.lexicon_scores(j, B.lexicon(spark), "text", "doc_id")
+    return ts.lexicon_scores(j, B.lexicon_entries(), "text", "doc_id")
 
 
 @query("auc_exact")
@@ -606,7 +606,7 @@ def moderated(spark, sf_dir):
     from modspark.plans import moderate as md
 
     imgs = image_scores(spark, sf_dir).withColumn("image_ref", F.col("id").cast("string"))
-    s = md.score_content(B.content(spark, sf_dir), lexicon=B.lexicon(spark), image_scores=imgs,
+    s = md.score_content(B.content(spark, sf_dir), lexicon=B.lexicon_entries(), image_scores=imgs,
                          users=B.users(spark, sf_dir))
     return md.decide(s)
 

@@ -174,3 +174,23 @@ def test_triage_monotone(spark, risks):
     out = sorted((r.risk_score, order[r.route]) for r in triage.with_route(df).collect())
     routes = [x[1] for x in out]
     assert routes == sorted(routes)
+
+
+def test_lexicon_join_path_equals_inline_path(spark):
+    """A lexicon above the inline bound is scored relationally (explode ->
+    join -> sum); both paths give the same scores, from a table or entries."""
+    from modspark.operators import text_scores as ts
+    from modspark.schemas import TEXT_LABELS
+    from modspark.sources import bindings as B
+
+    docs = spark.createDataFrame(
+        [("1", "You idiot, total TRASH!"), ("2", "nice day"), ("3", ""), ("4", "stupid stupid scum-bag"),
+         ("5", None), ("6", "clowns and a clown")],
+        "content_id string, text string",
+    )
+    cols = ["content_id", *TEXT_LABELS, "text_risk_score"]
+    inline = {r.content_id: tuple(r) for r in ts.lexicon_scores(docs, B.lexicon_entries()).select(cols).collect()}
+    joined = {r.content_id: tuple(r) for r in ts.lexicon_scores(docs, B.lexicon(spark), max_inline=1).select(cols).collect()}
+    entries = {r.content_id: tuple(r) for r in ts.lexicon_scores(docs, B.lexicon_entries(), max_inline=1).select(cols).collect()}
+    assert inline == joined == entries
+    assert inline["1"][1] > 0 and inline["2"][1] == 0
