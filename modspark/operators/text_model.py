@@ -111,10 +111,11 @@ def to_vectors(weights: DataFrame, size: int, docs: DataFrame | None = None) ->
     """``(doc_id, features)`` sparse vectors; documents of ``docs`` without
     any vocabulary term get an empty vector.  The entries of one document are
     bounded by its length; the per-row step only packs sorted arrays into a
-    vector (no model work in Python)."""
+    vector (no model work in Python), in Arrow batches (Spark has no
+    built-in sparse-vector constructor)."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    pack = F.udf(lambda idx, val: SparseVector(size, idx or [], val or []), VectorUDT())
+    pack = F.udf(lambda idx, val: SparseVector(size, idx or [], val or []), VectorUDT(), useArrow=True)
     per_doc = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_e"))
     if docs is not None:
         per_doc = docs.select("doc_id").join(per_doc, "doc_id", "left")
