@@ -37,9 +37,10 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
 
 
 def largest_input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of the largest scanned relation of
-    ``df`` (no job runs)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """The size estimate of the largest scanned relation of ``df`` (no job
+    runs).  A leaf's estimate (e.g. the files' size) does not depend on the
+    plan above it, so the analyzed plan is enough - no optimizer pass."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
 
 
