@@ -108,3 +108,10 @@ def test_hash_split_fraction(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
     frac = ev.hash_split(df, "k").filter("split = 'test'").count() / 20000
     assert 0.18 < frac < 0.22
+
+
+def test_auc_empty_input(spark):
+    df = spark.createDataFrame([], "label int, score double")
+    for kwargs in ({}, {"decimals": 4}):
+        r = ev.roc_auc(df, "label", "score", **kwargs).first()
+        assert r.auc is None and r.n_pos == 0 and r.n_neg == 0
