@@ -148,11 +148,15 @@ def _json_kind(clean: Column) -> Column:
     )
 
 
-def parse_reviews(responses: DataFrame, raw_col: str = "raw", model: str = "external") -> DataFrame:
+def parse_reviews(
+    responses: DataFrame, raw_col: str = "raw", model: str = "external", spread_rows: bool = True
+) -> DataFrame:
     """``review`` struct + ``review_status`` for every response row.
 
     completed: the cleaned text is a JSON object; parse_error: not JSON;
     error: valid JSON that is not an object, or no response (NULL raw).
+    ``spread_rows=False`` keeps the input partitioning (nothing to parse,
+    e.g. a constant NULL response that the optimizer folds away).
     """
     raw = F.col(raw_col)
     clean = clean_response(raw)
@@ -191,7 +195,7 @@ def parse_reviews(responses: DataFrame, raw_col: str = "raw", model: str = "exte
     from modspark.operators.partitioning import spread
 
     return (
-        spread(responses).withColumn("_clean", clean)
+        (spread(responses) if spread_rows else responses).withColumn("_clean", clean)
         .withColumn("_kind", F.when(raw.isNotNull(), _json_kind(F.col("_clean"))))
         .withColumn("_parsed", F.from_json(F.col("_clean"), REVIEW))
         .withColumn("review", review)

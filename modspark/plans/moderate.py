@@ -91,7 +91,7 @@ def decide(
         # upstream is evaluated once; rows that were not queued carry no review.
         j = d.join(responses.select("content_id", "raw"), "content_id", "left")
     queued = F.col("route") == F.lit("agent_review")
-    j = rv.parse_reviews(j, "raw", model).drop("raw", "agent_model")
+    j = rv.parse_reviews(j, "raw", model, spread_rows=responses is not None).drop("raw", "agent_model")
     j = j.withColumn("review", F.when(queued, F.col("review"))).withColumn(
         "review_status", F.when(queued, F.col("review_status"))
     )
