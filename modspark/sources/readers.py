@@ -30,7 +30,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with quoted multi-line text.  NULL text becomes ''.
     The six label columns must all be present (checked on the header, before
-    any data job); the error names the missing ones.  Adds ``label`` (P6)."""
+    any data job); the error names the missing ones.  Adds ``label`` (P6).
+
+    Quoted records may span lines, so Spark cannot split a file: each file
+    is one scan task.  A large corpus should arrive as many files (or be
+    converted to Parquet once); the training jobs repartition by document
+    after the scan, so only the scan itself is per file."""
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
     missing = [c for c in CORPUS_LABELS if c not in header]
     if missing:
