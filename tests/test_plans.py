@@ -36,6 +36,20 @@ def test_moderate_with_plugins(spark):
     assert all((r.agent_verdict is not None) == (r.action == "warn_user") for r in audit)
 
 
+def test_no_reviewer_equals_empty_responses(spark):
+    """The no-reviewer path (no join, no spread) gives the same decisions and
+    audit records as joining an empty response table."""
+    scored = md.score_content(B.content(spark, SF), lexicon=B.lexicon_entries(), users=B.users(spark, SF))
+    empty = spark.createDataFrame([], "content_id string, raw string")
+    a = md.decide(scored, auto_approve=0.05)
+    b = md.decide(scored, responses=empty, auto_approve=0.05)
+    cols = ["content_id", "route", "final_action", "review_status", "review"]
+    assert a.schema["review"].dataType == b.schema["review"].dataType
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    assert a.filter(F.col("route") == "agent_review").count() > 0
+    assert sorted(map(tuple, md.audit_records(a).collect())) == sorted(map(tuple, md.audit_records(b).collect()))
+
+
 def test_distinct_texts_scored_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
