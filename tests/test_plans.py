@@ -151,3 +151,22 @@ def test_periodic_drift_check_stream(spark, tmpdir_fresh):
     q.awaitTermination()
     rows = spark.read.json(reports).collect()
     assert len(rows) == 1 and rows[0]["total_processed"] > 0
+
+
+def _final_plan(df):
+    df.collect()  # the adaptive plan is final once this Dataset has run
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_auc_scores_each_text_once(spark):
+    import __spark_entry__ as E
+
+    plan = _final_plan(E.queries()["auc_exact"](spark, SF))
+    assert plan.count("regexp_extract_all") == 1 and "ReusedExchange" in plan
+
+
+def test_trailing_count_scans_its_input_twice(spark):
+    import __spark_entry__ as E
+
+    plan = _final_plan(E.queries()["user_velocity"](spark, SF))
+    assert plan.count("events.parquet") == 2
