@@ -6,10 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, secrets, warc
+from . import bpe, chat, langid_crf, quality_gam, quality_rules, secrets, simhash, warc
 from .common import read_table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by their fingerprints."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them."""
     return bpe.digest(read_table(spark, sf_dir, "documents"), bpe.vocabulary())
@@ -23,6 +33,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid_crf.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model).drop("text")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
@@ -40,7 +62,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fns = [op4_bpe, op5_warc, op8_secret_scan, op10_chat_format]
+    fns = [
+        op1_simhash, op2_quality_gam, op4_bpe, op5_warc, op6_langid, op7_quality_rules, op8_secret_scan,
+        op10_chat_format,
+    ]
     return {f.__name__: f for f in fns}
 
 
