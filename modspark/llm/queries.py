@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid_crf, quality_gam, quality_rules, secrets, simhash, warc
+from . import bpe, chat, decontam, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every repeated 400-byte string of all documents."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=400, with_kept=False)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them."""
     return bpe.digest(read_table(spark, sf_dir, "documents"), bpe.vocabulary())
@@ -50,6 +55,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations plus conversation -1, and read them back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -63,8 +73,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     fns = [
-        op1_simhash, op2_quality_gam, op4_bpe, op5_warc, op6_langid, op7_quality_rules, op8_secret_scan,
-        op10_chat_format,
+        op1_simhash, op2_quality_gam, op3_suffix_dedup, op4_bpe, op5_warc, op6_langid, op7_quality_rules,
+        op8_secret_scan, op9_decontaminate, op10_chat_format,
     ]
     return {f.__name__: f for f in fns}
 

@@ -65,15 +65,15 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
-    id_type = dict(docs.dtypes)[id_col]
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, fp): the fingerprint as a signed long."""
+    types = dict(docs.dtypes)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, shingle) for t in texts(b.column(1))], np.uint64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+        fps = np.array([fingerprint(t, shingle) for t in texts(b.column(len(keep)))], np.uint64)
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    return map_batches(docs.select(id_col, text), fn, f"`{id_col}` {id_type}, fp long")
+    return map_batches(docs.select(*keep, text), fn, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fp long")
 
 
 def counts(fp: np.ndarray) -> np.ndarray:
@@ -204,17 +204,35 @@ def links(nodes: DataFrame, max_bits: int = 4, fp: str = "fp") -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the
-    smallest id that links reach."""
-    fps = stored(fingerprints(docs, id_col, text, shingle), "simhash-fp")
+    """Per row: id, ``fingerprint`` (16 hex digits), ``component_id`` (the
+    smallest id that links reach), ``component`` (the smallest fingerprint, as
+    a signed number, that links reach) and the columns in ``keep``."""
+    fps = stored(fingerprints(docs, text, shingle, (id_col, *keep)), "simhash-fp")
     nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("low")), "simhash-nodes")
     linked = components(links(nodes, max_bits))
     linked = linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "root", "low")
     roots = linked.groupBy("root").agg(F.min("low").alias("component_low"))
-    moved = linked.join(roots, "root").select("fp", "component_low")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
+    moved = linked.join(roots, "root").select("fp", "root", "component_low")
+    named = nodes.join(moved, "fp", "left").select(
+        "fp",
+        F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_low")).alias("component_id"),
+        F.coalesce("root", "fp").alias("component"),
+    )
     return fps.join(named, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *keep
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` with one document of each class left: the one with
+    the smallest id (among equal ids, the smallest text hash)."""
+    rows = docs.withColumn("_c", F.xxhash64(F.col(text)))
+    near = near_duplicates(rows, id_col, text, shingle, max_bits, keep=("_c",))
+    first = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min(F.struct(F.col(id_col).alias("i"), F.col("_c").alias("c"))).alias("m")
     )
+    first = stored(first.select(F.col("m.i").alias("_i"), F.col("m.c").alias("_k")), "simhash-first")
+    kept = rows.join(first, rows[id_col].eqNullSafe(F.col("_i")) & (rows["_c"] == F.col("_k")), "left_semi")
+    return kept.dropDuplicates([id_col, "_c"]).drop("_c")
