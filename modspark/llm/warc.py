@@ -39,6 +39,7 @@ from .common import scratch, slices, stored
 # The gzip magic with method deflate, and the record version.
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MAX_TASKS = 50_000
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("n_records", pa.int64())])
@@ -265,8 +266,9 @@ def read_archives(
                     if rows:
                         yield _records(rows)
 
-    spread = ranges.repartition(F.col("path"), F.col("start"))
-    return spread.mapInArrow(
+    # a task a range: the rows are tiny, so their number and not their size has to set the tasks
+    tasks = manifest.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0]
+    return ranges.repartition(int(min(max(tasks or 1, 1), MAX_TASKS)), "path", "start").mapInArrow(
         read,
         "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary",
     )
