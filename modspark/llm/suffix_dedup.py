@@ -42,8 +42,8 @@ from .induced_sort import repeated_starts
 
 LENGTH, GRAM = 400, 32
 CHUNK = 4 << 20
-SHARD_BYTES = 6 << 20
-HOT_CLASSES = 20_000
+SHARD_BYTES = 4 << 20
+HOT_CLASSES = 6_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
