@@ -35,6 +35,7 @@ SYMBOLS = "#*$%&|<>"
 DIM_BITS = 17
 TRAIN_ROWS = 4_000
 EPOCHS, STEP, RIDGE = 60, 0.3, 1e-6
+FIT_ROWS = 200  # rows worked through at a time on the driver
 CACHE_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - DIM_BITS)
@@ -91,24 +92,35 @@ class Model:
         return cls(np.zeros(1 << DIM_BITS))
 
     @classmethod
-    def fit(cls, slots: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> Model:
+    def fit(cls, ends: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray) -> Model:
+        """Row i has the features slot[ends[i]:ends[i + 1]] (int32) at the
+        frequencies ``value`` (float32); worked through a few rows at a time."""
         fold = np.arange(len(y)) % 5 == 0  # rows come in hash order
         if len(y) < 10 or not 0 < y[fold].sum() < fold.sum() or not 0 < y[~fold].sum() < (~fold).sum():
             return cls.keep_all()
-        row = np.repeat(np.arange(len(y)), [len(s) for s in slots])
-        col, val = np.concatenate(slots), np.concatenate(values)
-        use = ~fold[row]
-        r, c, v = row[use], col[use], val[use]
         w, b, n = np.zeros(1 << DIM_BITS), 0.0, int((~fold).sum())
         m1 = m2 = np.zeros(len(w) + 1)
+
+        def parts():
+            for i in range(0, len(y), FIT_ROWS):
+                k = min(i + FIT_ROWS, len(y))
+                at = slice(ends[i], ends[k])
+                yield slice(i, k), np.repeat(np.arange(k - i), np.diff(ends[i : k + 1])), slot[at], value[at]
+
+        def raw():
+            return np.concatenate([np.bincount(r, w[c] * v, k.stop - k.start) for k, r, c, v in parts()]) + b
+
         for t in range(1, EPOCHS + 1):
-            z = np.bincount(r, w[c] * v, len(y)) + b
-            e = np.where(fold, 0.0, 1 / (1 + np.exp(-z)) - y) / n
-            g = np.append(np.bincount(c, e[r] * v, len(w)) + RIDGE * w, e.sum())
+            g = RIDGE * np.append(w, 0.0)
+            for k, r, c, v in parts():
+                z = np.bincount(r, w[c] * v, k.stop - k.start) + b
+                e = np.where(fold[k], 0.0, 1 / (1 + np.exp(-z)) - y[k]) / n
+                g[:-1] += np.bincount(c, e[r] * v, len(w))
+                g[-1] += e.sum()
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             d = STEP * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
             w, b = w - d[:-1], b - d[-1]
-        z = np.bincount(row, w[col] * val, len(y)) + b
+        z = raw()
         self = cls(w)
         self.slope, self.offset = _platt(z[fold], y[fold])
         self.offset += self.slope * b
@@ -206,14 +218,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
             names=["o", "y", "slot", "value"],
         )
 
-    got = map_batches(rows, fn, "o long, y int, slot array<int>, value array<float>").limit(2 * train_rows).toArrow().sort_by("o")
+    got = map_batches(rows, fn, "o long, y int, slot array<int>, value array<float>").limit(2 * train_rows).toArrow()
     if not got.num_rows:
         return Model.keep_all()
-    y_ = got["y"].to_numpy().astype(float)
-    slots, values = (
-        [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0) for x in got[c]] for c in ("slot", "value")
-    )
-    return Model.fit([s.astype(np.int64) for s in slots], values, y_)
+    order = got.select(["o", "y"]).append_column("i", pa.array(np.arange(got.num_rows))).sort_by([("o", "ascending"), ("y", "ascending")])
+    slots, values = got["slot"].combine_chunks(), got["value"].combine_chunks()
+    del got
+    take = order["i"].to_numpy()
+    first, lens = slots.offsets.to_numpy()[take], np.diff(slots.offsets.to_numpy())[take]
+    ends = np.r_[0, np.cumsum(lens)]
+    slot, value = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    from_slot, from_value = slots.values.to_numpy(), values.values.to_numpy()
+    for a, f, n in zip(ends.tolist(), first.tolist(), lens.tolist()):
+        slot[a : a + n], value[a : a + n] = from_slot[f : f + n], from_value[f : f + n]
+    return Model.fit(ends, slot, value, order["y"].to_numpy().astype(float))
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_quality double"
