@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from .common import map_batches, texts
 
 SAFE_BELOW = 0x180
-CACHE_WORDS = 150_000  # words in each of the two cache generations of a Python worker
+CACHE_WORDS = 100_000  # words in each of the two cache generations of a Python worker
 NEVER = np.int64(1 << 40)
 _NONE = 1 << 40
 

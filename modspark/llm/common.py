@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modspark.session import checkpoint_dir
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

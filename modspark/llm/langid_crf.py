@@ -41,7 +41,7 @@ DIM_BITS = 16
 DOCS_PER_LANG, SPAN_WORDS, SWITCH, SEQUENCE = 400, 256, 16, 64
 EPOCHS, BATCH, STEP, RIDGE = 3, 256, 0.1, 1e-5
 CHUNK = 64
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -291,7 +291,7 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text: st
     def run(batches):
         tagger = Tagger(shared.value) if shared.value else None
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole):
                 lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
                 if tagger:
                     cut, p = tagger.batch(texts(b.column(1)))
@@ -312,7 +312,7 @@ def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text: str =
     def run(batches):
         tagger = Tagger(shared.value)
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole):
                 cut, p = tagger.batch(texts(b.column(1)), per_word=True)
                 best = iter(p.argmax(1).tolist())
                 langs = [[tagger.model.labels[next(best)] for _ in ws] for ws in cut]

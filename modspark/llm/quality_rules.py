@@ -36,7 +36,7 @@ DIM_BITS = 17
 TRAIN_ROWS = 4_000
 EPOCHS, STEP, RIDGE = 60, 0.3, 1e-6
 FIT_ROWS = 200  # rows worked through at a time on the driver
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - DIM_BITS)
 SAME = 0  # the bigram of a word with itself, for all words
