@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from .common import map_batches, texts
 
 SAFE_BELOW = 0x180
-CACHE_WORDS = 100_000  # words in each of the two cache generations of a Python worker
+CACHE_WORDS = 80_000  # words in each of the two cache generations of a Python worker
 NEVER = np.int64(1 << 40)
 _NONE = 1 << 40
 
@@ -231,6 +231,10 @@ class Codec:
             out.append((" ".join([x[0] for x in e]), " ".join([x[1] for x in e])))
         return out
 
+    def forget(self) -> None:
+        """Empty the word cache (workers outlive their tasks)."""
+        self.cache, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids])
 
@@ -267,7 +271,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True
     types = dict(docs.dtypes)
     out = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(docs.select(*keep, text), fn, schema + (", ids array<int>" if with_ids else ""))
+    schema += ", ids array<int>" if with_ids else ""
+    return map_batches(docs.select(*keep, text), fn, schema, done=lambda: codec(path).forget())
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -36,14 +36,19 @@ def crc_bucket(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None
+) -> DataFrame:
     """One output batch per input batch, in slices of bounded text bytes: a
-    batch of very long texts is cut into smaller ones, a text never."""
+    batch of very long texts is cut into smaller ones, a text never.
+    ``done`` runs at a task's end (to let go of what its worker holds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b):
                 yield fn(part)
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, schema)
 
