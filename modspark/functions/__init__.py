@@ -1,27 +1 @@
 """Column expressions shared by the operators (all JVM-side built-ins)."""
-
-from modspark.functions.numeric import r4, rnd, half_up
-from modspark.functions.text import (
-    is_blank,
-    normalise,
-    preview,
-    word_bigrams,
-    word_bigrams_joined,
-    word_tokens,
-)
-from modspark.functions.vectors import dot, l2_normalise, l2_norm
-
-__all__ = [
-    "r4",
-    "rnd",
-    "half_up",
-    "is_blank",
-    "normalise",
-    "preview",
-    "word_bigrams",
-    "word_bigrams_joined",
-    "word_tokens",
-    "dot",
-    "l2_normalise",
-    "l2_norm",
-]

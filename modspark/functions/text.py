@@ -21,8 +21,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 
 
-# ASCII whitespace (the regex class \s): trimmed from both ends in O(edges).
-WHITESPACE = " \t\n\r\f\u000b"
+# All Unicode white space: trimmed from both ends in O(edges).
+WHITESPACE = " \t\n\r\f\u000b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def is_blank(text: Column) -> Column:
@@ -45,20 +45,7 @@ def word_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_extract_all(normalise(text), F.lit(pattern), 0)
 
 
-def word_bigrams(tokens: Column) -> Column:
-    """Adjacent token pairs joined by one space (``array<string>``)."""
-    return F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, 1, F.size(tokens) - 1),
-            F.slice(tokens, 2, F.size(tokens) - 1),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def word_bigrams_joined(tokens: Column) -> Column:
     """Adjacent token pairs, from the tokens joined by single spaces (tokens
-    hold no whitespace): one linear regex pass instead of a lambda per pair.
-    Same result as ``word_bigrams``."""
+    hold no whitespace): one linear regex pass instead of a lambda per pair."""
     return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(r"(?:^| )(?=(\S+ \S+))"), 1)

@@ -100,12 +100,14 @@ def timeline(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS)
 
 def timeline_wide(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS) -> DataFrame:
     """A7 wide form: one row per non-empty bucket, one count column per known
-    action (+ unknown), absent = 0.  The pivot values are fixed, so no
-    distinct-values job runs first."""
-    rows = lookback(audit, as_of, hours).withColumn("action", _action())
-    values = ACTIONS + ["unknown"]
-    wide = rows.groupBy(hour_bucket(F.col("ts")).alias("time")).pivot("action", values).agg(F.count(F.lit(1)))
-    return wide.select("time", *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values]).orderBy("time")
+    action, ``unknown`` (no action) and ``other`` (any other action, e.g. a
+    reviewer's own), so a row's counts add up to its bucket.  The long form
+    names the others.  The columns are fixed: no distinct-values job."""
+    a = _action()
+    known = ACTIONS + ["unknown"]
+    counts = [F.count_if(a == v).alias(v) for v in known] + [F.count_if(~a.isin(known)).alias("other")]
+    rows = lookback(audit, as_of, hours)
+    return rows.groupBy(hour_bucket(F.col("ts")).alias("time")).agg(*counts).orderBy("time")
 
 
 def tail(audit: DataFrame, n: int = 20) -> DataFrame:

@@ -63,16 +63,17 @@ def exact_split(
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)
     offsets = buckets.select(
-        label,
-        "_b",
+        F.col(label).alias("_ol"),
+        F.col("_b").alias("_ob"),
         F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"),
         F.sum("_nb").over(whole).alias("_n"),
     )
-    res = inner.join(offsets, [label, "_b"])
+    # null-safe: rows without a label are a class of their own
+    res = inner.join(offsets, inner[label].eqNullSafe(offsets["_ol"]) & (inner["_b"] == offsets["_ob"]))
     k = F.floor(F.col("_n") * F.lit(float(test)) + F.lit(0.5))
     pos = F.col("_off") + F.col("_rn")
     return res.withColumn(out, F.when(pos <= k, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_h", "_b", "_rn", "_off", "_n"
+        "_h", "_b", "_rn", "_off", "_n", "_ol", "_ob"
     )
 
 

@@ -113,8 +113,9 @@ def with_image_scores(content: DataFrame, image_scores: DataFrame, key: str = "i
 
 
 def with_user_meta(content: DataFrame, users: DataFrame) -> DataFrame:
-    """Attach ``user_meta`` (struct) by ``user_id``; unknown users get NULL
-    (and therefore the defaults).  AQE picks broadcast or sort-merge from the
+    """Attach ``user_meta`` (struct) by ``user_id``.  Metadata that came
+    with the content wins, field by field; users are the fallback, and unknown
+    users without own metadata get NULL (the defaults).  AQE picks broadcast or sort-merge from the
     runtime size of ``users`` and splits a skewed user on the content side."""
     meta = users.select(
         F.col("user_id").alias("_uid"),
@@ -122,10 +123,17 @@ def with_user_meta(content: DataFrame, users: DataFrame) -> DataFrame:
             "account_age_days", "prev_violations", "reports_received", "posts_last_24h", "is_verified"
         ).alias("user_meta"),
     )
-    out = content
-    if "user_meta" in out.columns:
-        out = out.drop("user_meta")
-    return out.join(meta, out["user_id"] == meta["_uid"], "left").drop("_uid")
+    own = "user_meta" in content.columns
+    out = content.withColumnRenamed("user_meta", "_own") if own else content
+    out = out.join(meta, out["user_id"] == meta["_uid"], "left").drop("_uid")
+    if own:
+        fields = [
+            F.coalesce(F.col("_own")[f], F.col("user_meta")[f]).alias(f)
+            for f in ("account_age_days", "prev_violations", "reports_received", "posts_last_24h", "is_verified")
+        ]
+        known = F.col("_own").isNotNull() | F.col("user_meta").isNotNull()
+        out = out.withColumn("user_meta", F.when(known, F.struct(*fields))).drop("_own")
+    return out
 
 
 def assemble(df: DataFrame, output_col: str = "features") -> DataFrame:

@@ -3,8 +3,9 @@ expensive columns exactly once.
 
 A small input (one file, one row group) is scanned by one task; scoring whole
 texts or vectors in that task leaves the other cores idle.  ``spread`` gives
-such work at least one task per core, and does nothing when the input is
-already split that far (a large table), so it never adds a shuffle at scale.
+such work one task per core, up to ``MAX_SPREAD`` tasks.  An input of more
+than ``MAX_SPREAD`` splits (4 GB at the default split size) is never touched,
+however many cores there are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_SPREAD = 32
+
+
 def _bytes(conf_value: str) -> int:
     v = conf_value.strip().lower()
     units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
@@ -29,7 +33,7 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    target = min_partitions or min(spark.sparkContext.defaultParallelism, MAX_SPREAD)
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     if largest_input_bytes(df) >= split * target:
         return df

@@ -49,33 +49,15 @@ def apply_text_scorer(
 def review_responses(
     queue: DataFrame,
     fn: Callable[[Iterator], Iterator],
-    partitions: int = 8,
+    partitions: int | None = None,
     checkpoint: bool = True,
 ) -> DataFrame:
-    """Raw responses of the reviewer for the queued prompts."""
-    resp = queue.select("content_id", "prompt").repartition(partitions, "content_id").mapInPandas(fn, RESPONSES_SCHEMA)
+    """Raw responses of the reviewer for the queued prompts.
+
+    ``partitions`` bounds how many reviewer calls run at a time (a service's
+    rate limit); without it the queue is dealt over the session's shuffle
+    partitions."""
+    q = queue.select("content_id", "prompt")
+    n = partitions or int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    resp = q.repartition(n, "content_id").mapInPandas(fn, RESPONSES_SCHEMA)
     return resp.checkpoint(eager=True) if checkpoint else resp
-
-
-def onnx_text_scorer(model_path: str, tokenizer: Callable[[list[str]], dict]) -> Callable[[Iterator], Iterator]:
-    """A U1 scorer backed by an ONNX model; the session is created once per
-    Python worker.  ``tokenizer`` maps a list of texts to the model inputs;
-    the first model output must be ``(batch, 6)`` logits in label order."""
-
-    def fn(batches):
-        import numpy as np
-        import onnxruntime as ort
-
-        sess = ort.InferenceSession(model_path)
-        for pdf in batches:
-            feeds = tokenizer(pdf["text"].fillna("").tolist())
-            logits = np.asarray(sess.run(None, feeds)[0], dtype="float64")
-            probs = 1.0 / (1.0 + np.exp(-logits))
-            out = {"text_key": pdf["text_key"]}
-            for i, c in enumerate(TEXT_LABELS):
-                out[c] = probs[:, i]
-            import pandas as pd
-
-            yield pd.DataFrame(out)
-
-    return fn

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark.functions.numeric import half_up
+from modspark.functions.text import WHITESPACE
 from modspark.schemas import ERROR_REVIEW, PARSE_ERROR_REVIEW, REVIEW, TRIAGE_AUTO_APPROVE, TRIAGE_AUTO_REMOVE
 
 # Python's messages when a valid JSON value is not an object.
@@ -128,7 +129,7 @@ def clean_response(raw: Column) -> Column:
         .when(F.instr(raw, "```") > 0, F.substring_index(after_fence, "```", 1))
         .otherwise(raw)
     )
-    return F.regexp_replace(body, r"^\s+|\s+$", "")
+    return F.trim(body, F.lit(WHITESPACE))
 
 
 def _json_kind(clean: Column) -> Column:
@@ -160,7 +161,6 @@ def parse_reviews(
     """
     raw = F.col(raw_col)
     clean = clean_response(raw)
-    parsed = F.from_json(clean, REVIEW)
     kind = F.col("_kind")
     pe, er = PARSE_ERROR_REVIEW, ERROR_REVIEW
 

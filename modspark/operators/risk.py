@@ -74,15 +74,17 @@ def train_ensemble(train: DataFrame, n_trees: int = N_TREES, label: str = "label
 
 
 def ensemble_columns(pa: F.Column, pb: F.Column) -> dict[str, F.Column]:
-    """M7 + P10: the averaged score (4 dp), both parts (4 dp), severity and
-    the band action."""
-    final = r4((pa + pb) / F.lit(2.0))
+    """M7 + P10: the averaged score (4 dp), both parts (4 dp), severity, the
+    band action, and the mean before rounding (thresholds and rankings)."""
+    raw = (pa + pb) / F.lit(2.0)
+    final = r4(raw)
     return {
         "final_risk_score": final,
         "xgb_score": r4(pa),
         "lgb_score": r4(pb),
         "severity": triage.severity(final),
         "action": triage.band_action(final),
+        "raw_risk": raw,
     }
 
 
@@ -95,7 +97,7 @@ def score(ensemble: Ensemble, df: DataFrame) -> DataFrame:
     b = ensemble.model_b.transform(a).withColumn("_pb", vector_to_array("probability")[1])
     b = b.drop("features", "rawPrediction", "probability", "prediction")
     return b.withColumns(ensemble_columns(F.col("_pa"), F.col("_pb"))).withColumn(
-        "prediction", (F.col("final_risk_score") > F.lit(ENSEMBLE_THRESHOLD)).cast("int")
+        "prediction", (F.col("raw_risk") > F.lit(ENSEMBLE_THRESHOLD)).cast("int")
     ).drop("_pa", "_pb")
 
 
@@ -105,7 +107,3 @@ def feature_importance(spark: SparkSession, ensemble: Ensemble, top: int = 10) -
     rows = list(zip(ensemble.feature_columns, [float(x) for x in imp]))
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)
-
-
-def assembled(df: DataFrame) -> DataFrame:
-    return assemble(df)

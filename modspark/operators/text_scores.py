@@ -3,24 +3,23 @@ any-of label.
 
 The default scorer is a weighted lexicon ``(term, category, weight)``: the
 score of a category is ``least(1, sum of the weights of the hits)``.  A
-lexicon is a model parameter, not data: when it is small (checked) it is
-inlined as map literals and every row is scored by higher-order functions in
-its own partition (no shuffle, no join): one regex pass finds the hits.  A lexicon above the bound is scored
-relationally: tokens are exploded, joined to the lexicon and summed per row.
-User models plug in through ``operators.plugins.text_scorer`` instead.
+lexicon is a model parameter, not data: its terms are hash sets in the plan
+and every row is scored in its own partition (no shuffle, no join).  User
+models plug in through ``operators.plugins.apply_text_scorer`` instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modspark.functions.numeric import r4
-from modspark.functions.text import WORD_PATTERN
 from modspark.schemas import CORPUS_LABELS, TEXT_LABELS, TEXT_RISK_WEIGHTS
 
-# Largest lexicon inlined into the plan; bigger ones take the join path.
-MAX_INLINE_TERMS = 5000
+# What parts the words of the lexicon scorer.
+NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def lexicon_frame(spark: SparkSession, entries: list[tuple[str, str, float]]) -> DataFrame:
@@ -36,91 +35,69 @@ def text_risk(scores: dict[str, Column]) -> Column:
     return r4(acc)
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
-
-
 def _is_word(term: str) -> bool:
     return bool(term) and all(ch.isalnum() or ch == "_" for ch in term)
 
 
 def _hits(text: Column, terms: set[str]) -> Column:
-    """Tokens of the lower-cased text that are lexicon terms, in order.
-
-    One regex pass finds the terms bounded by non-word characters, which is
-    exactly "a word token equal to the term"; terms with non-word characters
-    can never equal a token and are left out.  Only the (short) hit list is
-    materialised, not every token of the text."""
-    words = sorted((t for t in terms if _is_word(t)), key=lambda t: (-len(t), t))
+    """Tokens of the lower-cased text that are lexicon terms, in order: the
+    text is cut at non-word characters once, and a token is looked up in a
+    hash set, whatever the number of terms.  Terms with non-word characters
+    can never equal a token and are left out."""
+    words = sorted(t for t in terms if _is_word(t))
     if not words:
         return F.array().cast("array<string>")
-    alternation = "|".join(r"\Q" + w + r"\E" for w in words)
-    pattern = r"(?<![\p{L}\p{N}_])(?:" + alternation + r")(?![\p{L}\p{N}_])"
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
+    return F.filter(F.split(F.lower(text), NON_WORD), lambda t: t.isin(words))
 
 
-def _inline_scores(df: DataFrame, text_col: str, entries: list) -> DataFrame:
-    by_cat: dict[str, dict[str, float]] = {c: {} for c in TEXT_LABELS}
-    for term, cat, w in entries:
-        if cat in by_cat:
-            by_cat[cat][term] = by_cat[cat].get(term, 0.0) + float(w)
-    # a NULL text has no hits (not a NULL total: least(1, NULL) would be 1)
-    hits = F.coalesce(_hits(F.col(text_col), {t for t, _, _ in entries}), F.array().cast("array<string>"))
-    cols = {}
-    for cat in TEXT_LABELS:
-        weights = by_cat[cat]
-        if weights:
-            m = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(v))])
-            total = F.aggregate(
-                F.col("_hits"), F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at(m, t), F.lit(0.0))
-            )
-        else:
-            total = F.lit(0.0)
-        cols[cat] = r4(F.least(F.lit(1.0), total))
-    from modspark.operators.partitioning import computed_once
-
-    return computed_once(df.withColumn("_hits", hits), cols).drop("_hits")
+def _weight_of(weights: dict[str, float]) -> Callable[[Column], Column]:
+    """A token's weight; terms of equal weight share one hash-set lookup."""
+    groups: dict[float, list[str]] = {}
+    for term, w in sorted(weights.items()):
+        groups.setdefault(w, []).append(term)
 
+    def weight(t: Column) -> Column:
+        expr = F.when(F.lit(False), F.lit(0.0))
+        for w, terms in groups.items():
+            expr = expr.when(t.isin(terms), F.lit(w))
+        return expr.otherwise(F.lit(0.0))
 
-def _joined_scores(df: DataFrame, text_col: str, id_col: str, lexicon: DataFrame) -> DataFrame:
-    toks = df.select(id_col, F.explode(_tokens(F.col(text_col))).alias("term"))
-    hits = toks.join(lexicon, "term")  # AQE broadcasts the lexicon when it is small
-    sums = hits.groupBy(id_col).agg(
-        *[
-            F.sum(F.when(F.col("category") == c, F.col("weight")).otherwise(0.0)).alias(c)
-            for c in TEXT_LABELS
-        ]
-    )
-    out = df.join(sums, id_col, "left")
-    return out.withColumns({c: r4(F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0)))) for c in TEXT_LABELS})
+    return weight
 
 
 def lexicon_scores(
-    df: DataFrame,
-    lexicon: DataFrame | list[tuple[str, str, float]],
-    text_col: str = "text",
-    id_col: str = "content_id",
-    max_inline: int = MAX_INLINE_TERMS,
+    df: DataFrame, lexicon: DataFrame | list[tuple[str, str, float]], text_col: str = "text"
 ) -> DataFrame:
     """Add the six label scores and ``text_risk_score`` to every row of ``df``.
 
-    ``lexicon`` is a ``(term, category, weight)`` table, or its entries
-    when the caller holds them already (no job to read them back).
-    Rows whose text is not scoreable get scores too (all zero); callers that
-    must not score them filter first (``validate.accepted``).
+    ``lexicon`` is a ``(term, category, weight)`` table, or its entries when
+    the caller holds them already (no job to read them back); either way every
+    row is scored in place, so row ids play no part: repeated or NULL ids,
+    and any number of terms, give the same scores.  Rows whose text is not
+    scoreable score zero; callers that must not score them filter first
+    (``validate.accepted``).
     """
-    from modspark.operators.partitioning import spread
+    from modspark.operators.partitioning import computed_once, spread
 
     df = spread(df)
     if isinstance(lexicon, DataFrame):
-        head = [(r.term, r.category, r.weight) for r in lexicon.select("term", "category", "weight").limit(max_inline + 1).collect()]
-    else:
-        head = [(str(t), str(c), float(w)) for t, c, w in lexicon]
-    if len(head) <= max_inline:
-        out = _inline_scores(df, text_col, head)
-    else:
-        table = lexicon if isinstance(lexicon, DataFrame) else lexicon_frame(df.sparkSession, head)
-        out = _joined_scores(df, text_col, id_col, table)
+        lexicon = lexicon.select("term", "category", "weight").collect()  # a model parameter, not data
+    by_cat: dict[str, dict[str, float]] = {c: {} for c in TEXT_LABELS}
+    for term, cat, w in lexicon:
+        if cat in by_cat:
+            by_cat[cat][str(term)] = by_cat[cat].get(str(term), 0.0) + float(w)
+    # a NULL text has no hits (not a NULL total: least(1, NULL) would be 1)
+    hits = F.coalesce(_hits(F.col(text_col), {t for c in by_cat.values() for t in c}), F.array().cast("array<string>"))
+    cols = {}
+    for cat in TEXT_LABELS:
+        weights = by_cat[cat]
+        if weights:
+            weight = _weight_of(weights)
+            total = F.aggregate(F.col("_hits"), F.lit(0.0), lambda acc, t: acc + weight(t))
+        else:
+            total = F.lit(0.0)
+        cols[cat] = r4(F.least(F.lit(1.0), total))
+    out = computed_once(df.withColumn("_hits", hits), cols).drop("_hits")
     return out.withColumn("text_risk_score", text_risk({c: F.col(c) for c in TEXT_LABELS}))
 
 

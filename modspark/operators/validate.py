@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from modspark.functions.text import is_blank
 
 
-def content_key(user_id: Column, ts: Column, text: Column) -> Column:
-    """Deterministic, retry-safe content id (sha-256 hex of user, time, text)."""
-    return F.sha2(
-        F.concat_ws("#", user_id, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), text), 256
-    )
+def content_key(user_id: Column, ts: Column, text: Column, image_ref: Column) -> Column:
+    """Deterministic, retry-safe content id: sha-256 hex of user, time (to the
+    microsecond), text and image reference, each with its length before it
+    (a missing one is '-'), so no two different contents share an encoding."""
+
+    def part(c: Column) -> Column:
+        c = c.cast("string")
+        return F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.sha2(F.concat_ws("|", part(user_id), part(micros), part(text), part(image_ref)), 256)
 
 
 def with_content_ids(df: DataFrame) -> DataFrame:
@@ -25,7 +31,8 @@ def with_content_ids(df: DataFrame) -> DataFrame:
     The prefix is for display only: 32 bits collide at ~1e5 rows, so joins
     always use the full key.
     """
-    key = content_key(F.col("user_id"), F.col("ts"), F.col("text"))
+    image = F.col("image_ref") if "image_ref" in df.columns else F.lit(None)
+    key = content_key(F.col("user_id"), F.col("ts"), F.col("text"), image)
     return df.withColumn("content_key", key).withColumn("content_short", F.substring("content_key", 1, 8))
 
 
@@ -52,7 +59,3 @@ def with_validation(df: DataFrame) -> DataFrame:
 
 def accepted(df: DataFrame) -> DataFrame:
     return with_validation(df).filter(F.col("status") == "accepted").drop("status", "reason")
-
-
-def quarantined(df: DataFrame) -> DataFrame:
-    return with_validation(df).filter(F.col("status") == "quarantine")

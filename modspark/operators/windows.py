@@ -84,8 +84,10 @@ def trailing_count(
             "_off_s"
         ),
     )
-    # left: rows without a time (NULL bucket) are kept with no offsets
-    res = u.join(offsets, [key, "_b"], "left")
+    # left and null-safe on the key: rows without a key are one group, as in
+    # a native window; rows without a time (NULL bucket) have no offsets
+    offsets = offsets.withColumnsRenamed({key: "_ok", "_b": "_ob"})
+    res = u.join(offsets, u[key].eqNullSafe(offsets["_ok"]) & (u["_b"] == offsets["_ob"]), "left")
     off_o = F.coalesce(F.col("_off_o"), F.lit(0))
     off_s = F.coalesce(F.col("_off_s"), F.lit(0))
     count = (off_o + F.col("_a_in")) - (off_s + F.col("_s_le") - F.col("_s_eq"))
@@ -111,10 +113,13 @@ def prior_sum(
     buckets = base.groupBy(key, "_b").agg(F.sum("_v").alias("_nb"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(key, "_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
-    # left: rows without a time (NULL bucket, first in the order) are kept
-    res = inner.join(offsets, [key, "_b"], "left")
+    # null-safe: rows without a key are one group, rows without a time its
+    # first bucket, both as in a native window
+    offsets = offsets.withColumnsRenamed({key: "_ok", "_b": "_ob"})
+    same = inner[key].eqNullSafe(offsets["_ok"]) & inner["_b"].eqNullSafe(offsets["_ob"])
+    res = inner.join(offsets, same, "left")
     total = F.coalesce(F.col("_off"), F.lit(0)) + F.col("_in")
-    return res.withColumn(out, total.cast("long")).drop("_t", "_b", "_v", "_in", "_off")
+    return res.withColumn(out, total.cast("long")).drop("_t", "_b", "_v", "_in", "_off", "_ok", "_ob")
 
 
 def first_seen_age(
@@ -126,9 +131,11 @@ def first_seen_age(
     """Days from the key's first ``ts`` to the row's ``ts``.  The first
     time per key is a map-side-combined aggregate joined back (AQE splits a
     hot key on the row side)."""
-    first = df.groupBy(key).agg(F.min(ts_col).alias("_first"))
-    res = df.join(first, key)
-    return res.withColumn(out, F.datediff(F.to_date(F.col(ts_col)), F.to_date("_first")).cast("int")).drop("_first")
+    first = df.groupBy(F.col(key).alias("_fk")).agg(F.min(ts_col).alias("_first"))
+    # null-safe: rows without a key are kept, as one group
+    res = df.join(first, df[key].eqNullSafe(first["_fk"]))
+    age = F.datediff(F.to_date(F.col(ts_col)), F.to_date("_first")).cast("int")
+    return res.withColumn(out, age).drop("_first", "_fk")
 
 
 def high_velocity(df: DataFrame, col: str = "posts_last_24h", threshold: int = 50, out: str = "high_velocity") -> DataFrame:

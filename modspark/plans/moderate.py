@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark.operators import audit as au
@@ -33,10 +33,13 @@ def score_content(
     image_scores: DataFrame | None = None,
     users: DataFrame | None = None,
     ensemble=None,
+    probabilities: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Accepted content with text_scores / image_scores / user_meta structs,
     the 22 features, the risk struct, ``risk_score``, severity and band action.
-    Quarantined rows are not returned (see ``validate.quarantined``)."""
+    The risk is the mean of the two models of ``ensemble``, or of two given
+    ``probabilities`` over the features, else the text risk.  Quarantined rows
+    are not returned (``validate.with_validation`` tells why)."""
     c = validate.accepted(validate.with_modalities(content))
     if text_scorer is not None:
         c = apply_text_scorer(c, text_scorer)
@@ -54,6 +57,10 @@ def score_content(
         from modspark.operators import risk as rk
 
         c = rk.score(ensemble, c).withColumn("risk_score", F.col("final_risk_score"))
+    elif probabilities is not None:
+        from modspark.operators import risk as rk
+
+        c = c.withColumns(rk.ensemble_columns(*probabilities)).withColumn("risk_score", F.col("final_risk_score"))
     else:
         c = c.withColumn("risk_score", F.col("text_risk_score"))
     c = triage.with_bands(c)
@@ -68,16 +75,20 @@ def decide(
     responses: DataFrame | None = None,
     auto_remove: float = TRIAGE_AUTO_REMOVE,
     auto_approve: float = TRIAGE_AUTO_APPROVE,
-    reviewer_partitions: int = 8,
+    reviewer_partitions: int | None = None,
     model: str = "external",
 ) -> DataFrame:
     """Triage, reviews for the ``agent_review`` rows only, final action.
 
     Responses come from ``reviewer`` (a U2 plug-in) or a ``responses`` table
     ``(content_id, raw)``; a queued row without a response gets the error
-    fallback, so its action is flag_for_review."""
+    fallback, so its action is flag_for_review.  Of several responses to one
+    content the smallest text counts (one decision a content); responses
+    without a queued content are ignored."""
     d = triage.with_route(scored, "risk_score", auto_remove, auto_approve)
     if reviewer is not None:
+        # scored once: the queue and the decisions read the same stored rows
+        d = d.checkpoint(eager=True)
         # the reviewer runs on the queue only; its responses are checkpointed
         # so the decisions below never call it again
         queue = rv.review_queue(d, low=auto_approve, high=auto_remove)
@@ -87,9 +98,9 @@ def decide(
         # no-response fallback; no join (and no shuffle of the decisions)
         j = d.withColumn("raw", F.lit(None).cast("string"))
     else:
-        # J3 as one left join of the decisions with the responses: the scored
-        # upstream is evaluated once; rows that were not queued carry no review.
-        j = d.join(responses.select("content_id", "raw"), "content_id", "left")
+        # J3 as one left join; rows that were not queued carry no review
+        one = responses.groupBy("content_id").agg(F.min("raw").alias("raw"))
+        j = d.join(one, "content_id", "left")
     queued = F.col("route") == F.lit("agent_review")
     j = rv.parse_reviews(j, "raw", model, spread_rows=responses is not None).drop("raw", "agent_model")
     j = j.withColumn("review", F.when(queued, F.col("review"))).withColumn(
@@ -99,7 +110,7 @@ def decide(
 
 
 def decision_view(decisions: DataFrame) -> DataFrame:
-    """The response projection (severity from the scorer, not the review)."""
+    """The nine-field response (severity from the scorer, not the review)."""
     return decisions.select(
         "content_id", "user_id", "risk_score", "severity", "route", "final_action",
         F.col("review").alias("agent_result"), "text_scores", "image_scores",
@@ -112,6 +123,6 @@ def audit_records(decisions: DataFrame) -> DataFrame:
 
 def moderate(content: DataFrame, **kwargs) -> DataFrame:
     """Score and decide in one call (keyword arguments of both steps)."""
-    score_keys = {"lexicon", "text_scorer", "image_scores", "users", "ensemble"}
+    score_keys = {"lexicon", "text_scorer", "image_scores", "users", "ensemble", "probabilities"}
     s = score_content(content, **{k: v for k, v in kwargs.items() if k in score_keys})
     return decide(s, **{k: v for k, v in kwargs.items() if k not in score_keys})

@@ -137,30 +137,7 @@ def hu(x: str, digits: int) -> str:
 
 RESPONSE_FMT = B.RESPONSE_JSON.replace("'", "''")
 
-REVIEWED_CTE = SCORED_EVENTS_CTE + f""",
-evv AS (
-  SELECT *, CASE band_action WHEN 'auto_remove' THEN 'remove' WHEN 'flag_for_review' THEN 'flag'
-                             WHEN 'warn_user' THEN 'flag' WHEN 'approved' THEN 'approve' END AS verdict0
-  FROM ev
-),
-resp AS (
-  SELECT content_id,
-    CASE WHEN event_id % 8 IN (0, 4) THEN '```json' || {NL} || body || {NL} || '```'
-         WHEN event_id % 8 IN (1, 5) THEN 'Here is my decision:' || {NL} || '```' || {NL} || body || {NL} || '```'
-         WHEN event_id % 8 = 3 THEN 'I would ' || verdict0 || ' this content.'
-         WHEN event_id % 8 = 6 THEN '[' || body || ']'
-         ELSE '  ' || body || {NL} END AS raw
-  FROM (
-    SELECT *, printf('{RESPONSE_FMT}', verdict0, risk_score, severity, risk_score, event_type, event_type,
-                     severity, band_action, CASE WHEN risk_score >= {dbl(0.6)} THEN 'true' ELSE 'false' END) AS body
-    FROM evv WHERE route = 'agent_review' AND event_id % 10 <> 9
-  )
-),
-rq AS (
-  SELECT q.content_id, r.raw FROM (SELECT content_id FROM ev WHERE route = 'agent_review') q
-  LEFT JOIN resp r USING (content_id)
-),
-rc AS (
+REVIEW_PARSE = f"""rc AS (
   SELECT content_id, raw,
     regexp_replace(
       CASE WHEN strpos(raw, '```json') > 0 THEN split_part(substr(raw, strpos(raw, '```json') + 7), '```', 1)
@@ -194,7 +171,32 @@ rv AS (
     CASE WHEN kind = 'OBJECT' THEN CAST(json_extract(clean, '$.needs_human_review') AS BOOLEAN) ELSE true END
       AS needs_human_review
   FROM rk
+)"""
+
+REVIEWED_CTE = SCORED_EVENTS_CTE + f""",
+evv AS (
+  SELECT *, CASE band_action WHEN 'auto_remove' THEN 'remove' WHEN 'flag_for_review' THEN 'flag'
+                             WHEN 'warn_user' THEN 'flag' WHEN 'approved' THEN 'approve' END AS verdict0
+  FROM ev
 ),
+resp AS (
+  SELECT content_id,
+    CASE WHEN event_id % 8 IN (0, 4) THEN '```json' || {NL} || body || {NL} || '```'
+         WHEN event_id % 8 IN (1, 5) THEN 'Here is my decision:' || {NL} || '```' || {NL} || body || {NL} || '```'
+         WHEN event_id % 8 = 3 THEN 'I would ' || verdict0 || ' this content.'
+         WHEN event_id % 8 = 6 THEN '[' || body || ']'
+         ELSE '  ' || body || {NL} END AS raw
+  FROM (
+    SELECT *, printf('{RESPONSE_FMT}', verdict0, risk_score, severity, risk_score, event_type, event_type,
+                     severity, band_action, CASE WHEN risk_score >= {dbl(0.6)} THEN 'true' ELSE 'false' END) AS body
+    FROM evv WHERE route = 'agent_review' AND event_id % 10 <> 9
+  )
+),
+rq AS (
+  SELECT q.content_id, r.raw FROM (SELECT content_id FROM ev WHERE route = 'agent_review') q
+  LEFT JOIN resp r USING (content_id)
+),
+{REVIEW_PARSE},
 dec AS (
   SELECT ev.*, rv.review_status, rv.verdict, rv.reasoning, rv.key_factors, rv.recommended_action, rv.needs_human_review,
     rv.content_id IS NOT NULL AS has_review,
@@ -325,7 +327,8 @@ SELECT {HOUR} AS time,
   CAST(count_if(action = 'flag_for_review') AS BIGINT) AS flag_for_review,
   CAST(count_if(action = 'warn_user') AS BIGINT) AS warn_user,
   CAST(count_if(action = 'approved') AS BIGINT) AS approved,
-  CAST(count_if(action IS NULL OR action = 'unknown') AS BIGINT) AS unknown
+  CAST(count_if(action IS NULL OR action = 'unknown') AS BIGINT) AS unknown,
+  CAST(count_if(action NOT IN ('auto_remove', 'flag_for_review', 'warn_user', 'approved', 'unknown')) AS BIGINT) AS other
 FROM audit WHERE ts >= {RECENT} GROUP BY 1 ORDER BY 1"""
 
 SQL["sliding_stats"] = f"""WITH {REVIEWED_CTE},
@@ -382,7 +385,10 @@ SELECT content_id, has_text, has_image, CASE WHEN reason IS NULL THEN 'accepted'
 FROM m"""
 
 SQL["content_ids"] = f"""WITH {CONTENT_CTE},
-k AS (SELECT content_id, sha256(concat_ws('#', user_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), text)) AS content_key
+k AS (SELECT content_id, sha256(concat_ws('|',
+        coalesce(length(user_id) || ':' || user_id, '-'),
+        coalesce(length(CAST(epoch_us(ts) AS VARCHAR)) || ':' || CAST(epoch_us(ts) AS VARCHAR), '-'),
+        coalesce(length(text) || ':' || text, '-'), coalesce(length(image_ref) || ':' || image_ref, '-'))) AS content_key
       FROM content)
 SELECT content_id, content_key, substring(content_key, 1, 8) AS content_short FROM k"""
 
@@ -726,23 +732,39 @@ SELECT content_id, final_risk_score, xgb_score, lgb_score, {severity_sql('final_
 # End to end (documents as content, no reviewer: borderline -> error fallback)
 # ---------------------------------------------------------------------------
 
+RESP_CTE = REVIEWED_CTE[len(SCORED_EVENTS_CTE) + 2 : REVIEWED_CTE.index("rq AS (")]
+TEXT_JSON = "CASE WHEN has_text THEN concat_ws('|', t_tox, t_sev, t_thr, t_ins, t_idt, t_risk) END"
+
 DECISIONS_CTE = f"""{FEATURES_CTE},
-dd AS (
-  SELECT f.*, c.ts, text_risk_score AS risk_score, {severity_sql('text_risk_score')} AS severity,
-         {route_sql('text_risk_score')} AS route
+{SCORED_EVENTS_CTE},
+{RESP_CTE}
+dd0 AS (
+  SELECT f.*, c.ts, {r4('(text_risk_score + combined_raw_score) / 2.0')} AS risk_score
   FROM feat f JOIN content c USING (content_id)
 ),
+dd AS (SELECT *, {severity_sql('risk_score')} AS severity, {route_sql('risk_score')} AS route FROM dd0),
+rq AS (
+  SELECT d.content_id, min(r.raw) AS raw FROM dd d LEFT JOIN resp r USING (content_id)
+  WHERE d.route = 'agent_review' GROUP BY 1
+),
+{REVIEW_PARSE},
 dec2 AS (
-  SELECT *, CASE WHEN route = 'agent_review' THEN 'flag_for_review' WHEN route = 'auto_remove' THEN 'auto_remove'
-                 ELSE 'approved' END AS final_action,
-         CASE WHEN route = 'agent_review' THEN 'error' END AS review_status
-  FROM dd
+  SELECT dd.*, review_status, verdict, reasoning, key_factors, recommended_action, needs_human_review,
+         rv.content_id IS NOT NULL AS has_review,
+         CASE WHEN route = 'agent_review' THEN coalesce(recommended_action, 'flag_for_review')
+              WHEN route = 'auto_remove' THEN 'auto_remove' ELSE 'approved' END AS final_action
+  FROM dd LEFT JOIN rv USING (content_id)
 )"""
 
 SQL["moderation_decisions"] = f"""{DECISIONS_CTE}
 SELECT content_id, user_id, risk_score, severity, route, final_action, coalesce(review_status, 'none') AS review_status
 FROM dec2"""
 
+SQL["decision_view"] = f"""{DECISIONS_CTE}
+SELECT content_id, user_id, risk_score, severity, route, final_action, verdict AS agent_verdict,
+       t_risk AS text_risk, z_risk AS image_risk
+FROM dec2"""
+
 SQL["moderation_audit"] = f"""{DECISIONS_CTE}
 SELECT content_id, user_id, final_action AS action, risk_score, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
   CASE WHEN text IS NOT NULL AND text <> '' THEN substring(text, 1, 100) END AS content_preview,
@@ -752,12 +774,74 @@ SELECT content_id, user_id, final_action AS action, risk_score, strftime(ts, '%Y
        WHEN 'flag_for_review' THEN 'Content flagged — queued for human review'
        WHEN 'warn_user' THEN 'User warned — content kept with warning label'
        WHEN 'approved' THEN 'Content approved — passed moderation' END AS message,
-  CASE WHEN route = 'agent_review' THEN 'flag' END AS agent_verdict,
-  CASE WHEN route = 'agent_review' THEN 'Agent error: no response' END AS agent_reasoning,
-  CASE WHEN route = 'agent_review' THEN 'agent_error' END AS agent_factors,
-  CASE WHEN route = 'agent_review' THEN true END AS human_review
+  verdict AS agent_verdict, reasoning AS agent_reasoning, key_factors AS agent_factors,
+  needs_human_review AS human_review
 FROM dec2"""
 
+# ---------------------------------------------------------------------------
+# Rows that are easily lost: missing keys and labels, unlisted actions, own
+# metadata, repeated ids.  Native windows and plain groups on the same inputs.
+# ---------------------------------------------------------------------------
+
+NULL_USERS = "CASE WHEN CAST(user_id AS BIGINT) % 7 <> 0 THEN user_id END"
+
+SQL["velocity_null_users"] = f"""WITH {POSTS_CTE},
+n AS (SELECT content_id, {NULL_USERS} AS user_id, ts FROM posts)
+SELECT content_id, user_id,
+  count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)
+    AS posts_last_24h
+FROM n"""
+
+SQL["prior_violations_null_users"] = f"""WITH {REVIEWED_CTE},
+n AS (SELECT content_id, {NULL_USERS} AS user_id, ts, action FROM audit)
+SELECT content_id, user_id,
+  CAST(coalesce(sum(CASE WHEN action IN ('auto_remove', 'flag_for_review') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY user_id ORDER BY ts, content_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+    AS prev_violations
+FROM n"""
+
+SQL["account_age_null_users"] = f"""WITH {POSTS_CTE},
+n AS (SELECT content_id, {NULL_USERS} AS user_id, ts FROM posts)
+SELECT content_id, user_id,
+  CAST(date_diff('day', CAST(min(ts) OVER (PARTITION BY user_id) AS DATE), CAST(ts AS DATE)) AS INTEGER)
+    AS account_age_days
+FROM n"""
+
+SQL["split_null_labels"] = f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN toxic END AS toxic FROM labels),
+r AS (
+  SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {MD5}, doc_id) AS rn,
+         count(*) OVER (PARTITION BY toxic) AS n FROM n
+)
+SELECT doc_id, toxic, CASE WHEN rn <= floor(n * {dbl(0.2)} + {dbl(0.5)}) THEN 'test' ELSE 'train' END AS split FROM r"""
+
+SQL["timeline_unlisted"] = f"""WITH {REVIEWED_CTE},
+n AS (SELECT a.ts, CASE e.event_type WHEN 'error' THEN 'escalate' WHEN 'signup' THEN NULL ELSE a.action END AS action
+      FROM audit a JOIN ev e USING (content_id))
+SELECT {HOUR} AS time,
+  CAST(count_if(action = 'auto_remove') AS BIGINT) AS auto_remove,
+  CAST(count_if(action = 'flag_for_review') AS BIGINT) AS flag_for_review,
+  CAST(count_if(action = 'warn_user') AS BIGINT) AS warn_user,
+  CAST(count_if(action = 'approved') AS BIGINT) AS approved,
+  CAST(count_if(action IS NULL) AS BIGINT) AS unknown,
+  CAST(count_if(action = 'escalate') AS BIGINT) AS other
+FROM n WHERE ts >= {RECENT} GROUP BY 1 ORDER BY 1"""
+
+SQL["own_user_meta"] = f"""WITH {CONTENT_CTE},
+{USERS_CTE},
+o AS (SELECT content_id, user_id, CASE WHEN CAST(content_id AS BIGINT) % 3 = 0 THEN CAST(content_id AS INTEGER) % 90 END AS age,
+             CASE WHEN CAST(content_id AS BIGINT) % 3 = 0 AND CAST(content_id AS BIGINT) % 2 = 0 THEN 5 END AS vio FROM content)
+SELECT o.content_id, coalesce(o.age, u.account_age_days, 365) AS user_account_age_days,
+       coalesce(o.vio, u.prev_violations, 0) AS user_prev_violations,
+       coalesce(u.posts_last_24h, 1) AS user_posts_last_24h
+FROM o LEFT JOIN users u USING (user_id)"""
+
+SQL["text_risk_repeated_ids"] = f"""WITH {CONTENT_CTE},
+acc AS (SELECT content_id, text FROM content WHERE {ACCEPTED_TEXT}),
+{lexicon_scores_cte('sc', 'acc')}
+SELECT CASE WHEN CAST(a.content_id AS BIGINT) % 4 <> 0 THEN CAST(CAST(a.content_id AS BIGINT) % 10 AS VARCHAR) END AS content_id,
+       a.text_risk_score AS risk_score
+FROM sc a"""
+
 SQL["audit_roundtrip"] = SQL["recent_window"]
 
 

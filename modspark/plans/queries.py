@@ -374,7 +374,7 @@ def labelled_scores(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = ev.with_labels(d, lab, "doc_id", ["toxic"])
-    return ts.lexicon_scores(j, B.lexicon_entries(), "text", "doc_id")
+    return ts.lexicon_scores(j, B.lexicon_entries())
 
 
 @query("auc_exact")
@@ -502,6 +502,7 @@ def ensemble_average(spark, sf_dir):
 
     f = content_features(spark, sf_dir)
     cols = rk.ensemble_columns(F.col("text_risk_score"), F.col("combined_raw_score"))
+    cols.pop("raw_risk")  # the mean before rounding
     return f.select("content_id", *[v.alias(k) for k, v in cols.items()])
 
 
@@ -600,15 +601,27 @@ def vector_scores(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def moderated(spark, sf_dir):
-    """Documents through the whole moderation job (no reviewer attached, so
-    borderline rows take the no-response fallback)."""
+def reviews(spark, sf_dir):
+    """A table of raw reviewer responses: those of the queued events, keyed by
+    their number, every fifth delivered twice; some contents have none, and
+    most responses belong to no queued content."""
+    r = B.review_responses(B.scored_events(spark, sf_dir))
+    return r.unionByName(r.filter(F.col("content_id").cast("long") % 5 == 0))
+
+
+def moderated(spark, sf_dir, images: bool = True, users: bool = True):
+    """Documents through the whole moderation job: text, image and user
+    signals -> features -> mean of two fixed probabilities -> bands -> triage
+    -> join with the response table -> final action."""
     from modspark.plans import moderate as md
 
-    imgs = image_scores(spark, sf_dir).withColumn("image_ref", F.col("id").cast("string"))
-    s = md.score_content(B.content(spark, sf_dir), lexicon=B.lexicon_entries(), image_scores=imgs,
-                         users=B.users(spark, sf_dir))
-    return md.decide(s)
+    imgs = image_scores(spark, sf_dir).withColumn("image_ref", F.col("id").cast("string")) if images else None
+    s = md.score_content(
+        B.content(spark, sf_dir), lexicon=B.lexicon_entries(), image_scores=imgs,
+        users=B.users(spark, sf_dir) if users else None,
+        probabilities=(F.col("text_risk_score"), F.col("combined_raw_score")),
+    )
+    return md.decide(s, responses=reviews(spark, sf_dir))
 
 
 @query("moderation_decisions")
@@ -618,6 +631,19 @@ def moderation_decisions(spark, sf_dir):
                     F.coalesce("review_status", F.lit("none")).alias("review_status"))
 
 
+@query("decision_view")
+def decision_view(spark, sf_dir):
+    """The nine-field decision, its three structs by one field each."""
+    from modspark.plans import moderate as md
+
+    v = md.decision_view(moderated(spark, sf_dir))
+    return v.select(
+        "content_id", "user_id", "risk_score", "severity", "route", "final_action",
+        F.col("agent_result.verdict").alias("agent_verdict"), F.col("text_scores.risk_score").alias("text_risk"),
+        F.col("image_scores.risk_score").alias("image_risk"),
+    )
+
+
 @query("moderation_audit")
 def moderation_audit(spark, sf_dir):
     from modspark.plans import moderate as md
@@ -641,5 +667,78 @@ def audit_roundtrip(spark, sf_dir):
     return r.select("content_id", "action", "risk_score", "timestamp")
 
 
+# ---------------------------------------------------------------------------
+# Rows that are easily lost: missing keys and labels, unlisted actions, own
+# metadata, repeated ids
+# ---------------------------------------------------------------------------
+
+
+def _some_null(df, col="user_id"):
+    return df.withColumn(col, F.when(F.col(col).cast("long") % 7 != 0, F.col(col)))
+
+
+@query("velocity_null_users")
+def velocity_null_users(spark, sf_dir):
+    v = wi.trailing_count(_some_null(_posts(spark, sf_dir)), "user_id", "ts", 24, 1, "posts_last_24h")
+    return v.select("content_id", "user_id", "posts_last_24h")
+
+
+@query("prior_violations_null_users")
+def prior_violations_null_users(spark, sf_dir):
+    a = _some_null(B.audit_log(spark, sf_dir))
+    v = wi.prior_sum(a, F.col("action").isin("auto_remove", "flag_for_review").cast("int"), "user_id", "ts", "content_id")
+    return v.select("content_id", "user_id", "prev_violations")
+
+
+@query("account_age_null_users")
+def account_age_null_users(spark, sf_dir):
+    v = wi.first_seen_age(_some_null(_posts(spark, sf_dir)))
+    return v.select("content_id", "user_id", "account_age_days")
+
+
+@query("split_null_labels")
+def split_null_labels(spark, sf_dir):
+    from modspark.operators import evaluate as ev
+    from modspark.sources.tables import table
+
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("toxic")).alias("toxic"))
+    return ev.exact_split(lab, "doc_id", "toxic", 0.2, 42).select("doc_id", "toxic", "split")
+
+
+@query("timeline_unlisted")
+def timeline_unlisted(spark, sf_dir):
+    """A7 wide with actions outside the list (a reviewer's own) and without one."""
+    kind = F.regexp_extract("content_preview", r"^(\w+)", 1)
+    action = F.when(kind == "error", F.lit("escalate")).when(kind != "signup", F.col("action"))
+    return db.timeline_wide(B.audit_log(spark, sf_dir).withColumn("action", action), B.AS_OF, 24)
+
+
+@query("own_user_meta")
+def own_user_meta(spark, sf_dir):
+    """J2 with metadata that came with some of the contents, some fields only."""
+    n = F.col("content_id").cast("long")
+    own = F.when(
+        n % 3 == 0,
+        F.struct(
+            (n % 90).cast("int").alias("account_age_days"),
+            F.when(n % 2 == 0, F.lit(5)).alias("prev_violations"),
+            F.lit(None).cast("int").alias("reports_received"),
+            F.lit(None).cast("int").alias("posts_last_24h"),
+            F.lit(None).cast("boolean").alias("is_verified"),
+        ),
+    )
+    c = fe.with_user_meta(B.content(spark, sf_dir).withColumn("user_meta", own), B.users(spark, sf_dir))
+    return fe.with_features(c).select("content_id", "user_account_age_days", "user_prev_violations", "user_posts_last_24h")
+
+
+@query("text_risk_repeated_ids")
+def text_risk_repeated_ids(spark, sf_dir):
+    """Scores do not depend on ids: repeated and missing ones, and a lexicon table."""
+    c = validate.accepted(validate.with_modalities(B.content(spark, sf_dir))).filter(F.col("has_text"))
+    n = F.col("content_id").cast("long")
+    c = c.withColumn("content_id", F.when(n % 4 != 0, (n % 10).cast("string")))
+    return ts.lexicon_scores(c, B.lexicon(spark)).select("content_id", F.col("text_risk_score").alias("risk_score"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)

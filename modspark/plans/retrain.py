@@ -31,8 +31,10 @@ def run_drift_check(
 ) -> dict:
     """One check: report row appended to ``report_path``; metrics logged."""
     report = drift_report(audit, as_of, threshold, baseline)
-    row = report.first().asDict()  # one row of scalars
-    write_drift_report(report, report_path or scratch_path(spark, "drift_reports"))
+    first = report.first()  # one row of scalars: the log is read once
+    row = first.asDict()
+    stored = spark.createDataFrame([first], report.schema)
+    write_drift_report(stored, report_path or scratch_path(spark, "drift_reports"))
     log_metrics(
         spark,
         "drift_check",
@@ -68,7 +70,8 @@ def check_and_retrain(
     ens, m, _ = train_risk_model(training_set, "content_id", n_trees)
     version = "v" + datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
     ens.save(f"{model_dir.rstrip('/')}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(
+    # appended, never replaced: a scorer that loads meanwhile sees the old or the new version
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(
         f"{model_dir.rstrip('/')}/current"
     )
     auc = m.first()["auc"]
@@ -78,11 +81,13 @@ def check_and_retrain(
 
 
 def current_version(spark: SparkSession, model_dir: str) -> str | None:
-    try:
-        r = spark.read.json(f"{model_dir.rstrip('/')}/current").select(F.col("version")).first()
-    except Exception:  # noqa: BLE001 - no model published yet
+    """The latest published version (versions sort by time), or None."""
+    from modspark.sources.readers import path_exists
+
+    path = f"{model_dir.rstrip('/')}/current"
+    if not path_exists(spark, path):
         return None
-    return r["version"] if r else None
+    return spark.read.schema("version string").json(path).agg(F.max("version")).first()[0]
 
 
 def load_current(spark: SparkSession, model_dir: str):

@@ -70,6 +70,7 @@ def train_text_model(
     scored = tmodel.score(testd, "doc_id", "text").withColumnRenamed("label", "text_label")
     scored = scored.join(testd.select("doc_id", F.col(label).alias("label")), "doc_id")
     scored = scored.withColumn("prediction", (F.col("p") > F.lit(TEXT_CLASSIFIER_THRESHOLD)).cast("int"))
+    scored = scored.checkpoint(eager=True)  # the metrics read it several times
     m = _metrics(scored, "label", "p", "prediction").withColumns(
         {"n_train": F.lit(n_docs).cast("long"), "n_test": F.lit(testd.count()).cast("long")}
     )
@@ -94,8 +95,8 @@ def train_risk_model(
     train = split.filter(F.col("split") == "train").drop("split")
     testd = split.filter(F.col("split") == "test").drop("split")
     ens = rk.train_ensemble(train, n_trees)
-    scored = rk.score(ens, testd)
-    m = _metrics(scored, "label", "final_risk_score", "prediction")
+    scored = rk.score(ens, testd).checkpoint(eager=True)  # the metrics read it several times
+    m = _metrics(scored, "label", "raw_risk", "prediction")
     if log:
         from modspark.sources.sinks import log_metrics
 

@@ -95,60 +95,13 @@ PREVIOUS_HOURS = 48
 # Zero-shot image head.
 ZERO_SHOT_GUARD_STD = 0.015
 ZERO_SHOT_HARMFUL = 0.4
-HARMFUL_PROMPTS = [
-    "explicit sexual content",
-    "nudity",
-    "graphic violence",
-    "offensive imagery",
-    "hate symbols",
-]
-SAFE_PROMPTS = [
-    "safe and appropriate image",
-    "normal everyday photo",
-    "family friendly content",
-    "data visualization or chart",
-    "scientific diagram or graph",
-    "document or screenshot",
-]
 LOW_CONFIDENCE_LABEL = "low — defaulted to safe"
 LOW_CONFIDENCE_NOTE = "Model was uncertain. Likely a chart, diagram, or uncommon image type."
 
 # Binary thresholds of the trained classifiers (strict).
 TEXT_CLASSIFIER_THRESHOLD = 0.5
-IMAGE_CLASSIFIER_THRESHOLD = 0.5
 ENSEMBLE_THRESHOLD = 0.5
 
-# Review-model system text (sent with every queued prompt by a review plug-in).
-REVIEW_SYSTEM_PROMPT = """You are a senior content moderation AI agent.
-
-Your job is to review content that automated systems flagged as borderline —
-not clearly safe, not clearly harmful. You make the final call.
-
-You will receive:
-- The original content (text and/or image description)
-- Scores from multiple ML detectors
-- User account history and behavior signals
-
-Your reasoning process:
-1. Read the content carefully in full context
-2. Review what the detectors found and how confident they are
-3. Consider user history — repeat offenders get less benefit of the doubt
-4. Think about intent — is this clearly harmful or potentially misunderstood?
-5. Make a final decision
-
-You must respond ONLY with a valid JSON object in this exact format:
-{
-  "verdict": "approve" | "flag" | "remove",
-  "confidence": 0.0 to 1.0,
-  "severity": "none" | "low" | "medium" | "high" | "critical",
-  "reasoning": "Clear explanation of your decision in 2-3 sentences",
-  "key_factors": ["factor 1", "factor 2", "factor 3"],
-  "recommended_action": "approved" | "warn_user" | "flag_for_review" | "auto_remove",
-  "needs_human_review": true | false
-}
-
-Be firm but fair. Context matters. Explain your reasoning clearly."""
-
 # The 22 feature columns in their frozen training order.
 FEATURE_COLUMNS = [
     "text_toxicity",

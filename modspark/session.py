@@ -54,7 +54,8 @@ def ensure_session_settings(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` when the
-    cluster names one, otherwise a fresh scratch folder (local runs only)."""
+    cluster names one, otherwise a fresh scratch folder, on local masters
+    only: on a cluster other executors could not read it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -63,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="modspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc._jsc.sc().getCheckpointDir().get()

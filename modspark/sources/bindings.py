@@ -197,7 +197,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = d.join(lab, "doc_id")
-    s = lexicon_scores(j, lexicon_entries(), "text", "doc_id")
+    s = lexicon_scores(j, lexicon_entries())
     return s.select(
         F.col("doc_id"),
         F.col("text").alias("comment_text"),

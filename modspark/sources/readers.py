@@ -15,7 +15,7 @@ from modspark.operators.vectors import encode_label
 from modspark.schemas import AUDIT, CORPUS_LABELS, LABELLED_CORPUS, VECTORS
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,7 +104,7 @@ def read_audit(
     """The audit log, optionally restricted to ``ts >= as_of - hours``.
     A missing log is an empty frame.  For the partitioned layout written by
     ``sinks.write_audit`` the ``dt`` predicate prunes whole partitions."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return _empty_audit(spark)
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -120,7 +120,7 @@ def read_audit(
 
 def read_audit_strict(spark: SparkSession, path: str) -> DataFrame:
     """S3 source: every line must be a JSON object (FAILFAST)."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return _empty_audit(spark)
     df = spark.read.schema(AUDIT).option("mode", "FAILFAST").json(path)
     return df.withColumn("ts", F.to_timestamp("timestamp"))

@@ -23,6 +23,10 @@ def write_audit(records: DataFrame, path: str, fmt: str = "json") -> None:
     gives column pruning and pushed-down time predicates to readers."""
     cols = [f.name for f in AUDIT.fields]
     out = records.select(*cols).withColumn("dt", F.to_date(F.to_timestamp("timestamp")))
+    if fmt == "parquet":  # a typed time, so readers push their lookback down
+        out = out.withColumn("ts", F.to_timestamp("timestamp"))
+    # rows of a day together (in several tasks if AQE finds the day large): not one file a task and day
+    out = out.hint("rebalance", "dt")
     out.write.mode("append").partitionBy("dt").format(fmt).save(path)
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.operators import audit as au
 from modspark.operators import monitor as mo
 from modspark.operators import triage
 from modspark.session import scratch_path
@@ -30,26 +29,23 @@ def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
 # X1 ------------------------------------------------------------------------
 
 
-def scoring_stream(content: DataFrame, lexicon: DataFrame, users: DataFrame | None = None) -> DataFrame:
+def scoring_stream(content: DataFrame, lexicon: DataFrame | list, users: DataFrame | None = None, **signals) -> DataFrame:
     """X1 transform: stateless scoring of a content stream into audit
-    records.  Borderline rows get the no-response fallback (flag for review);
-    their prompts are written by ``review_queue_stream`` for an offline
-    reviewer, whose results merge back through the batch ``decide``."""
-    from modspark.plans.moderate import score_content
-
-    s = score_content(content, lexicon=lexicon, users=users)
-    d = triage.with_route(s)
-    d = triage.with_final_action(d)
-    from modspark.schemas import REVIEW
+    records, by the batch ``score_content`` and ``decide`` themselves
+    (``signals``: image_scores, ensemble or probabilities).  Borderline
+    rows get the no-response fallback (flag for review); their prompts are
+    written by ``review_queue_stream`` for an offline reviewer, whose results
+    merge back through the batch ``decide``."""
+    from modspark.plans.moderate import audit_records, decide, score_content
 
-    return au.audit_records(d.withColumn("review", F.lit(None).cast(REVIEW)), "review")
+    return audit_records(decide(score_content(content, lexicon=lexicon, users=users, **signals)))
 
 
-def review_queue_stream(content: DataFrame, lexicon: DataFrame, users: DataFrame | None = None) -> DataFrame:
+def review_queue_stream(content: DataFrame, lexicon: DataFrame | list, users: DataFrame | None = None, **signals) -> DataFrame:
     from modspark.operators.review import review_queue
     from modspark.plans.moderate import score_content
 
-    s = triage.with_route(score_content(content, lexicon=lexicon, users=users))
+    s = triage.with_route(score_content(content, lexicon=lexicon, users=users, **signals))
     return review_queue(s)
 
 

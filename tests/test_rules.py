@@ -176,21 +176,51 @@ def test_triage_monotone(spark, risks):
     assert routes == sorted(routes)
 
 
-def test_lexicon_join_path_equals_inline_path(spark):
-    """A lexicon above the inline bound is scored relationally (explode ->
-    join -> sum); both paths give the same scores, from a table or entries."""
+def test_lexicon_scores_do_not_depend_on_its_size_or_on_ids(spark):
+    """A lexicon of any size, as a table or as entries, gives the same scores
+    for repeated and missing ids."""
     from modspark.operators import text_scores as ts
     from modspark.schemas import TEXT_LABELS
     from modspark.sources import bindings as B
 
-    docs = spark.createDataFrame(
-        [("1", "You idiot, total TRASH!"), ("2", "nice day"), ("3", ""), ("4", "stupid stupid scum-bag"),
-         ("5", None), ("6", "clowns and a clown")],
-        "content_id string, text string",
-    )
-    cols = ["content_id", *TEXT_LABELS, "text_risk_score"]
-    inline = {r.content_id: tuple(r) for r in ts.lexicon_scores(docs, B.lexicon_entries()).select(cols).collect()}
-    joined = {r.content_id: tuple(r) for r in ts.lexicon_scores(docs, B.lexicon(spark), max_inline=1).select(cols).collect()}
-    entries = {r.content_id: tuple(r) for r in ts.lexicon_scores(docs, B.lexicon_entries(), max_inline=1).select(cols).collect()}
-    assert inline == joined == entries
-    assert inline["1"][1] > 0 and inline["2"][1] == 0
+    texts = ["You idiot, total TRASH!", "nice day", "", "stupid stupid scum-bag", None, "clowns and a clown"]
+    docs = spark.createDataFrame(list(zip(["1", "1", None, None, "5", "1"], texts)), "content_id string, text string")
+    cols = ["text", *TEXT_LABELS, "text_risk_score"]
+    small = B.lexicon_entries()
+    large = small + [(f"unused{i}", c, 0.1 + i % 7) for i in range(5001) for c in ("toxicity", "threat")]
+
+    def scores(lexicon):
+        return sorted(map(str, ts.lexicon_scores(docs, lexicon).select(cols).collect()))
+
+    assert scores(small) == scores(B.lexicon(spark)) == scores(large) == scores(ts.lexicon_frame(spark, large))
+    by = {r.text: r for r in ts.lexicon_scores(docs, small).collect()}
+    assert by[texts[0]].toxicity == 1.0 and by["nice day"].toxicity == 0 and by[texts[3]].toxicity == 1.0
+
+
+def test_unicode_blank_text_is_refused(spark):
+    from modspark.operators import validate
+
+    texts = ["\u00a0", "\u3000 \n", " \x1c\x85", "a\u00a0", "", None]
+    df = spark.createDataFrame([(t, None) for t in texts], "text string, image_ref string")
+    got = [r.status for r in validate.with_validation(validate.with_modalities(df)).collect()]
+    assert got == ["quarantine"] * 3 + ["accepted"] * 3
+
+
+def test_content_ids_tell_contents_apart(spark):
+    from modspark.operators import validate
+
+    rows = [("u", "2024-01-01 00:00:00.000001", "t", "i1"), ("u", "2024-01-01 00:00:00.000002", "t", "i1"),
+            ("u", "2024-01-01 00:00:00.000001", "t", "i2"), ("u", "2024-01-01 00:00:00.000001", "t", None),
+            ("u", "2024-01-01 00:00:00.000001", None, "t"), ("u#", None, "t", None), ("u", None, "#t", None),
+            ("u", None, "-", None), ("u", None, None, "-"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "user_id string, t string, text string, image_ref string")
+    df = df.withColumn("ts", F.to_timestamp("t"))
+    assert validate.with_content_ids(df).select("content_key").distinct().count() == len(rows)
+
+
+def test_ensemble_label_uses_the_mean_before_rounding(spark):
+    from modspark.operators import risk as rk
+
+    df = spark.createDataFrame([(0.50004, 0.50004)], "a double, b double")
+    r = df.select([v.alias(k) for k, v in rk.ensemble_columns(F.col("a"), F.col("b")).items()]).first()
+    assert r.final_risk_score == 0.5 and r.raw_risk > 0.5

@@ -82,6 +82,46 @@ def test_audit_file_sink_exactly_once(spark, tmpdir_fresh):
     assert n1 == content.count() == read_audit(spark, out).count()
 
 
+def test_streamed_records_equal_the_batch(spark, tmpdir_fresh):
+    """X1 is the batch job on a stream: every audit column, with images,
+    users, two probabilities and borderline rows."""
+    from modspark.plans import moderate as md
+    from modspark.plans import queries as Q
+    from modspark.sources import bindings as B
+
+    sf = "/root/testdata/sf0.001"
+    content = B.content(spark, sf)
+    signals = {
+        "users": B.users(spark, sf),
+        "image_scores": Q.image_scores(spark, sf).withColumn("image_ref", F.col("id").cast("string")),
+        "probabilities": (F.col("text_risk_score") * 0.4 + 0.36, F.col("combined_raw_score") * 0.4 + 0.36),
+    }
+    src = os.path.join(tmpdir_fresh, "content")
+    content.coalesce(2).write.parquet(src)
+    recs = sj.scoring_stream(sj.stream_of(spark, src, content.schema, 1), B.lexicon_entries(), **signals)
+    sj.run_to_memory(recs, "x1_out")
+    batch = md.audit_records(md.decide(md.score_content(content, lexicon=B.lexicon_entries(), **signals)))
+    got, want = spark.table("x1_out"), batch
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert any(r.human_review for r in want.collect())
+
+
+def test_user_velocity_stream(spark, tmpdir_fresh):
+    posts = spark.createDataFrame(
+        [("u", "2024-01-01 00:30:00"), ("u", "2024-01-01 05:00:00"), ("v", "2024-01-01 05:10:00"), ("u", "2024-01-03 12:00:00")],
+        "user_id string, t string",
+    ).select("user_id", F.to_timestamp("t").alias("ts"), F.lit("c").alias("content_id"))
+    src = os.path.join(tmpdir_fresh, "posts")
+    posts.coalesce(1).write.parquet(src)
+    out = sj.user_velocity(sj.stream_of(spark, src, posts.schema))
+    sj.run_to_memory(out, "x4_out")
+    rows = spark.table("x4_out").collect()
+    n = [c for c in out.columns if "int" in dict(out.dtypes)[c] and c != "high_velocity"][0]
+    assert max(r[n] for r in rows if r.user_id == "u") == 2
+    assert max(r[n] for r in rows if r.user_id == "v") == 1
+
+
 def test_sliding_stats_stream_runs(spark, tmpdir_fresh):
     from modspark.sources import bindings as B
 
