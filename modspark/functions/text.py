@@ -2,18 +2,37 @@
 
 Tokens follow the vectoriser configuration of the text model: lower-case,
 accents stripped, runs of >= 2 letters/digits/underscore, 1- and 2-grams.
-Spark has no Unicode decomposition function, so accent stripping maps the
-Latin accented letters below; letters outside the list are kept as they are.
+Spark has no Unicode decomposition function; accent stripping translates every
+character of the basic plane whose decomposition leaves one letter and drops
+combining marks.  Ligatures and syllables that decompose into several letters
+are kept as they are.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented lower-case letters and their base letters (same order).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Characters and what stripping accents leaves of them, by rule: the
+    compatibility decomposition without combining marks, where that is one
+    character; then the combining marks themselves, which leave nothing
+    (``translate`` deletes what has no counterpart)."""
+    one, marks = {}, []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif not 0xD800 <= code < 0xE000:
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(base) == 1 and base != c:
+                one[c] = base
+    return "".join(one) + "".join(marks), "".join(one.values())
+
+
+ACCENTED, UNACCENTED = _accents()
 
 # Word-token pattern (>= 2 characters of letters, digits, underscore).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -36,7 +55,7 @@ def preview(text: Column, n: int = 100) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Lower-case and strip the Latin accents."""
+    """Lower-case and strip accents."""
     return F.translate(F.lower(text), ACCENTED, UNACCENTED)
 
 

@@ -6,16 +6,14 @@ sub-linear tf ``1 + ln tf``, smoothed idf ``ln((1+n)/(1+df)) + 1``, L2 norm,
 ``max_features`` by corpus frequency).  MLlib's ``IDF`` uses another formula
 and has no sub-linear tf, so weights are computed relationally:
 
-* ``(doc, term)`` counts: ``explode`` (narrow) + a map-side-combined group;
-* vocabulary: top-k of the per-term totals (a bounded ``TakeOrderedAndProject``);
-  the vocabulary (k rows) is the only broadcast;
+* vocabulary: map-side-combined term totals, then the top k (a bounded
+  ``TakeOrderedAndProject``); the vocabulary (k rows) is the only broadcast;
+* ``(doc, term)`` counts of vocabulary terms only;
 * the L2 norm: a window per document (documents are bounded by their length).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,82 +21,84 @@ from modspark.functions.numeric import r4
 from modspark.functions.text import word_bigrams_joined, word_tokens
 
 MAX_FEATURES = 10000
+MAX_VOCABULARY = 2_000_000
+
+
+def _grams(text: F.Column, ngram_max: int = 2) -> F.Column:
+    toks = word_tokens(text)
+    return F.concat(toks, word_bigrams_joined(toks)) if ngram_max >= 2 else toks
+
 
+def vocabulary(docs: DataFrame, k: int = MAX_FEATURES, text_col: str = "text") -> DataFrame:
+    """T5: the ``k`` most frequent 1- and 2-grams of ``docs`` (ties by term),
+    with document frequency; ``index`` is the term's position in sorted order.
 
-def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram_max: int = 2) -> DataFrame:
-    """``(doc, term, tf)`` of every 1-gram (and 2-gram) of every document.
-
-    Documents are hash-partitioned by id first: the raw text is shuffled
-    once (smaller than the per-(doc, term) rows it expands into), and then
-    the term counts and the per-document norm window need no shuffle.  The
-    vocabulary and the weights each tokenise their copy of the shuffled
-    text; sharing one (doc, term) shuffle instead was measured: it moves
-    about ten times the bytes of the raw text and was no faster."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    # no fixed count: spark.sql.shuffle.partitions (sized for the cluster) is
-    # the ceiling and AQE coalesces to advisory-size tasks, so the partition
-    # count follows the corpus at any scale
-    d = d.repartition("doc_id")
-    toks = word_tokens(F.col("_text"))
-    grams = F.concat(toks, word_bigrams_joined(toks)) if ngram_max >= 2 else toks
-    ex = d.select("doc_id", F.explode(grams).alias("term"))
-    return ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def vocabulary(terms: DataFrame, k: int = MAX_FEATURES) -> DataFrame:
-    """T5: the ``k`` most frequent terms (ties by term), with document
-    frequency; ``index`` is the term's position in sorted-term order."""
-    per_term = terms.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("doc_freq"))
-    top = per_term.orderBy(F.col("freq").desc(), F.col("term").asc()).limit(k)
+    Documents stay where they are: corpus counts are combined map-side, and
+    document frequencies are counted for the k chosen terms only, by a
+    broadcast of them (bounded by ``k``) before the second aggregation."""
+    if k > MAX_VOCABULARY:
+        raise ValueError(f"k is at most {MAX_VOCABULARY}: the vocabulary is sent to every executor")
+    from modspark.operators.partitioning import spread
+
+    d = spread(docs.select(F.col(text_col).alias("_text")))
+    # the n-grams inside the generator: as a projected column below it, the
+    # same explode took ten times as long (measured)
+    freq = d.select(F.explode(_grams(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    top = freq.orderBy(F.col("freq").desc(), F.col("term").asc()).limit(k)
     # k rows: ordering them in one task is bounded by the vocabulary size
-    return top.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    top = top.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    once = d.select(F.explode(F.array_distinct(_grams(F.col("_text")))).alias("_t"))
+    seen = once.join(F.broadcast(top), once["_t"] == top["term"]).groupBy("term", "freq", "index")
+    return seen.agg(F.count(F.lit(1)).alias("doc_freq")).select("term", "freq", "doc_freq", "index")
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame, n_docs) -> DataFrame:
+def tfidf(docs: DataFrame, vocab: DataFrame, n_docs, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """M1: ``(doc_id, term, index, weight)`` of the vocabulary terms, L2
     normalised per document.  ``n_docs`` is the number of fitted documents
-    (a Column or a number)."""
+    (a Column or a number); ``vocab`` comes from :func:`vocabulary`.
+
+    The raw text is hash-partitioned by id once (it is smaller than the rows
+    that it expands into); terms outside the vocabulary are dropped right
+    after the explode, and counts and norms need no further shuffle."""
     n = n_docs if isinstance(n_docs, F.Column) else F.lit(float(n_docs))
-    v = F.broadcast(vocab.select("term", "index", "doc_freq"))
-    j = terms.join(v, "term")
+    v = F.broadcast(vocab.select(F.col("term").alias("_t"), "index", "doc_freq"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition("doc_id")
+    ex = d.select("doc_id", F.explode(_grams(F.col("_text"))).alias("term"))
+    hits = ex.join(v, ex["term"] == F.col("_t")).drop("_t")
+    tf = hits.groupBy("doc_id", "term", "index", "doc_freq").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("doc_freq"))) + F.lit(1.0)
-    w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * idf
-    j = j.withColumn("_w", w)
+    j = tf.withColumn("_w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * idf)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
     return j.select("doc_id", "term", "index", (F.col("_w") / norm).alias("weight"))
 
 
-def fit_tfidf(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = MAX_FEATURES):
+def fit_tfidf(train_docs: DataFrame, text_col: str = "text", k: int = MAX_FEATURES):
     """Fit on the training documents: returns ``(vocab, n_docs)``.  ``vocab``
     is written to the checkpoint folder so later jobs reuse it instead of
     recomputing the corpus statistics."""
-    terms = doc_terms(train_docs, id_col, text_col)
-    vocab = vocabulary(terms, k)
-    n_docs = train_docs.count()
-    return vocab.checkpoint(eager=True), n_docs
-
-
-def transform_tfidf(docs: DataFrame, vocab: DataFrame, n_docs: int, id_col: str = "doc_id", text_col: str = "text"):
-    return tfidf(doc_terms(docs, id_col, text_col), vocab, n_docs)
+    return vocabulary(train_docs, k, text_col).checkpoint(eager=True), train_docs.count()
 
 
 def linear_score(
-    weights: DataFrame, coef: DataFrame, intercept: float, docs: DataFrame, id_col: str = "doc_id"
+    weights: DataFrame, coef: DataFrame, intercept: float, docs: DataFrame, id_col: str = "doc_id",
+    with_p: bool = False,
 ) -> DataFrame:
     """J5 + M3: ``p = sigmoid(b + sum_t coef_t * w_dt)`` per document, with
-    label toxic/clean at ``p > .5`` and confidence = risk = p (4 dp).
+    label toxic/clean at ``p > .5`` and confidence = risk = p (4 dp); the
+    unrounded ``p`` too if ``with_p``.
     ``coef (term, coef)`` is a model parameter; its size is not bounded
     here, so AQE chooses broadcast or sort-merge from its runtime size."""
     c = coef.select("term", "coef")
     z = weights.join(c, "term").groupBy("doc_id").agg(F.sum(F.col("coef") * F.col("weight")).alias("_z"))
     d = docs.select(F.col(id_col).alias("doc_id")).join(z, "doc_id", "left")
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(intercept)) + F.coalesce(F.col("_z"), F.lit(0.0)))))
-    d = d.withColumn("_p", p)
+    d = d.withColumn("p", p)
     return d.select(
         "doc_id",
-        r4(F.col("_p")).alias("risk_score"),
-        r4(F.col("_p")).alias("confidence"),
-        F.when(F.col("_p") > F.lit(0.5), F.lit("toxic")).otherwise(F.lit("clean")).alias("label"),
+        r4(F.col("p")).alias("risk_score"),
+        r4(F.col("p")).alias("confidence"),
+        F.when(F.col("p") > F.lit(0.5), F.lit("toxic")).otherwise(F.lit("clean")).alias("label"),
+        *(["p"] if with_p else []),
     )
 
 
@@ -125,14 +125,16 @@ def to_vectors(weights: DataFrame, size: int, docs: DataFrame | None = None) ->
     )
 
 
-def train_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label: str = "label", tol: float = 1e-4):
+def train_logistic(
+    train: DataFrame, c: float = 1.0, max_iter: int = 1000, label: str = "label", tol: float = 1e-4, n: int | None = None
+):
     """M2: L2 logistic regression equivalent to ``C``: ``regParam = 1/(C n)``,
     no standardisation, intercept not penalised; stopping tolerance 1e-4 as
     in the original configuration (MLlib's own default is 1e-6).  Each
     iteration is one distributed gradient pass (tree aggregation)."""
     from pyspark.ml.classification import LogisticRegression
 
-    n = train.count()
+    n = train.count() if n is None else n
     lr = LogisticRegression(
         featuresCol="features",
         labelCol=label,
@@ -144,15 +146,3 @@ def train_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label
         tol=tol,
     )
     return lr.fit(train)
-
-
-def positive_probability(model, df: DataFrame, out: str = "p") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(df).withColumn(out, vector_to_array(F.col("probability"))[1]).drop(
-        "rawPrediction", "probability", "prediction"
-    )
-
-
-def sigmoid(x: float) -> float:
-    return 1.0 / (1.0 + math.exp(-x))

@@ -668,8 +668,10 @@ SQL["label_coverage"] = """SELECT doc_id, doc_id IN (SELECT doc_id FROM labels)
 
 from modspark.functions.text import ACCENTED, UNACCENTED  # noqa: E402
 
+_quote = str.maketrans({"'": "''"})
+
 TERMS_CTE = rf"""tk AS (
-  SELECT doc_id, regexp_extract_all(translate(lower(text), '{ACCENTED}', '{UNACCENTED}'), '[\p{{L}}\p{{N}}_]{{2,}}') AS t
+  SELECT doc_id, regexp_extract_all(translate(lower(text), '{ACCENTED.translate(_quote)}', '{UNACCENTED.translate(_quote)}'), '[\p{{L}}\p{{N}}_]{{2,}}') AS t
   FROM documents
 ),
 gr AS (

@@ -101,20 +101,8 @@ def content_ids(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-# Fitted prompt sets per (application, sf_dir): the prompts are model
-# parameters (fitted once, like the trained models below), not per-query work.
-_PROMPTS: dict = {}
-
-
 def centroid_prompts(spark, sf_dir):
     """Prompt vectors = class centroids; classes 0-4 harmful, 5-9 safe."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PROMPTS:
-        _PROMPTS[key] = _fit_centroid_prompts(spark, sf_dir)
-    return _PROMPTS[key]
-
-
-def _fit_centroid_prompts(spark, sf_dir):
     cents = ve.class_centroids(B.vectors(spark, sf_dir))
     cents = cents.withColumn("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))
     names, vecs = ve.collect_prompts(cents, "name", "centroid", "class_id")
@@ -441,7 +429,7 @@ def _docs(spark, sf_dir):
 def vocab_topk(spark, sf_dir):
     from modspark.operators import text_model as tm
 
-    v = tm.vocabulary(tm.doc_terms(_docs(spark, sf_dir)), tm.MAX_FEATURES)
+    v = tm.vocabulary(_docs(spark, sf_dir), tm.MAX_FEATURES)
     return v.select("term", "freq", "doc_freq")
 
 
@@ -451,9 +439,8 @@ def tfidf_weights(spark, sf_dir):
     from modspark.operators import text_model as tm
 
     docs = _docs(spark, sf_dir)
-    terms = tm.doc_terms(docs)
-    vocab = tm.vocabulary(terms, tm.MAX_FEATURES)
-    w = tm.tfidf(terms, vocab, docs.count())
+    vocab, n_docs = tm.fit_tfidf(docs)
+    w = tm.tfidf(docs, vocab, n_docs)
     return w.select("doc_id", "term", half_up(F.col("weight"), 6).alias("weight"))
 
 
@@ -468,9 +455,8 @@ def linear_text_score(spark, sf_dir):
     from modspark.operators import text_model as tm
 
     docs = _docs(spark, sf_dir)
-    terms = tm.doc_terms(docs)
-    vocab = tm.vocabulary(terms, tm.MAX_FEATURES)
-    w = tm.tfidf(terms, vocab, docs.count())
+    vocab, n_docs = tm.fit_tfidf(docs)
+    w = tm.tfidf(docs, vocab, n_docs)
     coef = spark.createDataFrame([(t, LINEAR_COEF) for t in B.LEXICON_WORDS], "term string, coef double")
     return tm.linear_score(w, coef, LINEAR_INTERCEPT, docs)
 

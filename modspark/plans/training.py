@@ -6,15 +6,17 @@ when ``log=True``.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.functions.numeric import half_up, r4
+from modspark.functions.numeric import half_up
 from modspark.operators import evaluate as ev
 from modspark.operators import risk as rk
 from modspark.operators import text_model as tm
+from modspark.sources.readers import path_exists
 from modspark.operators.vectors import encode_label, image_classifier_output
 from modspark.schemas import TEXT_CLASSIFIER_THRESHOLD
 
@@ -30,23 +32,40 @@ def _metrics(scored: DataFrame, label: str, score: str, pred: str) -> DataFrame:
 
 @dataclass
 class TextModel:
-    vocab: DataFrame
-    n_docs: int
-    model: object
+    """M2's result: ``terms`` (term, freq, doc_freq, index, coef), the number
+    of fitted documents and the intercept.  Scoring is the J5 join."""
+
+    terms: DataFrame | None = None
+    n_docs: int = 0
+    intercept: float = 0.0
+
+    def _trained(self) -> None:
+        if self.terms is None:
+            raise RuntimeError("the text model is not trained; train or load it first")
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """M3: label toxic/clean at p > .5; confidence = risk = p (4 dp)."""
-        size = self.vocab.count()
-        w = tm.transform_tfidf(docs, self.vocab, self.n_docs, id_col, text_col)
-        v = tm.to_vectors(w, size, docs.select(F.col(id_col).alias("doc_id")))
-        p = tm.positive_probability(self.model, v)
-        return p.select(
-            "doc_id",
-            r4(F.col("p")).alias("risk_score"),
-            r4(F.col("p")).alias("confidence"),
-            F.when(F.col("p") > F.lit(TEXT_CLASSIFIER_THRESHOLD), F.lit("toxic")).otherwise(F.lit("clean")).alias("label"),
-            F.col("p"),
-        )
+        self._trained()
+        w = tm.tfidf(docs, self.terms, self.n_docs, id_col, text_col)
+        return tm.linear_score(w, self.terms, self.intercept, docs, id_col, with_p=True)
+
+    def save(self, path: str) -> None:
+        """A folder with the terms and the scalars; replacing one warns."""
+        self._trained()
+        spark, base = self.terms.sparkSession, path.rstrip("/")
+        if path_exists(spark, base):
+            warnings.warn(f"{base} holds a model already; it is replaced", stacklevel=2)
+        self.terms.write.mode("overwrite").parquet(f"{base}/terms")
+        one = spark.createDataFrame([(self.n_docs, self.intercept)], "n_docs long, intercept double")
+        one.write.mode("overwrite").parquet(f"{base}/scalars")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextModel:
+        base = path.rstrip("/")
+        if not path_exists(spark, f"{base}/scalars"):
+            raise FileNotFoundError(f"no text model in {base}")
+        n, b = spark.read.parquet(f"{base}/scalars").first()
+        return cls(spark.read.parquet(f"{base}/terms"), n, b)
 
 
 def train_text_model(
@@ -61,12 +80,13 @@ def train_text_model(
     split = split.checkpoint(eager=True)  # the split is reused by every later step
     train = split.filter(F.col("split") == "train").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), label)
     testd = split.filter(F.col("split") == "test").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), label)
-    vocab, n_docs = tm.fit_tfidf(train, "doc_id", "text", k)
-    size = vocab.count()
-    wtrain = tm.transform_tfidf(train, vocab, n_docs)
-    vtrain = tm.to_vectors(wtrain, size, train.select("doc_id")).join(train.select("doc_id", F.col(label).alias("label")), "doc_id")
-    model = tm.train_logistic(vtrain, c=c, max_iter=max_iter)
-    tmodel = TextModel(vocab, n_docs, model)
+    vocab, n_docs = tm.fit_tfidf(train, "text", k)
+    wtrain = tm.tfidf(train, vocab, n_docs)
+    vtrain = tm.to_vectors(wtrain, vocab.count(), train.select("doc_id"))
+    vtrain = vtrain.join(train.select("doc_id", F.col(label).alias("label")), "doc_id")
+    model = tm.train_logistic(vtrain, c=c, max_iter=max_iter, n=n_docs)
+    coef = spark.createDataFrame(list(enumerate(model.coefficients.toArray().tolist())), "index int, coef double")
+    tmodel = TextModel(vocab.join(coef, "index").checkpoint(eager=True), n_docs, float(model.intercept))
     scored = tmodel.score(testd, "doc_id", "text").withColumnRenamed("label", "text_label")
     scored = scored.join(testd.select("doc_id", F.col(label).alias("label")), "doc_id")
     scored = scored.withColumn("prediction", (F.col("p") > F.lit(TEXT_CLASSIFIER_THRESHOLD)).cast("int"))
@@ -123,7 +143,8 @@ def train_vector_probe(
     model = LogisticRegression(maxIter=epochs, regParam=0.0, tol=0.0).fit(train)
     loss = list(model.summary.objectiveHistory)
     scored = model.transform(testd).withColumn("p", vector_to_array("probability")[1])
-    scored = scored.withColumn("prediction", (F.col("p") > F.lit(0.5)).cast("int"))
+    scored = scored.select("id", "label", "p", (F.col("p") > F.lit(0.5)).cast("int").alias("prediction"))
+    scored = scored.checkpoint(eager=True)  # the metrics read it several times
     m = _metrics(scored, "label", "p", "prediction")
     if log:
         from modspark.sources.sinks import log_metrics
@@ -141,7 +162,3 @@ def vector_scores(model, vectors: DataFrame) -> DataFrame:
     p = model.transform(d).withColumn("p", vector_to_array("probability")[1])
     cols = image_classifier_output(F.col("p"))
     return p.select("id", *[v.alias(k) for k, v in cols.items()])
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

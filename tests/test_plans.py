@@ -155,12 +155,14 @@ def test_drift_is_one_scan(spark):
 
 
 def test_tfidf_shuffles(spark):
+    from modspark.operators import text_model as tm
     from modspark.plans import queries as Q
 
     p = _plan(Q.queries()["tfidf_weights"](spark, SF))
-    assert "hashpartitioning(doc_id" in p            # documents partitioned once by id
-    assert "BroadcastExchange" in p                  # only the k-row vocabulary is broadcast
+    assert p.count("Exchange hashpartitioning(doc_id") == 1  # documents partitioned once by id
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    v = _plan(tm.vocabulary(Q._docs(spark, SF)))
+    assert "hashpartitioning(doc_id" not in v  # no document shuffle for corpus counts
 
 
 def test_no_window_partitioned_by_user_alone_on_rows(spark):

@@ -224,3 +224,18 @@ def test_ensemble_label_uses_the_mean_before_rounding(spark):
     df = spark.createDataFrame([(0.50004, 0.50004)], "a double, b double")
     r = df.select([v.alias(k) for k, v in rk.ensemble_columns(F.col("a"), F.col("b")).items()]).first()
     assert r.final_risk_score == 0.5 and r.raw_risk > 0.5
+
+
+def test_accents_are_stripped_as_by_decomposition(spark):
+    import unicodedata
+
+    from modspark.functions.text import normalise
+
+    texts = ["Zażółć gęślą jaźń", "Příliš žluťoučký kůň", "İstanbul'da çığ", "Árvíztűrő tükörfúrógép", "ｆｕｌｌ ｗｉｄｔｈ", "e\u0301a\u0308", "Übergröße ñandú", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(normalise(F.col("t"))).collect()]
+
+    def strip(t):
+        return "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+
+    assert got == [strip(t) for t in texts]
