@@ -17,9 +17,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_model_based():
-    import __spark_entry__ as E
+    from modspark.plans import oracle, queries
 
-    no_sql = set(E.queries()) - set(E.oracle_sql())
+    no_sql = set(queries.queries()) - set(oracle.oracle_sql())
     assert no_sql <= {
         "text_model_auc", "text_model_scores", "risk_model_scores", "risk_model_metrics",
         "feature_importance", "vector_probe", "vector_scores",
