@@ -4,9 +4,10 @@ The column functions are the batch ones; only event-time state differs:
 watermarks bound it.  Spark guarantees that rows within the watermark delay
 are never dropped; rows behind it may or may not be aggregated (a window
 already closed is emitted again only in update mode), and deduplication (X5)
-bounds its state by the watermark but lets a late row through.  Every ``start_*`` writes through a checkpoint under the shared
-checkpoint folder unless one is given, so a restarted query resumes with
-exactly-once file output.
+bounds its state by the watermark but lets a late row through.  Every
+``start_*`` names its own checkpoint folder (shared by all executors): two
+queries never share one, and a restarted query resumes with exactly-once
+file output.
 
 Event time must be ``timestamp`` (not ``timestamp_ntz``) for watermarks;
 ``event_time`` casts it (session time zone UTC).
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from modspark.operators import monitor as mo
 from modspark.operators import triage
-from modspark.session import scratch_path
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -49,14 +49,13 @@ def review_queue_stream(content: DataFrame, lexicon: DataFrame | list, users: Da
     return review_queue(s)
 
 
-def start_audit_sink(records: DataFrame, path: str, checkpoint: str | None = None, trigger_once: bool = True):
+def start_audit_sink(records: DataFrame, path: str, checkpoint: str, trigger_once: bool = True):
     """X1 sink: audit records appended as JSON lines, partitioned by date."""
-    spark = records.sparkSession
     out = records.drop("ts").withColumn("dt", F.to_date(F.to_timestamp("timestamp")))
     w = (
         out.writeStream.format("json")
         .option("path", path)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-audit-ckpt"))
+        .option("checkpointLocation", checkpoint)
         .partitionBy("dt")
         .outputMode("append")
     )
@@ -114,14 +113,13 @@ def dedupe(stream: DataFrame, key: str = "content_id", watermark: str = "1 hour"
 def start_drift_checks(
     trigger_stream: DataFrame,
     audit_loader,
+    checkpoint: str,
     as_of_col: str = "ts",
     report_path: str | None = None,
-    checkpoint: str | None = None,
 ):
     """Run the drift check for every micro-batch of ``trigger_stream``
     (e.g. a rate source or new audit files), at the latest event time of the
     batch.  ``audit_loader(spark)`` returns the audit table to check."""
-    spark = trigger_stream.sparkSession
     from modspark.plans.retrain import run_drift_check
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -131,7 +129,7 @@ def start_drift_checks(
 
     return (
         trigger_stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-drift-ckpt"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
