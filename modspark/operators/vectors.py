@@ -9,6 +9,8 @@ computation (no join, no pairs, no shuffle).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,75 +63,59 @@ def zero_shot(
     the rest; a near-uniform distribution (population std < ``guard_std``)
     defaults to safe.
 
-    The prompts are constants, so each similarity is written out as a plain
-    sum of products over the vector components: whole-stage code generation
-    compiles it (with common sub-expressions such as the components and the
-    norm computed once per row) instead of interpreting lambdas per element.
+    The prompts are one constant array of unit vectors and every step is an
+    array expression over it, so the plan has the same few nodes for any
+    number of prompts and dimensions.  Sums are left folds in element order.
+    A vector that is null, all zeros or of another length than the prompts
+    has no similarities: its scores are null, its label 'safe'.
     """
-    from modspark.operators.partitioning import spread
+    from modspark.operators.partitioning import computed_once, spread
 
     if not prompt_vectors:
         raise ValueError("no prompts")
-    dim = len(prompt_vectors[0])
-    units = [l2_unit(p) for p in prompt_vectors]
-    k = len(units)
-    out = spread(vectors)
-    # One SQL expression per prompt (a single call each to build the plan);
-    # exact double literals; the components are shared sub-expressions.
-    comps = [f"CAST(get(`{vec_col}`, {i}) AS DOUBLE)" for i in range(dim)]
-    norm = "sqrt(" + " + ".join(f"{c} * {c}" for c in comps) + ")"
-    sims = {}
-    for j, u in enumerate(units):
-        dotp = " + ".join(f"{c} * {_dlit(u[i])}" for i, c in enumerate(comps))
-        sims[f"_s{j}"] = F.expr(f"(({dotp}) / {norm}) * {_dlit(float(logit_scale))}")
-    out = out.withColumns(sims)
-    # The softmax, the guard and the outputs, as SQL over the similarity
-    # columns (a few plan calls instead of one per arithmetic node); sums are
-    # left folds in prompt order, as written.
-    s = [f"_s{j}" for j in range(k)]
-    e = [f"_e{j}" for j in range(k)]
-    p = [f"_p{j}" for j in range(k)]
-
-    def fold(xs: list[str]) -> str:
-        return " + ".join(xs) if xs else "0.0D"
+    k = len(prompt_vectors)
+    units = json.dumps([l2_unit(p) for p in prompt_vectors])
+    tags = ", ".join(_slit(n) for n in names)
+    std, scale, over = _dlit(float(guard_std)), _dlit(float(logit_scale)), _dlit(float(harmful_threshold))
+
+    def total(xs: str) -> str:
+        return f"aggregate({xs}, 0.0D, (a, x) -> a + x)"
 
     def r4s(x: str) -> str:
         return f"CAST(FLOOR(({x}) * 10000.0D + 0.5D) / 10000.0D AS DOUBLE)"
 
-    out = out.withColumn("_mx", F.expr(f"greatest({', '.join(s)})" if k > 1 else s[0]))
-    out = out.withColumns({e[j]: F.expr(f"exp({s[j]} - _mx)") for j in range(k)})
-    out = out.withColumn("_z", F.expr(fold(e)))
-    out = out.withColumns({p[j]: F.expr(f"{e[j]} / _z") for j in range(k)})
-    mean = _dlit(1.0 / k)
-    var = " + ".join(f"({x} - {mean}) * ({x} - {mean})" for x in p)
-    out = out.withColumns(
-        {
-            "_harm": F.expr(fold(p[:n_harmful])),
-            "_safe": F.expr(fold(p[n_harmful:])),
-            "_top": F.expr(f"greatest({', '.join(p)})" if k > 1 else p[0]),
-            "_std": F.expr(f"sqrt(({var}) / {_dlit(float(k))})"),
-        }
-    )
-    low = f"(_std < {_dlit(float(guard_std))})"
-    top_name = "CASE " + " ".join(f"WHEN {p[j]} = _top THEN {_slit(names[j])}" for j in range(k)) + " END"
-    from modspark.operators.partitioning import computed_once
-
+    # One array a step, each from a generator row: computed once a vector.
+    out = spread(vectors)
+    for name, expr in {
+        "_v": f"CAST(`{vec_col}` AS ARRAY<DOUBLE>)",
+        "_n": f"nullif(sqrt({total('transform(_v, x -> x * x)')}), 0.0D)",
+        "_s": f"transform(from_json('{units}', 'array<array<double>>'), "
+        f"u -> {total('zip_with(_v, u, (x, y) -> x * y)')} / _n * {scale})",
+        "_e": "transform(_s, x -> exp(x - array_max(_s)))",
+        "_z": total("_e"),
+        "_p": "transform(_e, x -> x / _z)",
+        "_mean": _dlit(1.0 / k),
+        "_std": f"sqrt({total('transform(_p, x -> (x - _mean) * (x - _mean))')} / {_dlit(float(k))})",
+        "_harm": total(f"slice(_p, 1, {n_harmful})"),
+        "_safe": total(f"slice(_p, {n_harmful + 1}, {k})"),
+        "_top": "array_max(_p)",
+    }.items():
+        out = computed_once(out, {name: F.expr(expr)})
+    low = f"(_std < {std})"
     exprs = {
         "prob_std": "_std",
         "harmful_score": f"CASE WHEN {low} THEN 0.0D ELSE {r4s('_harm')} END",
         "safe_score": f"CASE WHEN {low} THEN 1.0D ELSE {r4s('_safe')} END",
         "risk_score": f"CASE WHEN {low} THEN 0.0D ELSE {r4s('_harm')} END",
-        "prompt_scores": "map(" + ", ".join(f"{_slit(names[j])}, {r4s(p[j])}" for j in range(k)) + ")",
-        "label": f"CASE WHEN {low} THEN 'safe' WHEN _harm > {_dlit(float(harmful_threshold))} THEN 'harmful' "
-        f"ELSE 'safe' END",
+        "prompt_scores": f"map_from_arrays(array({tags}), transform(_p, p -> {r4s('p')}))",
+        "label": f"CASE WHEN {low} THEN 'safe' WHEN _harm > {over} THEN 'harmful' ELSE 'safe' END",
         "confidence": f"CASE WHEN {low} THEN {_slit(LOW_CONFIDENCE_LABEL)} ELSE 'high' END",
         "note": f"CASE WHEN {low} THEN {_slit(LOW_CONFIDENCE_NOTE)} END",
-        "top_prompt": top_name,
+        "top_prompt": f"get(array({tags}), CAST(array_position(_p, _top) - 1 AS INT))",
         "top_score": r4s("_top"),
     }
     out = computed_once(out, {n: F.expr(x) for n, x in exprs.items()})
-    tmp = s + e + p + ["_mx", "_z", "_harm", "_safe", "_top", "_std"]
-    return out.drop(*tmp)
+    return out.drop("_v", "_n", "_s", "_e", "_z", "_p", "_mean", "_std", "_harm", "_safe", "_top")
 
 
 def _slit(x: str) -> str:

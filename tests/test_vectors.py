@@ -63,3 +63,31 @@ def test_harmful_threshold(spark):
         scale = math.log(p0 / (1 - p0))  # p0 < .5 -> negative scale flips the preference
         r = run(spark, [1.0, 0.0], prompts, 1, scale)
         assert r.label == label, (p0, r)
+
+
+def test_vectors_without_direction(spark):
+    prompts = [[1.0, 0.0], [0.0, 1.0]]
+    df = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0]), (4, [1.0, 0.0])], "id long, embedding array<double>")
+    rows = {r.id: r for r in ve.zero_shot(df, ["a", "b"], prompts, 1, logit_scale=10.0).collect()}
+    for i in (1, 2, 3):
+        assert rows[i].risk_score is None and rows[i].top_prompt is None and rows[i].label == "safe"
+    assert rows[4].top_prompt == "a" and rows[4].label == "harmful"
+
+
+def test_plan_cost_does_not_grow_with_dimensions(spark):
+    import time
+
+    def seconds(dim):
+        rng = np.random.default_rng(dim)
+        prompts, vecs = rng.normal(size=(11, dim)).tolist(), rng.normal(size=(50, dim)).tolist()
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, embedding array<double>")
+        t0 = time.perf_counter()
+        rows = ve.zero_shot(df, [f"p{i}" for i in range(11)], prompts, 5, logit_scale=30.0).collect()
+        took = time.perf_counter() - t0
+        for r in rows[:5]:
+            harm, std, p = numpy_ref(vecs[r.id], prompts, 5, 30.0)
+            assert r.prob_std == pytest.approx(std) and r.top_prompt == f"p{p.argmax()}"
+        return took
+
+    seconds(8)  # code generation warm-up
+    assert seconds(512) <= 10 * seconds(64)
