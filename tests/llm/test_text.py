@@ -289,3 +289,22 @@ def test_leak_edges(spark, make_docs, words, monkeypatch):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.find_leaks(docs, empty).collect())
     assert decontam.find_leaks(make_docs([]), bench).count() == 0
+
+
+def test_replaced_words_among_common_ones(spark, make_docs, words):
+    """Item words that many documents hold, other words seen nowhere else."""
+    items = [(k, words(24, 100 + k)) for k in range(8)]
+    rng = random.Random(6)
+    texts = [words(250, 1_000 + k) for k in range(150)]
+    for _, t in items:  # a third of the words replaced, the answer kept
+        ws = t.split()
+        for j in rng.sample(range(18), 8):
+            ws[j] = f"zq{rng.randrange(10**6)}"
+        texts.append(" ".join([f"zr{rng.randrange(10**6)}" for _ in range(40)] + ws))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.find_leaks(make_docs(texts), bench).collect()}
+    found = 0
+    for k, (i, _) in enumerate(items):
+        assert brute_leaks(texts[150 + k], items) >= {i}
+        found += i in got[150 + k]
+    assert found >= 7
