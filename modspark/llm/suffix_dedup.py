@@ -14,9 +14,11 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else
    of whole keys; windows that share their full length with a neighbour in
    suffix order are repeated.
 3. A key with more than ``HOT_CLASSES`` classes (a very common passage with
-   ever new surroundings) is not sorted in one shard: its windows are counted
-   by 128-bit hash over all tasks, combined map-side, which is exact up to
-   hash collisions.
+   ever new surroundings) or ``HOT_BYTES`` bytes of classes (long stretches of
+   one repeated character or line) is not sorted in one shard, so a shard has
+   at most ``SHARD_BYTES`` + ``HOT_BYTES``: its windows are counted by 128-bit
+   hash over all tasks, a row a different window of a class, combined
+   map-side, which is exact up to hash collisions.
 4. Repeated stretches are carried back to every document that has the class.
 
 Defined cases: null or empty text has no bytes and nothing removed; texts
@@ -43,7 +45,8 @@ from .induced_sort import repeated_starts
 LENGTH, GRAM = 400, 32
 CHUNK = 4 << 20
 SHARD_BYTES = 4 << 20
-HOT_CLASSES = 6_000
+HOT_CLASSES, HOT_BYTES = 6_000, SHARD_BYTES
+PIECE = 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,21 +123,21 @@ def _runs_table(docs: DataFrame, id_col: str, length: int) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, need: DataFrame, id_col: str) -> DataFrame:
-    """(key, body, n, classes, data): the bytes of the classes in ``need``."""
+    """(key, body, n, hot, data): the bytes of the classes in ``need``."""
     lists = need.groupBy(F.col(id_col).alias("_i"), F.col("c").alias("_c")).agg(
-        F.collect_list(F.struct("key", "body", "n", "classes", "s", "e")).alias("want")
+        F.collect_list(F.struct("key", "body", "n", "hot", "s", "e")).alias("want")
     )
     rows = docs.join(lists, docs[id_col].eqNullSafe(F.col("_i")) & (docs["c"] == F.col("_c"))).select("text", "want")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for data, want in zip(_bytes(b.column(0)), b.column(1).to_pylist()):
-            out += [(w["key"], w["body"], w["n"], w["classes"], data[w["s"] : w["e"]]) for w in want]
-        kinds = [pa.int64()] * 4 + [pa.binary()]
+            out += [(w["key"], w["body"], w["n"], w["hot"], data[w["s"] : w["e"]]) for w in want]
+        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.binary()]
         cols = list(zip(*out)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "body", "n", "classes", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "body", "n", "hot", "data"])
 
-    return map_batches(rows, fn, "key long, body long, n long, classes long, data binary")
+    return map_batches(rows, fn, "key long, body long, n long, hot boolean, data binary")
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -188,30 +191,65 @@ def _sort_shards(bodies: DataFrame, length: int) -> DataFrame:
 def _count_windows(bodies: DataFrame, length: int) -> DataFrame:
     """The windows of hot keys, counted by 128-bit hash."""
     steps = [*range(0, length - GRAM, GRAM), length - GRAM]
+    names = ["key", "body", "n", "at", "till", "x", "y", "k"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3
+
+    def windows(key: int, body: int, n: int, data: bytes) -> list[tuple]:
+        """Columns: each different window of a class with its number there,
+        and the stretches of starts of those seen twice (no hash)."""
+        h = gram_hashes(np.frombuffer(data, np.uint8))
+        k = len(data) - length + 1
+        x, y = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
+        with np.errstate(over="ignore"):
+            for s in steps:
+                x = (x ^ (x >> np.uint64(27))) * _MIX + h[s : s + k]
+                y = (y ^ (y >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + (h[s : s + k] ^ _MIX)
+        order = np.lexsort((y, x))
+        sx, sy = x[order], y[order]
+        first = np.flatnonzero(np.r_[True, (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1])])
+        times = np.diff(np.r_[first, k])
+        again = np.zeros(k, bool)
+        again[order] = np.repeat(times > 1, times)
+        edge = np.flatnonzero(np.diff(np.r_[False, again, False]))
+        none = pa.nulls(len(edge) // 2, pa.int64())
+        at = order[first]
+        one, two = len(at), len(none)
+        return [
+            (np.full(one, key), np.full(one, body), np.full(one, n), at, at + 1, sx[first].view(np.int64), sy[first].view(np.int64), times),
+            (np.full(two, key), np.full(two, body), np.full(two, n), edge[::2], edge[1::2], none, none, np.full(two, 2)),
+        ]
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for key, body, n, data in zip(*(c.to_pylist() for c in b.columns)):
-            h = gram_hashes(np.frombuffer(data, np.uint8))
-            k = len(data) - length + 1
-            x, y = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
-            with np.errstate(over="ignore"):
-                for s in steps:
-                    x = (x ^ (x >> np.uint64(27))) * _MIX + h[s : s + k]
-                    y = (y ^ (y >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + (h[s : s + k] ^ _MIX)
-            out.append((np.full(k, key), np.full(k, body), np.full(k, n), np.arange(k, dtype=np.int32), x.view(np.int64), y.view(np.int64)))
-        cols = list(map(np.concatenate, zip(*out)))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "body", "n", "at", "x", "y"])
-
-    rows = map_batches(bodies.select("key", "body", "n", "data").dropDuplicates(["key", "body"]), fn, "key long, body long, n long, at int, x long, y long")
-    rows = stored(rows, "suffix-hot-windows")
-    twice = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("x", "y")
-    hit = rows.filter("n = 1").join(twice, ["x", "y"])
-    span = F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    return hit.groupBy("key", "body").agg(F.collect_list(span).alias("spans"))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot_classes: int = HOT_CLASSES):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1 << 18):
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    for cols in windows(*row):
+                        out = pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], names=names)
+                        yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
+
+    def join(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for p, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            marked = np.zeros(PIECE, bool)
+            marked[np.array(starts) - p * PIECE] = True
+            found.append([{"a": x["a"] + p * PIECE, "b": x["b"] + p * PIECE} for x in _spans(marked, length)])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _SPANS)], names=["key", "body", "spans"])
+
+    one = bodies.select("key", "body", "n", "data").dropDuplicates(["key", "body"])
+    rows = stored(one.mapInArrow(run, "key long, body long, n long, at int, till int, x long, y long, k long"), "suffix-hot-windows")
+    twice = rows.filter("x IS NOT NULL").groupBy("x", "y").agg(F.sum("k").alias("k")).filter("k > 1").select("x", "y")
+    hit = rows.filter("n = 1 AND k = 1").join(twice, ["x", "y"])
+    # a class's starts in pieces of bounded length
+    pieces = hit.groupBy("key", "body", F.floor(F.col("at") / PIECE).alias("p")).agg(F.collect_list("at").alias("starts"))
+    span = F.struct(F.col("at").alias("a"), (F.col("till") - 1 + length).alias("b"))
+    own = rows.filter("n = 1 AND x IS NULL").select("key", "body", F.array(span).alias("spans"))
+    return map_batches(pieces, join, _MARKS).unionByName(own)
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH,
+    hot_classes: int = HOT_CLASSES, hot_bytes: int = HOT_BYTES,
+):
     """(rows, spans): ``rows`` is (id, c, n_bytes, whole) of every document,
     ``spans`` (id, c, spans) of those with something to remove, as byte
     stretches that may overlap."""
@@ -224,16 +262,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         ),
         "suffix-classes",
     )
-    keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("seen"), F.max("twice").alias("any"))
-    live = stored(classes.join(keys.filter("seen > 1 OR any").select("key", "classes"), "key"), "suffix-live")
+    keys = classes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("seen"), F.max("twice").alias("any"), F.sum(F.col("e") - F.col("s")).alias("size")
+    )
+    big = ((F.col("classes") > hot_classes) | (F.col("size") > hot_bytes)).alias("hot")
+    live = stored(classes.join(keys.filter("seen > 1 OR any").select("key", "classes", big), "key"), "suffix-live")
     need = live.filter("classes > 1 OR (twice AND n = 1)")
     bodies = stored(_bodies(src.select(id_col, "c", "text"), need, id_col), "suffix-bodies")
-    marks = _sort_shards(bodies.filter(F.col("classes") <= hot_classes), length).unionByName(
+    marks = _sort_shards(bodies.filter("NOT hot"), length).unionByName(
         live.filter("n > 1").select(
             "key", "body", F.array(F.struct(F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))).alias("spans")
         )
     )
-    hot = bodies.filter(F.col("classes") > hot_classes)
+    hot = bodies.filter("hot")
     if not hot.isEmpty():
         marks = marks.unionByName(_count_windows(hot, length))
     marks = stored(marks, "suffix-marks")

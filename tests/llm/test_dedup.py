@@ -179,3 +179,23 @@ def test_empty_tables(make_docs):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty, with_kept=False).count() == 0
+
+
+def test_a_key_of_many_bytes_is_not_sorted_in_one_shard(make_docs, words, monkeypatch):
+    """Filler of different lengths: few classes, one key, many bytes."""
+    texts = [words(20, k) + " " + "-" * (3_000 + 97 * k) + " " + words(20, 50 + k) for k in range(12)]
+    texts += [words(20, 99) + "- " * 2_000, "- " * 1_700 + words(20, 98), words(150, 1)]
+    whole = []  # bytes a key left to the sorter
+    real = suffix_dedup._sort_shards
+
+    def spy(bodies, length):
+        whole.extend(r[1] for r in bodies.selectExpr("key", "length(data) n").groupBy("key").sum("n").collect())
+        return real(bodies, length)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", spy)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 512, raising=False)
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", tuple(8_000 if d == suffix_dedup.SHARD_BYTES else d for d in suffix_dedup.repeated_spans.__defaults__))
+    got = suffix_dedup.remove_repeats(make_docs(texts), with_kept=False).collect()
+    rows = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert rows == sorted((i, *x) for i, x in enumerate(brute_removal(texts, 400)))
+    assert max(whole, default=0) <= 8_000
