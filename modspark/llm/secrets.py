@@ -54,11 +54,20 @@ BASE = (
     # a maximal run of 24 or more is exactly an accepted match of the base pattern
     Rule("hex", r"[0-9a-f]+", 0, 0, 24, run=r"[0-9a-f]{24,}"),
 )
+# A private key to its END line; without one, to the end of its header and base64 lines.
+_BREAK = r"(?:\r?\n|\r|\\r\\n|\\n|\\r)[ \t>|]*"  # of lines, also escaped or quoted ones
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:"
+    r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----|"
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*+"
+    r"(?:(?:\s|\\[nr]|[>|])*+[A-Za-z0-9+/=]{16,}+|"
+    rf"{_BREAK}[A-Za-z0-9+/=]++[ \t]*+(?=[\r\n\\\"'`]|\Z))*+)"
+)
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 )
 RULES = BASE + ADDED
