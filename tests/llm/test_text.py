@@ -323,3 +323,14 @@ def test_private_keys_are_masked_whole(make_docs):
     assert [got[k] for k in range(7)] == [f"a {m} b", f"a {m} b", f"a {m}\nand more b", f"a {m}", f"a {m} b", f"a {m}\n{m} b", f"a {m} is a marker b"]
     pem = next(r for r in secrets.RULES if r.kind == "pem")
     assert secrets.trigram_query(pem.pattern) == secrets.trigram_query(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+
+
+def test_items_without_an_id_are_evidence(spark, make_docs, words, monkeypatch):
+    bench = spark.createDataFrame([(None, words(30, 1)), (2, words(30, 2))], "item_id long, text string")
+    docs = make_docs([words(30, 1), words(30, 2) + " " + words(30, 1), words(40, 5)])
+    for block in (decontam.ITEMS, 1):
+        monkeypatch.setattr(decontam, "ITEMS", block)
+        got = {r.doc_id: r for r in decontam.find_leaks(docs, bench).collect()}
+        assert [got[k]["items"] for k in range(3)] == [[None], [2, None], []]
+        assert [got[k].contaminated for k in range(3)] == [True, True, False]
+        assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [2]
