@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
+from . import anchor_dedup, bpe, chat, decontam, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
 from .common import read_table
 
 
@@ -71,10 +71,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every 50-word passage that an earlier document has."""
+    return anchor_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_kept=False)
+
+
 def queries() -> dict:
     fns = [
         op1_simhash, op2_quality_gam, op3_suffix_dedup, op4_bpe, op5_warc, op6_langid, op7_quality_rules,
-        op8_secret_scan, op9_decontaminate, op10_chat_format,
+        op8_secret_scan, op9_decontaminate, op10_chat_format, op13_anchor_dedup,
     ]
     return {f.__name__: f for f in fns}
 
@@ -108,5 +113,23 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) i FROM d WHERE len(w) >= 50)),
+least AS (SELECT s, min(doc_id) m FROM win GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS i
+  FROM (SELECT win.doc_id, i, unnest(range(0, 50)) k FROM win JOIN least USING (s) WHERE m < win.doc_id)),
+word AS (SELECT doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM d),
+kept AS (
+  SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY i) t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_warc": _OP5, "op10_chat_format": _OP10}
+    return {"op5_warc": _OP5, "op10_chat_format": _OP10, "op13_anchor_dedup": _OP13}
