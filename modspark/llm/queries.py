@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchor_dedup, bpe, chat, decontam, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
+from . import anchor_dedup, bpe, chat, decontam, filter_audit, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
 from .common import read_table
 
 
@@ -71,6 +71,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of five filters over all documents, a part a language."""
+    return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
 def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every 50-word passage that an earlier document has."""
     return anchor_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_kept=False)
@@ -79,7 +84,7 @@ def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     fns = [
         op1_simhash, op2_quality_gam, op3_suffix_dedup, op4_bpe, op5_warc, op6_langid, op7_quality_rules,
-        op8_secret_scan, op9_decontaminate, op10_chat_format, op13_anchor_dedup,
+        op8_secret_scan, op9_decontaminate, op10_chat_format, op12_filter_audit, op13_anchor_dedup,
     ]
     return {f.__name__: f for f in fns}
 
@@ -113,6 +118,39 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w
+  FROM documents),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+    (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN min(d.doc_id) OVER (PARTITION BY t) < d.doc_id THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, fails, count(*) n, sum(good) good, sum(toxic) toxic FROM f GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || e.x || g.x || h.x AS ord FROM l a, l b, l e, l g, l h
+  WHERE len(list_distinct([a.x, b.x, e.x, g.x, h.x])) = 5),
+s AS (SELECT ord, k, ord[k] x, ord[1:k-1] earlier FROM o, range(1, 6) r(k)),
+r AS (
+  SELECT part, ord, k, x,
+    sum(CASE WHEN translate(fails, earlier || x, '') = fails THEN n ELSE 0 END) kept,
+    sum(CASE WHEN contains(fails, x) AND translate(fails, earlier, '') = fails THEN n ELSE 0 END) removed,
+    sum(CASE WHEN contains(fails, x) AND translate(fails, earlier, '') <> fails THEN n ELSE 0 END) redundant,
+    sum(CASE WHEN fails = x THEN n ELSE 0 END) unique_fails,
+    sum(CASE WHEN contains(fails, x) AND translate(fails, earlier, '') = fails THEN good ELSE 0 END) good_lost,
+    sum(CASE WHEN contains(fails, x) AND translate(fails, earlier, '') = fails THEN toxic ELSE 0 END) toxic_lost
+  FROM c, s GROUP BY part, ord, k, x)
+SELECT part, ord AS filter_order, CAST(k AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 win AS (
@@ -132,4 +170,4 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op5_warc": _OP5, "op10_chat_format": _OP10, "op13_anchor_dedup": _OP13}
+    return {"op5_warc": _OP5, "op10_chat_format": _OP10, "op12_filter_audit": _OP12, "op13_anchor_dedup": _OP13}
