@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchor_dedup, bpe, chat, decontam, filter_audit, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
+from . import anchor_dedup, bpe, chat, decontam, divergence, filter_audit, langid_crf, quality_gam, quality_rules, secrets, simhash, suffix_dedup, warc
 from .common import read_table
 
 
@@ -71,6 +71,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language over all documents."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders of five filters over all documents, a part a language."""
     return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", read_table(spark, sf_dir, "labels"))
@@ -84,7 +89,7 @@ def op13_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     fns = [
         op1_simhash, op2_quality_gam, op3_suffix_dedup, op4_bpe, op5_warc, op6_langid, op7_quality_rules,
-        op8_secret_scan, op9_decontaminate, op10_chat_format, op12_filter_audit, op13_anchor_dedup,
+        op8_secret_scan, op9_decontaminate, op10_chat_format, op11_divergence, op12_filter_audit, op13_anchor_dedup,
     ]
     return {f.__name__: f for f in fns}
 
@@ -118,6 +123,43 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () r, coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w
+  FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) t FROM d),
+vocab AS (SELECT lang, t FROM tok GROUP BY lang, t HAVING count(DISTINCT r) >= 3),
+gc AS (SELECT lang, source, t, count(*) n FROM tok JOIN vocab USING (lang, t) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) v FROM vocab GROUP BY lang),
+gn AS (SELECT lang, source, coalesce(sum(n), 0) n FROM grp LEFT JOIN gc USING (lang, source) GROUP BY ALL),
+gp AS (
+  SELECT grp.lang, grp.source, vocab.t, coalesce(gc.n, 0) c,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(gc.n, 0) + 1)) // (gn.n + v.v) AS HUGEINT) p
+  FROM grp JOIN vocab USING (lang) JOIN v USING (lang) JOIN gn ON gn.lang = grp.lang AND gn.source = grp.source
+  LEFT JOIN gc ON gc.lang = grp.lang AND gc.source = grp.source AND gc.t = vocab.t),
+lt AS (SELECT lang, t, sum(n) n FROM gc GROUP BY ALL),
+lp AS (
+  SELECT lang, t, CAST(1 + (CAST(1000000000 AS HUGEINT) * (lt.n + 1)) // (ln.n + v.v) AS HUGEINT) q
+  FROM lt JOIN (SELECT lang, sum(n) n FROM lt GROUP BY lang) ln USING (lang) JOIN v USING (lang)),
+pv AS (
+  SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) val
+  FROM gp a JOIN gp b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(val, 0) val
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+term AS (
+  SELECT lang, source, 'term' part, t item, (p - q) * (p - q) // q val FROM gp JOIN lp USING (lang, t) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY val DESC, item) rk
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(val AS BIGINT) AS "value", CAST(rk AS INT) AS "rank"
+FROM ranked WHERE part = 'pair' OR rk <= 200
+"""
+
 _OP12 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w
@@ -170,4 +212,4 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op5_warc": _OP5, "op10_chat_format": _OP10, "op12_filter_audit": _OP12, "op13_anchor_dedup": _OP13}
+    return {"op5_warc": _OP5, "op10_chat_format": _OP10, "op11_divergence": _OP11, "op12_filter_audit": _OP12, "op13_anchor_dedup": _OP13}
