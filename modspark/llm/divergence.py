@@ -61,7 +61,7 @@ def _frequencies(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, seen in held.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(seen)), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
+                    [pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
                     names=["lang", "term", "n"],
                 )
             held.clear()
