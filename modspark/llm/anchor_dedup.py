@@ -13,11 +13,12 @@ document with a smaller id is removed (words are ``[^\\x20\\x09-\\x0D]+``).
    whole context, the words any window around the anchor can reach.  Anchors
    of one document only are done with.
 3. Extension.  Where all contexts of an anchor agree, every later document
-   loses the whole context.  Elsewhere the different contexts (classes, each
-   with its smallest document) are extended: a row for each of the class's at
-   most PERIOD windows, whose minimum document over all classes tells what
-   even the class's first document loses.  Work follows the number of
-   different contexts, never the pairs of a group.
+   loses the whole context.  Elsewhere the occurrences fall into classes of
+   equal contexts: a class's later documents lose the whole context again,
+   and its first document is extended, a row a window around the anchor (each
+   start of a document once); the smallest document of equal windows tells
+   what it loses.  Work follows the number of different contexts, at most a
+   row a word of their first documents, never the pairs of a group.
 4. Stretches are brought together per document and cut from its words.
 
 Equality is by two 64-bit hashes of word hashes (128 bits).
@@ -93,8 +94,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, hash of its context, position) at cover positions."""
+def anchors(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(hash of the anchor, hash of its context, position, words of context
+    after it) at cover positions."""
     size, n = window - PERIOD + 1, len(words)
     reach = window - size
     out = []
@@ -111,9 +113,9 @@ def anchors(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
             c = two.hash(p - left - low, p + size + right - low)
             with np.errstate(over="ignore"):
                 c ^= _scramble((left * (reach + 1) + right).astype(np.uint64) + np.uint64(1))
-            out.append((h.view(np.int64), c.view(np.int64), p.astype(np.int32)))
+            out.append((h.view(np.int64), c.view(np.int64), p.astype(np.int32), right.astype(np.int16)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -132,53 +134,48 @@ def _table(src: DataFrame, id_col: str, window: int) -> DataFrame:
             n.append(len(words))
             whole.append(_digest(words))
             found.append(anchors(word_hashes(words) if key.is_valid else np.zeros(0, np.uint64), window))
-        h, c, p = (np.concatenate(x) for x in zip(*found))
-        rows = pa.StructArray.from_arrays([pa.array(h), pa.array(c), pa.array(p)], names=["h", "c", "p"])
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["h", "c", "p", "right"])
         ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(whole), pa.ListArray.from_arrays(ends, rows)],
             names=[id_col, "t", "n_words", "whole", "anchors"],
         )
 
-    schema = f"`{id_col}` {id_type}, t long, n_words long, whole string, anchors array<struct<h:long,c:long,p:int>>"
+    schema = f"`{id_col}` {id_type}, t long, n_words long, whole string, anchors array<struct<h:long,c:long,p:int,right:smallint>>"
     return map_batches(src, fn, schema)
 
 
-def _windows(src: DataFrame, classes: DataFrame, id_col: str, window: int) -> DataFrame:
-    """(h, c, id, d, x, y): the windows around the first anchor of every
-    class, ``d`` words before it."""
+def _windows(src: DataFrame, places: DataFrame, id_col: str, window: int) -> DataFrame:
+    """(r, id, s, x, y): every window around the anchors at ``places``
+    (id, t, r, ps), each start of a row once."""
     size = window - PERIOD + 1
     reach = window - size
     id_type = dict(src.dtypes)[id_col]
-    lists = classes.groupBy(F.col(id_col).alias("_i"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "c", "p")).alias("want"))
-    rows = src.join(lists, (src[id_col] == F.col("_i")) & (src["t"] == F.col("_t"))).select(id_col, "text", "want")
+    lists = places.withColumnsRenamed({id_col: "_i", "t": "_t"})
+    rows = src.join(lists, (src[id_col] == F.col("_i")) & (src["t"] == F.col("_t"))).select("r", id_col, "text", "ps")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for row, (text, want) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+        out = [(np.zeros(0, np.int64),) * 4]
+        for row, (text, ps) in enumerate(zip(b.column(2).to_pylist(), b.column(3))):
             words = word_hashes(split(text))
-            n, part = len(words), want.values
-            h, c, p = (part.field(x).to_numpy() for x in "hcp")
-            order = np.argsort(p)
-            h, c, p = h[order], c[order], p[order].astype(np.int64)
-            for lo in np.unique(p // PIECE) * PIECE:
-                mine = np.flatnonzero(p // PIECE * PIECE == lo)
-                low, high = max(0, lo - reach), min(n, lo + PIECE + window)
-                one, two = (Ranges(words[low:high], k) for k in (0, 1))
-                d = np.tile(np.arange(reach + 1), len(mine))
-                i = np.repeat(mine, reach + 1)
-                start = p[i] - d
-                ok = (start >= 0) & (start + window <= n)
-                i, d, start = i[ok], d[ok], start[ok] - low
-                x, y = one.hash(start, start + window), two.hash(start, start + window)
-                out.append((h[i], c[i], np.full(len(i), row), d.astype(np.int32), x.view(np.int64), y.view(np.int64)))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
-        cols[2] = b.column(0).take(pa.array(cols[2], pa.int64()))
-        kinds = [pa.int64(), pa.int64(), None, pa.int32(), pa.int64(), pa.int64()]
-        arrays = [v if t is None else pa.array(v).cast(t) for v, t in zip(cols, kinds)]
-        return pa.RecordBatch.from_arrays(arrays, names=["h", "c", "m", "d", "x", "y"])
-
-    return map_batches(rows, fn, f"h long, c long, m {id_type}, d int, x long, y long")
+            n, p = len(words), ps.values.to_numpy().astype(np.int64)
+            edge = np.zeros(n + 2, np.int32)
+            np.add.at(edge, np.maximum(p - reach, 0), 1)
+            np.add.at(edge, np.minimum(p, n - window) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+            for low in range(0, n, PIECE):
+                s = starts[(starts >= low) & (starts < low + PIECE)] - low
+                if len(s):
+                    one, two = (Ranges(words[low : low + PIECE + window], k) for k in (0, 1))
+                    x, y = one.hash(s, s + window), two.hash(s, s + window)
+                    out.append((np.full(len(s), row), s + low, x.view(np.int64), y.view(np.int64)))
+        row, s, x, y = (np.concatenate(c) for c in zip(*out))
+        row = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [b.column(0).take(row), b.column(1).take(row), pa.array(s).cast(pa.int32()), pa.array(x), pa.array(y)], names=["r", id_col, "s", "x", "y"]
+        )
+
+    return map_batches(rows, fn, f"r long, `{id_col}` {id_type}, s int, x long, y long")
 
 
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW):
@@ -190,38 +187,37 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     size = window - PERIOD + 1
     reach = window - size
     src = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    table = stored(_table(src.select(id_col, "t", "text"), id_col, window), "anchors")
-    each = table.filter(F.size("anchors") > 0).select(id_col, "t", "n_words", F.inline("anchors"))
+    table = _table(src.select(id_col, "t", "text"), id_col, window)
+    table = stored(table.withColumn("r", F.monotonically_increasing_id()), "anchors")
+    each = table.filter(F.size("anchors") > 0).select("r", id_col, F.inline("anchors"))
     heads = each.groupBy("h").agg(
-        F.min(id_col).alias("m"), F.max(id_col).alias("z"), (F.min("c") != F.max("c")).alias("open")
-    )
-    heads = stored(heads.filter("m < z").select("h", "m", "open"), "anchor-heads")
-    hits = stored(each.join(heads, "h").filter(F.col("open") | (F.col(id_col) > F.col("m"))), "anchor-hits")
-
-    left, right = F.least(F.col("p"), F.lit(reach)), F.least(F.col("n_words") - F.col("p") - size, F.lit(reach))
-    whole = F.struct((F.col("p") - left).cast("int").alias("a"), (F.col("p") + size + right).cast("int").alias("b"))
-    wide = (left + right) >= reach
-    spans = hits.filter(~F.col("open") & wide).select(id_col, "t", whole.alias("s"))
-
-    # anchors with different contexts: classes, each with its first place
-    mixed = hits.filter(F.col("open") & wide)
-    first = mixed.groupBy("h", "c").agg(F.min(F.struct(F.col(id_col).alias("m"), "t", "p")).alias("f"))
-    classes = stored(first.select("h", "c", F.col("f.m").alias(id_col), "f.t", "f.p"), "anchor-classes")
-    rows = stored(_windows(src, classes, id_col, window), "anchor-windows")
-    least = rows.groupBy("x", "y").agg(F.min("m").alias("least"), F.max("m").alias("most")).filter("least < most")
-    own = rows.join(least, ["x", "y"]).filter("m > least").groupBy("h", "c").agg(F.collect_list("d").alias("ds"))
-    known = classes.select("h", "c", F.col(id_col).alias("m")).join(own, ["h", "c"], "left")
-    at = mixed.drop("m", "open").join(known, ["h", "c"])
-    later = at.filter(F.col(id_col) > F.col("m")).select(id_col, "t", whole.alias("s"))
-    firsts = at.filter((F.col(id_col) == F.col("m")) & F.col("ds").isNotNull()).select(
-        id_col, "t", F.explode("ds").alias("d"), "p"
+        F.min(id_col).alias("m"), F.max(id_col).alias("z"), F.min("c").alias("c0"), F.max("c").alias("c1")
     )
-    firsts = firsts.select(
-        id_col, "t", F.struct((F.col("p") - F.col("d")).alias("a"), (F.col("p") - F.col("d") + window).alias("b")).alias("s")
+    heads = stored(heads.filter("m < z").select("h", "m", (F.col("c0") != F.col("c1")).alias("open")), "anchor-heads")
+    # only anchors with room for a window around them
+    left = F.least(F.col("p"), F.lit(reach))
+    hits = each.filter(left + F.col("right") >= reach).join(heads, "h").filter(F.col("open") | (F.col(id_col) > F.col("m")))
+    hits = stored(hits.drop("m"), "anchor-hits")
+    whole = F.struct((F.col("p") - left).cast("int").alias("a"), (F.col("p") + size + F.col("right")).cast("int").alias("b"))
+    spans = hits.filter(~F.col("open")).select("r", whole.alias("s"))
+
+    # anchors with different contexts: classes, each with its first document
+    mixed = hits.filter("open")
+    least = mixed.groupBy("h", "c").agg(F.min(id_col).alias("m"))
+    at = mixed.join(least, ["h", "c"]).select("r", "p", "right", (F.col(id_col) > F.col("m")).alias("later"))
+    at = stored(at, "anchor-places")
+    later = at.filter("later").select("r", whole.alias("s"))
+    firsts = at.filter(~F.col("later")).groupBy("r").agg(F.collect_list("p").alias("ps"))
+    places = table.select("r", id_col, "t").join(firsts, "r")
+    rows = stored(_windows(src, places, id_col, window), "anchor-windows")
+    twice = rows.groupBy("x", "y").agg(F.min(id_col).alias("m"), F.max(id_col).alias("z")).filter("m < z")
+    own = rows.join(twice, ["x", "y"]).filter(F.col(id_col) > F.col("m")).select(
+        "r", F.struct(F.col("s").alias("a"), (F.col("s") + window).alias("b")).alias("s")
     )
-    found = spans.unionByName(later).unionByName(firsts)
-    stretches = found.groupBy(id_col, "t").agg(F.collect_list("s").alias("spans"))
-    return table.select(id_col, "t", "n_words", "whole"), stretches
+    found = spans.unionByName(later).unionByName(own)
+    found = found.groupBy("r").agg(F.collect_list("s").alias("spans"))
+    rows = table.select(id_col, "t", "n_words", "whole", "r")
+    return rows.drop("r"), rows.join(found, "r").select(id_col, "t", "spans")
 
 
 def _kept(words: list[bytes], spans: pa.StructScalar) -> list[bytes]:
