@@ -10,7 +10,8 @@ and mask.
 Files are read as available-now micro-batches.  A narrow pass turns each text
 into its mask of A-D and its digest, joins the labels and combines the rows of
 a text within its task (a hot text is one row a task and part from there on,
-not one a document).  State keyed by text holds the smallest id seen and the
+not one a document).  State keyed by text (kept in buckets of some thousand
+texts, so that one call serves them) holds the smallest id seen and the
 documents that have it.  All documents of a text fail E but those; when a
 smaller id arrives the earlier ones are retracted (their old mask leaves the
 counters, the mask with E enters) and the new ones take their place.  The
@@ -48,8 +49,10 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 100, 80, 10
 SYMBOLS = re.compile(rb"[#$%&*|]")
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 E_BIT = 16
+DIGEST = 32  # hex digits of SHA-256 that tell texts apart (128 bits)
 HELD = 100_000  # texts combined in a task before they are passed on
 BATCHES = 8
+BUCKET_BYTES = 16 << 20  # of the files of an audit's first run, a bucket of texts
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -57,7 +60,7 @@ _STATE = {
 }
 
 
-def text_mask(text: str) -> tuple[int, bytes]:
+def text_mask(text: str) -> tuple[int, str]:
     """Failed filters A-D as bits, and the digest of the text."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
@@ -67,23 +70,23 @@ def text_mask(text: str) -> tuple[int, bytes]:
         | (100 * (len(data) - len(data.translate(None, CAPITALS))) > CAPITAL_PERCENT * len(text)) << 2
         | (SYMBOLS.search(data) is not None) << 3
     )
-    return mask, hashlib.sha256(data).digest()
+    return mask, hashlib.sha256(data).hexdigest()[:DIGEST]
 
 
 def _masked(docs: DataFrame, id_col: str, text: str, part: str) -> DataFrame:
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         masks, keys = zip(*(text_mask(t or "") for t in b.column(2).to_pylist()))
         return pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(masks, pa.int32()), pa.array(keys, pa.binary())], names=["id", "part", "mask", "key"]
+            [b.column(0), b.column(1), pa.array(masks, pa.int32()), pa.array(keys)], names=["id", "part", "mask", "key"]
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(text).alias("text"))
-    return map_batches(rows, fn, "id long, part string, mask int, key binary")
+    return map_batches(rows, fn, "id long, part string, mask int, key string")
 
 
-_ROW = [("key", pa.binary()), ("mask", pa.int32()), ("part", pa.string()), ("flags", pa.int32()), ("known", pa.bool_()),
+_ROW = [("key", pa.string()), ("mask", pa.int32()), ("part", pa.string()), ("flags", pa.int32()), ("known", pa.bool_()),
         ("id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]
-_ROW_DDL = "key binary, mask int, part string, flags int, known boolean, id long, at long, n long"
+_ROW_DDL = "key string, mask int, part string, flags int, known boolean, id long, at long, n long"
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +149,27 @@ _DELTA = "part string, mask int, flags int, n long"
 
 
 def _retract(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ("part", "flags", "known", "id", "at", "n")))]
-    least, held = state.get if state.exists else (None, "[]")
-    least, now, delta = step(rows, least, json.loads(held))
-    if least is not None:
-        state.update((least, json.dumps(now)))
-    yield pd.DataFrame(
-        [(p, key[1] | (E_BIT if fails else 0), f, n) for (p, f, fails), n in delta.items()], columns=["part", "mask", "flags", "n"]
-    ).astype({"mask": "int32", "flags": "int32", "n": "int64"})
+    """A bucket's new rows against its texts' state; gives the deltas of the
+    bucket, added up."""
+    texts: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+    new: dict[str, list] = {}
+    masks: dict[str, int] = {}
+    for f in frames:
+        for text, mask, *row in zip(*(f[c].tolist() for c in ("key", "mask", "part", "flags", "known", "id", "at", "n"))):
+            new.setdefault(text, []).append(row)
+            masks[text] = mask
+    delta: dict[tuple, int] = {}
+    for text, rows in new.items():
+        least, held, changes = step(rows, *texts.get(text, (None, [])))
+        if least is not None:
+            texts[text] = [least, held]
+        for (part, flags, fails), n in changes.items():
+            k = (part, masks[text] | (E_BIT if fails else 0), flags)
+            delta[k] = delta.get(k, 0) + n
+    state.update((json.dumps(texts, separators=(",", ":")),))
+    yield pd.DataFrame([(*k, n) for k, n in delta.items() if n], columns=["part", "mask", "flags", "n"]).astype(
+        {"part": "object", "mask": "int32", "flags": "int32", "n": "int64"}
+    )
 
 
 def _flags(labels: DataFrame, id_col: str) -> DataFrame:
@@ -165,17 +181,27 @@ def _flags(labels: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def deltas(stream: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+def deltas(
+    stream: DataFrame, labels: DataFrame, buckets: int, id_col: str = "doc_id", text: str = "text", part: str = "lang"
+) -> DataFrame:
     """The stream of counter changes (part, mask, flags, n) of a stream of
     documents; flags: 1 good, 2 toxic."""
     marks = _masked(stream, id_col, text, part)
     marks = marks.join(labels, F.col("id") == F.col("lid"), "left").select(
         "id", "part", "mask", "key", F.coalesce("flags", F.lit(0)).alias("flags")
     )
-    rows = marks.mapInArrow(_combine, _ROW_DDL)
-    return rows.groupBy("key", "mask").applyInPandasWithState(
-        _retract, _DELTA, "least long, held string", "append", GroupStateTimeout.NoTimeout
-    )
+    rows = marks.mapInArrow(_combine, _ROW_DDL).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandasWithState(_retract, _DELTA, "texts string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _buckets(docs: DataFrame, folder: str) -> int:
+    """The number of buckets an audit was begun with: one for BUCKET_BYTES of
+    files, and four a partition of its first run at least."""
+    spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    rows = [(max(size // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))),)]
+    spark.createDataFrame(rows, "buckets long").coalesce(1).write.mode("ignore").parquet(f"{folder}/buckets")
+    return spark.read.schema("buckets long").parquet(f"{folder}/buckets").first().buckets
 
 
 def update(
@@ -191,7 +217,7 @@ def update(
         files_per_batch = max(1, -(-len(docs.inputFiles()) // BATCHES))
     # as a pattern, a path may be one file as well as a folder of files
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
-    changes = deltas(stream, stored(_flags(labels, id_col), "filter-labels"), id_col, text, part)
+    changes = deltas(stream, stored(_flags(labels, id_col), "filter-labels"), _buckets(docs, folder), id_col, text, part)
     before = {k: spark.conf.get(k, None) for k in _STATE}
     try:  # a query keeps the settings it started with
         for k, v in _STATE.items():
