@@ -846,6 +846,9 @@ FROM sc a"""
 
 SQL["audit_roundtrip"] = SQL["recent_window"]
 
+SQL["audit_published"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, action, risk_score, timestamp FROM audit"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

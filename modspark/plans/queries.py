@@ -21,7 +21,7 @@ from modspark.operators import text_scores as ts
 from modspark.operators import triage, validate
 from modspark.operators import vectors as ve
 from modspark.operators import windows as wi
-from modspark.schemas import FEATURE_COLUMNS, TEXT_LABELS
+from modspark.schemas import AUDIT, FEATURE_COLUMNS, TEXT_LABELS
 from modspark.sources import bindings as B
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -653,6 +653,32 @@ def audit_roundtrip(spark, sf_dir):
     return r.select("content_id", "action", "risk_score", "timestamp")
 
 
+@query("audit_published")
+def audit_published(spark, sf_dir):
+    """S6 with published batches: the log is written in two batches, one of
+    them twice, and an attempt is left unpublished, as by a job that died;
+    the batches are folded into one and written again, to no effect."""
+    import uuid
+
+    from modspark.session import scratch_path
+    from modspark.sources.published import Published
+    from modspark.sources.readers import read_audit
+    from modspark.sources.sinks import write_audit
+
+    path = scratch_path(spark, f"published-{uuid.uuid4().hex[:8]}")
+    log = B.audit_log(spark, sf_dir)
+    odd = F.col("content_id").cast("long") % 2 == 1
+    write_audit(log.filter(odd), path, "json", "odd")
+    table = Published(spark, path)
+    table.stage(log.drop("ts"), "even")  # never published
+    write_audit(log.filter(~odd), path, "json", "even")
+    write_audit(log.filter(odd), path, "json", "odd")
+    table.compact(AUDIT, "json", ["dt"])
+    write_audit(log.filter(odd), path, "json", "odd")
+    r = read_audit(spark, path)
+    return r.select("content_id", "action", "risk_score", "timestamp")
+
+
 # ---------------------------------------------------------------------------
 # Rows that are easily lost: missing keys and labels, unlisted actions, own
 # metadata, repeated ids

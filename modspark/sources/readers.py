@@ -8,11 +8,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modspark.operators.monitor import lookback
 from modspark.operators.text_scores import any_label
 from modspark.operators.vectors import encode_label
 from modspark.schemas import AUDIT, CORPUS_LABELS, LABELLED_CORPUS, VECTORS
+from modspark.sources.published import Published
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -103,16 +105,20 @@ def read_audit(
 ) -> DataFrame:
     """The audit log, optionally restricted to ``ts >= as_of - hours``.
     A missing log is an empty frame.  For the partitioned layout written by
-    ``sinks.write_audit`` the ``dt`` predicate prunes whole partitions."""
+    ``sinks.write_audit`` the ``dt`` predicate prunes whole partitions.  Of a
+    log written in published batches only those are read."""
     if not path_exists(spark, path):
         return _empty_audit(spark)
+    table = Published(spark, path)
+    published = table.exists()
     if fmt == "parquet":
-        df = spark.read.parquet(path)
+        typed = T.StructType([*AUDIT.fields, T.StructField("ts", T.TimestampType())])
+        df = table.read(typed, fmt) if published else spark.read.parquet(path)
         if "ts" not in df.columns:
             df = df.withColumn("ts", F.try_to_timestamp(F.col("timestamp")))
         df = df.filter(F.col("ts").isNotNull())
     else:
-        df = parse_audit_lines(spark.read.text(path))
+        df = parse_audit_lines(table.lines() if published else spark.read.text(path))
     if as_of is not None and hours is not None:
         df = lookback(df, as_of, hours)
     return df

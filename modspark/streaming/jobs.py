@@ -63,6 +63,21 @@ def start_audit_sink(records: DataFrame, path: str, checkpoint: str, trigger_onc
     return w.start()
 
 
+def start_published_audit(records: DataFrame, path: str, checkpoint: str, name: str, trigger_once: bool = True, fmt: str = "json"):
+    """X1 sink into a log of published batches (S6): every micro-batch is one
+    batch named by the stream and its epoch, so an epoch that is run again
+    after a failure is in the log once, and batch jobs may append to the same
+    log between epochs."""
+    from modspark.sources.sinks import write_audit
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        write_audit(batch.drop("ts"), path, fmt, f"{name}-{epoch:012d}")
+
+    w = records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 # X2 ------------------------------------------------------------------------
 
 
