@@ -203,7 +203,8 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     # anchors with different contexts: classes, each with its first document
     mixed = hits.filter("open")
-    least = mixed.groupBy("h", "c").agg(F.min(id_col).alias("m"))
+    # stored: a join of its own shuffle, which Spark can split at a hot class
+    least = stored(mixed.groupBy("h", "c").agg(F.min(id_col).alias("m")), "anchor-classes")
     at = mixed.join(least, ["h", "c"]).select("r", "p", "right", (F.col(id_col) > F.col("m")).alias("later"))
     at = stored(at, "anchor-places")
     later = at.filter("later").select("r", whole.alias("s"))
@@ -211,6 +212,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     places = table.select("r", id_col, "t").join(firsts, "r")
     rows = stored(_windows(src, places, id_col, window), "anchor-windows")
     twice = rows.groupBy("x", "y").agg(F.min(id_col).alias("m"), F.max(id_col).alias("z")).filter("m < z")
+    twice = stored(twice.drop("z"), "anchor-repeats")
     own = rows.join(twice, ["x", "y"]).filter(F.col(id_col) > F.col("m")).select(
         "r", F.struct(F.col("s").alias("a"), (F.col("s") + window).alias("b")).alias("s")
     )
