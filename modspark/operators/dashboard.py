@@ -3,7 +3,7 @@ the audit tail."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +26,14 @@ def _with_optional(df: DataFrame) -> DataFrame:
     return df
 
 
-def summary(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS) -> DataFrame:
+def summary(
+    audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS, generated_at: datetime | None = None
+) -> DataFrame:
     """One row: total, per-action counts (map), avg / max risk (4 dp),
-    agent reviews (non-empty verdict), human reviews needed.  An empty window
-    gives total 0, an empty map and avg 0."""
+    agent reviews (non-empty verdict), human reviews needed, ``generated_at``
+    (ISO text of the time given, else of now, UTC).  An empty window gives
+    total 0, an empty map and avg 0."""
+    made = generated_at or datetime.now(timezone.utc).replace(tzinfo=None)
     rows = _with_optional(lookback(audit, as_of, hours))
     per_action = rows.groupBy(_action().alias("action")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -57,6 +61,7 @@ def summary(audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS)
         F.coalesce(r4(F.col("_max")), F.lit(0.0)).alias("max_risk_score"),
         F.coalesce(F.col("agent_reviews"), F.lit(0)).cast("long").alias("agent_reviews"),
         F.coalesce(F.col("human_reviews_needed"), F.lit(0)).cast("long").alias("human_reviews_needed"),
+        F.lit(made.isoformat()).alias("generated_at"),
     )
 
 

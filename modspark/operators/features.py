@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modspark.functions.numeric import r4
 from modspark.schemas import (
@@ -21,6 +22,7 @@ from modspark.schemas import (
     REPEAT_OFFENDER,
     TEXT_HIGH,
     USER_DEFAULTS,
+    USER_META,
     VIOLATION_CAP,
     VIOLATION_WEIGHT,
 )
@@ -96,7 +98,25 @@ def with_features(df: DataFrame) -> DataFrame:
     ):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(dtype))
-    return df.withColumns(feature_columns())
+    return parse_user_meta(df).withColumns(feature_columns())
+
+
+def _spread_null(key: Column, content: DataFrame) -> Column:
+    """The key as text, NULL replaced by one of 4,096 values no key has: rows
+    without a key match nothing, so they need not meet in one task."""
+    of = [F.col(c) for c in ("content_id", "ts", "text") if c in content.columns]
+    salt = F.pmod(F.xxhash64(*(of or [F.lit(0)])), F.lit(4096))
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\x00none "), salt.cast("string")))
+
+
+def parse_user_meta(content: DataFrame) -> DataFrame:
+    """A ``user_meta`` that is JSON text as the struct of its known fields;
+    other columns as they are.  Fields that are missing or of another type
+    are NULL; text that is no JSON object gives NULL
+    (``validate.with_validation`` quarantines such rows)."""
+    if "user_meta" not in content.columns or not isinstance(content.schema["user_meta"].dataType, T.StringType):
+        return content
+    return content.withColumn("user_meta", F.from_json("user_meta", USER_META))
 
 
 def with_image_scores(content: DataFrame, image_scores: DataFrame, key: str = "image_ref") -> DataFrame:
@@ -109,7 +129,8 @@ def with_image_scores(content: DataFrame, image_scores: DataFrame, key: str = "i
         F.col("image_ref").alias("_iref"),
         F.struct("harmful_score", "safe_score", "risk_score", "label").alias("image_scores"),
     )
-    return content.join(scores, content[key] == scores["_iref"], "left").drop("_iref")
+    ref = _spread_null(content[key], content)
+    return content.join(scores, ref == scores["_iref"].cast("string"), "left").drop("_iref")
 
 
 def with_user_meta(content: DataFrame, users: DataFrame) -> DataFrame:
@@ -123,9 +144,11 @@ def with_user_meta(content: DataFrame, users: DataFrame) -> DataFrame:
             "account_age_days", "prev_violations", "reports_received", "posts_last_24h", "is_verified"
         ).alias("user_meta"),
     )
+    content = parse_user_meta(content)
     own = "user_meta" in content.columns
     out = content.withColumnRenamed("user_meta", "_own") if own else content
-    out = out.join(meta, out["user_id"] == meta["_uid"], "left").drop("_uid")
+    user = _spread_null(out["user_id"], out)
+    out = out.join(meta, user == meta["_uid"].cast("string"), "left").drop("_uid")
     if own:
         fields = [
             F.coalesce(F.col("_own")[f], F.col("user_meta")[f]).alias(f)

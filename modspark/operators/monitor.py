@@ -3,8 +3,9 @@
 All statistics of a check come from **one** scan with filtered aggregates
 (the recent and the previous window are conditions, not two reads).  The
 exact percentile is safe at any scale because risk scores carry 4 decimals
-(at most 10,001 distinct values per aggregation buffer); pass
-``exact=False`` for unrounded inputs.
+(at most 10,001 distinct values per aggregation buffer).  For scores of any
+precision ``decimals=None`` takes exact percentiles by distributed selection
+(``operators.quantiles``), a few scans and no buffer of values.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modspark.functions.numeric import r4, rnd
+from modspark.operators.quantiles import exact_percentiles
 from modspark.schemas import DRIFT_THRESHOLD, PREVIOUS_HOURS, RECENT_HOURS
 
 STAT_NAMES = ["count", "mean", "std", "min", "max", "p50", "p90", "p99", "pct_removed", "pct_flagged", "pct_approved"]
@@ -46,13 +48,13 @@ def lookback(df: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS, ts
     return out
 
 
-def _stats(cond: Column | None, prefix: str, exact: bool) -> list[Column]:
+def _stats(cond: Column | None, prefix: str, exact: bool, given: list | None = None) -> list[Column]:
     def w(c: Column) -> Column:
         return c if cond is None else F.when(cond, c)
 
     risk = w(F.col("risk_score"))
     rows = F.lit(1) if cond is None else F.when(cond, F.lit(1))
-    pct = (
+    pct = F.array(*[F.lit(v).cast("double") for v in given]) if given is not None else (
         F.percentile(risk, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
         if exact
         else F.percentile_approx(risk, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), 100000)
@@ -87,13 +89,28 @@ def _unpack_pct(df: DataFrame, prefix: str) -> DataFrame:
     ).drop(prefix + "_pct")
 
 
+PERCENTILES = [0.5, 0.9, 0.99]
+
+
+def _selected(rows: DataFrame, conds: dict[str, Column], decimals: int | None) -> dict[str, list | None]:
+    """Percentiles by selection where scores may have any decimals, else None
+    (the aggregate takes them)."""
+    if decimals is not None:
+        return dict.fromkeys(conds)
+    return exact_percentiles(rows, "risk_score", PERCENTILES, conds)
+
+
 def score_stats(
-    audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS, exact: bool = True
+    audit: DataFrame, as_of: datetime | str, hours: int = RECENT_HOURS, exact: bool = True, decimals: int | None = 4
 ) -> DataFrame:
     """A1-A3: one row of the 11 statistics over the lookback window.
+    ``decimals`` is what the scores are rounded to (None: not at all; the
+    percentiles are then selected at once, in a few scans).
 
     An empty window gives ``count = 0`` and NULL for the rest."""
-    agg = lookback(audit, as_of, hours).agg(*_stats(None, "", exact))
+    rows = lookback(audit, as_of, hours)
+    given = _selected(rows, {"all": F.lit(True)}, decimals)["all"]
+    agg = rows.agg(*_stats(None, "", exact, given))
     agg = _unpack_pct(agg, "")
     return agg.select(*STAT_NAMES, "rows")
 
@@ -106,6 +123,7 @@ def drift_report(
     recent_hours: int = RECENT_HOURS,
     previous_hours: int = PREVIOUS_HOURS,
     exact: bool = True,
+    decimals: int | None = 4,
 ) -> DataFrame:
     """A4-A5: one row: recent_* and previous_* statistics, the shifts and
     the decision.  ``baseline='overlapping'`` compares the last 24 h with the
@@ -117,7 +135,8 @@ def drift_report(
     recent_cut = ts_literal(audit, "ts", at - timedelta(hours=recent_hours))
     recent = F.col("ts") >= recent_cut
     previous = F.lit(True) if baseline == "overlapping" else (F.col("ts") < recent_cut)
-    agg = scan.agg(*_stats(recent, "recent_", exact), *_stats(previous, "previous_", exact))
+    given = _selected(scan, {"recent": recent, "previous": previous}, decimals)
+    agg = scan.agg(*_stats(recent, "recent_", exact, given["recent"]), *_stats(previous, "previous_", exact, given["previous"]))
     agg = _unpack_pct(_unpack_pct(agg, "recent_"), "previous_")
     # pandas keeps no statistics for an empty window
     empty = (F.col("recent_rows") == 0) | (F.col("previous_rows") == 0)

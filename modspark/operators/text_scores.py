@@ -10,6 +10,7 @@ models plug in through ``operators.plugins.apply_text_scorer`` instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,19 +36,44 @@ def text_risk(scores: dict[str, Column]) -> Column:
     return r4(acc)
 
 
-def _is_word(term: str) -> bool:
-    return bool(term) and all(ch.isalnum() or ch == "_" for ch in term)
+def term_key(term: str) -> str:
+    """A lexicon term as the words it stands for: lower-cased, cut where texts
+    are cut, joined by one space ('Kill yourself' -> 'kill yourself', "don't"
+    -> 'don t').  A term without a word can never be found and is an error."""
+    words = [w for w in re.split(r"[\W]+", term.lower()) if w]
+    if not words:
+        raise ValueError(f"lexicon term without a word: {term!r}")
+    return " ".join(words)
 
 
-def _hits(text: Column, terms: set[str]) -> Column:
-    """Tokens of the lower-cased text that are lexicon terms, in order: the
-    text is cut at non-word characters once, and a token is looked up in a
-    hash set, whatever the number of terms.  Terms with non-word characters
-    can never equal a token and are left out."""
-    words = sorted(t for t in terms if _is_word(t))
-    if not words:
+def _hits(text: Column, keys: set[str]) -> Column:
+    """The words and phrases of the lower-cased text that are lexicon terms:
+    the text is cut at non-word characters once; a word, and where the lexicon
+    has phrases of n words each n words in a row, is looked up in a hash set,
+    whatever the number of terms.  Every occurrence is a hit."""
+    tokens = F.split(F.lower(text), NON_WORD)
+    by_length: dict[int, list[str]] = {}
+    for k in sorted(keys):
+        by_length.setdefault(k.count(" ") + 1, []).append(k)
+
+    def found(n: int, terms: list[str]) -> Column:
+        return F.filter(tokens if n == 1 else _runs(tokens, n), lambda t: t.isin(terms))
+
+    parts = [found(n, terms) for n, terms in sorted(by_length.items())]
+    if not parts:
         return F.array().cast("array<string>")
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda t: t.isin(words))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def _runs(tokens: Column, n: int) -> Column:
+    """Every ``n`` words in a row (cutting leaves '' at the ends of a text):
+    the words beside themselves moved by one, two ... places; a run past the
+    end is NULL and equals no term."""
+    words = F.filter(tokens, lambda t: t != F.lit(""))
+    runs = words
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(words, k + 1, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
 
 
 def _weight_of(weights: dict[str, float]) -> Callable[[Column], Column]:
@@ -71,7 +97,8 @@ def lexicon_scores(
     """Add the six label scores and ``text_risk_score`` to every row of ``df``.
 
     ``lexicon`` is a ``(term, category, weight)`` table, or its entries when
-    the caller holds them already (no job to read them back); either way every
+    the caller holds them already (no job to read them back); terms are words
+    or phrases in any case (``term_key``), weights of equal ones add up; either way every
     row is scored in place, so row ids play no part: repeated or NULL ids,
     and any number of terms, give the same scores.  Rows whose text is not
     scoreable score zero; callers that must not score them filter first
@@ -85,7 +112,8 @@ def lexicon_scores(
     by_cat: dict[str, dict[str, float]] = {c: {} for c in TEXT_LABELS}
     for term, cat, w in lexicon:
         if cat in by_cat:
-            by_cat[cat][str(term)] = by_cat[cat].get(str(term), 0.0) + float(w)
+            key = term_key(str(term))
+            by_cat[cat][key] = by_cat[cat].get(key, 0.0) + float(w)
     # a NULL text has no hits (not a NULL total: least(1, NULL) would be 1)
     hits = F.coalesce(_hits(F.col(text_col), {t for c in by_cat.values() for t in c}), F.array().cast("array<string>"))
     cols = {}

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from modspark.functions.text import is_blank
+from modspark.functions.text import WHITESPACE, is_blank
 
 
 def content_key(user_id: Column, ts: Column, text: Column, image_ref: Column) -> Column:
@@ -48,13 +49,19 @@ def with_validation(df: DataFrame) -> DataFrame:
 
     Text that is present but blank (whitespace only) is refused by the text
     scorer, so those rows are quarantined; absent text is simply a missing
-    modality.
+    modality.  So are rows whose ``user_meta`` came as text that is not a JSON
+    object (absent metadata is fine).
     """
     present = F.col("text").isNotNull() & (F.col("text") != F.lit(""))
-    blank = present & is_blank(F.col("text"))
-    return df.withColumn(
-        "reason", F.when(blank, F.lit("blank_text"))
-    ).withColumn("status", F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("quarantine")))
+    reason = F.when(present & is_blank(F.col("text")), F.lit("blank_text"))
+    if "user_meta" in df.columns and isinstance(df.schema["user_meta"].dataType, T.StringType):
+        meta = F.col("user_meta")
+        is_object = F.substring(F.trim(meta, F.lit(WHITESPACE)), 1, 1) == F.lit("{")
+        bad = meta.isNotNull() & ~(is_object & F.try_parse_json(meta).isNotNull())
+        reason = reason.when(bad, F.lit("invalid_user_meta"))
+    return df.withColumn("reason", reason).withColumn(
+        "status", F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("quarantine"))
+    )
 
 
 def accepted(df: DataFrame) -> DataFrame:

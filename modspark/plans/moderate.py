@@ -81,7 +81,7 @@ def decide(
     """Triage, reviews for the ``agent_review`` rows only, final action.
 
     Responses come from ``reviewer`` (a U2 plug-in) or a ``responses`` table
-    ``(content_id, raw)``; a queued row without a response gets the error
+    ``(content_id, raw)``, with ``answered_at`` where known (``reviewed_at``); a queued row without a response gets the error
     fallback, so its action is flag_for_review.  Of several responses to one
     content the smallest text counts (one decision a content); responses
     without a queued content are ignored."""
@@ -96,17 +96,38 @@ def decide(
     if responses is None:
         # no reviewer and no responses: every queued row takes the
         # no-response fallback; no join (and no shuffle of the decisions)
-        j = d.withColumn("raw", F.lit(None).cast("string"))
+        j = d.withColumns({"raw": F.lit(None).cast("string"), "answered_at": F.lit(None).cast("timestamp")})
     else:
         # J3 as one left join; rows that were not queued carry no review
-        one = responses.groupBy("content_id").agg(F.min("raw").alias("raw"))
-        j = d.join(one, "content_id", "left")
+        j = d.join(first_answer(responses), "content_id", "left")
+    return with_decisions(j, model, spread_rows=responses is not None)
+
+
+def first_answer(responses: DataFrame) -> DataFrame:
+    """One row a content: the smallest response text and, where responses
+    have an ``answered_at``, when that text came first."""
+    at = F.col("answered_at") if "answered_at" in responses.columns else F.lit(None)
+    told = responses.filter(F.col("raw").isNotNull()).withColumn("_at", at.cast("timestamp"))
+    one = told.groupBy("content_id").agg(F.min(F.struct("raw", "_at")).alias("_r"))
+    return one.select("content_id", F.col("_r.raw").alias("raw"), F.col("_r._at").alias("answered_at"))
+
+
+def with_decisions(joined: DataFrame, model: str = "external", spread_rows: bool = True) -> DataFrame:
+    """Routed rows with their response (``raw``, ``answered_at``; NULL without
+    one) -> review, ``review_status``, ``agent_model`` (of completed reviews),
+    ``reviewed_at`` (ISO text, of rows with a response) and the final action."""
     queued = F.col("route") == F.lit("agent_review")
-    j = rv.parse_reviews(j, "raw", model, spread_rows=responses is not None).drop("raw", "agent_model")
-    j = j.withColumn("review", F.when(queued, F.col("review"))).withColumn(
-        "review_status", F.when(queued, F.col("review_status"))
+    j = rv.parse_reviews(joined, "raw", model, spread_rows=spread_rows)
+    done = queued & (F.col("review_status") == F.lit("completed"))
+    j = j.withColumns(
+        {
+            "review": F.when(queued, F.col("review")),
+            "review_status": F.when(queued, F.col("review_status")),
+            "agent_model": F.when(done, F.col("agent_model")),
+            "reviewed_at": F.when(queued, F.date_format("answered_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+        }
     )
-    return triage.with_final_action(j, "review")
+    return triage.with_final_action(j.drop("raw", "answered_at"), "review")
 
 
 def decision_view(decisions: DataFrame) -> DataFrame:

@@ -46,6 +46,8 @@ ACCEPTED_TEXT = (
     "text IS NOT NULL AND text <> '' AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0"
 )
 
+BLANK_TEXT = "(text IS NOT NULL AND text <> '' AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) = 0)"
+
 # Lexicon scores of an id/text relation ``src``: one row per input row.
 def lexicon_scores_cte(name: str, src: str, id_col: str = "content_id") -> str:
     cats = ",\n    ".join(
@@ -846,6 +848,57 @@ FROM sc a"""
 
 SQL["audit_roundtrip"] = SQL["recent_window"]
 
+SQL["late_reviews"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id,
+  CASE WHEN route <> 'agent_review' THEN 'none' WHEN event_id % 6 = 2 THEN 'error' ELSE review_status END AS review_status,
+  CASE WHEN event_id % 6 <> 2 AND review_status = 'completed' THEN 'm1' END AS agent_model,
+  CASE WHEN route = 'agent_review' AND event_id % 6 <> 2 AND event_id % 10 <> 9
+    THEN strftime(ts + to_minutes(event_id % 50), '%Y-%m-%dT%H:%M:%S.%f') END AS reviewed_at,
+  CASE WHEN route = 'agent_review' AND event_id % 6 = 2 THEN 'flag_for_review' ELSE final_action END AS final_action
+FROM dec"""
+
+SQL["stream_velocity"] = """WITH v AS (
+  SELECT event_id, user_id, ts,
+    count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS posts_last_24h
+  FROM events)
+SELECT CAST(event_id AS VARCHAR) AS content_id, CAST(user_id AS VARCHAR) AS user_id, posts_last_24h FROM v
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR"""
+
+SQL["score_stats_unrounded"] = f"""WITH {REVIEWED_CTE},
+raw AS (
+  SELECT a.* REPLACE (least(e.value / {dbl(B.RISK_DIVISOR)}, CAST(1 AS DOUBLE)) AS risk_score)
+  FROM audit a JOIN events e ON a.content_id = CAST(e.event_id AS VARCHAR))
+SELECT {stats_sql(None, '')} FROM raw WHERE ts >= {AS_OF} - INTERVAL 365 DAYS"""
+
+
+def _phrase_hits(term: str) -> str:
+    words = term.lower().split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: {same}))"
+
+
+def _phrase_score(category: str) -> str:
+    total = " + ".join(f"{dbl(x)} * {_phrase_hits(t)}" for t, c, x in B.PHRASE_LEXICON if c == category)
+    return r4(f"least(CAST(1 AS DOUBLE), {total})")
+
+
+SQL["text_risk_phrases"] = f"""WITH {CONTENT_CTE},
+acc AS (SELECT content_id, regexp_extract_all(lower(text), '{TOKEN}') w FROM content WHERE {ACCEPTED_TEXT}),
+s AS (SELECT content_id, {', '.join(f'{_phrase_score(c)} AS {c}' for c in ('toxicity', 'insult', 'threat'))} FROM acc)
+SELECT content_id, toxicity, insult, threat,
+  {r4(' + '.join(f'{c} * {dbl(TEXT_RISK_WEIGHTS[c])}' for c in TEXT_LABELS if c in ('toxicity', 'insult', 'threat')))} AS risk_score FROM s"""
+
+SQL["user_meta_json"] = f"""WITH {CONTENT_CTE},
+{USERS_CTE},
+o AS (
+  SELECT content_id, user_id, text, CAST(content_id AS INTEGER) n, CAST(content_id AS INTEGER) % 7 k FROM content)
+SELECT o.content_id,
+  CASE WHEN {BLANK_TEXT} OR k IN (0, 1) THEN 'quarantine' ELSE 'accepted' END AS status,
+  CASE WHEN {BLANK_TEXT} THEN 'blank_text' WHEN k IN (0, 1) THEN 'invalid_user_meta' END AS reason,
+  coalesce(CASE WHEN k IN (3, 4, 5) THEN n % 90 END, u.account_age_days, 365) AS user_account_age_days,
+  coalesce(CASE WHEN k IN (3, 4, 5) THEN n % 4 END, u.prev_violations, 0) AS user_prev_violations
+FROM o LEFT JOIN users u USING (user_id)"""
+
 SQL["audit_published"] = f"""WITH {REVIEWED_CTE}
 SELECT content_id, action, risk_score, timestamp FROM audit"""
 

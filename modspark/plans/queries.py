@@ -653,6 +653,78 @@ def audit_roundtrip(spark, sf_dir):
     return r.select("content_id", "action", "risk_score", "timestamp")
 
 
+@query("late_reviews")
+def late_reviews(spark, sf_dir):
+    """J3 with answers that came late (batch form of the streamed join): of
+    the queued events two in twelve are answered after the two hours that
+    count; P19 fields of the others."""
+    from modspark.plans.moderate import decide
+    from modspark.streaming.late_reviews import in_time
+
+    d = B.scored_events(spark, sf_dir)
+    n = F.col("content_id").cast("long")
+    minutes = F.when(n % 6 == 2, 180).otherwise(n % 50)
+    at = d.select("content_id", (F.col("ts") + F.make_dt_interval(mins=minutes)).cast("timestamp").alias("answered_at"))
+    told = B.review_responses(d).join(at, "content_id")
+    out = decide(d, responses=in_time(d, told), model="m1")
+    return out.select("content_id", F.coalesce("review_status", F.lit("none")).alias("review_status"), "agent_model", "reviewed_at", "final_action")
+
+
+@query("stream_velocity")
+def stream_velocity(spark, sf_dir):
+    """Events as a stream, exact trailing counts of the posts whose hour
+    the watermark has passed."""
+    import uuid
+
+    from modspark.session import scratch_path
+    from modspark.sources.tables import table_stream
+    from modspark.streaming import velocity
+    from modspark.streaming.state import state_settings
+
+    folder = scratch_path(spark, f"velocity-{uuid.uuid4().hex[:8]}")
+    e = table_stream(spark, sf_dir, "events").select(F.col("event_id").alias("content_id"), "user_id", "ts")
+    with state_settings(spark):
+        counts = velocity.trailing_count(e)
+        q = counts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        q = q.outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(counts.schema).parquet(f"{folder}/out")
+    return out.select("content_id", "user_id", "posts_last_24h")
+
+
+@query("score_stats_unrounded")
+def score_stats_unrounded(spark, sf_dir):
+    """A1-A3 of scores of any precision: exact percentiles by selection."""
+    raw = B.audit_log(spark, sf_dir).join(_raw_risk(spark, sf_dir), "content_id").withColumn("risk_score", F.col("raw_risk"))
+    return mo.score_stats(raw, B.AS_OF, 24 * 365, decimals=None)
+
+
+def _raw_risk(spark, sf_dir):
+    from modspark.sources.tables import table
+
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    return e.select(F.col("event_id").cast("string").alias("content_id"), F.least(F.col("value") / F.lit(B.RISK_DIVISOR), F.lit(1.0)).alias("raw_risk"))
+
+
+@query("text_risk_phrases")
+def text_risk_phrases(spark, sf_dir):
+    """M4 with phrases and terms in any case."""
+    c = validate.accepted(validate.with_modalities(B.content(spark, sf_dir))).filter(F.col("has_text"))
+    return ts.lexicon_scores(c, B.PHRASE_LEXICON).select("content_id", "toxicity", "insult", "threat", F.col("text_risk_score").alias("risk_score"))
+
+
+@query("user_meta_json")
+def user_meta_json(spark, sf_dir):
+    """Metadata that came as JSON text; broken text is quarantined."""
+    n = F.col("content_id").cast("long")
+    meta = F.when(n % 7 == 0, F.lit("{broken")).when(n % 7 == 1, F.lit("[]")).when(n % 7 == 2, F.lit("{}")).when(
+        n % 7 < 6, F.format_string('{"account_age_days": %d, "prev_violations": %d}', n % 90, n % 4)
+    )
+    c = validate.with_validation(validate.with_modalities(B.content(spark, sf_dir).withColumn("user_meta", meta)))
+    f = fe.with_features(fe.with_user_meta(c, B.users(spark, sf_dir)))
+    return f.select("content_id", "status", "reason", "user_account_age_days", "user_prev_violations")
+
+
 @query("audit_published")
 def audit_published(spark, sf_dir):
     """S6 with published batches: the log is written in two batches, one of

@@ -38,6 +38,13 @@ LEXICON_CATEGORIES = {
 }
 
 
+# Phrases and terms in mixed case, some of them one another's parts.
+PHRASE_LEXICON = [
+    ("The And", "toxicity", 0.05), ("the  of", "toxicity", 0.02), ("DER", "insult", 0.01), ("de la", "threat", 0.02),
+    ("orre ORRE orre", "threat", 0.03), ("Idiot", "insult", 0.2),
+]
+
+
 def lexicon_entries() -> list[tuple[str, str, float]]:
     return [(w, cat, LEXICON_WEIGHT) for cat, words in LEXICON_CATEGORIES.items() for w in words]
 

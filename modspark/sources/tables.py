@@ -13,3 +13,11 @@ TABLES = [
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table; callers project right after so only used columns are read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """One table as a stream of its files (as a pattern, so that a table may be
+    one file as well as a folder)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parque[t]"
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from modspark.operators import audit as au
 from modspark.operators import features as fe
+from modspark.operators import text_scores as ts
 from modspark.operators import triage
 from modspark.schemas import FEATURE_COLUMNS
 
@@ -239,3 +240,61 @@ def test_accents_are_stripped_as_by_decomposition(spark):
         return "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
 
     assert got == [strip(t) for t in texts]
+
+
+def test_json_user_meta_and_null_keys(spark):
+    from modspark.operators import features as fe
+    from modspark.operators import validate
+
+    ddl = "content_id string, user_id string, ts timestamp, text string, image_ref string, user_meta string"
+    rows = [
+        ("a", "u1", None, "x", None, '{"account_age_days": 3, "is_verified": true, "other": 1}'),
+        ("b", "u1", None, "x", "i1", "{}"),
+        ("c", None, None, "x", None, None),
+        ("d", "u2", None, "x", "i1", '{"prev_violations": "many"}'),
+        ("e", "u2", None, "x", None, "[1]"),
+        ("f", "u2", None, "x", None, "{bad"),
+        ("g", "u2", None, "x", None, ""),
+    ]
+    content = spark.createDataFrame(rows, ddl)
+    checked = {r.content_id: r.reason for r in validate.with_validation(content).collect()}
+    assert checked == {"a": None, "b": None, "c": None, "d": None, "e": "invalid_user_meta", "f": "invalid_user_meta", "g": "invalid_user_meta"}
+    users = spark.createDataFrame(
+        [("u1", 100, 7, 0, 0, False)],
+        "user_id string, account_age_days int, prev_violations int, reports_received int, posts_last_24h int, is_verified boolean",
+    )
+    got = fe.with_features(fe.with_user_meta(validate.accepted(validate.with_modalities(content)), users))
+    meta = {r.content_id: (r.user_account_age_days, r.user_prev_violations) for r in got.collect()}
+    assert meta["a"] == (3, 7) and meta["b"] == (100, 7) and meta["c"] == meta["d"]
+    plain = fe.with_features(content.select("content_id", "user_meta"))  # without users: the JSON alone
+    assert {r.content_id: r.user_account_age_days for r in plain.collect()}["a"] == 3
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """Rows without an image or user do not meet in one task."""
+    from modspark.operators import features as fe
+
+    content = spark.range(4000).selectExpr("cast(id as string) content_id", "cast(null as string) user_id", "cast(null as string) image_ref")
+    images = spark.createDataFrame([("i", 0.1, 0.9, 0.1, "safe")], "image_ref string, harmful_score double, safe_score double, risk_score double, label string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = fe.with_image_scores(content, images)
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000 and len(sizes) == 8 and max(sizes) < 700
+
+
+def test_lexicon_phrases_and_case(spark):
+    import pytest
+
+    lex = [("Idiot", "insult", 0.25), ("idiot", "insult", 0.25), ("Kill Yourself", "threat", 0.3), ("don't", "toxicity", 0.1), ("a b a", "obscene", 0.2)]
+    rows = [("x", "IDIOT, go kill  yourself! kill\nyourself"), ("y", "I don't; don t"), ("z", "a b a b a"), ("e", ""), ("n", None), ("k", "kill"), ("i", "...a b a")]
+    df = spark.createDataFrame(rows, "content_id string, text string")
+    got = {r.content_id: (r.insult, r.threat, r.toxicity, r.obscene) for r in ts.lexicon_scores(df, lex).collect()}
+    assert got == {"x": (0.5, 0.6, 0, 0), "y": (0, 0, 0.2, 0), "z": (0, 0, 0, 0.4), "e": (0, 0, 0, 0), "n": (0, 0, 0, 0), "k": (0, 0, 0, 0), "i": (0, 0, 0, 0.2)}
+    with pytest.raises(ValueError):
+        ts.lexicon_scores(df, [("!!", "insult", 0.1)])
