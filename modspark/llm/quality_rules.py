@@ -10,9 +10,9 @@ have not seen; a text is kept at a probability of ``KEEP`` or more.
 
 The score is linear in word counts, so the n-gram weights of a word are added
 up once and kept in a bounded cache; texts are then sums over word numbers.
-The model is fitted on at most ``TRAIN_ROWS`` labelled rows (those with the
-smallest hash of their id: a documented bound), whose features stay in the
-shared folder: every training pass is a Spark job that adds up gradients.
+The model is fitted in one task on at most ``TRAIN_ROWS`` labelled rows (those
+with the smallest hash of their id: a documented bound); the driver sees the
+weights only.
 
 Defined cases: null text has no words and fails; without labelled rows or
 with one class only the verdict is always to keep; repeated labels of a
@@ -22,6 +22,9 @@ repeated rows are judged each; extra columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,7 +39,7 @@ SYMBOLS = "#*$%&|<>"
 DIM_BITS = 17
 TRAIN_ROWS = 4_000
 EPOCHS, STEP, RIDGE = 60, 0.3, 1e-6
-FIT_PARTS, FIT_ROWS = 4, 200  # tasks of a training pass, rows worked through at a time
+FIT_ROWS = 200  # rows worked through at a time
 CACHE_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - DIM_BITS)
@@ -92,6 +95,41 @@ class Model:
     def keep_all(cls) -> Model:
         return cls(np.zeros(1 << DIM_BITS))
 
+    @classmethod
+    def fit(cls, ends: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray) -> Model:
+        """Row i has the features slot[ends[i]:ends[i + 1]] (int32) at the
+        frequencies ``value`` (float32); worked through a few rows at a time."""
+        fold = np.arange(len(y)) % 5 == 0  # rows come in hash order
+        if len(y) < 10 or not 0 < y[fold].sum() < fold.sum() or not 0 < y[~fold].sum() < (~fold).sum():
+            return cls.keep_all()
+        w, b, n = np.zeros(1 << DIM_BITS), 0.0, int((~fold).sum())
+        m1 = m2 = np.zeros(len(w) + 1)
+
+        def parts():
+            for i in range(0, len(y), FIT_ROWS):
+                k = min(i + FIT_ROWS, len(y))
+                at = slice(ends[i], ends[k])
+                yield slice(i, k), np.repeat(np.arange(k - i), np.diff(ends[i : k + 1])), slot[at], value[at]
+
+        def raw():
+            return np.concatenate([np.bincount(r, w[c] * v, k.stop - k.start) for k, r, c, v in parts()]) + b
+
+        for t in range(1, EPOCHS + 1):
+            g = RIDGE * np.append(w, 0.0)
+            for k, r, c, v in parts():
+                z = np.bincount(r, w[c] * v, k.stop - k.start) + b
+                e = np.where(fold[k], 0.0, 1 / (1 + np.exp(-z)) - y[k]) / n
+                g[:-1] += np.bincount(c, e[r] * v, len(w))
+                g[-1] += e.sum()
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+            d = STEP * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+            w, b = w - d[:-1], b - d[-1]
+        z = raw()
+        self = cls(w)
+        self.slope, self.offset = _platt(z[fold], y[fold])
+        self.offset += self.slope * b
+        return self
+
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -40, 40)))
 
@@ -185,63 +223,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
         )
 
     features = map_batches(rows, fn, "o long, y int, slot array<int>, value array<float>").limit(2 * train_rows)
-    return _descend(stored(features.repartition(FIT_PARTS), "rules-features"))
-
-
-def _raw(b: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row of each feature, features, frequencies, raw score of each row)."""
-    lens = np.diff(b.column(2).offsets.to_numpy())
-    row, slot, value = np.repeat(np.arange(len(lens)), lens), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
-    return row, slot, value, np.bincount(row, w[slot] * value, len(lens))
-
-
-def _descend(rows: DataFrame) -> Model:
-    """Weights from stored feature rows, by full passes: every pass adds up a
-    gradient a partition in the tasks, so the driver holds a few vectors of
-    the model's size and no features.  Every fifth row, in the order of the
-    hashes, is left to the calibration."""
-    seen = rows.select("o", "y").toArrow()  # two numbers a training row
-    o, y = seen["o"].to_numpy(), seen["y"].to_numpy()
-    fold = np.searchsorted(np.sort(o), o) % 5 == 0
-    if len(y) < 10 or not 0 < y[fold].sum() < fold.sum() or not 0 < y[~fold].sum() < (~fold).sum():
-        return Model.keep_all()
-    held, n = np.unique(o[fold]), int((~fold).sum())
-
-    def small(batches):
-        for b in batches:
-            yield from (b.slice(i, FIT_ROWS) for i in range(0, b.num_rows, FIT_ROWS))
-
-    def gradient(w: np.ndarray, b: float) -> np.ndarray:
-        def run(batches):
-            g = np.zeros(len(w) + 1)
-            for part in small(batches):
-                row, slot, value, z = _raw(part, w)
-                e = 1 / (1 + np.exp(-z - b)) - part.column(1).to_numpy()
-                e[np.isin(part.column(0).to_numpy(), held)] = 0.0
-                g[:-1] += np.bincount(slot, e[row] * value, len(w))
-                g[-1] += e.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()])], names=["g"])
-
-        return sum(np.frombuffer(r.g) for r in rows.mapInArrow(run, "g binary").collect()) / n
-
-    w, b = np.zeros(1 << DIM_BITS), 0.0
-    m1 = m2 = np.zeros(len(w) + 1)
-    for t in range(1, EPOCHS + 1):
-        g = gradient(w, b) + RIDGE * np.append(w, 0.0)
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        d = STEP * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-        w, b = w - d[:-1], b - d[-1]
-
-    def scores(batches):
-        for part in small(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_raw(part, w)[3])], names=["o", "y", "z"])
-
-    got = rows.mapInArrow(scores, "o long, y int, z double").toArrow()
-    mine = np.isin(got["o"].to_numpy(), held)
-    model = Model(w)
-    model.slope, model.offset = _platt(got["z"].to_numpy()[mine] + b, got["y"].to_numpy()[mine].astype(float))
-    model.offset += model.slope * b
-    return model
+    fitted = features.repartition(1).sortWithinPartitions("o", "y").mapInArrow(_fit_task, "weights binary, slope double, offset double")
+    row = stored(fitted, "rules-model").first()
+    return Model.keep_all() if row is None else Model(np.frombuffer(row.weights), row.slope, row.offset)  # no row: no training rows
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits the model on the sample's sorted rows.  Their features go to
+    files of the task without a name (gone with it) and are mapped, so the
+    task holds a few rows' at a time whatever their number."""
+    lens, ys = [np.zeros(0, np.int64)], [np.zeros(0)]
+    with tempfile.TemporaryFile() as slots, tempfile.TemporaryFile() as values:
+        for whole in batches:
+            for b in slices(whole):
+                lens.append(np.diff(b.column(2).offsets.to_numpy()).astype(np.int64))
+                ys.append(b.column(1).to_numpy().astype(float))
+                slots.write(b.column(2).flatten().to_numpy().tobytes())
+                values.write(b.column(3).flatten().to_numpy().tobytes())
+        slots.flush()
+        values.flush()
+        ends = np.r_[0, np.cumsum(np.concatenate(lens))]
+        model = Model.keep_all()
+        if ends[-1]:
+            slot, value = np.memmap(slots, np.int32, "r"), np.memmap(values, np.float32, "r")
+            model = Model.fit(ends, slot, value, np.concatenate(ys))
+            del slot, value
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.slope]), pa.array([model.offset])], names=["weights", "slope", "offset"]
+    )
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_quality double"
