@@ -15,6 +15,7 @@ from modspark.operators.text_scores import any_label
 from modspark.operators.vectors import encode_label
 from modspark.schemas import AUDIT, CORPUS_LABELS, LABELLED_CORPUS, VECTORS
 from modspark.sources.published import Published
+from modspark.sources.quoted_csv import read_quoted_csv, typed
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -34,35 +35,19 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     The six label columns must all be present (checked on the header, before
     any data job); the error names the missing ones.  Adds ``label`` (P6).
 
-    Quoted records may span lines, so Spark cannot split a file: each file
-    is one scan task.  A large corpus should arrive as many files (or be
-    converted to Parquet once); the training jobs repartition by document
-    after the scan, so only the scan itself is per file."""
+    Files are read in splits although records may span lines
+    (``sources.quoted_csv``)."""
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
     missing = [c for c in CORPUS_LABELS if c not in header]
     if missing:
         raise ValueError(f"Dataset is missing expected columns: {missing}")
     if "comment_text" not in header:
         raise ValueError("Dataset is missing expected columns: ['comment_text']")
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .schema(_csv_schema(header))
-        .csv(path)
-    )
+    df = typed(read_quoted_csv(spark, path, header), LABELLED_CORPUS)
     df = df.fillna({"comment_text": ""})
     return any_label(df.select(*[f.name for f in LABELLED_CORPUS.fields], *[c for c in df.columns if c not in LABELLED_CORPUS.fieldNames()]))
 
 
-def _csv_schema(header: list[str]):
-    from pyspark.sql import types as T
-
-    known = {f.name: f.dataType for f in LABELLED_CORPUS.fields}
-    return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-
-
 def to_scorer_names(df: DataFrame) -> DataFrame:
     """Corpus label names -> scorer label names."""
     return df.withColumnRenamed("identity_hate", "identity_attack").withColumnRenamed(
