@@ -567,11 +567,11 @@ def _probe(spark, sf_dir):
 
 @query("vector_probe")
 def vector_probe(spark, sf_dir):
-    """M8: loss per iteration with the test AUC / F1 of the fitted probe."""
-    _, loss, m, _ = _probe(spark, sf_dir)
-    steps = spark.createDataFrame([(i, float(v)) for i, v in enumerate(loss)], "step int, loss double")
-    one = F.lit(1).alias("_k")
-    return steps.select("*", one).join(m.select("*", one), "_k").drop("_k")
+    """M8: training loss, test AUC, precision, recall and F1 of every round."""
+    _, rounds, _, _ = _probe(spark, sf_dir)
+    names = ["step", "loss", "auc", "precision", "recall", "f1"]
+    ddl = "step int, " + ", ".join(f"{c} double" for c in names[1:])
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rounds], ddl)
 
 
 @query("vector_scores")

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from modspark.functions.numeric import half_up
 from modspark.operators import evaluate as ev
+from modspark.operators import probe as pr
 from modspark.operators import risk as rk
 from modspark.operators import text_model as tm
-from modspark.sources.readers import path_exists
 from modspark.operators.vectors import encode_label, image_classifier_output
 from modspark.schemas import TEXT_CLASSIFIER_THRESHOLD
+from modspark.session import path_exists
 
 
 def _metrics(scored: DataFrame, label: str, score: str, pred: str) -> DataFrame:
@@ -114,7 +115,7 @@ def train_risk_model(
     split = ev.exact_split(training, key, "label", test, seed).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train").drop("split")
     testd = split.filter(F.col("split") == "test").drop("split")
-    ens = rk.train_ensemble(train, n_trees)
+    ens = rk.train_ensemble(train, n_trees, key=key)
     scored = rk.score(ens, testd).checkpoint(eager=True)  # the metrics read it several times
     m = _metrics(scored, "label", "raw_risk", "prediction")
     if log:
@@ -130,35 +131,29 @@ def train_risk_model(
 def train_vector_probe(
     vectors: DataFrame, epochs: int = 5, test: float = 0.2, seed: int = 42, log: bool = False
 ):
-    """M8: unstratified hash split -> logistic regression on the vectors for
-    ``epochs`` iterations; loss per iteration + test AUC / F1 (nsfw)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
+    """M8: unstratified hash split -> mini-batch rounds of the probe, each
+    evaluated on the test rows.  Returns the last round's probe, its rounds
+    (training loss, test AUC, precision, recall, F1), the last metrics and the
+    scored test rows."""
     spark = vectors.sparkSession
-    d = vectors.select("id", array_to_vector("embedding").alias("features"), encode_label(F.col("label")).alias("label"))
-    d = ev.hash_split(d, "id", test, seed)
-    train = d.filter(F.col("split") == "train")
-    testd = d.filter(F.col("split") == "test")
-    model = LogisticRegression(maxIter=epochs, regParam=0.0, tol=0.0).fit(train)
-    loss = list(model.summary.objectiveHistory)
-    scored = model.transform(testd).withColumn("p", vector_to_array("probability")[1])
-    scored = scored.select("id", "label", "p", (F.col("p") > F.lit(0.5)).cast("int").alias("prediction"))
-    scored = scored.checkpoint(eager=True)  # the metrics read it several times
-    m = _metrics(scored, "label", "p", "prediction")
-    if log:
-        from modspark.sources.sinks import log_metrics
-
-        for i, v in enumerate(loss):
-            log_metrics(spark, "vector_probe", {"loss": v}, step=i)
-    return model, loss, m, scored
-
-
-def vector_scores(model, vectors: DataFrame) -> DataFrame:
+    d = vectors.select("id", "embedding", encode_label(F.col("label")).alias("label"))
+    d = ev.hash_split(d, "id", test, seed).checkpoint(eager=True)  # read once a round
+    train, testd = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    rounds, m, scored = [], None, None
+    for k, (model, loss) in enumerate(pr.train(train, epochs)):
+        scored = testd.select("id", "label", model.probability().alias("p"))
+        scored = scored.withColumn("prediction", (F.col("p") > F.lit(0.5)).cast("int"))
+        scored = scored.checkpoint(eager=True)  # the metrics read it several times
+        m = _metrics(scored, "label", "p", "prediction")
+        rounds.append({"step": k, "loss": loss} | m.first().asDict())
+        if log:
+            from modspark.sources.sinks import log_metrics
+
+            log_metrics(spark, "vector_probe", {c: v for c, v in rounds[-1].items() if c != "step"}, step=k)
+    return model, rounds, m, scored
+
+
+def vector_scores(model: pr.Probe, vectors: DataFrame) -> DataFrame:
     """M9: P21 image output of the probe: label nsfw/safe, confidence max(p, 1-p)."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    d = vectors.select("id", array_to_vector("embedding").alias("features"))
-    p = model.transform(d).withColumn("p", vector_to_array("probability")[1])
     cols = image_classifier_output(F.col("p"))
-    return p.select("id", *[v.alias(k) for k, v in cols.items()])
+    return vectors.select("id", model.probability().alias("p")).select("id", *[v.alias(k) for k, v in cols.items()])

@@ -14,17 +14,11 @@ from modspark.operators.monitor import lookback
 from modspark.operators.text_scores import any_label
 from modspark.operators.vectors import encode_label
 from modspark.schemas import AUDIT, CORPUS_LABELS, LABELLED_CORPUS, VECTORS
+from modspark.session import path_exists
 from modspark.sources.published import Published
 from modspark.sources.quoted_csv import read_quoted_csv, typed
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
-
-
 # ---------------------------------------------------------------------------
 # S1 labelled CSV
 # ---------------------------------------------------------------------------

@@ -80,10 +80,11 @@ def test_text_model_save_and_load(spark, text_model, tmpdir_fresh):
 
 
 def test_vector_probe_learns(spark):
-    model, loss, metrics, scored = Q._probe(spark, SF)
-    assert loss[-1] < loss[0]
+    model, rounds, metrics, scored = Q._probe(spark, SF)
+    assert [r["step"] for r in rounds] == [0, 1, 2, 3, 4] and rounds[-1]["loss"] < rounds[0]["loss"]
+    assert all(0 <= r[c] <= 1 for r in rounds for c in ("auc", "precision", "recall", "f1"))
     x = np.array([r.embedding for r in B.vectors(spark, SF).orderBy("id").collect()])
-    p = 1 / (1 + np.exp(-(x @ model.coefficients.toArray() + model.intercept)))
+    p = 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.intercept)))
     from modspark.plans.training import vector_scores
 
     got = {r.id: r for r in vector_scores(model, B.vectors(spark, SF)).collect()}
@@ -105,3 +106,34 @@ def test_risk_ensemble_learns_and_explains(spark):
     imp = rk.feature_importance(spark, ens, 22).collect()
     assert len(imp) == 22 and sum(r.importance for r in imp) == pytest.approx(1.0)
     assert [r.importance for r in imp] == sorted((r.importance for r in imp), reverse=True)
+
+
+def test_probe_rounds_against_numpy(spark, tmpdir_fresh):
+    """One partition: a round is plain mini-batch descent; several: their mean."""
+    from modspark.operators import probe as pr
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(3, 2, (300, 5))
+    y = (x @ [1, -1, 0.5, 0, 2] > 8).astype(float)
+    rows = [(str(i), v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y))] + [("bad", [1.0], 1), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>, label int").coalesce(1)
+    order = [int(r.id) for r in df.filter("size(embedding) = 5").sortWithinPartitions(F.xxhash64(F.xxhash64("id"), F.lit(0))).collect()]
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(300)])
+    w = np.zeros(6)
+    for i in range(0, 300, 32):
+        at = order[i : i + 32]
+        w = w - 1.0 * 5 / 2 / 6 * z[at].T @ (1 / (1 + np.exp(-(z[at] @ w))) - y[at]) / len(at)
+    first, _ = next(pr.train(df, 1))
+    assert first.weights == pytest.approx((w[:-1] / x.std(0)).tolist(), rel=1e-9)
+    last = list(pr.train(df.repartition(4), 5))[-1][0]
+    p = {r.id: r.p for r in df.withColumn("p", last.probability()).collect()}
+    assert p["bad"] is None and p["none"] is None
+    assert np.mean([(p[str(i)] > 0.5) == (y[i] > 0.5) for i in range(300)]) > 0.9
+    with pytest.raises(RuntimeError):
+        pr.Probe().save(spark, tmpdir_fresh + "/p")
+    with pytest.raises(FileNotFoundError):
+        pr.Probe.load(spark, tmpdir_fresh + "/p")
+    last.save(spark, tmpdir_fresh + "/p")
+    assert pr.Probe.load(spark, tmpdir_fresh + "/p") == last
+    with pytest.warns(UserWarning):
+        last.save(spark, tmpdir_fresh + "/p")
