@@ -137,7 +137,11 @@ def drift_report(
     previous = F.lit(True) if baseline == "overlapping" else (F.col("ts") < recent_cut)
     given = _selected(scan, {"recent": recent, "previous": previous}, decimals)
     agg = scan.agg(*_stats(recent, "recent_", exact, given["recent"]), *_stats(previous, "previous_", exact, given["previous"]))
-    agg = _unpack_pct(_unpack_pct(agg, "recent_"), "previous_")
+    return drift_columns(_unpack_pct(_unpack_pct(agg, "recent_"), "previous_"), threshold)
+
+
+def drift_columns(agg: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """The shifts and the decision from the statistics of both windows."""
     # pandas keeps no statistics for an empty window
     empty = (F.col("recent_rows") == 0) | (F.col("previous_rows") == 0)
     shift = F.abs(F.col("recent_mean") - F.col("previous_mean"))

@@ -899,6 +899,16 @@ SELECT o.content_id,
   coalesce(CASE WHEN k IN (3, 4, 5) THEN n % 4 END, u.prev_violations, 0) AS user_prev_violations
 FROM o LEFT JOIN users u USING (user_id)"""
 
+SQL["audit_tail_log"] = f"""WITH {REVIEWED_CTE}
+SELECT content_id, action, risk_score, strftime(ts, '%Y-%m-%dT00:00:00.000000') AS timestamp FROM audit
+ORDER BY CAST(ts AS DATE) DESC, CAST(content_id AS BIGINT) % 3 DESC, CAST(content_id AS BIGINT) LIMIT 40"""
+
+for _name, _raw in (
+    ("score_stats_partials", "score_stats"), ("drift_partials", "drift_disjoint"),
+    ("dashboard_partials", "dashboard_summary"), ("timeline_partials", "timeline_long"),
+):
+    SQL[_name] = SQL[_raw]
+
 SQL["audit_published"] = f"""WITH {REVIEWED_CTE}
 SELECT content_id, action, risk_score, timestamp FROM audit"""
 

@@ -725,6 +725,72 @@ def user_meta_json(spark, sf_dir):
     return f.select("content_id", "status", "reason", "user_account_age_days", "user_prev_violations")
 
 
+@query("audit_tail_log")
+def audit_tail_log(spark, sf_dir):
+    """S3 in the order of a written log: records of one day have the same time
+    and are appended in three steps, so only their place in the log tells."""
+    import uuid
+
+    from modspark.session import scratch_path
+    from modspark.sources.readers import tail_audit
+    from modspark.sources.sinks import write_audit
+
+    path = scratch_path(spark, f"tail-{uuid.uuid4().hex[:8]}")
+    log = B.audit_log(spark, sf_dir).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'00:00:00.000000"))
+    n = F.col("content_id").cast("long")
+    for k in range(3):
+        write_audit(log.filter(n % 3 == k).coalesce(1).sortWithinPartitions(n.desc()), path, batch_id=f"step-{k}", in_order=True)
+    return tail_audit(spark, path, 40).select("content_id", "action", "risk_score", "timestamp")
+
+
+def _partials(spark, sf_dir):
+    """The partials of the audit log, written in three batches, one of them
+    twice, and folded."""
+    import uuid
+
+    from modspark.operators.partials import Partials
+    from modspark.session import scratch_path
+
+    parts = Partials(spark, scratch_path(spark, f"partials-{uuid.uuid4().hex[:8]}"))
+    log = B.audit_log(spark, sf_dir)
+    for k in (0, 1, 1, 2):
+        parts.update(log.filter(F.col("content_id").cast("long") % 3 == k), f"b{k}")
+    parts.compact()
+    return parts
+
+
+@query("score_stats_partials")
+def score_stats_partials(spark, sf_dir):
+    """A1-A3 from hourly partials."""
+    from modspark.operators import partials as pt
+
+    return pt.score_stats(_partials(spark, sf_dir), B.AS_OF, 24)
+
+
+@query("drift_partials")
+def drift_partials(spark, sf_dir):
+    """A4-A5 from hourly partials."""
+    from modspark.operators import partials as pt
+
+    return pt.drift_report(_partials(spark, sf_dir), B.AS_OF, baseline="disjoint")
+
+
+@query("dashboard_partials")
+def dashboard_partials(spark, sf_dir):
+    """A6 from hourly partials."""
+    from modspark.operators import partials as pt
+
+    return pt.summary_rows(_partials(spark, sf_dir), B.AS_OF, 24)
+
+
+@query("timeline_partials")
+def timeline_partials(spark, sf_dir):
+    """A7 from hourly partials."""
+    from modspark.operators import partials as pt
+
+    return pt.timeline(_partials(spark, sf_dir), B.AS_OF, 24)
+
+
 @query("audit_published")
 def audit_published(spark, sf_dir):
     """S6 with published batches: the log is written in two batches, one of

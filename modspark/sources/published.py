@@ -25,12 +25,16 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
 
 MANIFESTS, DATA = "_published", "data"
+# Where a line of a file stands: when the file was written, its path, the split.
+PLACE = ["_metadata.file_modification_time AS _written", "_metadata.file_path AS _file", "_metadata.file_block_start AS _block"]
+_PLACE_TYPES = {"_written": "TIMESTAMP", "_file": "STRING", "_block": "BIGINT"}
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._=-]{0,180}")
 
 
@@ -121,11 +125,14 @@ class Published:
         found = self._load(self.spark.read.schema(schema).format(fmt))
         return self.spark.createDataFrame([], schema) if found is None else found
 
-    def lines(self) -> DataFrame:
+    def lines(self, place: bool = False) -> DataFrame:
         """The published files as text lines (``value``), with the columns of
-        their partition folders."""
+        their partition folders and, if asked, the ``PLACE`` of their lines."""
         found = self._load(self.spark.read.format("text"))
-        return self.spark.createDataFrame([], "value string") if found is None else found
+        if found is None:
+            found = self.spark.createDataFrame([], "value string")
+            return found.selectExpr("*", *(f"CAST(NULL AS {t}) AS {c}" for c, t in _PLACE_TYPES.items())) if place else found
+        return found.selectExpr("*", *PLACE) if place else found
 
     # writing ---------------------------------------------------------------
 
@@ -165,9 +172,13 @@ class Published:
             self._fs.delete(draft, False)
         return won
 
-    def compact(self, schema: T.StructType | str, fmt: str = "json", partition_by: list[str] | None = None, least: int = 2) -> str | None:
-        """Rewrite the visible batches as one; its name, or None if there are
-        fewer than ``least``.  Two compactions at a time are settled by the
+    def compact(
+        self, schema: T.StructType | str, fmt: str = "json", partition_by: list[str] | None = None, least: int = 2,
+        change: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> str | None:
+        """Rewrite the visible batches as one (their rows through ``change``,
+        e.g. to add up partial counts); its name, or None if there are fewer
+        than ``least``.  Two compactions at a time are settled by the
         rename: both derive the same name from what they replace, and one wins."""
         seen = self.batches()
         if len(seen) < least:
@@ -175,9 +186,11 @@ class Published:
         names = tuple(sorted({n for b in seen for n in (b.name, *b.replaces)}))
         name = "compact-" + uuid.uuid5(uuid.NAMESPACE_OID, "\n".join(names)).hex
         df = self._load(self.spark.read.schema(schema).format(fmt), seen)
+        if change is not None:
+            df = change(df)
         if partition_by:
             df = df.hint("rebalance", *partition_by)
-        total = None if any(b.rows is None for b in seen) else sum(b.rows for b in seen)
+        total = None if change is not None or any(b.rows is None for b in seen) else sum(b.rows for b in seen)
         return name if self.append(df, name, fmt, partition_by, names, total) else None
 
     def vacuum(self, older_than_s: float = 7 * 24 * 3600) -> int:

@@ -4,18 +4,20 @@ labelled image vectors.  Schemas are fixed; nothing is inferred.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modspark.functions.text import WHITESPACE
 from modspark.operators.monitor import lookback
 from modspark.operators.text_scores import any_label
 from modspark.operators.vectors import encode_label
 from modspark.schemas import AUDIT, CORPUS_LABELS, LABELLED_CORPUS, VECTORS
 from modspark.session import path_exists
-from modspark.sources.published import Published
+from modspark.sources.published import PLACE, Published
 from modspark.sources.quoted_csv import read_quoted_csv, typed
 
 
@@ -62,8 +64,6 @@ def parse_audit_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """JSON-lines text -> audit rows.  Lines that are not a JSON object
     (malformed, arrays, blank) and records without a parseable timestamp are
     skipped, as the lenient readers of the log do."""
-    from modspark.functions.text import WHITESPACE
-
     v = F.col(col)
     # valid JSON whose first non-blank character is "{" is an object
     first = F.substring(F.trim(v, F.lit(WHITESPACE)), 1, 1)
@@ -111,6 +111,32 @@ def read_audit_strict(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ts", F.to_timestamp("timestamp"))
 
 
+def tail_audit(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+    """S3: the last ``n`` records of a written log (JSON lines) in the order of
+    the log, oldest first, with their ``ts``: newest date folder first, then
+    the files by the time they were written and their names, then the lines.
+    Only as many of the newest folders are read as hold ``n`` lines.  Strict:
+    one of these lines that is no JSON object fails the read; older lines are
+    not looked at.  A missing log has no records."""
+    if n <= 0 or not path_exists(spark, path):
+        return _empty_audit(spark).limit(0)
+    table = Published(spark, path)
+    lines = table.lines(place=True) if table.exists() else spark.read.text(path).selectExpr("*", *PLACE)
+    dated = "dt" in lines.columns
+    if dated:
+        days = sorted({d for f in lines.inputFiles() for d in re.findall(r"/dt=([^/]+)/", f)}, reverse=True)
+        take = 1
+        while take < len(days) and lines.filter(F.col("dt").cast("string").isin(days[:take])).limit(n).count() < n:
+            take *= 2
+        lines = lines.filter(F.col("dt").cast("string").isin(days[:take]))
+    order = (["dt"] if dated else []) + ["_written", "_file", "_block", "_line"]
+    last = lines.withColumn("_line", F.monotonically_increasing_id()).orderBy(*[F.col(c).desc() for c in order]).limit(n)
+    v = F.trim("value", F.lit(WHITESPACE))
+    text = F.when(v.startswith("{"), v).otherwise(F.raise_error(F.concat(F.lit("not a JSON object in the audit log: "), F.col("value"))))
+    rows = last.orderBy(*order).select(F.from_json(text, AUDIT, {"mode": "FAILFAST"}).alias("r"))
+    return rows.select("r.*").withColumn("ts", F.to_timestamp("timestamp"))
+
+
 # ---------------------------------------------------------------------------
 # S5 labelled vectors
 # ---------------------------------------------------------------------------

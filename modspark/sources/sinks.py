@@ -18,7 +18,9 @@ from modspark.session import scratch_path
 from modspark.sources.published import Published
 
 
-def write_audit(records: DataFrame, path: str, fmt: str = "json", batch_id: str | None = None) -> bool:
+def write_audit(
+    records: DataFrame, path: str, fmt: str = "json", batch_id: str | None = None, in_order: bool = False
+) -> bool:
     """Append audit records partitioned by ``dt`` (the record date).
     ``fmt='json'`` keeps the one-object-per-line contract; ``'parquet'``
     gives column pruning and pushed-down time predicates to readers.
@@ -27,13 +29,20 @@ def write_audit(records: DataFrame, path: str, fmt: str = "json", batch_id: str
     (``sources.published``): written twice, or begun, killed and run again, it
     is in the log once.  A log once written so is always appended to so; a
     batch without an id then gets one of its own.  False if the batch was
-    there already."""
+    there already.
+
+    ``in_order`` keeps the rows of a partition in their order in the file
+    (``readers.tail_audit`` reads logs in that order) instead of bringing the
+    rows of a day together."""
     cols = [f.name for f in AUDIT.fields]
     out = records.select(*cols).withColumn("dt", F.to_date(F.to_timestamp("timestamp")))
     if fmt == "parquet":  # a typed time, so readers push their lookback down
         out = out.withColumn("ts", F.to_timestamp("timestamp"))
     # rows of a day together (in several tasks if AQE finds the day large): not one file a task and day
-    out = out.hint("rebalance", "dt")
+    if in_order:  # the day first, as the writer wants them, then as they came
+        out = out.withColumn("_at", F.monotonically_increasing_id()).sortWithinPartitions("dt", "_at").drop("_at")
+    else:
+        out = out.hint("rebalance", "dt")
     if _publishes(records.sparkSession, path, batch_id):
         return Published(records.sparkSession, path).append(out, batch_id or uuid.uuid4().hex, fmt, ["dt"])
     out.write.mode("append").partitionBy("dt").format(fmt).save(path)
