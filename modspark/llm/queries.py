@@ -33,7 +33,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read the records back."""
     manifest = warc.write_archives(spark, read_table(spark, sf_dir, "pages"))
-    return warc.read_archives(spark, manifest, with_payload=False).select(
+    return warc.read_whole(spark, manifest, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )
 
