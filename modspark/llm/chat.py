@@ -107,12 +107,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.flatten(F.transform(blocks, turns)))
 
 
+def masked_text(formatted: str = "formatted", mask: str = "mask") -> Column:
+    """All text under the loss mask, unescaped: the formatted text is cut at
+    the mask's runs, one after the other."""
+
+    def cut(a: Column, run: Column) -> Column:
+        piece, rest = F.substring(a["rest"], F.lit(1), run["chars"]), F.substring(a["rest"], run["chars"] + 1, F.char_length(a["rest"]))
+        return F.struct(rest.alias("rest"), F.when(run["in_loss"], F.concat(a["loss"], unescape(piece))).otherwise(a["loss"]).alias("loss"))
+
+    return F.aggregate(mask, F.struct(F.col(formatted).alias("rest"), F.lit("").alias("loss")), cut)["loss"]
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """The figures of a formatted table, from what :func:`read_back` reads."""
-    back = read_back(formatted)
-    loss = F.array_join(
-        F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), ""
-    )
+    """The figures of a formatted table: turns from what :func:`read_back`
+    reads, the loss from what lies under the mask."""
+    back = read_back(formatted).withColumn("_loss", masked_text())
+    loss = F.col("_loss")
     flat = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )

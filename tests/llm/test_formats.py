@@ -6,6 +6,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.join(ROOT, "tests"))
@@ -135,3 +136,26 @@ def test_pipeline_stages(spark, make_docs, words):
     for _, f in P.STAGES:
         empty = f(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_warc_long_headers_and_lost_records(spark):
+    """A header of any length is read to its end; missing records are noticed."""
+    rows = [(1, "http://x/" + os.urandom(600_000).hex(), "body"), (2, "u", "b" * 2000), (3, None, None)]
+    man = warc.write_archives(spark, pages(spark, rows))
+    got = {r.page_id: r for r in warc.read_whole(spark, man, split_bytes=300_000).collect()}
+    assert got[1].url == rows[0][1] and got[1].payload == b"body" and set(got) == {1, 2, 3}
+    more = man.selectExpr("path", "n_bytes", "n_records + 1 AS n_records")
+    with pytest.raises(RuntimeError):
+        warc.read_whole(spark, more)
+
+
+def test_chat_loss_comes_from_the_mask(spark):
+    rows = [(1, 0, "user", "ask <|im_end|>"), (1, 1, "assistant", "one\\ <|im_next|>"), (1, 2, "assistant", "é<"), (1, 3, "assistant", "\\|two"), (2, 0, "user", "x")]
+    df = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    text = {r.conv_id: r.loss for r in df.select("conv_id", chat.masked_text().alias("loss")).collect()}
+    assert text == {1: "one\\ <|im_next|>é<\\|two", 2: ""}
+    # a mask of the right total length in the wrong place is seen
+    moved = F.transform("mask", lambda m, i: F.struct(F.when(i == 0, m["chars"] - 1).when(i == 2, m["chars"] + 1).otherwise(m["chars"]).alias("chars"), m["in_loss"].alias("in_loss")))
+    good, bad = chat.digest(df), chat.digest(df.withColumn("mask", moved))
+    pair = good.join(bad.select("conv_id", F.col("loss_sha256").alias("other"), F.col("mask_chars").alias("m")), "conv_id").filter("conv_id = 1").first()
+    assert pair.loss_sha256 != pair.other and pair.mask_chars == pair.m
