@@ -252,8 +252,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, if asked, ids; drops
-    the text column.  Encoding and decoding run in one pass over the texts."""
-    keep = [c for c in docs.columns if c != text]
+    the text column and columns of these names.  Encoding and decoding run in
+    one pass over the texts."""
+    out = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
+    keep = [c for c in docs.columns if c not in (text, *out)]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         found = codec(path).encode_batch(texts(b.column(len(keep))))
@@ -269,7 +271,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True
         return pa.RecordBatch.from_arrays(cols, names=[*keep, *out])
 
     types = dict(docs.dtypes)
-    out = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" if with_ids else ""
     return map_batches(docs.select(*keep, text), fn, schema, done=lambda: codec(path).forget())

@@ -228,11 +228,10 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` with one document of each class left: the one with
     the smallest id (among equal ids, the smallest text hash)."""
-    rows = docs.withColumn("_c", F.xxhash64(F.col(text)))
-    near = near_duplicates(rows, id_col, text, shingle, max_bits, keep=("_c",))
-    first = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(
-        F.min(F.struct(F.col(id_col).alias("i"), F.col("_c").alias("c"))).alias("m")
-    )
-    first = stored(first.select(F.col("m.i").alias("_i"), F.col("m.c").alias("_k")), "simhash-first")
-    kept = rows.join(first, rows[id_col].eqNullSafe(F.col("_i")) & (rows["_c"] == F.col("_k")), "left_semi")
-    return kept.dropDuplicates([id_col, "_c"]).drop("_c")
+    # the columns of ``docs`` travel as one struct: no name can clash
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("c"), F.struct(*docs.columns).alias("row"))
+    near = near_duplicates(rows, "id", "text", shingle, max_bits, keep=("c",))
+    first = near.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("id", "c")).alias("m"))
+    first = stored(first.select(F.col("m.id").alias("_i"), F.col("m.c").alias("_k")), "simhash-first")
+    kept = rows.join(first, rows["id"].eqNullSafe(F.col("_i")) & (rows["c"] == F.col("_k")), "left_semi")
+    return kept.dropDuplicates(["id", "c"]).select("row.*")

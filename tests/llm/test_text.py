@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from modspark.llm import bpe, decontam, langid_crf, quality_gam, quality_rules, secrets
+from modspark.llm import bpe, decontam, langid_crf, quality_gam, quality_rules, secrets, simhash
 
 SF = "/root/testdata/sf0.01"
 EDGE = ["", None, "  \n\t", "a", "z" * 200_000, "it's 12 ÀÉ", "it's 12 ÀÉ"]
@@ -334,3 +334,59 @@ def test_items_without_an_id_are_evidence(spark, make_docs, words, monkeypatch):
         assert [got[k]["items"] for k in range(3)] == [[None], [2, None], []]
         assert [got[k].contaminated for k in range(3)] == [True, True, False]
         assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [2]
+
+
+def test_short_items_with_replaced_words_are_all_found(spark, words):
+    """Items of 5 to 10 words with up to 40 % of the words replaced: every
+    leak by the definition is found, whatever the cosine."""
+    rng = random.Random(21)
+    items = [words(5 + k % 6, 500 + k).split() for k in range(40)]
+    docs, leaks = [], set()
+    for d in range(120):
+        item = items[d % 40]
+        n = len(item)
+        kept = set(rng.sample(range(n), n - int(n * rng.choice([0.2, 0.3, 0.4]))))
+        said = [w if k in kept else f"other{rng.randrange(9999)}" for k, w in enumerate(item)]
+        front, back = words(rng.randrange(30, 60), 9000 + d).split(), words(rng.randrange(30, 60), 19000 + d).split()
+        docs.append(" ".join(front + said + back))
+        whole = [w.encode() for w in front + said + back]
+        for i, it in enumerate(items):
+            if any(decontam.verify([w.encode() for w in it], whole, lo, lo + len(it)) for lo in range(0, len(whole), 2)):
+                leaks.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(it)) for i, it in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(d, t, "x") for d, t in enumerate(docs)], "doc_id long, text string, _items string")
+    got = {(r.doc_id, i) for r in decontam.find_leaks(table, bench).collect() for i in r["items"]}
+    assert len(leaks) > 80 and leaks <= got
+    kept = decontam.drop_leaks(table, bench)
+    assert kept.columns == ["doc_id", "text", "_items"] and {r.doc_id for r in kept.collect()} == {d for d in range(120)} - {d for d, _ in got}
+
+
+def test_query_blocks_hold_every_item_once(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS", 7)
+    bench = spark.createDataFrame([(i % 40, f"item {i % 40}") for i in range(60)] + [(None, "x"), (3, None)], "item_id long, text string")
+    n, block = decontam._query_blocks(bench)
+    seen = [r for k in range(n) for r in block(k)]
+    assert n > 5 and len(seen) == len(set(seen)) == 42
+
+
+def test_clashing_names_are_kept_or_replaced(spark):
+    rows = [(1, "a b c d e", "x", "y", "z"), (2, "f g h", "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _c string, n_tokens string, c string")
+    assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df).count() == 2
+    out = bpe.encode(df, bpe.vocabulary())
+    assert out.columns.count("n_tokens") == 1 and dict(out.dtypes)["n_tokens"] == "bigint" and "_c" in out.columns
+
+
+def test_held_out_rows_are_those_of_the_rule(spark, make_docs, words):
+    """op2 and op6: the held-out flag, and nothing learned from held-out rows."""
+    import zlib
+
+    ids = list(range(60))
+    docs = make_docs([words(60, k) for k in ids], ids, ["en" if k % 2 else "de" for k in ids])
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in ids], "doc_id long, quality int")
+    flipped = labels.selectExpr("doc_id", "IF(crc32(cast(doc_id AS string)) % 5 = 0, 1 - quality, quality) AS quality")
+    got = {r.doc_id: (r.held_out, r.score) for r in quality_gam.classify(docs, labels).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in ids}
+    assert got == {r.doc_id: (r.held_out, r.score) for r in quality_gam.classify(docs, flipped).collect()}
+    lang = {r.doc_id: r for r in langid_crf.identify(docs).collect()}
+    assert {k: r.held_out for k, r in lang.items()} == {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in ids}
