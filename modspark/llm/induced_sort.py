@@ -16,18 +16,20 @@ that depth in three steps:
    tuple's common prefix is one more than the minimum over the tuples scanned
    since its bucket's last arrival.
 
-Batches of a bucket are handled with numpy; symbols are 16-bit, 0 parts the
+Batches of a bucket are handled with numpy, and so are stretches of one
+repeated symbol, whose rounds differ by a place only; symbols are 16-bit, 0 parts the
 strings of a shard.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
 _FAR = np.int16(32000)
-_STEP = 1 << 16
+_STEP, _BLOCK = 1 << 16, 1 << 18
 
 
 class BucketQueue:
@@ -127,6 +129,27 @@ class _Pass:
             self.low = np.minimum(self.low, least)
 
 
+    def rounds(self, c: int, pos: np.ndarray, lcp: np.ndarray, many: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The next ``many`` rounds of bucket ``c`` at once: while each of its
+        suffixes has the bucket's symbol before it, a round is the one before
+        moved back by one place, with common prefixes longer by one.  The
+        round after them is left in the queue."""
+        first = min(int(lcp[0]), int(self.low[c]))
+
+        def block(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = pos[None, :] - k[:, None]
+            long = np.minimum(lcp.astype(np.int32)[None, :] + k[:, None], self.depth)
+            long[:, 0] = np.where(k == 0, lcp[0], np.minimum(first + k, self.depth))
+            return at.ravel().astype(np.int32), long.ravel().astype(np.int16)
+
+        step = max(1, _BLOCK // len(pos))
+        for k in range(0, many, step):
+            yield block(np.arange(k, min(k + step, many)))
+        self.low = np.minimum(self.low, min(int(lcp.min()), first + 1)).astype(np.int16)
+        self.low[c] = _FAR
+        self.queue.push(c, *block(np.array([many])))
+
+
 def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smaller than the next suffix, run length of the first symbol)."""
     n = len(text)
@@ -202,6 +225,9 @@ def repeated_starts(text: np.ndarray, depth: int, memory: int = 1 << 22) -> np.n
     symbols before their string's end may be marked wrongly."""
     n, buckets = len(text), int(text.max()) + 1
     small, run = _types(text)
+    same = np.r_[False, text[1:] == text[:-1]]
+    at = np.arange(n, dtype=np.int32)
+    behind = at - np.maximum.accumulate(np.where(same, 0, at))  # equal symbols before each place
     star = np.flatnonzero(small & np.r_[False, ~small[:-1]]).astype(np.int32)
     if len(star):
         star = _star_order(text, small, star, depth)
@@ -225,6 +251,11 @@ def repeated_starts(text: np.ndarray, depth: int, memory: int = 1 << 22) -> np.n
             if end < 0:
                 lcp = lcp.copy()
                 lcp[0] = 0
+            if (many := int(behind[pos].min())) > 1:
+                for p, x in up.rounds(c, pos, lcp, many):
+                    large.push(c, p, x)
+                    end = int(p[-1])
+                continue
             large.push(c, pos, lcp)
             up.scan(pos, lcp)
             end = int(pos[-1])
@@ -252,6 +283,11 @@ def repeated_starts(text: np.ndarray, depth: int, memory: int = 1 << 22) -> np.n
             if end < 0:
                 lcp = lcp.copy()
                 lcp[0] = 0
+            if (many := int(behind[pos].min())) > 1:
+                for p, x in down.rounds(c, pos, lcp, many):
+                    mark(p, x, end)
+                    end = int(p[-1])
+                continue
             mark(pos, lcp, end)
             down.scan(pos, lcp)
             end = int(pos[-1])

@@ -199,3 +199,47 @@ def test_a_key_of_many_bytes_is_not_sorted_in_one_shard(make_docs, words, monkey
     rows = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
     assert rows == sorted((i, *x) for i, x in enumerate(brute_removal(texts, 400)))
     assert max(whole, default=0) <= 8_000
+
+
+def brute_marks(text, depth):
+    """(positions with ``depth`` symbols left, those of them that repeat)."""
+    t, ends, places = text.tolist(), len(text), {}
+    for i in range(len(t) - 1, -1, -1):
+        if t[i] == 0:
+            ends = i
+        if ends - i >= depth:
+            places.setdefault(tuple(t[i : i + depth]), []).append(i)
+    valid = sorted(i for v in places.values() for i in v)
+    return valid, {i for v in places.values() if len(v) > 1 for i in v}
+
+
+@pytest.mark.parametrize("memory", [1 << 22, 5])
+def test_repeated_symbols_against_brute_force(memory):
+    """Stretches of one symbol, of several lengths and beside each other, with
+    queues that spill all the time and never."""
+    rng = random.Random(memory)
+    for _ in range(150):
+        depth, parts = rng.choice([4, 8, 16]), []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.random()
+            if kind < 0.4:
+                parts += [rng.randint(1, 4)] * rng.randint(1, 60)
+            elif kind < 0.7:
+                parts += [rng.randint(1, 3) for _ in range(rng.randint(1, 50))]
+            else:
+                parts += ([1] * rng.randint(1, 9) + [rng.randint(1, 3)]) * rng.randint(1, 9)
+            if rng.random() < 0.4:
+                parts.append(0)
+        text = np.array([*parts, 0], np.uint16)
+        valid, want = brute_marks(text, depth)
+        got = repeated_starts(text, depth, memory)
+        assert {i for i in valid if got[i]} == want
+
+
+def test_megabytes_of_one_symbol_take_seconds():
+    import time
+
+    n = 4 << 20
+    began = time.monotonic()
+    marks = repeated_starts(np.r_[np.full(n, 33), [0]].astype(np.uint16), 400)
+    assert marks[: n - 399].all() and time.monotonic() - began < 30
