@@ -55,8 +55,9 @@ def preview(text: Column, n: int = 100) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Lower-case and strip accents."""
-    return F.translate(F.lower(text), ACCENTED, UNACCENTED)
+    """Lower-case and strip accents (text of one byte a character has none)."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, ACCENTED, UNACCENTED))
 
 
 def word_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:

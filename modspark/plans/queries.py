@@ -617,6 +617,21 @@ def moderation_decisions(spark, sf_dir):
                     F.coalesce("review_status", F.lit("none")).alias("review_status"))
 
 
+@query("moderation_ensemble")
+def moderation_ensemble(spark, sf_dir):
+    """The whole moderation job with the trained ensemble as its risk."""
+    from modspark.plans import moderate as md
+
+    ens, _, _ = _risk_model(spark, sf_dir)
+    imgs = image_scores(spark, sf_dir).withColumn("image_ref", F.col("id").cast("string"))
+    s = md.score_content(
+        B.content(spark, sf_dir), lexicon=B.lexicon_entries(), image_scores=imgs, users=B.users(spark, sf_dir), ensemble=ens
+    )
+    d = md.decide(s, responses=reviews(spark, sf_dir))
+    return d.select("content_id", "user_id", "risk_score", "severity", "route", "final_action",
+                    F.coalesce("review_status", F.lit("none")).alias("review_status"))
+
+
 @query("decision_view")
 def decision_view(spark, sf_dir):
     """The nine-field decision, its three structs by one field each."""

@@ -108,6 +108,20 @@ def test_risk_ensemble_learns_and_explains(spark):
     assert [r.importance for r in imp] == sorted((r.importance for r in imp), reverse=True)
 
 
+def test_moderation_with_the_trained_ensemble(spark, monkeypatch):
+    """The flagship's risk is the mean of both trained models over its features."""
+    from modspark.operators import risk as rk
+
+    monkeypatch.setattr(Q, "RISK_TREES", 4)
+    Q._MODELS.pop(("risk", spark.sparkContext.applicationId, SF), None)
+    got = {r.content_id: r for r in Q.moderation_ensemble(spark, SF).collect()}
+    ens, _, _ = Q._risk_model(spark, SF)
+    want = {r.content_id: r for r in rk.score(ens, Q.content_features(spark, SF)).collect()}
+    assert len(got) == len(want) and all(got[k].risk_score == pytest.approx(want[k].final_risk_score) for k in want)
+    assert all(got[k].severity == want[k].severity for k in want)
+    Q._MODELS.pop(("risk", spark.sparkContext.applicationId, SF), None)
+
+
 def test_probe_rounds_against_numpy(spark, tmpdir_fresh):
     """One partition: a round is plain mini-batch descent; several: their mean."""
     from modspark.operators import probe as pr

@@ -22,7 +22,7 @@ def test_every_query_has_oracle_or_is_model_based():
     no_sql = set(queries.queries()) - set(oracle.oracle_sql())
     assert no_sql <= {
         "text_model_auc", "text_model_scores", "risk_model_scores", "risk_model_metrics",
-        "feature_importance", "vector_probe", "vector_scores",
+        "feature_importance", "vector_probe", "vector_scores", "moderation_ensemble",
     }
 
 
