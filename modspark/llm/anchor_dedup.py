@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, release, stored
 
 WINDOW = 50
 # A perfect difference set modulo 31.
@@ -178,6 +178,13 @@ def _windows(src: DataFrame, places: DataFrame, id_col: str, window: int) -> Dat
     return map_batches(rows, fn, f"r long, `{id_col}` {id_type}, s int, x long, y long")
 
 
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """A stored table; the shuffles it came from are not needed any more."""
+    out = stored(df, name)
+    release(df.sparkSession)
+    return out
+
+
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW):
     """(rows, stretches): ``rows`` is (id, t, n_words, whole) of every row,
     ``stretches`` (id, t, spans) the word stretches [a, b) to remove of those
@@ -193,26 +200,26 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     heads = each.groupBy("h").agg(
         F.min(id_col).alias("m"), F.max(id_col).alias("z"), F.min("c").alias("c0"), F.max("c").alias("c1")
     )
-    heads = stored(heads.filter("m < z").select("h", "m", (F.col("c0") != F.col("c1")).alias("open")), "anchor-heads")
+    heads = _step(heads.filter("m < z").select("h", "m", (F.col("c0") != F.col("c1")).alias("open")), "anchor-heads")
     # only anchors with room for a window around them
     left = F.least(F.col("p"), F.lit(reach))
     hits = each.filter(left + F.col("right") >= reach).join(heads, "h").filter(F.col("open") | (F.col(id_col) > F.col("m")))
-    hits = stored(hits.drop("m"), "anchor-hits")
+    hits = _step(hits.drop("m"), "anchor-hits")
     whole = F.struct((F.col("p") - left).cast("int").alias("a"), (F.col("p") + size + F.col("right")).cast("int").alias("b"))
     spans = hits.filter(~F.col("open")).select("r", whole.alias("s"))
 
     # anchors with different contexts: classes, each with its first document
     mixed = hits.filter("open")
     # stored: a join of its own shuffle, which Spark can split at a hot class
-    least = stored(mixed.groupBy("h", "c").agg(F.min(id_col).alias("m")), "anchor-classes")
+    least = _step(mixed.groupBy("h", "c").agg(F.min(id_col).alias("m")), "anchor-classes")
     at = mixed.join(least, ["h", "c"]).select("r", "p", "right", (F.col(id_col) > F.col("m")).alias("later"))
-    at = stored(at, "anchor-places")
+    at = _step(at, "anchor-places")
     later = at.filter("later").select("r", whole.alias("s"))
     firsts = at.filter(~F.col("later")).groupBy("r").agg(F.collect_list("p").alias("ps"))
     places = table.select("r", id_col, "t").join(firsts, "r")
-    rows = stored(_windows(src, places, id_col, window), "anchor-windows")
+    rows = _step(_windows(src, places, id_col, window), "anchor-windows")
     twice = rows.groupBy("x", "y").agg(F.min(id_col).alias("m"), F.max(id_col).alias("z")).filter("m < z")
-    twice = stored(twice.drop("z"), "anchor-repeats")
+    twice = _step(twice.drop("z"), "anchor-repeats")
     own = rows.join(twice, ["x", "y"]).filter(F.col(id_col) > F.col("m")).select(
         "r", F.struct(F.col("s").alias("a"), (F.col("s") + window).alias("b")).alias("s")
     )
@@ -236,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Per row: id, n_words, n_removed, kept_sha256 and, if asked, ``kept``,
     the remaining words joined by one space."""
     rows, spans = repeated_stretches(docs, id_col, text, window)
-    spans = stored(spans, "anchor-spans").select(F.col(id_col).alias("_i"), F.col("t").alias("_t"), "spans")
+    spans = _step(spans, "anchor-spans").select(F.col(id_col).alias("_i"), F.col("t").alias("_t"), "spans")
     id_type = dict(docs.dtypes)[id_col]
     src = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
