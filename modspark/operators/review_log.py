@@ -6,10 +6,12 @@ task, each written under a hidden name and moved to its final one.  A run
 leaves out what the log answers already (an anti-join on content and prompt),
 deals the rest over ``partitions`` tasks and calls the reviewer prompt by
 prompt, with retries that back off exponentially and, if a rate is given, a
-share of it as tokens a task.  When a prompt fails for good the task writes
-what it has and fails; Spark's retry of that task, or the next run, reads its
-files first, so no answered prompt is paid for twice.  (With speculative
-execution two copies of a task may ask at the same time; turn it off here.)
+share of it as tokens a task.  When a prompt fails for good its task writes
+what it has and asks no more; the run raises when all tasks are done, so none
+is still asking when the next run begins.  A task that is run again (a lost
+executor) reads its files first, so no answered prompt is paid for twice.
+(With speculative execution two copies of a task may ask at the same time;
+turn it off here.)
 
 Defined cases: a prompt that changed is asked again, and the newest response of
 a content counts; rows without an id or prompt are not asked; an empty answer
@@ -39,6 +41,10 @@ _SCHEMA = pa.schema([
 ])
 
 
+class ReviewError(RuntimeError):
+    """A prompt failed for good; what was answered is in the log."""
+
+
 class Tokens:
     """At most ``rate`` calls a second, up to a second's worth at once."""
 
@@ -109,7 +115,7 @@ class ReviewLog:
             prefix = f"r-{run}-{TaskContext.get().partitionId():05d}-"
             files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith(prefix)]
             done = {tuple(r) for f in files for r in zip(*pq.read_table(f, columns=["content_id", "prompt_key"], filesystem=fs).to_pydict().values())}
-            tokens, held, gained = Tokens(share), [], len(done)
+            tokens, held, gained, error = Tokens(share), [], len(done), None
 
             def flush() -> None:
                 if held:
@@ -119,25 +125,25 @@ class ReviewLog:
                     fs.move(draft, f"{root}/{prefix}{uuid.uuid4().hex}.parquet")
                     held.clear()
 
-            try:
-                for b in batches:
-                    for content, key, prompt in zip(*(c.to_pylist() for c in b.columns)):
-                        if (content, key) in done:
-                            continue
-                        try:
-                            raw, attempts = ask(call, prompt, tokens, retries, backoff)
-                        except Exception:
-                            if keep_going:
-                                continue
-                            raise
-                        held.append((content, key, raw, attempts, datetime.now(timezone.utc)))
-                        gained += 1
-                        if len(held) >= chunk:
-                            flush()
-            finally:
-                flush()
-            yield pa.RecordBatch.from_arrays([pa.array([gained], pa.int64())], names=["n"])
+            for content, key, prompt in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
+                if (content, key) in done:
+                    continue
+                try:
+                    raw, attempts = ask(call, prompt, tokens, retries, backoff)
+                except Exception as e:
+                    if keep_going:
+                        continue
+                    error = f"{type(e).__name__}: {e}"
+                    break
+                held.append((content, key, raw, attempts, datetime.now(timezone.utc)))
+                gained += 1
+                if len(held) >= chunk:
+                    flush()
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array([gained], pa.int64()), pa.array([error], pa.string())], names=["n", "error"])
 
         rows = self.pending(queue).select("content_id", "prompt_key", "prompt").repartition(partitions, "content_id")
-        total = rows.mapInArrow(work, "n long").agg(F.sum("n")).first()[0]
+        total, error = rows.mapInArrow(work, "n long, error string").agg(F.sum("n"), F.max("error")).first()
+        if error is not None:
+            raise ReviewError(f"{total} prompts were answered before a reviewer failed: {error}")
         return total or 0
