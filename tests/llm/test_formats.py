@@ -155,7 +155,7 @@ def test_chat_loss_comes_from_the_mask(spark):
     text = {r.conv_id: r.loss for r in df.select("conv_id", chat.masked_text().alias("loss")).collect()}
     assert text == {1: "one\\ <|im_next|>é<\\|two", 2: ""}
     # a mask of the right total length in the wrong place is seen
-    moved = F.transform("mask", lambda m, i: F.struct(F.when(i == 0, m["chars"] - 1).when(i == 2, m["chars"] + 1).otherwise(m["chars"]).alias("chars"), m["in_loss"].alias("in_loss")))
+    moved = F.transform("mask", lambda m, i: F.struct(F.when(i == 3, m["chars"] - 1).when(i == 5, m["chars"] + 1).otherwise(m["chars"]).alias("chars"), m["in_loss"].alias("in_loss")))
     good, bad = chat.digest(df), chat.digest(df.withColumn("mask", moved))
     pair = good.join(bad.select("conv_id", F.col("loss_sha256").alias("other"), F.col("mask_chars").alias("m")), "conv_id").filter("conv_id = 1").first()
     assert pair.loss_sha256 != pair.other and pair.mask_chars == pair.m
