@@ -31,13 +31,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished steps removed: Spark's cleaner acts
-    when the driver's JVM collects garbage, which a driver with little to do
-    itself may put off until the disks are full."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of the key as text modulo ``n`` (a null key counts as '')."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
