@@ -81,3 +81,15 @@ def test_other_ranges(spark, tmpdir_fresh, hours):
         q = q.option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     assert as_set(spark.read.parquet(out)) == as_set(wi.trailing_count(spark.createDataFrame(rows, DDL), hours=hours))
+
+
+def test_state_calls_do_not_grow_with_users(spark, tmpdir_fresh):
+    src, out, ck = (os.path.join(tmpdir_fresh, x) for x in ("src", "out", "ck"))
+    rows = [(f"c{k}", f"u{k}", BASE + timedelta(seconds=k)) for k in range(1500)]
+    write(spark, rows, src)
+    stream = spark.readStream.schema(DDL).parquet(src)
+    with state_settings(spark):
+        q = velocity.trailing_count(stream).writeStream.format("parquet").option("path", out)
+        q = q.option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < q.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] < 1500  # a row a user and slice before: 3,000 and more
