@@ -3,11 +3,9 @@
 1. Words are lower-cased and split at ASCII punctuation and white space.  The
    vocabulary is the words of the benchmark (the stated query set); document
    frequencies are counted over all documents.
-2. A randomised SVD (subspace iteration; one Spark job over the TF-IDF
-   passages a step, partial products added up) gives ``RANK`` right singular
-   vectors.  The passages are all benchmark items and at most
-   ``FIT_PASSAGES`` windows of hash-chosen documents: a documented bound on
-   fitting only.
+2. A randomised SVD (subspace iteration; one Spark job over the TF-IDF rows a
+   step, partial products added up in tasks) gives ``RANK`` right singular
+   vectors.  Its rows are all documents, whole, and all benchmark items.
 3. Every document is cut into blocks of ``BLOCK`` words; a window is as many
    blocks as an item needs, at every block.  A window's vector is the sum of
    its words' projected TF-IDF vectors; words outside the vocabulary have
@@ -34,18 +32,20 @@ extra columns are ignored; an empty benchmark leaves all clean.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, slices, stored, texts
 
 BLOCK, RANK, OVERSAMPLE, STEPS = 8, 96, 16, 3
-FIT_PASSAGES, FIT_PARTS, FIT_WORDS = 20_000, 8, 48
+FAN_IN, ROWS, ENTRIES = 16, 256, 1 << 15  # partial products added up in a task; matrix rows and entries at a time
 ITEMS, MIN_ITEM = 5_000, 5
 SHORT = 12  # words of an item whose windows are all verified
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.75
@@ -88,24 +88,38 @@ def _numbers(number: dict[bytes, int], ws: list[bytes]) -> np.ndarray:
     return np.fromiter((number.get(w, len(number)) for w in ws), np.int64, len(ws))
 
 
-def document_frequencies(docs: DataFrame, number: dict[bytes, int], text: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that hold each vocabulary word, and all documents."""
+def term_counts(docs: DataFrame, number: dict[bytes, int], text: str = "text") -> DataFrame:
+    """(terms, n): a row a document, the vocabulary words in its whole text
+    and how often each is there."""
     shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches):
-        n, look = 0, shared.value
-        count = np.zeros(len(look) + 1, np.int64)
+        look = shared.value
         for whole in batches:
             for b in slices(whole):
-                for t in texts(b.column(0)):
-                    n += 1
-                    found = look.keys() & words_of(t)
-                    count[[look[w] for w in found]] += 1
+                counted = (Counter(words_of(t)) for t in texts(b.column(0)))
+                found = [(c, look.keys() & c.keys()) for c in counted]
+                ends = pa.array(np.cumsum([0, *(len(k) for _, k in found)]), pa.int32())
+                flat = ([look[w] for _, k in found for w in k], [c[w] for c, k in found for w in k])
+                cols = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in flat]
+                yield pa.RecordBatch.from_arrays(cols, names=["terms", "n"])
+
+    return docs.select(text).mapInArrow(run, "terms array<int>, n array<int>")
+
+
+def document_frequencies(counts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents that hold each vocabulary word, and all documents."""
+
+    def run(batches):
+        n, count = 0, np.zeros(size, np.int64)
+        for b in batches:
+            n += b.num_rows
+            count += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[count[at], n])], names=["term", "n"])
 
-    got = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(number))
+    got = counts.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size)
     total = 0
     for term, n in zip(got["term"].to_pylist(), got["n"].to_pylist()):
         if term < 0:
@@ -115,38 +129,27 @@ def document_frequencies(docs: DataFrame, number: dict[bytes, int], text: str =
     return df, total
 
 
-def _passages(docs: DataFrame, number: dict[bytes, int], id_col: str, text: str) -> DataFrame:
-    """(terms): vocabulary numbers of windows of hash-chosen documents."""
-    spark = docs.sparkSession
-    ids = docs.select(F.xxhash64(id_col).alias("_h")).distinct().orderBy("_h").limit(FIT_PASSAGES // 4)
-    chosen = F.broadcast(stored(ids, "lsa-sample"))  # at most FIT_PASSAGES / 4 rows
-    rows = docs.select(F.xxhash64(id_col).alias("_h"), text).join(chosen, "_h")
-    shared = spark.sparkContext.broadcast(number)
+def _products(terms: np.ndarray, tf: np.ndarray, ends: np.ndarray, weight: np.ndarray, basis: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` what some rows of the TF-IDF matrix, each of length 1,
+    give: the rows, transposed, times the rows times ``basis``."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    w = (1 + np.log(tf)) * weight[terms]
+    w /= np.sqrt(np.bincount(row, w * w))[row]
+    seen, at = np.unique(terms, return_inverse=True)  # only the columns that these rows have
+    m = np.zeros((len(ends) - 1, len(seen)), np.float32)
+    m[row, at] = w
+    total[seen] += m.T @ (m @ basis[seen])
 
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole):
-                out = []
-                for h, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                    ws = words_of(t)
-                    for k in range(4):  # up to four windows a document
-                        at = ((h >> 8 * k) % max(1, len(ws) - FIT_WORDS + 1)) if ws else 0
-                        out.append(_numbers(shared.value, ws[at : at + FIT_WORDS]))
-                        if len(ws) <= FIT_WORDS:
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["terms"])
-
-    return rows.mapInArrow(run, "terms array<long>").limit(2 * FIT_PASSAGES)
-
-
-def singular_vectors(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the TF-IDF passages, by
-    randomised subspace iteration.  Each step adds up one partial product a
-    partition (at most FIT_PARTS of them)."""
+
+def singular_vectors(counts: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the TF-IDF rows, by
+    randomised subspace iteration.  A step adds up one partial product a
+    task, in tasks too if there are many."""
     n = len(weight) - 1
     width = min(rank + OVERSAMPLE, n)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
-    spark = passages.sparkSession
+    spark = counts.sparkSession
+    tasks = counts.rdd.getNumPartitions()
 
     def times(q: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(q.astype(np.float32))
@@ -154,23 +157,30 @@ def singular_vectors(passages: DataFrame, weight: np.ndarray, rank: int = RANK,
         def run(batches):
             basis, total = shared.value, np.zeros(shared.value.shape)
             for b in batches:
-                terms = b.column(0)
-                ends = np.cumsum([0, *(len(x) for x in terms.to_pylist())])
-                flat = terms.flatten().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                known = flat < n
-                flat, row = flat[known], row[known]
-                w = weight[flat]
-                norm = np.sqrt(np.bincount(row, w * w, len(ends) - 1))
-                w = w / norm[row]
-                y = np.zeros((len(ends) - 1, basis.shape[1]))
-                np.add.at(y, row, basis[flat] * w[:, None])
-                np.add.at(total, flat, y[row] * w[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
-
-        got = passages.mapInArrow(run, "part binary").toArrow()["part"].to_pylist()
+                ends = np.cumsum([0, *b.column(0).value_lengths().to_pylist()])
+                terms, tf = (b.column(k).flatten().to_numpy() for k in range(2))
+                at = 0
+                while at < b.num_rows:  # whole rows, some entries at a time
+                    to = min(at + ROWS, max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, "right")) - 1))
+                    if ends[to] > ends[at]:
+                        some = slice(ends[at], ends[to])
+                        _products(terms[some], tf[some], ends[at : to + 1] - ends[at], weight, basis, total)
+                    at = to
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["task", "part"])
+
+        def add(batches):
+            parts = sorted((k, x) for b in batches for k, x in zip(*(c.to_pylist() for c in b.columns)))
+            if parts:  # in one order, so that a run again gives the same
+                total = sum(np.frombuffer(x) for _, x in parts)
+                yield pa.RecordBatch.from_arrays([pa.array([parts[0][0]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["task", "part"])
+
+        got = counts.mapInArrow(run, "task int, part binary")
+        if tasks > FAN_IN:
+            got = got.repartition(-(-tasks // FAN_IN), "task").mapInArrow(add, "task int, part binary")
+        found = sorted((r.task, r.part) for r in got.collect())
         shared.unpersist()
-        return np.sum([np.frombuffer(x, np.float32).reshape(n, width).astype(float) for x in got], axis=0)
+        return sum(np.frombuffer(x).reshape(n, width) for _, x in found)
 
     for _ in range(STEPS):
         z = times(q)
@@ -180,17 +190,17 @@ def singular_vectors(passages: DataFrame, weight: np.ndarray, rank: int = RANK,
     return (last @ turn[:, ::-1])[:, : min(rank, width)]
 
 
-def build_space(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text: str = "text") -> Space | None:
+def build_space(docs: DataFrame, items: list[tuple[int, str]], text: str = "text") -> Space | None:
     cut = [(i, ws) for i, t in items if len(ws := words_of(t or "")) >= MIN_ITEM]
     if not cut:
         return None
     spark = docs.sparkSession
     number = {w: k for k, w in enumerate(sorted({w for _, ws in cut for w in ws}))}
-    df, total = document_frequencies(docs, number, text)
+    counts = stored(term_counts(docs, number, text), "lsa-counts")
+    df, total = document_frequencies(counts, len(number))
     weight = np.log((1 + total) / (1 + np.minimum(np.r_[df, 0], total))) + 1e-3
-    own = spark.createDataFrame([([int(x) for x in _numbers(number, ws)],) for _, ws in cut], "terms array<long>")
-    parts = stored(_passages(docs, number, id_col, text).unionByName(own).repartition(FIT_PARTS), "lsa-passages")
-    v = singular_vectors(parts, weight)
+    own = term_counts(spark.createDataFrame([(b" ".join(ws).decode("utf-8", "surrogatepass"),) for _, ws in cut], "text string"), number)
+    v = singular_vectors(counts.unionByName(own), weight)
     vectors = np.r_[v * weight[:-1, None], np.zeros((1, v.shape[1]))].astype(np.float32)
     units = np.array([vectors[_numbers(number, ws)].sum(0) for _, ws in cut])
     units /= np.maximum(1e-9, np.linalg.norm(units, axis=1, keepdims=True))
@@ -338,7 +348,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     names = docs.columns
     blocks, block = _query_blocks(benchmark)
     for k in range(blocks):
-        space = build_space(docs, block(k), id_col, text)
+        space = build_space(docs, block(k), text)
         if space is not None:
             # the columns travel as one struct: no name can clash
             found = search(docs.select(F.struct(*names).alias("row"), F.col(text).alias("text")), space, ("row",), "text")
@@ -351,7 +361,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     none = F.array().cast("array<long>")
     blocks, block = _query_blocks(benchmark)
     if blocks == 1:
-        space = build_space(docs, block(0), id_col, text)
+        space = build_space(docs, block(0), text)
         if space is None:
             found = docs.select(id_col, none.alias("items"), F.lit(0.0).alias("kept"))
         else:
@@ -361,7 +371,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         parts = [
             stored(search(rows, space, (id_col, "_c"), text).filter(F.size("_items") > 0), "lsa-found")
             for k in range(blocks)
-            if (space := build_space(docs, block(k), id_col, text)) is not None
+            if (space := build_space(docs, block(k), text)) is not None
         ]
         hits = rows.drop(text).withColumns({"_items": none, "_kept": F.lit(0.0)}).limit(0)
         for p in parts:

@@ -390,3 +390,30 @@ def test_held_out_rows_are_those_of_the_rule(spark, make_docs, words):
     assert got == {r.doc_id: (r.held_out, r.score) for r in quality_gam.classify(docs, flipped).collect()}
     lang = {r.doc_id: r for r in langid_crf.identify(docs).collect()}
     assert {k: r.held_out for k, r in lang.items()} == {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in ids}
+
+
+def test_space_is_fitted_on_all_documents(spark, monkeypatch, words):
+    seen, fit = [], decontam.singular_vectors
+    monkeypatch.setattr(decontam, "singular_vectors", lambda rows, weight: seen.append(rows.count()) or fit(rows, weight))
+    docs = spark.range(5_300).selectExpr("id AS doc_id", "concat('abc def ', id % 90) AS text")
+    decontam.build_space(docs, [(1, "abc def ghi jkl mno pqr")])
+    assert seen == [5_301]  # 5,001 before
+
+
+def test_singular_vectors_of_many_parts(spark, words):
+    import numpy as np
+
+    texts = [" ".join(words(30, k).split() * (1 + k % 2)) for k in range(60)] + ["", None]
+    number = {w: k for k, w in enumerate(sorted({w for t in texts for w in decontam.words_of(t or "")})[::3])}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
+    counts = decontam.term_counts(docs, number)
+    df, total = decontam.document_frequencies(counts, len(number))
+    rows = [decontam.words_of(t or "") for t in texts]
+    assert total == len(texts) and df.tolist() == [sum(w in r for r in rows) for w in number]
+    weight = np.r_[np.linspace(1, 2, len(number)), 0]
+    m = np.array([[r.count(w) for w in number] for r in rows], float)
+    m = np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0) * weight[:-1]
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    v = decontam.singular_vectors(counts, weight, rank=5)
+    best = np.linalg.svd(m)[1][:5]
+    assert np.allclose(np.linalg.svd(m @ v)[1], best, rtol=0.02)
