@@ -743,7 +743,8 @@ def user_meta_json(spark, sf_dir):
 @query("audit_tail_log")
 def audit_tail_log(spark, sf_dir):
     """S3 in the order of a written log: records of one day have the same time
-    and are appended in three steps, so only their place in the log tells."""
+    and are appended in three steps, so only their place in the log tells.  A
+    step's records of a day are one file, in order; its days are dealt over tasks."""
     import uuid
 
     from modspark.session import scratch_path
@@ -754,7 +755,8 @@ def audit_tail_log(spark, sf_dir):
     log = B.audit_log(spark, sf_dir).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'00:00:00.000000"))
     n = F.col("content_id").cast("long")
     for k in range(3):
-        write_audit(log.filter(n % 3 == k).coalesce(1).sortWithinPartitions(n.desc()), path, batch_id=f"step-{k}", in_order=True)
+        step = log.filter(n % 3 == k).repartition("timestamp").sortWithinPartitions("timestamp", n.desc())
+        write_audit(step, path, batch_id=f"step-{k}", in_order=True)
     return tail_audit(spark, path, 40).select("content_id", "action", "risk_score", "timestamp")
 
 

@@ -152,3 +152,24 @@ def test_tokens_and_backoff():
     assert ask(call, "p", Tokens(None), 3, 0.5, sleep) == ("ok", 3) and slept == [0.5, 1.0]
     with pytest.raises(OSError):
         ask(lambda p: (_ for _ in ()).throw(OSError()), "p", Tokens(None), 1, 0.0, sleep)
+
+
+def test_ordered_log_is_written_by_many_tasks(spark, monkeypatch):
+    from modspark.plans import queries as Q
+    from modspark.sources import sinks
+
+    most, write_audit = [], sinks.write_audit
+
+    def spy(records, *args, **kwargs):
+        spark_ids = records.select("content_id", F.spark_partition_id().alias("p"))
+        sizes = [r["count"] for r in spark_ids.groupBy("p").count().collect()]
+        most.append(max(sizes) / sum(sizes))
+        return write_audit(records, *args, **kwargs)
+
+    monkeypatch.setattr(sinks, "write_audit", spy)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        rows = Q.audit_tail_log(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(rows) == 40 and len(most) == 3 and max(most) < 0.5  # 1.0 before
