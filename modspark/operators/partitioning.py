@@ -40,6 +40,16 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
+def sized(df: DataFrame, task_bytes: int, *keys: str) -> DataFrame:
+    """Repartition by ``keys`` into one partition per ``task_bytes`` of the
+    largest input, and at least as many as a shuffle has: for rows that expand
+    within the tasks, whose number must grow with the input.  An input of
+    unknown size gets the partitions of a shuffle.  Nothing runs."""
+    known, least = largest_input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = -(-known // task_bytes) if known < 1 << 50 else 0
+    return df.repartition(max(n, least), *keys)
+
+
 def largest_input_bytes(df: DataFrame) -> int:
     """The size estimate of the largest scanned relation of ``df`` (no job
     runs).  A leaf's estimate (e.g. the files' size) does not depend on the

@@ -22,6 +22,7 @@ from modspark.functions.text import word_bigrams_joined, word_tokens
 
 MAX_FEATURES = 10000
 MAX_VOCABULARY = 2_000_000
+TASK_BYTES = 8 << 20  # of input files, for a task that counts the terms of documents
 
 
 def _grams(text: F.Column, ngram_max: int = 2) -> F.Column:
@@ -58,11 +59,14 @@ def tfidf(docs: DataFrame, vocab: DataFrame, n_docs, id_col: str = "doc_id", tex
     (a Column or a number); ``vocab`` comes from :func:`vocabulary`.
 
     The raw text is hash-partitioned by id once (it is smaller than the rows
-    that it expands into); terms outside the vocabulary are dropped right
-    after the explode, and counts and norms need no further shuffle."""
+    that it expands into), into as many partitions as the input has ``TASK_BYTES``
+    so that no task's counts and sort grow with the input; terms outside the
+    vocabulary are dropped right after the explode, and counts and norms need
+    no further shuffle."""
+    from modspark.operators.partitioning import sized
     n = n_docs if isinstance(n_docs, F.Column) else F.lit(float(n_docs))
     v = F.broadcast(vocab.select(F.col("term").alias("_t"), "index", "doc_freq"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition("doc_id")
+    d = sized(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), TASK_BYTES, "doc_id")
     ex = d.select("doc_id", F.explode(_grams(F.col("_text"))).alias("term"))
     hits = ex.join(v, ex["term"] == F.col("_t")).drop("_t")
     tf = hits.groupBy("doc_id", "term", "index", "doc_freq").agg(F.count(F.lit(1)).alias("tf"))

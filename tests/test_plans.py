@@ -1,5 +1,7 @@
 """End-to-end job with plug-ins, retraining, plan shape checks."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -210,3 +212,18 @@ def test_trailing_count_scans_its_input_twice(spark):
 
     plan = _final_plan(E.queries()["user_velocity"](spark, SF))
     assert plan.count("events.parquet") == 2
+
+
+def test_tfidf_tasks_follow_the_input(spark, tmp_path, monkeypatch):
+    """The text that a task counts terms of does not grow with the input."""
+    from modspark.operators import text_model as tm
+
+    path = str(tmp_path / "docs.parquet")
+    spark.range(4000).selectExpr("id AS doc_id", "concat(sha2(cast(id AS string), 256), ' word pair') AS text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    vocab, n = tm.fit_tfidf(docs, k=50)
+    whole = {tuple(r) for r in tm.tfidf(docs, vocab, n).collect()}
+    monkeypatch.setattr(tm, "TASK_BYTES", 8 << 10)
+    w = tm.tfidf(docs, vocab, n)
+    p = int(re.search(r"hashpartitioning\(doc_id#\d+L?, (\d+)\)", w._jdf.queryExecution().executedPlan().toString()).group(1))
+    assert p > 16 and {tuple(r) for r in w.collect()} == whole
