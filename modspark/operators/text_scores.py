@@ -55,25 +55,28 @@ def _hits(text: Column, keys: set[str]) -> Column:
     by_length: dict[int, list[str]] = {}
     for k in sorted(keys):
         by_length.setdefault(k.count(" ") + 1, []).append(k)
+    if not by_length:
+        return F.array().cast("array<string>")
+    if set(by_length) == {1}:
+        return F.filter(tokens, lambda t: t.isin(by_length[1]))
 
-    def found(n: int, terms: list[str]) -> Column:
-        return F.filter(tokens if n == 1 else _runs(tokens, n), lambda t: t.isin(terms))
+    def of_length(words: Column, n: int, terms: list[str]) -> Column:
+        return F.filter(words if n == 1 else _runs(words, n, terms), lambda t: t.isin(terms))
 
-    parts = [found(n, terms) for n, terms in sorted(by_length.items())]
-    if not parts:
-        return F.array().cast("array<string>")
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _runs(tokens: Column, n: int) -> Column:
-    """Every ``n`` words in a row (cutting leaves '' at the ends of a text):
-    the words beside themselves moved by one, two ... places; a run past the
-    end is NULL and equals no term."""
-    words = F.filter(tokens, lambda t: t != F.lit(""))
-    runs = words
-    for k in range(1, n):
-        runs = F.zip_with(runs, F.slice(words, k + 1, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return runs
+    def found(words: Column) -> Column:
+        return F.concat(*[of_length(words, n, terms) for n, terms in sorted(by_length.items())])
+
+    # cutting leaves '' at the ends of a text; the words are a lambda's
+    # variable, so that they are cut once however often they are used
+    return F.transform(F.array(F.filter(tokens, lambda t: t != F.lit(""))), found)[0]
+
+
+def _runs(words: Column, n: int, terms: list[str]) -> Column:
+    """The ``n`` words in a row that start with a first word of a term, NULL at
+    other words (most of a text, for which nothing is put together).  A run
+    past the end is shorter and equals no term."""
+    first = sorted({t.split(" ", 1)[0] for t in terms})
+    return F.transform(words, lambda t, i: F.when(t.isin(first), F.array_join(F.slice(words, i + 1, n), " ")))
 
 
 def _weight_of(weights: dict[str, float]) -> Callable[[Column], Column]:

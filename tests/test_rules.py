@@ -298,3 +298,14 @@ def test_lexicon_phrases_and_case(spark):
     assert got == {"x": (0.5, 0.6, 0, 0), "y": (0, 0, 0.2, 0), "z": (0, 0, 0, 0.4), "e": (0, 0, 0, 0), "n": (0, 0, 0, 0), "k": (0, 0, 0, 0), "i": (0, 0, 0, 0.2)}
     with pytest.raises(ValueError):
         ts.lexicon_scores(df, [("!!", "insult", 0.1)])
+
+
+def test_lexicon_phrases_only_where_a_first_word_stands(spark):
+    """Runs of words are put together at first words of phrases only, not at
+    every word of the text (by pairing words with words beside them)."""
+    lex = [("a b", "insult", 0.1), ("a b c", "threat", 0.2), ("c", "toxicity", 0.3), ("b c d", "obscene", 0.4)]
+    df = spark.createDataFrame([("p", "x A b,c a-b!"), ("q", "a"), ("r", " b c "), ("s", "a a b c d"), ("n", None)], "content_id string, text string")
+    scored = ts.lexicon_scores(df, lex)
+    got = {r.content_id: (r.insult, r.threat, r.toxicity, r.obscene) for r in scored.collect()}
+    assert got == {"p": (0.2, 0.2, 0.3, 0), "q": (0, 0, 0, 0), "r": (0, 0, 0.3, 0), "s": (0.1, 0.2, 0.3, 0.4), "n": (0, 0, 0, 0)}
+    assert "zip_with" not in scored._jdf.queryExecution().optimizedPlan().toString()
