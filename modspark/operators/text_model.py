@@ -6,7 +6,8 @@ sub-linear tf ``1 + ln tf``, smoothed idf ``ln((1+n)/(1+df)) + 1``, L2 norm,
 ``max_features`` by corpus frequency).  MLlib's ``IDF`` uses another formula
 and has no sub-linear tf, so weights are computed relationally:
 
-* vocabulary: map-side-combined term totals, then the top k (a bounded
+* vocabulary: term totals and document frequencies combined batch by batch
+  (numbered words in Arrow), then the top k (a bounded
   ``TakeOrderedAndProject``); the vocabulary (k rows) is the only broadcast;
 * ``(doc, term)`` counts of vocabulary terms only;
 * the L2 norm: a window per document (documents are bounded by their length).
@@ -14,6 +15,11 @@ and has no sub-linear tf, so weights are computed relationally:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +29,7 @@ from modspark.functions.text import word_bigrams_joined, word_tokens
 MAX_FEATURES = 10000
 MAX_VOCABULARY = 2_000_000
 TASK_BYTES = 8 << 20  # of input files, for a task that counts the terms of documents
+BATCH_TOKENS, BATCH_ROWS = 2_000_000, 100_000  # counted, given back at a time in Python
 
 
 def _grams(text: F.Column, ngram_max: int = 2) -> F.Column:
@@ -30,27 +37,59 @@ def _grams(text: F.Column, ngram_max: int = 2) -> F.Column:
     return F.concat(toks, word_bigrams_joined(toks)) if ngram_max >= 2 else toks
 
 
+def _batch_counts(tokens: pa.ListArray) -> pa.RecordBatch:
+    """(term, freq, doc_freq) of the 1- and 2-grams of some documents.  Words
+    are numbered, a gram is a number too, and one sort of (gram, document)
+    gives both counts; only grams that differ become text."""
+    words = tokens.flatten().dictionary_encode()
+    ids, doc = words.indices.to_numpy().astype(np.int64), pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    n, docs = len(words.dictionary), len(tokens)
+    pair = np.flatnonzero(doc[:-1] == doc[1:])
+    key = np.concatenate([ids * docs + doc, (n + ids[pair] * n + ids[pair + 1]) * docs + doc[pair]])
+    key.sort()
+    gram = key // max(docs, 1)
+    first = np.flatnonzero(np.diff(gram, prepend=-1))
+    freq = np.diff(first, append=len(gram))
+    doc_freq = np.add.reduceat(np.diff(key, prepend=-1) != 0, first, dtype=np.int64) if len(first) else freq
+    gram = gram[first]
+    one, two = gram[gram < n], gram[gram >= n] - n
+    joined = pc.binary_join_element_wise(words.dictionary.take(pa.array(two // max(n, 1))), words.dictionary.take(pa.array(two % max(n, 1))), " ")
+    term = pa.concat_arrays([words.dictionary.take(pa.array(one)).cast(pa.string()), joined.cast(pa.string())])
+    return pa.RecordBatch.from_arrays([term, pa.array(freq, pa.int64()), pa.array(doc_freq, pa.int64())], names=["term", "freq", "doc_freq"])
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of ``BATCH_TOKENS`` tokens at a time (or of one longer document)."""
+    for b in batches:
+        tokens = b.column(0)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(tokens):
+            done = ends[start - 1] if start else 0
+            end = max(int(np.searchsorted(ends, done + BATCH_TOKENS, "right")), start + 1)
+            counts = _batch_counts(tokens.slice(start, end - start))
+            for k in range(0, counts.num_rows, BATCH_ROWS):
+                yield counts.slice(k, BATCH_ROWS)
+            start = end
+
+
 def vocabulary(docs: DataFrame, k: int = MAX_FEATURES, text_col: str = "text") -> DataFrame:
     """T5: the ``k`` most frequent 1- and 2-grams of ``docs`` (ties by term),
     with document frequency; ``index`` is the term's position in sorted order.
 
-    Documents stay where they are: corpus counts are combined map-side, and
-    document frequencies are counted for the k chosen terms only, by a
-    broadcast of them (bounded by ``k``) before the second aggregation."""
+    Documents stay where they are and are read once: every row is a document,
+    so term totals and document frequencies are counted together, batch by
+    batch, and added up by term."""
     if k > MAX_VOCABULARY:
         raise ValueError(f"k is at most {MAX_VOCABULARY}: the vocabulary is sent to every executor")
     from modspark.operators.partitioning import spread
 
     d = spread(docs.select(F.col(text_col).alias("_text")))
-    # the n-grams inside the generator: as a projected column below it, the
-    # same explode took ten times as long (measured)
-    freq = d.select(F.explode(_grams(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    counts = d.select(word_tokens(F.col("_text")).alias("t")).mapInArrow(_term_counts, "term string, freq long, doc_freq long")
+    freq = counts.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("doc_freq").alias("doc_freq"))
     top = freq.orderBy(F.col("freq").desc(), F.col("term").asc()).limit(k)
     # k rows: ordering them in one task is bounded by the vocabulary size
-    top = top.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    once = d.select(F.explode(F.array_distinct(_grams(F.col("_text")))).alias("_t"))
-    seen = once.join(F.broadcast(top), once["_t"] == top["term"]).groupBy("term", "freq", "index")
-    return seen.agg(F.count(F.lit(1)).alias("doc_freq")).select("term", "freq", "doc_freq", "index")
+    return top.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
 def tfidf(docs: DataFrame, vocab: DataFrame, n_docs, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

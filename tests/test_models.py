@@ -151,3 +151,36 @@ def test_probe_rounds_against_numpy(spark, tmpdir_fresh):
     assert pr.Probe.load(spark, tmpdir_fresh + "/p") == last
     with pytest.warns(UserWarning):
         last.save(spark, tmpdir_fresh + "/p")
+
+
+def test_vocabulary_counts_terms_and_documents_in_one_pass(spark, monkeypatch):
+    import collections
+
+    import pyarrow as pa
+
+    from modspark.operators import text_model as tm
+
+    texts = ["a bb cc bb cc", None, "", "bb", "cc bb cc bb", "Bb\n bb", "bb cc", "bb cc"]
+    freq, doc_freq = collections.Counter(), collections.Counter()
+    for t in texts:
+        w = [x for x in (t or "").lower().split() if len(x) > 1]
+        grams = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        freq.update(grams)
+        doc_freq.update(set(grams))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocab = tm.vocabulary(df)
+    assert {(r.term, r.freq, r.doc_freq) for r in vocab.collect()} == {(t, n, doc_freq[t]) for t, n in freq.items()}
+    assert "BroadcastHashJoin" not in vocab._jdf.queryExecution().executedPlan().toString()
+    assert [r.term for r in tm.vocabulary(df, 2).orderBy("index").collect()] == ["bb", "cc"]
+    # a batch is counted in parts; a document stays whole
+    monkeypatch.setattr(tm, "BATCH_TOKENS", 3)
+    monkeypatch.setattr(tm, "BATCH_ROWS", 2)
+    tokens = [[x for x in (t or "").lower().split() if len(x) > 1] if t is not None else None for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string()))], names=["t"])
+    got, got_docs = collections.Counter(), collections.Counter()
+    for b in tm._term_counts(iter([batch, batch.slice(0, 0)])):
+        assert b.num_rows <= 2
+        for r in b.to_pylist():
+            got[r["term"]] += r["freq"]
+            got_docs[r["term"]] += r["doc_freq"]
+    assert got == freq and got_docs == doc_freq
