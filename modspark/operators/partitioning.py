@@ -50,6 +50,13 @@ def sized(df: DataFrame, task_bytes: int, *keys: str) -> DataFrame:
     return df.repartition(max(n, least), *keys)
 
 
+def gathered(df: DataFrame, rows: int, task_rows: int) -> DataFrame:
+    """Stored ``rows`` (a checkpoint) in no more tasks than one per core and
+    one per ``task_rows``: nearly empty tasks cost every pass their start."""
+    want = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def largest_input_bytes(df: DataFrame) -> int:
     """The size estimate of the largest scanned relation of ``df`` (no job
     runs).  A leaf's estimate (e.g. the files' size) does not depend on the

@@ -184,3 +184,33 @@ def test_vocabulary_counts_terms_and_documents_in_one_pass(spark, monkeypatch):
             got[r["term"]] += r["freq"]
             got_docs[r["term"]] += r["doc_freq"]
     assert got == freq and got_docs == doc_freq
+
+
+class _Stop(Exception):
+    pass
+
+
+def _stopped_at(monkeypatch, module, name):
+    """Replaces a training step by one that keeps its rows and ends the training."""
+    seen = []
+
+    def step(rows, *args, **kwargs):
+        seen.append(rows)
+        raise _Stop
+
+    monkeypatch.setattr(module, name, step)
+    return seen
+
+
+def test_text_training_tasks_are_not_nearly_empty(spark, monkeypatch):
+    """Vectors lie in no more tasks than cores until a task has its rows."""
+    from modspark.operators import text_model as tm
+    from modspark.plans import training as tr
+
+    rows = spark.range(100).selectExpr("id AS doc_id", "concat('some words ', sha2(cast(id AS string), 256)) AS comment_text", "cast(id % 4 = 0 AS int) AS label")
+    seen = _stopped_at(monkeypatch, tm, "train_logistic")
+    for task_rows in (5000, 16):
+        monkeypatch.setattr(tr, "VECTOR_TASK_ROWS", task_rows, raising=False)
+        with pytest.raises(_Stop):
+            tr.train_text_model(rows, k=50)
+    assert [v.rdd.getNumPartitions() for v in seen] == [4, 5] and all(v.count() == 80 for v in seen)
