@@ -50,6 +50,17 @@ def sized(df: DataFrame, task_bytes: int, *keys: str) -> DataFrame:
     return df.repartition(max(n, least), *keys)
 
 
+def dealt(df: DataFrame, task_rows: int) -> DataFrame:
+    """Stored rows (a checkpoint) dealt evenly over one task per ``task_rows``
+    of them, stored again: for rows that are passed over many times, whose
+    tasks must follow their number, not their few bytes.  Rows of one such
+    task, or in that many tasks already, stay as they are."""
+    want = -(-df.count() // task_rows)
+    if want <= max(df.rdd.getNumPartitions(), 1):
+        return df
+    return df.repartition(want).checkpoint(eager=True)
+
+
 def gathered(df: DataFrame, rows: int, task_rows: int) -> DataFrame:
     """Stored ``rows`` (a checkpoint) in no more tasks than one per core and
     one per ``task_rows``: nearly empty tasks cost every pass their start."""

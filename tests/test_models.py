@@ -214,3 +214,21 @@ def test_text_training_tasks_are_not_nearly_empty(spark, monkeypatch):
         with pytest.raises(_Stop):
             tr.train_text_model(rows, k=50)
     assert [v.rdd.getNumPartitions() for v in seen] == [4, 5] and all(v.count() == 80 for v in seen)
+
+
+def test_risk_training_tasks_follow_the_rows(spark, monkeypatch):
+    """Trees pass over the rows a thousand times: one task holds a bounded number."""
+    from modspark.operators import risk as rk
+    from modspark.plans import training as tr
+
+    rows = spark.range(1000).selectExpr("cast(id AS string) AS content_id", "cast(id % 3 = 0 AS int) AS label", "id AS x").coalesce(1)
+    seen = _stopped_at(monkeypatch, rk, "train_ensemble")
+    with pytest.raises(_Stop):
+        tr.train_risk_model(rows)
+    assert seen[0].count() == 800
+    monkeypatch.setattr(tr, "TREE_TASK_ROWS", 50, raising=False)
+    with pytest.raises(_Stop):
+        tr.train_risk_model(rows)
+    sizes = [len(p) for p in seen[1].rdd.glom().collect()]
+    assert sum(sizes) == 800 and len(sizes) == 20 and max(sizes) <= 60
+    assert {r.content_id for r in seen[0].collect()} == {r.content_id for r in seen[1].collect()}
