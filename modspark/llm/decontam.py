@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, stored, texts
+from .common import give_back, map_batches, slices, stored, texts
 
 BLOCK, RANK, OVERSAMPLE, STEPS = 8, 96, 16, 3
 FAN_IN, ROWS, ENTRIES = 16, 256, 1 << 15  # partial products added up in a task; matrix rows and entries at a time
@@ -324,6 +324,7 @@ def search(docs: DataFrame, space: Space, keep: tuple[str, ...] = ("doc_id",), t
         for whole in batches:
             for part in slices(whole):
                 yield fn(part)
+            give_back()
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _items array<long>, _kept double"
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -14,6 +14,10 @@ always share a cell.  Rows meet by cell; pairs are filtered by the lower
 bound over all segments, then by the exact bit distance.  A task emits only
 a spanning forest of the links that it found, never the pairs of a group.
 
+Fingerprints are dealt by hash, ``TASK_NODES`` a task, before they enter their
+cells (about fifty each): a stored table of them is so small that a few tasks
+read it all, whose cell counts would grow with the input.
+
 Cells with more than 1/100,000 of all rows (and at least ``HOT_CELL``) are
 hot: there are at most 100,000 of them, so their list is broadcast, and
 their members are dealt into chunks that meet two at a time.
@@ -34,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, texts
+from .common import give_back, map_batches, stored, texts
 from .graph import components, forest
 
 SEED = 42
 HOT_CELL = 4096
 HOT_SHARE = 100_000
 CHUNK = 2048
+TASK_NODES = 1 << 13
 _LOW = np.uint64(0x5555555555555555)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -161,12 +166,15 @@ def links(nodes: DataFrame, max_bits: int = 4, fp: str = "fp") -> DataFrame:
                 f = b.column(0).slice(i, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
                 key, row = cells(f, max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f[row].view(np.int64))], names=["cell", "fp"])
+        give_back()
 
-    rows = nodes.select(F.col(fp).alias("fp")).mapInArrow(enter, "cell long, fp long")
+    n_nodes = nodes.count()
+    spread = nodes.select(F.col(fp).alias("fp")).repartition(-(-n_nodes // TASK_NODES) or 1, "fp")
+    rows = spread.mapInArrow(enter, "cell long, fp long")
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     hot = stored(sizes.filter(F.col("n") >= HOT_CELL), "simhash-hot")
     # hot cells hold at least 1/HOT_SHARE of the rows: at most HOT_SHARE of them
-    total = nodes.count() * len(cells(np.zeros(1, np.uint64), max_bits)[0]) * 2
+    total = n_nodes * len(cells(np.zeros(1, np.uint64), max_bits)[0]) * 2
     hot = hot.filter(F.col("n") >= total / HOT_SHARE).withColumn("s", F.ceil(F.col("n") / CHUNK)).select("cell", "s")
     mine = F.pmod(F.xxhash64("fp"), F.col("s"))
     chunks = F.transform(
@@ -198,6 +206,7 @@ def links(nodes: DataFrame, max_bits: int = 4, fp: str = "fp") -> DataFrame:
                     yield flush(False)
         if n:
             yield flush(True)
+        give_back()
 
     met = dealt.select("cell", "deal", "fp").repartition("cell", "deal").sortWithinPartitions("cell", "deal")
     return met.mapInArrow(meet, "a long, b long").distinct()

@@ -100,6 +100,17 @@ def test_links_lose_no_pair(spark, bits, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_fingerprints_enter_their_cells_in_tasks_of_bounded_size(spark, monkeypatch):
+    """A few stored files held all fingerprints: one task counted all cells."""
+    monkeypatch.setattr(simhash, "TASK_NODES", 16)
+    rng = random.Random(3)
+    fps = [rng.getrandbits(63) for _ in range(200)]
+    nodes = spark.createDataFrame([(f,) for f in fps + [f ^ 5 for f in fps]], "fp long").coalesce(1)
+    got = simhash.links(nodes)
+    assert "hashpartitioning(fp" in (plan := got._jdf.queryExecution().toString()) and ", 25), REPARTITION_BY_NUM" in plan
+    assert {frozenset(r) for r in got.collect()} == {frozenset((f, f ^ 5)) for f in fps}
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))

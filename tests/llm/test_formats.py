@@ -94,6 +94,34 @@ def test_registered_queries(spark):
     assert all(r["ok"] for r in res.values()), res
 
 
+def test_pipeline_batches_are_bounded_in_bytes(spark, make_docs):
+    """Ten thousand long texts would be one batch in every worker of a chain."""
+    import corpus_pipeline as P
+    import pyarrow as pa
+    from modspark.session import BATCH_SETTING, ensure_session_settings
+
+    def measure(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "b"])
+
+    docs = make_docs(["x" * 20_000] * 400 + ["y" * 5_000_000], langs=["en"] * 401).coalesce(1)
+    sizes = lambda: [tuple(r) for r in docs.select("text").mapInArrow(measure, "n long, b long").collect()]
+    try:
+        for name, stage in P.STAGES[:4]:
+            ensure_session_settings(spark)
+            assert spark.conf.get(BATCH_SETTING, None) is None
+            stage(spark, docs, "/root/testdata/sf0.001")
+            got = sizes()
+            assert sum(n for n, _ in got) == 401
+            assert all(b < 7_100_000 for _, b in got) and sum(b > 2_000_000 for _, b in got) <= 1, name
+        spark.conf.set(BATCH_SETTING, "8m")  # the user's own bound stays
+        P.remove_secrets(spark, docs, "")
+        ensure_session_settings(spark)
+        assert spark.conf.get(BATCH_SETTING) == "8m"
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def test_pipeline_stages(spark, make_docs, words):
     import corpus_pipeline as P
     from modspark.llm import bpe, decontam, quality_rules, secrets, simhash
