@@ -1,16 +1,18 @@
 """M6, second member: second-order boosting over histograms, grown leaf by leaf.
 
-Features are cut into at most ``bins`` quantile bins once and stored as bytes;
-every pass over the rows is one Spark job that adds up, in its tasks, the
-gradients, hessians and counts a feature and bin for some leaves.  A tree
+Features are cut into at most ``bins`` quantile bins once and stored as blocks
+of bytes; every pass over the rows is one Spark job that adds up, in its tasks,
+the gradients, hessians and counts a feature and bin for some leaves.  A tree
 starts from its root and splits the leaves of the largest gain, a few a pass;
 of a split only the smaller child is counted, the other one is the difference.
-Raw scores are folded into the stored rows every few trees, so a pass applies
-few trees and a lost executor repeats little.
+Leaves' values come from the histogram that split them, so leaves that cannot
+be split any more cost no pass.  Raw scores are folded into the stored rows
+every few trees, so a pass applies few trees and a lost executor repeats little.
 
 The driver holds histograms (leaves x features x bins) and trees, never rows;
 with many partitions their histograms are added up in a second step of tasks.
-Scoring is a column expression: nested conditions a tree, no Python.
+Scoring is one Arrow function over the features: hundreds of trees as nested
+conditions are too long to plan and to compile.
 
 Defined cases: NULL and NaN features count as smaller than any value; rows
 without a label are left out of training; with one class only the model gives
@@ -22,18 +24,19 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.session import scratch_path
+from modspark.session import checkpoint_dir
 
 BINS, LEAVES, AT_ONCE, REFRESH, FAN_IN = 64, 15, 4, 10, 32
+TASK_ROWS = 25_000  # of smaller tasks, some are put together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,10 +58,10 @@ class Tree:
             getattr(self, name).append(v)
         return len(self.feature) - 1
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row of bins."""
+    def assign(self, x: np.ndarray, bounds: str = "cut") -> np.ndarray:
+        """The leaf of each row of bins (of features: by ``threshold``)."""
         at = np.zeros(len(x), np.int64)
-        feature, cut, left, right = (np.array(v) for v in (self.feature, self.cut, self.left, self.right))
+        feature, cut, left, right = (np.array(v) for v in (self.feature, getattr(self, bounds), self.left, self.right))
         while True:
             inner = np.flatnonzero(feature[at] >= 0)
             if not len(inner):
@@ -66,16 +69,6 @@ class Tree:
             node = at[inner]
             at[inner] = np.where(x[inner, feature[node]] <= cut[node], left[node], right[node])
 
-    def column(self, features: list[str]) -> Column:
-        def node(i: int) -> Column:
-            if self.feature[i] < 0:
-                return F.lit(self.value[i])
-            x = F.col(features[self.feature[i]]).cast("double")
-            goes_left = F.coalesce(F.isnan(x) | (x <= F.lit(self.threshold[i])), F.lit(True))
-            return F.when(goes_left, node(self.left[i])).otherwise(node(self.right[i]))
-
-        return node(0)
-
 
 @dataclass
 class Boosted:
@@ -86,10 +79,18 @@ class Boosted:
     base: float
 
     def probability(self) -> Column:
-        raw = F.lit(self.base)
-        for t in self.trees:
-            raw = raw + t.column(self.features)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-raw))
+        trees, base = self.trees, self.base
+
+        @F.arrow_udf("double")
+        def p(*features: pa.Array) -> pa.Array:
+            x = np.column_stack([f.to_numpy(zero_copy_only=False) for f in features]).astype(float)
+            x[np.isnan(x)] = -np.inf
+            raw = np.full(len(x), base)
+            for t in trees:
+                raw += np.array(t.value)[t.assign(x, "threshold")]
+            return pa.array(1 / (1 + np.exp(-raw)))
+
+        return p(*[F.col(f).cast("double") for f in self.features])
 
     def importance(self) -> dict[str, float]:
         """Share of the summed gain a feature."""
@@ -158,8 +159,8 @@ def best_split(hist: np.ndarray, allowed: np.ndarray, l2: float, least_rows: int
     return float(gain[f, c]), int(f), int(c)
 
 
-def _rows(df: DataFrame, features: list[str], label: str, key: str, edges: list[np.ndarray]) -> DataFrame:
-    """(key, y, raw, x): bins as bytes."""
+def _blocks(df: DataFrame, features: list[str], label: str, key: str, edges: list[np.ndarray]) -> RDD:
+    """Rows by the batch as (keys, labels, raw scores, bins), each as bytes."""
     known = df.filter(F.col(label).isNotNull()).select(
         F.xxhash64(key).alias("key"), F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)]
     )
@@ -167,16 +168,24 @@ def _rows(df: DataFrame, features: list[str], label: str, key: str, edges: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([b.column(k + 2).to_numpy(zero_copy_only=False) for k in range(len(features))]).astype(float)
-            x = binned(x, edges)
-            cols = [b.column(0), b.column(1), pa.array(np.zeros(len(x))), pa.array([r.tobytes() for r in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "y", "raw", "x"])
+            block = (b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(len(x)), binned(x, edges))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in block], names=["key", "y", "raw", "x"])
 
-    return known.mapInArrow(run, "key long, y double, raw double, x binary")
+    blocks = known.mapInArrow(run, "key binary, y binary, raw binary, x binary")
+    return blocks.rdd.map(lambda r: tuple(bytes(v) for v in r))
 
 
-def _batch(b: pa.RecordBatch, trees: list[Tree], base: float, n: int) -> tuple[np.ndarray, ...]:
-    key, y, raw = (b.column(k).to_numpy() for k in range(3))
-    x = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, n)
+def _kept(blocks: RDD) -> RDD:
+    """Blocks in the executors' memory and in the shared checkpoint folder."""
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.checkpoint()
+    blocks.count()
+    return blocks
+
+
+def _decoded(block: tuple[bytes, ...], trees: list[Tree], base: float, n: int) -> tuple[np.ndarray, ...]:
+    key, y, raw = (np.frombuffer(v, kind) for v, kind in zip(block, (np.int64, float, float)))
+    x = np.frombuffer(block[3], np.uint8).reshape(-1, n)
     raw = raw + base
     for t in trees:
         raw = raw + np.array(t.value)[t.assign(x)]
@@ -184,119 +193,121 @@ def _batch(b: pa.RecordBatch, trees: list[Tree], base: float, n: int) -> tuple[n
 
 
 class _Passes:
-    """Jobs over the stored rows."""
+    """Jobs over the stored blocks."""
 
-    def __init__(self, rows: DataFrame, n: int, bins: int, share: float, base: float):
-        self.rows, self.n, self.bins, self.share, self.base = rows, n, bins, share, base
+    def __init__(self, blocks: RDD, n: int, bins: int, share: float, base: float):
+        self.blocks, self.n, self.bins, self.share, self.base = blocks, n, bins, share, base
         self.folded: list[Tree] = []  # trees not yet in the stored raw scores
-        self.parts = rows.rdd.getNumPartitions()
+        self.parts = blocks.getNumPartitions()
 
     def histograms(self, number: int, tree: Tree, leaves: list[int]) -> np.ndarray:
         trees, n, bins, share, base = list(self.folded), self.n, self.bins, self.share, self.base
-        shape = (len(leaves), n, bins, 3)
+        shape, groups = (len(leaves), n, bins, 3), math.isqrt(self.parts)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(part: int, blocks: Iterator[tuple[bytes, ...]]) -> Iterator[tuple[int, np.ndarray]]:
             total = np.zeros(shape)
-            for b in batches:
-                key, y, raw, x = _batch(b, trees, base, n)
+            slot = np.full(len(tree.feature), -1)
+            slot[leaves] = np.arange(len(leaves))
+            for block in blocks:
+                key, y, raw, x = _decoded(block, trees, base, n)
                 p = 1 / (1 + np.exp(-raw))
-                slot = np.full(len(tree.feature), -1)
-                slot[leaves] = np.arange(len(leaves))
                 at = np.where(sampled(key, number, share), slot[tree.assign(x)], -1)
                 total += histogram(x, p - y, p * (1 - p), at, len(leaves), bins)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["h"])
+            yield part % groups, total
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shape)
-            for b in batches:
-                for h in b.column(0).to_pylist():
-                    total += np.frombuffer(h).reshape(shape)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["h"])
-
-        out = self.rows.mapInArrow(run, "h binary")
+        out = self.blocks.mapPartitionsWithIndex(run)
         if self.parts > FAN_IN:
-            out = out.repartition(math.isqrt(self.parts)).mapInArrow(add, "h binary")
-        return sum(np.frombuffer(r.h).reshape(shape) for r in out.collect())
+            out = out.reduceByKey(lambda a, b: a + b, groups)
+        return sum(h for _, h in sorted(out.collect(), key=lambda r: r[0]))
 
-    def fold(self, path: str) -> None:
+    def fold(self) -> None:
         """Add the scores of the last trees to the stored rows."""
         trees, n = list(self.folded), self.n
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw = _batch(b, trees, 0.0, n)[2]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw), b.column(3)], names=["key", "y", "raw", "x"])
+        def run(block: tuple[bytes, ...]) -> tuple[bytes, ...]:
+            return (*block[:2], _decoded(block, trees, 0.0, n)[2].tobytes(), block[3])
 
-        self.rows.mapInArrow(run, self.rows.schema).write.parquet(path)
-        self.rows = self.rows.sparkSession.read.schema(self.rows.schema).parquet(path)
+        before, self.blocks = self.blocks, _kept(self.blocks.map(run))
+        before.unpersist()
         self.folded = []
 
 
 def fit(
     train: DataFrame, features: list[str], label: str = "label", key: str = "content_id", trees: int = 30, rate: float = 0.2,
     leaves: int = LEAVES, bins: int = BINS, l2: float = 0.0, least_rows: int = 20, row_share: float = 0.8, column_share: float = 0.8,
-    seed: int = 43, at_once: int = AT_ONCE,
+    seed: int = 43, at_once: int = AT_ONCE, depth: int | None = None,
 ) -> Boosted:
-    """Boost ``trees`` trees of at most ``leaves`` leaves."""
-    spark = train.sparkSession
-    folder = scratch_path(spark, f"boost-{uuid.uuid4().hex}")
+    """Boost ``trees`` trees of at most ``leaves`` leaves, ``depth`` levels
+    below their roots (None: any)."""
+    checkpoint_dir(train.sparkSession)
     edges = bin_edges(train, features, bins)
-    _rows(train, features, label, key, edges).write.parquet(f"{folder}/0")
-    rows = spark.read.schema("key long, y double, raw double, x binary").parquet(f"{folder}/0")
-    n, positive = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    stored = _kept(_blocks(train, features, label, key, edges))
+    sums = stored.map(lambda b: (len(b[1]) // 8, float(np.frombuffer(b[1]).sum()))).collect()
+    n, positive = sum(s[0] for s in sums), sum(s[1] for s in sums)
     if not n:
         raise ValueError("no labelled rows to train on")
     share = positive / n
     if share in (0.0, 1.0):
         return Boosted(features, [], 40.0 if share else -40.0)
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    blocks = stored.coalesce(tasks) if tasks < stored.getNumPartitions() else stored
     model = Boosted(features, [], math.log(share / (1 - share)))
-    passes, rng = _Passes(rows, len(features), bins, row_share, model.base), np.random.default_rng(seed)
+    passes, rng = _Passes(blocks, len(features), bins, row_share, model.base), np.random.default_rng(seed)
     used = max(1, round(column_share * len(features)))
     for number in range(trees):
         allowed = np.zeros(len(features), bool)
         allowed[rng.choice(len(features), used, replace=False)] = True
-        tree = _grow(passes, number, edges, allowed, rate, leaves, l2, least_rows, at_once)
+        tree = _grow(passes, number, edges, allowed, rate, leaves, math.inf if depth is None else depth, l2, least_rows, at_once)
         model.trees.append(tree)
         passes.folded.append(tree)
         if len(passes.folded) == REFRESH and number + 1 < trees:
-            passes.fold(f"{folder}/{number + 1}")
+            passes.fold()
+    passes.blocks.unpersist()
+    stored.unpersist()
     return model
 
 
 def _grow(
-    passes: _Passes, number: int, edges: list[np.ndarray], allowed: np.ndarray, rate: float, leaves: int, l2: float, least_rows: int, at_once: int
+    passes: _Passes, number: int, edges: list[np.ndarray], allowed: np.ndarray, rate: float, leaves: int, depth: float, l2: float, least_rows: int, at_once: int
 ) -> Tree:
-    tree = Tree()
+    tree, level = Tree(), [0]
     tree.leaf(0.0)
     hists = {0: passes.histograms(number, tree, [0])[0]}
 
     def value(h: np.ndarray) -> float:
-        g, s = h[0, :, 0].sum(), h[0, :, 1].sum()
+        g, s = h[:, 0].sum(), h[:, 1].sum()
         return float(-rate * g / (s + l2)) if s + l2 > 0 else 0.0
 
     def split_of(h: np.ndarray) -> tuple[float, int, int]:
         return best_split(h, allowed, l2, least_rows)
 
-    tree.value[0] = value(hists[0])
-    best = {0: split_of(hists[0])}
+    tree.value[0] = value(hists[0][0])
+    best = {0: split_of(hists[0])} if depth > 0 else {}
     while True:
         room = leaves - sum(f < 0 for f in tree.feature)
         chosen = sorted((b for b in best.items() if b[1][0] > 1e-12), key=lambda b: (-b[1][0], b[0]))[: min(room, at_once)]
         if not chosen:
             return tree
-        small = []  # (smaller child, its sibling, their parent)
+        small = []  # (smaller child, its sibling, their parent) of those that may be split again
         for leaf, (gain, f, cut) in chosen:
             h = hists[leaf][f]
             tree.feature[leaf], tree.cut[leaf], tree.gain[leaf] = f, cut, gain
             tree.threshold[leaf] = float(edges[f][cut]) if cut < len(edges[f]) else math.inf
-            tree.left[leaf], tree.right[leaf] = tree.leaf(0.0), tree.leaf(0.0)
+            tree.left[leaf], tree.right[leaf] = tree.leaf(value(h[: cut + 1])), tree.leaf(value(h[cut + 1 :]))
+            level += [level[leaf] + 1] * 2
+            rows = h[: cut + 1, 2].sum(), h[cut + 1 :, 2].sum()
             pair = (tree.left[leaf], tree.right[leaf])
-            fewer_left = h[: cut + 1, 2].sum() <= h[cut + 1 :, 2].sum()
-            small.append((pair if fewer_left else pair[::-1]) + (leaf,))
+            if level[-1] < depth and max(rows) >= 2 * least_rows:
+                small.append((pair if rows[0] <= rows[1] else pair[::-1]) + (leaf,))
+            else:
+                del hists[leaf]
             del best[leaf]
+        if len(chosen) == room:
+            return tree
+        if not small:
+            continue
         found = passes.histograms(number, tree, [s for s, _, _ in small])
         for (child, sibling, parent), h in zip(small, found):
             hists[child], hists[sibling] = h, hists.pop(parent) - h
             for node in (child, sibling):
-                tree.value[node] = value(hists[node])
                 best[node] = split_of(hists[node])
